@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, packing, simhash
+from spanloom.llm import decontam, packing, quality, simhash
 from spanloom.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,10 +28,55 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op6_decontamination, op7_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op5_packing, op6_decontamination, op7_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op2_quality_rules"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2)),
+p AS (SELECT r, count(*) AS n_repeat FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM g WHERE c > 1) GROUP BY r),
+f AS (
+  SELECT t.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
+    CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+    length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_capitals
+  FROM t LEFT JOIN p USING (r)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS (
+  SELECT r, doc_id, stratum, rule, value FROM (
+    SELECT r, doc_id, stratum,
+      unnest([{'rule': 'symbols', 'value': CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END},
+        {'rule': 'dup_lines', 'value': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END},
+        {'rule': 'repeats', 'value': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END},
+        {'rule': 'capitals', 'value': CASE WHEN word_chars > 0 THEN 1000 * n_capitals // word_chars ELSE 0 END}], recursive := true)
+    FROM m WHERE NOT base_failed)),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+lv AS (SELECT stratum, rule, value, quality FROM v JOIN q USING (doc_id)),
+n AS (SELECT stratum, rule, count(*) FILTER (quality >= 1) AS n FROM lv GROUP BY ALL),
+grid AS (
+  SELECT 'symbols' AS rule, unnest(range(500, 19, -20)) AS cutoff UNION ALL SELECT 'dup_lines', unnest(range(950, 49, -50))
+  UNION ALL SELECT 'repeats', unnest(range(500, 49, -50)) UNION ALL SELECT 'capitals', unnest(range(950, 49, -50))),
+tried AS (
+  SELECT n.stratum, n.rule, cutoff, n, count(lv.value) FILTER (quality >= 1) AS good, count(lv.value) FILTER (quality < 1) AS bad
+  FROM n JOIN grid ON n.rule = grid.rule LEFT JOIN lv ON lv.stratum = n.stratum AND lv.rule = n.rule AND lv.value > cutoff GROUP BY ALL),
+pv AS (
+  SELECT *, CASE WHEN good >= n * 0.01 THEN 1.0 ELSE list_sum(list_transform(range(0, good + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(CAST(0.01 AS DOUBLE)) + (n - j) * ln(CAST(0.99 AS DOUBLE))))) END AS p FROM tried),
+so AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS worst FROM pv),
+best AS (
+  SELECT stratum, rule, arg_max(cutoff, 10000 * (bad - 3 * good) + cutoff) AS cutoff
+  FROM so WHERE worst <= CAST(0.05 AS DOUBLE) / (SELECT count(*) FROM n) GROUP BY ALL),
+bad AS (SELECT DISTINCT r FROM v JOIN best ON v.stratum = best.stratum AND v.rule = best.rule AND value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept
+FROM m LEFT JOIN bad ON m.r = bad.r
+"""
+
 ORACLE_SQL["op6_decontamination"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
