@@ -15,6 +15,7 @@ Empty table: empty result. Columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,18 +32,51 @@ from spanloom.llm.common import rows_of, stash
 LENGTH = 2048
 CLOSE = 1
 GROUP_DOCS = 8192
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
+MARK = "\x01"
 BATCH_BYTES = 4 << 20
 
 
 class Encoder:
-    """Token ids of batches of texts, by distinct words; keeps the ids of up to CACHED_WORDS words."""
+    """Token ids of batches of texts, by distinct words. The ids of words met lately stay: up to CACHED_WORDS
+    in the young generation, and those of the one before it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many in one call, with a mark between each two that no word has."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            line = f" {MARK} ".join(some)
+            if line.count(MARK) == len(some) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.nonzero(ids == self.mark)[0]
+                data = ids.tobytes()
+                if len(cuts) == len(some) - 1:
+                    out += [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+                    continue
+            out += self._single(some)
+        return out
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        if old and missing:
+            young.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in young]
+        young.update(zip(missing, self._new(missing), strict=True))
+        return [young[w] for w in words]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids, each with the closing id, end to end (uint32), and the n + 1 offsets."""
@@ -51,28 +85,28 @@ class Encoder:
         ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        ids = [*(self.known[w] for w in words), np.array([CLOSE], np.uint32).tobytes()]
+        ids = [*self._ids(words), np.array([CLOSE], np.uint32).tobytes()]
         pool = np.frombuffer(b"".join(ids), np.uint32)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(sizes) - sizes
-        which = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(words))
+        which = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words))
         many = sizes[which]
         after = np.cumsum(many)
         stream = pool[np.repeat(begin[which] - (after - many), many) + np.arange(int(after[-1]) if len(after) else 0)]
         return stream, np.concatenate([[0], after[ends + np.arange(len(ends))]]).astype(np.int64)
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process, whose cached words serve its later tasks too."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(doc_id, doc_tokens, crcs: the checksum of each piece of up to length ids, ids: little-endian unsigned 32-bit, if asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in rows_of(batches, BATCH_BYTES):
             stream, offsets = encoder(batch.column(1))
             data = memoryview(stream.astype("<u4", copy=False)).cast("B")

@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def fixture():
     r = random.Random(4)
-    words = ["The", "hérè", "ñandú's", "x", "12", "a-b", "don't", "Ω", "ΣΑΣ", "é", "́x", " ", "日本語", "🙂", "q" * 40]
+    words = ["The", "a\x01b", "\x01", "\x01x", "hérè", "ñandú's", "x", "12", "a-b", "don't", "Ω", "ΣΑΣ", "é", "́x", " ", "日本語", "🙂", "q" * 40]
     rows = [(k, r.choice([" ", "\n", " \t "]).join(r.choices(words, k=r.choice([0, 1, 5, 300, 700])))) for k in range(60)]
     return rows + [(None, "x y"), (3, rows[3][1]), (3, rows[3][1]), (70, None), (71, ""), (72, " \n"), (73, "word " * 9000)]
 
