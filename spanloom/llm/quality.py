@@ -65,16 +65,17 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     same = F.filter("__s", lambda x, k: (x["h"] == F.try_element_at("__s", k + 2)["h"]) | (F.when(k > 0, F.try_element_at("__s", k)["h"]) == x["h"]))
     step = step.withColumn("__at", F.sort_array(F.transform(same, lambda x: x["i"])))
     covered = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    made = step.select(
-        *keep,
-        F.size("__w").cast("long").alias("n_words"),
-        F.col("__chars").cast("long").alias("word_chars"),
-        F.col("__symbols").cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        F.col("__capitals").cast("long").alias("n_capitals"),
-    )
+    made = {
+        "n_words": F.size("__w"),
+        "word_chars": F.col("__chars"),
+        "n_symbols": F.col("__symbols"),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_lines": F.size("__lines"),
+        "n_repeat_words": covered,
+        "n_capitals": F.col("__capitals"),
+    }
+    # a generator of one row: a filter on its columns can't be pushed below it, where each use would compute the words anew
+    made = step.select(*keep, F.inline_outer(F.array(F.struct(*(x.cast("long").alias(name) for name, x in made.items())))))
     return made.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
