@@ -37,8 +37,8 @@ from spanloom.llm.gsaca import suffix_array
 SIZE = 100
 ANCHOR = 50
 REST = SIZE - ANCHOR
-SLICE_BYTES = 4 << 20
-PARTITION_BYTES = 24 << 20  # of text, for each partition of buckets
+SLICE_BYTES = 2 << 20
+PARTITION_BYTES = 16 << 20  # of text, for each partition of buckets
 MOST = 20_000
 CHUNK = 60_000  # symbols of one suffix array, or one bucket if that has more
 MUL = np.uint64(0x9E3779B97F4A7C15)
