@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, packing, pii, quality, simhash, suffix_dedup
+from spanloom.llm import chat, decontam, langid, license, packing, pii, quality, simhash, suffix_dedup, toxicity
 from spanloom.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op3(table(spark, sf_dir, "conversations"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,14 +44,38 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op5_packing, op6_decontamination, op7_simhash, op8_pii, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_quality_rules, op3_chat_format, op4_toxicity, op5_packing, op6_decontamination, op7_simhash, op8_pii, op9_language_mixture, op10_suffix_dedup)
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op1_license_scan"] = license.oracle_sql()
+
+ORACLE_SQL["op3_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(role, '') AS r, text AS raw, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', 'user', '\### Assistant: </turn> ok', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', 'assistant', '\### Assistant: </turn> ok', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(replace(replace(replace(t, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ')) + 15
+    + length(replace(replace(replace(replace(replace(r, '%', '%25'), ':', '%3A'), '<', '%3C'), '#', '%23'), chr(10), '%0A')) - 1 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, raw NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, raw NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLE_SQL["op2_quality_rules"] = r"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text,
