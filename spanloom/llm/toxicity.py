@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, a Levenshtein automaton over its trie, and the context of each hit.
 
 From a sample of about PER_CLASS labelled documents of either class (the bound of the classifier's sample; drawn by a
-hash of doc_id) the lexicon takes the TERMS words whose documents are toxic most beyond chance (G-test). Words of
+hash of doc_id) the lexicon takes the TERMS words whose documents are toxic most beyond chance (G-test), if they stand before unlike words. Words of
 texts run through an automaton: its states are sets of (trie node, edits so far), made when first met; terms
 of five letters and more allow one edit. A hit counts by its term's weight, apart for exact and misspelled ones and,
 by the window of words around it, for quoted and direct ones. A logistic regression on these sums, fitted to the
@@ -24,7 +24,8 @@ from spanloom.llm.common import rows_of, stash
 
 PER_CLASS = 6000
 TERMS = 300
-LEAST_G = 12.0
+LEAST_G = 22.0
+CONTEXTS = 10
 ONE_EDIT_FROM = 5
 NEAR = 4
 THRESHOLD = 0.3
@@ -167,15 +168,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return [], [], None
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(STRIP))))
-    word = sample.select("toxic", F.explode(words).alias("word")).where("length(word) between 3 and 40")
+    split = sample.select("toxic", F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(STRIP))).alias("w"))
+    word = split.select("toxic", F.explode(F.array_distinct("w")).alias("word")).where("length(word) between 3 and 40")
     word = word.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 3")
     n1, n0 = size[1], size[0]
     part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     g = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
     weight = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-    top = word.select("word", g.alias("g"), weight.alias("weight")).where(f"g >= {LEAST_G} and weight >= 1").orderBy(F.desc("g"), "word").limit(TERMS).collect()
+    likely = word.select("word", "a", g.alias("g"), weight.alias("weight")).where(f"g >= {LEAST_G} and weight >= 1").orderBy(F.desc("g"), "word").limit(8 * TERMS)
+    # words of one text and its copies stand before the same word each time
+    pairs = split.where("toxic = 1").select(F.explode(F.transform("w", lambda w, k: F.struct(w.alias("word"), F.get("w", k + 1).alias("after")))).alias("x")).select("x.*")
+    apart = pairs.join(F.broadcast(likely), "word").groupBy("word", "a", "g", "weight").agg(F.count_distinct("after").alias("contexts"))
+    top = apart.where(f"contexts >= least(0.6 * a, {CONTEXTS})").orderBy(F.desc("g"), "word").limit(TERMS).collect()
     terms, weights = [r["word"] for r in top], [r["weight"] for r in top]
     schema = "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
 
