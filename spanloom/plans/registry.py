@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from spanloom.plans import timeline
+from spanloom.plans.common import Plan
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (timeline,)
+QUERIES: dict[str, Plan] = {name: plan for m in MODULES for name, plan in m.Q.plans.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.Q.sql.items()}
