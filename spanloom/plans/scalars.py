@@ -64,7 +64,7 @@ ACCENTS = ("idiot", "the", "Licensed")
 
 @Q.add(
     rf"""WITH l AS (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark),
-w AS (SELECT item_id, list_transform(ls, lambda s: array_to_string(list_transform(string_split(upper(s), ' '), lambda w:
+w AS (SELECT item_id, list_transform(ls, lambda s: array_to_string(list_transform(string_split(replace(upper(s), 'ẞ', 'SS'), ' '), lambda w:
   CASE WHEN upper(rtrim(trim(w), '.,!?:;')) IN ('IDIOT', 'THE', 'LICENSED') THEN '<span class="em-gold">' || replace(replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</span>'
   ELSE replace(replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') END), ' ')) AS ls FROM l)
 SELECT item_id, array_to_string(ls, '<br>') AS html FROM w"""

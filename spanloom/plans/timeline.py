@@ -234,6 +234,38 @@ SELECT source_id, count(*) AS n_markers, max(mk) AS last_marker_ms, CAST(sum(mk)
 Q.put("transcript_markers_10s", transcript(10_000), transcript_sql(10_000))  # SEQ1
 Q.put("transcript_markers_8s", transcript(8_000), transcript_sql(8_000))  # SEQ2
 
+@Q.add(
+    f"""WITH RECURSIVE {WORDS.strip()},
+l AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY source_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS c FROM words),
+b(source_id, pos, start_ms, c, last, marks) AS (
+  SELECT source_id, pos, start_ms, c, CAST(-10 AS BIGINT), CAST(0 AS BIGINT) FROM l WHERE pos = 0
+  UNION ALL
+  SELECT source_id, x.pos, x.start_ms, x.c, CASE WHEN start_ms // 1000 - last >= 9 THEN start_ms // 1000 ELSE last END, marks + CASE WHEN start_ms // 1000 - last >= 9 THEN 1 ELSE 0 END
+  FROM (SELECT b.*, (SELECT min({{'pos': l.pos, 'start_ms': l.start_ms, 'c': l.c}}) FROM l WHERE l.source_id = b.source_id AND l.pos > b.pos AND (l.start_ms - b.start_ms > 10000 OR l.c - b.c - 1 > 350)) AS x FROM b) WHERE x IS NOT NULL)
+SELECT source_id, count(*) AS n_blocks, max(marks) + 1 AS n_markers, CAST(sum(pos) AS BIGINT) AS starts FROM b GROUP BY source_id"""
+)
+def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEQ6: a block ends when it is ten seconds old or longer than 350 characters; it gets a mark nine seconds after the last one, the last block always."""
+    w = timeline(spark, sf_dir).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start_ms", F.length("text").alias("n")))).alias("r"))
+    zero = F.struct(F.lit(0).cast("long").alias("begin"), F.lit(-1).cast("long").alias("size"), F.lit(-10).cast("long").alias("last"), F.lit(0).cast("long").alias("marks"), F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("starts"))
+
+    def add(a, x):
+        ends = (x["start_ms"] - a["begin"] > 10000) | (a["size"] > 350)
+        second = F.floor(a["begin"] / 1000)
+        marks = ends & (second - a["last"] >= 9)
+        return F.struct(
+            F.when(ends, x["start_ms"]).otherwise(a["begin"]).alias("begin"),
+            (F.when(ends, F.lit(-1)).otherwise(a["size"]) + x["n"] + 1).cast("long").alias("size"),
+            F.when(marks, second).otherwise(a["last"]).alias("last"),
+            (a["marks"] + marks.cast("long")).alias("marks"),
+            (a["blocks"] + ends.cast("long")).alias("blocks"),
+            (a["starts"] + F.when(ends, x["pos"]).otherwise(0)).alias("starts"),
+        )
+
+    made = w.select("source_id", F.aggregate("r", zero, add).alias("m"))
+    return made.select("source_id", F.col("m.blocks").alias("n_blocks"), (F.col("m.marks") + 1).alias("n_markers"), F.col("m.starts").alias("starts"))
+
+
 EVENTS = """
 e0 AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) // 1000 AS BIGINT) AS start_ms, CAST(epoch_us(ts) // 1000 AS BIGINT) + 60000 + CAST(floor(value * 100000 + 0.5) AS BIGINT) AS end_ms FROM events)"""
 
