@@ -72,12 +72,33 @@ def filler_cuts(words: DataFrame, fillers: Sequence[str]) -> DataFrame:
 
 
 def all_cuts(words: DataFrame, fillers: Sequence[str]) -> DataFrame:
-    return filler_cuts(words, fillers).unionByName(stutter_cuts(words)).unionByName(silence_cuts(words))
+    """The three kinds of cuts, bag union, in one pass over the words: the same as filler_cuts, stutter_cuts and silence_cuts apart."""
+    single = [f for f in fillers if " " not in f]
+    pairs = [f for f in fillers if len(f.split()) == 2]
+    order, so_far = by_pos(), by_pos().rowsBetween(Window.unboundedPreceding, 0)
+    w = words.withColumn("s1", stem(F.col("text"), ",.?!:;-")).withColumn("s2", stem(F.col("text"), ",.?!:;")).drop("text")
+    w = w.withColumns({"before_ms": F.lag("end_ms").over(order), "s1_before": F.lag("s1").over(order), "next_s2": F.lead("s2").over(order), "next_end": F.lead("end_ms").over(order), "after1": F.lead("start_ms").over(order), "after2": F.lead("start_ms", 2).over(order)})
+    same = F.coalesce((F.col("s1_before") == F.col("s1")) & (F.col("s1") != "") & (F.col("start_ms") - F.col("before_ms") <= P.STUTTER_GAP), F.lit(False))
+    alone = F.col("s2").isin(single)
+    pair = F.coalesce(~alone & F.concat_ws(" ", "s2", "next_s2").isin(pairs) & F.col("next_s2").isNotNull(), F.lit(False))
+    w = w.withColumns({"opens": ~same, "alone": alone, "pair": pair}).drop("s1", "s2", "s1_before", "next_s2")
+    # where the run of a word's equals began, and what stood before it; whether the run ends here
+    head = lambda c: F.last(F.when(F.col("opens"), F.struct(F.col(c).alias("v"))), True).over(so_far)["v"]
+    w = w.withColumns({"first": head("start_ms"), "first_before": head("before_ms"), "closes": F.coalesce(F.lead("opens").over(order), F.lit(True)), "island": F.sum((~F.col("pair")).cast("int")).over(so_far)})
+    w = w.withColumn("taken", F.col("pair") & ((F.sum(F.col("pair").cast("int")).over(Window.partitionBy("source_id", "island").orderBy("pos")) % 2) == 1)) if pairs else w.withColumn("taken", F.lit(False))
+    w = w.withColumn("alone", F.col("alone") & ~F.coalesce(F.lag("taken").over(order), F.lit(False)))
+    cut = lambda kind, start, end, least: F.when(end > start + least, F.struct(start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"), F.lit(kind).alias("kind")))
+    stutter = F.when(F.col("closes") & ~F.col("opens"), cut("stutter", F.greatest("first", F.col("first_before") + 1), F.col("start_ms"), P.STUTTER_LEAST))
+    silence = F.when(F.col("after1") - F.col("end_ms") > P.SILENCE, cut("silence", F.col("end_ms") + P.SILENCE_MARGIN, F.col("after1") - P.SILENCE_MARGIN, P.SILENCE_LEAST))
+    last = F.when(F.col("taken"), F.col("next_end")).otherwise(F.col("end_ms"))
+    after = F.coalesce(F.when(F.col("taken"), F.col("after2")).otherwise(F.col("after1")), last + 1000)
+    filler = F.when(F.col("alone") | F.col("taken"), cut("filler", F.greatest(F.coalesce("before_ms", F.lit(0)) + 1, F.col("start_ms") - P.FILLER_PAD), F.least(after - 1, last + P.FILLER_PAD), 0))
+    return w.select("source_id", F.inline(F.array_compact(F.array(filler, stutter, silence))))
 
 
-def retime(words: DataFrame, cuts: DataFrame) -> DataFrame:
-    """words without those that overlap a cut, moved left by all that is cut before. cuts: disjoint. Cuts and words
-    run past each other in one sorted stream for each source, instead of a join by range."""
+def timeline_stream(words: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Words and disjoint cuts (cs, ce) as one sorted stream for each source, instead of a join by range: of each word
+    whether no cut overlaps it (kept) and how much is cut before it (gone)."""
     rows = words.select("source_id", "pos", "text", "start_ms", "end_ms", F.lit(None).cast("long").alias("cs"), F.lit(None).cast("long").alias("ce")).unionByName(
         cuts.select("source_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), "start_ms", "end_ms", F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"))
     )
@@ -86,7 +107,12 @@ def retime(words: DataFrame, cuts: DataFrame) -> DataFrame:
     by_begin = Window.partitionBy("source_id").orderBy(F.when(is_cut, F.col("cs")).otherwise(F.col("end_ms")), is_cut, "pos").rowsBetween(*so_far)
     by_end = Window.partitionBy("source_id").orderBy(F.when(is_cut, F.col("ce")).otherwise(F.col("start_ms")), ~is_cut, "pos").rowsBetween(*so_far)
     seen = rows.withColumn("reach", F.max("ce").over(by_begin)).withColumn("gone", F.coalesce(F.sum(F.col("ce") - F.col("cs")).over(by_end), F.lit(0)))
-    kept = seen.where(F.col("cs").isNull() & (F.col("reach").isNull() | (F.col("reach") <= F.col("start_ms"))))
+    return seen.withColumn("kept", F.col("cs").isNull() & (F.col("reach").isNull() | (F.col("reach") <= F.col("start_ms"))))
+
+
+def retime(words: DataFrame, cuts: DataFrame) -> DataFrame:
+    """words without those that overlap a cut, moved left by all that is cut before. cuts: disjoint."""
+    kept = timeline_stream(words, cuts).where("kept")
     return kept.select("source_id", "pos", "text", (F.col("start_ms") - F.col("gone")).cast("long").alias("start_ms"), (F.col("end_ms") - F.col("gone")).cast("long").alias("end_ms"))
 
 
@@ -138,8 +164,11 @@ def snap(targets: DataFrame, words: DataFrame) -> DataFrame:
     best = both.withColumn("tier", tier).where("tier is not null").groupBy("source_id", "target").agg(F.min(F.struct("tier", key.alias("key"), "pos", "mid2")).alias("b"))
     no = lambda t: F.lit(None).cast(t)
     stream = gap.select("source_id", F.col("mid2").alias("at"), "mid2", no("int").alias("target"), no("long").alias("t_ms")).unionByName(targets.select("source_id", (2 * F.col("t_ms")).alias("at"), no("long").alias("mid2"), F.col("target").cast("int").alias("target"), "t_ms"))
-    order = Window.partitionBy("source_id").orderBy("at", F.col("mid2").isNull(), "target")
-    stream = stream.withColumn("left", F.last("mid2", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right", F.first("mid2", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # the nearest to the right by the order turned round: a frame that ends at the last row costs the square of its rows
+    so_far, is_target = (Window.unboundedPreceding, 0), F.col("mid2").isNull()
+    forth = Window.partitionBy("source_id").orderBy("at", is_target, "target").rowsBetween(*so_far)
+    back = Window.partitionBy("source_id").orderBy(F.desc("at"), is_target, "target").rowsBetween(*so_far)
+    stream = stream.withColumn("left", F.last("mid2", True).over(forth)).withColumn("right", F.last("mid2", True).over(back))
     nearest = F.when(F.col("right").isNull() | (F.col("at") - F.col("left") <= F.col("right") - F.col("at")), F.col("left")).otherwise(F.col("right"))
     last = stream.where("mid2 is null").select("source_id", "target", nearest.alias("nearest"))
     found = targets.join(best, ["source_id", "target"], "left").join(last, ["source_id", "target"], "left")

@@ -82,11 +82,17 @@ FROM (SELECT source_id, count(*) AS n_words FROM words GROUP BY source_id) LEFT
 def clean_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PLN3, PLN4, JOI3, WIN4, AGG1, AGG3: the flagship."""
     w = timeline(spark, sf_dir)
-    cuts = intervals.merge(words.all_cuts(w, P.TABLE_FILLERS), "source_id")
-    kept = words.retime(w, cuts).groupBy("source_id").agg(F.count(F.lit(1)).alias("kept_words"), F.max("end_ms").alias("last_ms"), F.sum(F.col("start_ms") * (F.col("pos") % 7 + 1)).alias("checksum"))
-    gone = cuts.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_cuts"), F.sum(F.col("end_ms") - F.col("start_ms")).cast("long").alias("removed_ms"))
-    found = w.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_words")).join(kept, "source_id", "left").join(gone, "source_id", "left")
-    return found.select("source_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("kept_words", "n_cuts", "removed_ms")), "last_ms", "checksum")
+    stream = words.timeline_stream(w, intervals.merge(words.all_cuts(w, P.TABLE_FILLERS), "source_id"))
+    word, cut, kept = F.col("cs").isNull(), F.col("cs").isNotNull(), F.col("kept")
+    start = F.col("start_ms") - F.col("gone")
+    return stream.groupBy("source_id").agg(
+        F.count_if(word).alias("n_words"),
+        F.count_if(kept).alias("kept_words"),
+        F.count_if(cut).alias("n_cuts"),
+        F.coalesce(F.sum(F.when(cut, F.col("ce") - F.col("cs"))), F.lit(0)).cast("long").alias("removed_ms"),
+        F.max(F.when(kept, F.col("end_ms") - F.col("gone"))).cast("long").alias("last_ms"),
+        F.sum(F.when(kept, start * (F.col("pos") % 7 + 1))).cast("long").alias("checksum"),
+    )
 
 
 @Q.add(

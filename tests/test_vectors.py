@@ -49,6 +49,22 @@ def test_fillers(spark):
     assert cuts(words.filler_cuts(said(spark, ("a", 0, 1), ("a", 1, 2), ("a", 2, 3)), ["a a"])) == [(1, 1999)]
 
 
+def test_one_pass_is_the_three(spark):
+    import random
+
+    r = random.Random(7)
+    rows, t = [], 0
+    for k in range(3000):
+        a = t + r.choice([0, 0, 20, 400, 900, 1500])
+        t = a + r.choice([10, 60, 300])
+        rows.append((k // 300, k % 300, r.choice(["um", "you", "know", "you", "a", "A,", "b", "-"]), a, t))
+    w = spark.createDataFrame(rows, "source_id long, pos long, text string, start_ms long, end_ms long")
+    fillers = ["um", "you know", "a a", "know"]
+    one = sorted(map(tuple, words.all_cuts(w, fillers).collect()))
+    three = words.filler_cuts(w, fillers).unionByName(words.stutter_cuts(w)).unionByName(words.silence_cuts(w))
+    assert one == sorted(map(tuple, three.collect())) and len(one) > 500
+
+
 def test_merge_and_retime(spark):
     c = spark.createDataFrame([(1, 100, 200), (1, 220, 300), (1, 321, 400), (1, 330, 340)], "source_id long, start_ms long, end_ms long")
     merged = intervals.merge(c, "source_id")
