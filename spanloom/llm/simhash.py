@@ -28,27 +28,65 @@ SEED = 42
 MOST_BITS = 3
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Unsigned SimHash of one text over shingles of ``size`` words."""
+def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
+    """XXH64 of each shingle of ``size`` words, repeats included; of the whole sequence, where it is shorter."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= size:
-        return digest(line, SEED)
+        return np.array([digest(line, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n) + 1
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1)[: n - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
-    over, made = np.zeros(64, np.int64), len(starts)
-    for at in range(0, made, 65536):
-        h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536], strict=True)), np.uint64)
-        over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * over > made, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def folded(h: np.ndarray) -> int:
+    """The fingerprint: a bit is set that more than half of the hashes have."""
+    over = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        over += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * over > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Unsigned SimHash of one text over shingles of ``size`` words."""
+    return folded(shingle_hashes(text, size))
+
+
+BINS = 256
+BANDS = 16
+BAND_BINS = 4
+
+
+def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The least hash in each of 256 bins of the hashes' top bits (16 bits of it, 65535: an empty bin), and a key for each of 16 bands of four bins."""
+    h = np.unique(h)
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+    at = np.searchsorted(h, edges)
+    full = np.append(h, np.uint64(0))[at]
+    there = (at < len(h)) & (full >> np.uint64(56) == np.arange(BINS, dtype=np.uint64))
+    least = np.where(there, np.minimum((full >> np.uint64(40)) & np.uint64(0xFFFF), 65534), 65535).astype("<u2")
+    bands = np.where(there, full, 0).reshape(BANDS, -1)[:, :BAND_BINS]
+    used = there.reshape(BANDS, -1)[:, :BAND_BINS].any(1)
+    with np.errstate(over="ignore"):
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for k in range(BAND_BINS):
+            key = (key ^ bands[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+    return least.tobytes(), key[used].view(np.int64).tolist()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """The share of bins, empty in both left out, that agree: an estimate of the sets' Jaccard similarity."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    full = (x != 65535) | (y != 65535)
+    return float((x == y)[full].mean()) if full.any() else 1.0
 
 
 def with_fingerprint(docs: DataFrame, size: int = 3, name: str = "simhash_fp") -> DataFrame:
@@ -155,11 +193,68 @@ def links(fps: DataFrame, most: int = 2000) -> DataFrame:
     return first.where("v is not null").select("u", "v").union(dealt(again, None).select("u", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct fingerprint; both in the shared folder."""
-    marked = stash(with_fingerprint(docs.select("doc_id", "text"), size, "fp").select("doc_id", "fp"))
-    classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp")))
+def _sketched(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 8 << 20):
+            hashes = [shingle_hashes(x.as_py(), size) for x in batch.column(1)]
+            made = [sketch(h) for h in hashes]
+            fps = np.array([folded(h) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "bands"])
+
+    return run
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (band, fp) in order of band and of a hash that differs by band: of each group pairs with its first member and with the one before."""
+    band = first = before = None
+    for batch in batches:
+        pairs = set()
+        for b, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b == band:
+                pairs.add((max(f, first), min(f, first)))
+                pairs.add((max(f, before), min(f, before)))
+            else:
+                band, first = b, f
+            before = f
+        pairs = [p for p in pairs if p[0] != p[1]]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["u", "v"])
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [k for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if similarity(a, b) >= least]
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def similar_links(classes: DataFrame, least: float) -> DataFrame:
+    """classes: (fp, sketch, bands). Edges (u, v) between fingerprints whose sketches' similarity is ``least`` or more and that share a band.
+    A group of one band gives two pairs a member, in another order for each band, never all pairs."""
+    rows = classes.select("fp", F.explode("bands").alias("band"))
+    order = rows.withColumn("mixed", F.xxhash64("fp", "band")).repartition("band").sortWithinPartitions("band", "mixed").select("band", "fp")
+    pairs = order.mapInArrow(_neighbours, "u long, v long").distinct()
+    a = classes.select(F.col("fp").alias("u"), F.col("sketch").alias("a"))
+    b = classes.select(F.col("fp").alias("v"), F.col("sketch").alias("b"))
+    return stash(pairs).join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(least), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, similar: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct fingerprint; both in the shared folder.
+    similar: texts also link if so large a share of their shingles is common, by a sketch of each."""
+    if similar is None:
+        marked = stash(with_fingerprint(docs.select("doc_id", "text"), size, "fp").select("doc_id", "fp"))
+        classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        edges = links(classes.select("fp"))
+    else:
+        marked = stash(docs.select("doc_id", "text").mapInArrow(_sketched(size), "doc_id long, fp long, sketch binary, bands array<long>"))
+        found = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.struct("sketch", "bands")).alias("x"))
+        classes = stash(found.select("fp", "least", "x.sketch", "x.bands"))
+        edges = links(classes.select("fp")).union(similar_links(classes, similar))
+        marked, classes = marked.select("doc_id", "fp"), classes.select("fp", "least")
+    roots = components(edges)
     rooted = stash(classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root")))
     names = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return marked, stash(rooted.join(names, "root").select("fp", "root", "component_id"))
@@ -170,10 +265,11 @@ def op7(docs: DataFrame) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (of repeated
-    ids the one with the least text digest; null ids come last). Shingles have five words here."""
-    _, classes = near_duplicates(docs, size)
+def keep_one(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest doc_id stays (of repeated ids the one
+    with the least text digest; null ids come last). Shingles have five words here, and beside fingerprints within
+    three bits texts link from a similarity of 0.8: a few changed words move a fingerprint further than three bits."""
+    _, classes = near_duplicates(docs, size, similar)
     fp, root = "__simhash_fp", "__simhash_root"
     marked = with_fingerprint(docs, size, fp)
     classes = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias("__simhash_least"))

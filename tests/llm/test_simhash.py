@@ -93,3 +93,29 @@ def test_keep_one(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.op7(docs).collect() == [] and simhash.keep_one(docs).collect() == []
+
+
+def test_keep_one_catches_copies_with_changed_words(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    rows, groups = [], 60
+    for g in range(groups):
+        base = r.choices(words, k=r.choice([60, 150, 400]))
+        for c in range(1 + g % 4):
+            copy = list(base)
+            for _ in range(len(copy) // 60 if c else 0):
+                copy[r.randrange(len(copy))] = "changed"
+            rows.append((len(rows), " ".join(copy), g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, g int")
+    kept = simhash.keep_one(docs).collect()
+    assert {x.g for x in kept} == set(range(groups))  # none is lost whole
+    assert len(kept) <= groups + 3
+
+
+def test_sketch_estimates_similarity():
+    r = np.random.default_rng(3)
+    for n in (50, 300, 5000):
+        a = r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        b = np.concatenate([a[: n * 8 // 9], r.integers(0, 2**63, n - n * 8 // 9).astype(np.uint64) * np.uint64(2)])
+        j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(simhash.similarity(simhash.sketch(a)[0], simhash.sketch(b)[0]) - j) < 0.12
