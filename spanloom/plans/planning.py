@@ -41,6 +41,8 @@ GAINS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SLOT_GAIN.items())
 
 
 def sound_events(mode: str):
+    """PLN1, SEQ3, WIN13, WIN14, TIM8: the hook's, callouts' and words' sounds, near repeats gone, variants in turn."""
+
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = timeline(spark, sf_dir)
         c = callouts(spark, sf_dir, w)
@@ -52,6 +54,7 @@ def sound_events(mode: str):
         order = Window.partitionBy("source_id", "slot").orderBy("t_ms")
         return kept.select("source_id", "t_ms", "slot", T.lookup(F.col("slot"), {k: str(v) for k, v in P.SLOT_GAIN.items()}, "1.0").cast("double").alias("gain"), ((F.row_number().over(order) - 1) % 3).alias("variant"))
 
+    plan.__doc__ = sound_events.__doc__
     return plan
 
 

@@ -213,7 +213,7 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript(marker_ms: int):
-    """Marks at a word that starts so long after the last mark's word: one fold along each source's words."""
+    """SEQ1, SEQ2. Marks at a word that starts so long after the last mark's word: one fold along each source's words."""
 
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = timeline(spark, sf_dir).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start_ms"))).alias("r"))
@@ -226,6 +226,7 @@ def transcript(marker_ms: int):
         made = w.select("source_id", F.aggregate("r", start, add).alias("m"))
         return made.select("source_id", F.col("m.n").alias("n_markers"), F.col("m.last").alias("last_marker_ms"), F.col("m.total").alias("marker_sum"))
 
+    plan.__doc__ = transcript.__doc__
     return plan
 
 
