@@ -72,3 +72,17 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "t
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, factor: int) -> np.ndarray:
+    """A 64-bit hash of each of the strings that lie end to end in raw: a polynomial in an odd factor, and the length."""
+    n = len(raw)
+    power = np.full(n + 1, np.uint64(factor))
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    a, b = offsets[:-1], offsets[1:]
+    back = np.uint64(pow(pow(factor, -1, 1 << 64), n, 1 << 64))  # so that a hash doesn't depend on where its string lies
+    h = (total[b] - total[a]) * power[n - a] * back + (b - a).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))

@@ -27,25 +27,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, stash
+from spanloom.llm.common import rows_of, stash, utf8, word_hashes
 
 LENGTH = 2048
 CLOSE = 1
 GROUP_DOCS = 8192
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 MARK = "\x01"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 
 
 class Encoder:
-    """Token ids of batches of texts, by distinct words. The ids of words met lately stay: up to CACHED_WORDS
-    in the young generation, and those of the one before it."""
+    """Token ids of batches of texts, by distinct words. The ids of up to CACHED_WORDS words stay, in arrays sorted by
+    a word's hash and checked by a second one (some 60 bytes a word); when they are full, the half met longest ago goes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.clock = Tokenizer.from_file(path), 0
+        self.keys, self.checks, self.begin = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.size, self.met, self.pool = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _single(self, words: list[str]) -> list[bytes]:
@@ -67,16 +69,38 @@ class Encoder:
             out += self._single(some)
         return out
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = [w for w in words if w not in young]
-        if old and missing:
-            young.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in young]
-        young.update(zip(missing, self._new(missing), strict=True))
-        return [young[w] for w in words]
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in the pool, and how many there are."""
+        self.clock += 1
+        if len(self.keys) > CACHED_WORDS:
+            self._forget()
+        raw, offsets = utf8(words)
+        key, check = word_hashes(raw, offsets, 0x9E3779B97F4A7C15), word_hashes(raw, offsets, 0xD6E8FEB86659FD93)
+        at = np.searchsorted(self.keys, key)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        known = (self.keys[near] == key) & (self.checks[near] == check) if len(self.keys) else np.zeros(len(key), bool)
+        begin, size = np.empty(len(key), np.int64), np.empty(len(key), np.int32)
+        begin[known], size[known] = self.begin[near[known]], self.size[near[known]]
+        self.met[near[known]] = self.clock
+        new = np.nonzero(~known)[0]
+        if len(new):
+            made = self._new(words.take(pa.array(new)).to_pylist())
+            size[new] = np.fromiter(map(len, made), np.int32, len(made)) // 4
+            begin[new] = len(self.pool) + np.cumsum(size[new], dtype=np.int64) - size[new]
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), np.uint32)])
+            order = new[np.argsort(key[new], kind="stable")]
+            put = at[order]
+            self.keys, self.checks = np.insert(self.keys, put, key[order]), np.insert(self.checks, put, check[order])
+            self.begin, self.size = np.insert(self.begin, put, begin[order]), np.insert(self.size, put, size[order])
+            self.met = np.insert(self.met, put, self.clock)
+        return begin, size
+
+    def _forget(self) -> None:
+        keep = self.met > np.median(self.met)
+        size, begin = self.size[keep], self.begin[keep]
+        after = np.cumsum(size, dtype=np.int64)
+        self.pool = self.pool[np.repeat(begin - (after - size), size) + np.arange(int(after[-1]) if len(after) else 0)]
+        self.keys, self.checks, self.size, self.met, self.begin = self.keys[keep], self.checks[keep], size, self.met[keep], after - size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids, each with the closing id, end to end (uint32), and the n + 1 offsets."""
@@ -84,15 +108,18 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        ids = [*self._ids(words), np.array([CLOSE], np.uint32).tobytes()]
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(sizes) - sizes
-        which = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words))
+        begin, sizes = self._places(coded.dictionary)
+        # the closing id stands as one more word
+        begin, sizes = np.append(begin, len(self.pool)), np.append(sizes, np.int32(1))
+        pool = np.append(self.pool, np.uint32(CLOSE))
+        which = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(coded.dictionary))
         many = sizes[which]
-        after = np.cumsum(many)
-        stream = pool[np.repeat(begin[which] - (after - many), many) + np.arange(int(after[-1]) if len(after) else 0)]
+        after = np.cumsum(many, dtype=np.int64)
+        # places in the pool: in 32 bits, unless a single text has more ids than those hold
+        kind = np.int32 if not len(after) or after[-1] + len(pool) < 2**31 else np.int64
+        at = np.repeat((begin[which] - (after - many)).astype(kind), many)
+        at += np.arange(len(at), dtype=kind)
+        stream = pool[at]
         return stream, np.concatenate([[0], after[ends + np.arange(len(ends))]]).astype(np.int64)
 
 

@@ -61,6 +61,19 @@ def test_first_fit_decreasing(seed):
     assert [want[k] for k in range(300)] == list(zip(bins.tolist(), at.tolist()))
 
 
+def test_forgotten_words(monkeypatch):
+    """A cache that overflows all the time gives the same ids."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 30)
+    encoder, tokenizer, r = packing.Encoder(PATH), Tokenizer.from_file(PATH), random.Random(9)
+    for _ in range(60):
+        texts = [" ".join("".join(r.choices("abcé1.'", k=r.choice([1, 2, 3]))) for _ in range(r.randrange(30))) for _ in range(4)] + [None]
+        stream, offsets = encoder(pa.array(texts, pa.string()))
+        for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
+            assert stream[a:b].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.op5(docs, PATH).collect() == []
