@@ -26,11 +26,14 @@ def test_against_sort(seed):
 
 
 def test_time_is_linear():
+    """A square would take 64 times as long for eight times the symbols; the best of three runs counts."""
     took = []
-    for n in (20_000, 80_000):
+    for n in (10_000, 80_000):
         text = joined([[0, 1] * 50, *(np.random.default_rng(k).integers(0, 9, 50).tolist() for k in range(n // 50))])
-        began = time.process_time()
-        suffix_array(text, n // 50 + 1)
-        took.append(time.process_time() - began)
-    assert took[1] < 10 * took[0]
-    print(took)
+        runs = []
+        for _ in range(3):
+            began = time.process_time()
+            suffix_array(text, n // 50 + 1)
+            runs.append(time.process_time() - began)
+        took.append(min(runs))
+    assert took[1] < 30 * took[0]
