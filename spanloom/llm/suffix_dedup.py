@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, stash, total_bytes, utf8
+from spanloom.llm.common import release, rows_of, stash, total_bytes, utf8
 from spanloom.llm.gsaca import suffix_array
 
 SIZE = 100
@@ -415,11 +415,13 @@ def removal_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     parts = -(-size // PARTITION_BYTES) or 1
     blobs = texts.mapInArrow(_cut(parts), "p long, blob binary")
     found = stash(blobs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_compare(most), SPANS))
+    release(docs.sparkSession)
     runs = found.where("kind > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kind", "m", "start", "stop", "lead")).alias("runs"))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     same = keyed.doc_id.eqNullSafe(runs.doc_id) & (keyed.tie == runs.tie)
     wanted = keyed.join(runs, same).select(keyed.doc_id, keyed.tie, "text", "runs").mapInArrow(_fetched, "kind int, m long, doc_id long, tie long, start long, lead int, data binary")
     wanted = stash(wanted)
+    release(docs.sparkSession)
     spans = found.where("kind = 0").select("doc_id", "tie", "start", "stop")
     near = wanted.where("kind = 1").repartition("m").sortWithinPartitions("m").mapInArrow(_buckets, SPANS)
     spans = spans.union(near.select("doc_id", "tie", "start", "stop"))
