@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -37,12 +36,6 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been written already: it does so when the driver's JVM collects its garbage, which may come late."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def total_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a text column."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
