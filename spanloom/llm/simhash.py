@@ -13,6 +13,7 @@ row. Null doc_id: never a component's name unless all its rows have none. Empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,20 +61,25 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 BINS = 256
-BANDS = 16
+BANDS = 64
 BAND_BINS = 4
+#: Sets of FEW hashes or more have the keys of the first half of the bands only.
+FEW = 64
 
 
 def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """The least hash in each of 256 bins of the hashes' top bits (16 bits of it, 65535: an empty bin), and a key for each of 16 bands of four bins."""
+    """The least hash in each of 256 bins of the hashes' top bits (16 bits of it, 65535: an empty bin), and a key for each band of four bins.
+    Large sets of similarity 0.8 share a given band with probability 0.8 ** 4, and none of 32 with about 5e-8."""
     h = np.unique(h)
     edges = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
     at = np.searchsorted(h, edges)
     full = np.append(h, np.uint64(0))[at]
     there = (at < len(h)) & (full >> np.uint64(56) == np.arange(BINS, dtype=np.uint64))
     least = np.where(there, np.minimum((full >> np.uint64(40)) & np.uint64(0xFFFF), 65534), 65535).astype("<u2")
-    bands = np.where(there, full, 0).reshape(BANDS, -1)[:, :BAND_BINS]
-    used = there.reshape(BANDS, -1)[:, :BAND_BINS].any(1)
+    bands = np.where(there, full, 0).reshape(BANDS, BAND_BINS)
+    used = there.reshape(BANDS, BAND_BINS).any(1)
+    if len(h) >= FEW:
+        used[BANDS // 2 :] = False
     with np.errstate(over="ignore"):
         key = np.arange(1, BANDS + 1, dtype=np.uint64)
         for k in range(BAND_BINS):
@@ -101,6 +107,21 @@ def with_fingerprint(docs: DataFrame, size: int = 3, name: str = "simhash_fp") -
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels after the links (i, j)."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what links within one group of distinct fingerprints, each to its component's least."""
     fps = np.sort(fps)
@@ -109,17 +130,7 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.nonzero(np.bitwise_count(fps[at : at + 512, None] ^ fps[None, :]) <= MOST_BITS)
         i, j = i + at, j
         i, j = i[i < j], j[i < j]
-        while True:
-            low = np.minimum(label[i], label[j])
-            new = label.copy()
-            np.minimum.at(new, label[i], low)
-            np.minimum.at(new, label[j], low)
-            np.minimum.at(new, i, low)
-            np.minimum.at(new, j, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = _merged(label, i, j)
     while (label[label] != label).any():
         label = label[label]
     moved = np.nonzero(label != np.arange(len(fps)))[0]
@@ -194,66 +205,178 @@ def links(fps: DataFrame, most: int = 2000) -> DataFrame:
 
 
 def _sketched(size: int):
+    """Rows (doc_id, r, text): c names a text's fingerprint and set of shingles, n is the set's size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in rows_of(batches, 4 << 20):
-            hashes = [shingle_hashes(x.as_py(), size) for x in batch.column(1)]
-            made = [sketch(h) for h in hashes]
-            fps = np.array([folded(h) for h in hashes], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "bands"])
+            fps, cs, ns, bands = [], [], [], []
+            for x in batch.column(2):
+                h = shingle_hashes(x.as_py(), size)
+                fps.append(folded(h))
+                h = np.unique(h)
+                cs.append(xxhash.xxh64_intdigest(h.tobytes(), fps[-1]))
+                ns.append(len(h))
+                bands.append(sketch(h)[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(cs, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "r", "fp", "c", "n", "bands"],
+            )
 
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (band, fp) in order of band and of a hash that differs by band: of each group pairs with its first member and with the one before."""
-    band = first = before = None
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (band, c) in order: edges from each member of a band to the band's first."""
+    band, first = None, 0
     for batch in batches:
-        pairs = set()
-        for b, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b == band:
-                pairs.add((max(f, first), min(f, first)))
-                pairs.add((max(f, before), min(f, before)))
-            else:
-                band, first = b, f
-            before = f
-        pairs = [p for p in pairs if p[0] != p[1]]
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["u", "v"])
-
+        b, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(b):
+            continue
+        begins = np.concatenate([[band is None or b[0] != band], b[1:] != b[:-1]])
+        firsts = np.concatenate([[first], c[begins]])[np.cumsum(begins)]
+        band, first = b[-1], firsts[-1]
+        pair = np.unique(np.stack([c, firsts], 1)[c != firsts], axis=0)
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in (0, 1)], ["u", "v"])
+
+
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of sets, each sorted and without repeats, whose Jaccard similarity is ``least`` or more."""
+    m = len(sets)
+    n = np.array([len(x) for x in sets], np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    begins = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0]
+    having = np.diff(np.append(begins, len(flat)))
+    common = np.zeros(m * m, np.int64)
+    for d in np.unique(having[(having > 1) & (having <= 48)]).tolist():  # what few sets have: by pairs
+        at, (x, y) = begins[having == d], np.triu_indices(d, 1)
+        step = max(1, (1 << 21) // len(x))
+        for k in range(0, len(at), step):
+            of = row[at[k : k + step, None] + np.arange(d)]
+            common += np.bincount((of[:, x] * m + of[:, y]).ravel(), minlength=m * m)
+    common = common.reshape(m, m)
+    many, lengths = begins[having > 48], having[having > 48]
+    for k in range(0, len(many), 4096):  # what many have: by products of 0-1 matrices
+        d = lengths[k : k + 4096]
+        within = np.arange(d.sum()) - np.repeat(np.cumsum(d) - d, d)
+        has = np.zeros((m, len(d)), np.float32)
+        has[row[np.repeat(many[k : k + 4096], d) + within], np.repeat(np.arange(len(d)), d)] = 1
+        common += np.rint(has @ has.T).astype(np.int64)
+    linked = (common >= least * (n[:, None] + n[None, :] - common)) & (common > 0)
+    return np.nonzero(np.triu(linked, 1))
+
+
+def _compared(least: float):
+    """Over rows (cell, c, fp, hashes) sorted by cell: edges (u, v) between fingerprints that join what links within a cell."""
+
+    def links_of(held: dict[int, tuple[int, bytes]]) -> set[tuple[int, int]]:
+        if len(held) < 2:
+            return set()
+        fps = [x[0] for x in held.values()]
+        i, j = alike([np.frombuffer(x[1], np.uint64) for x in held.values()], least)
+        label = _merged(np.arange(len(fps)), i, j) if len(i) else np.arange(len(fps))
+        while (label[label] != label).any():
+            label = label[label]
+        return {(fps[a], fps[b]) for a, b in enumerate(label.tolist()) if fps[a] != fps[b]}
 
-def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for batch in batches:
-            keep = [k for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if similarity(a, b) >= least]
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            found = set()
+            for at, c, fp, h in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if (at := at.as_py()) != cell:
+                    found |= links_of(held)
+                    cell, held = at, {}
+                if (c := c.as_py()) not in held:
+                    held[c] = fp.as_py(), h.as_py()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+        if found := links_of(held):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
     return run
 
 
-def similar_links(classes: DataFrame, least: float) -> DataFrame:
-    """classes: (fp, sketch, bands). Edges (u, v) between fingerprints whose sketches' similarity is ``least`` or more and that share a band.
-    A group of one band gives two pairs a member, in another order for each band, never all pairs."""
-    rows = classes.select("fp", F.explode("bands").alias("band"))
-    order = rows.withColumn("mixed", F.xxhash64("fp", "band")).repartition("band").sortWithinPartitions("band", "mixed").select("band", "fp")
-    pairs = order.mapInArrow(_neighbours, "u long, v long").distinct()
-    a = classes.select(F.col("fp").alias("u"), F.col("sketch").alias("a"))
-    b = classes.select(F.col("fp").alias("v"), F.col("sketch").alias("b"))
-    return stash(pairs).join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(least), "u long, v long")
+def cells(members: DataFrame, least: float, most: int, most_hashes: int) -> DataFrame:
+    """members: (root, c, n, ...). The same with a cell: all pairs of one root whose sizes allow a similarity of ``least`` meet in a cell.
+    A root with more than ``most`` members, or hashes, is dealt by sizes first, and then by pairs of blocks."""
+
+    def weighed(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes")), [*by])
+
+    own = weighed(members, "root")
+    fits = (F.col("rows") <= most) & (F.col("hashes") <= most_hashes)
+    whole = own.where(fits).withColumn("cell", F.xxhash64("root"))
+    step = -math.log(least) * 1.0001  # sizes of a ratio of least are one class apart at most
+    sized = own.where(~fits).drop("rows", "hashes").withColumn("s", F.floor(F.log("n") / step)).withColumn("s", F.explode(F.array("s", F.col("s") + 1)))
+    blocks = F.ceil(F.greatest(2 * F.col("rows") / most, 2 * F.col("hashes") / most_hashes)).cast("int")
+    dealt = weighed(sized, "root", "s").withColumn("blocks", F.when(fits, 1).otherwise(blocks)).withColumn("a", F.pmod(F.xxhash64("c"), "blocks"))
+    dealt = dealt.withColumn("b", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumn("cell", F.xxhash64("root", "s", F.least("a", "b"), F.greatest("a", "b")))
+    names = [*members.columns, "cell"]
+    return whole.select(*names).union(dealt.select(*names))
+
+
+TABLE_BITS = 1 << 24
+
+
+def _wanted_sets(size: int, table: np.ndarray):
+    """Over rows (r, text): r and the set of shingles, of those that the bit table has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows repeated whole
+        for batch in rows_of(batches, 4 << 20):
+            r = batch.column(0).to_numpy(zero_copy_only=False)
+            at = r & (TABLE_BITS - 1)
+            keep = []
+            for k in np.nonzero(table[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1))[0].tolist():
+                if (x := int(r[k])) not in seen:
+                    if len(seen) > 300_000:
+                        seen.clear()
+                    seen.add(x)
+                    keep.append(k)
+            made = [np.unique(shingle_hashes(batch.column(1)[k].as_py(), size)).tobytes() for k in keep]
+            yield pa.RecordBatch.from_arrays([pa.array(r[keep]), pa.array(made, pa.binary())], ["r", "hashes"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, size: int, least: float, most: int = 2048, most_hashes: int = 4 << 20) -> DataFrame:
+    """docs: (doc_id, r, text); marked: (r, fp, c, n, bands). Edges (u, v) between fingerprints whose components are those of all pairs of
+    texts that share a band and whose sets of shingles have a Jaccard similarity of ``least`` or more. Bands only say what is compared:
+    texts that bands join, over others too, are compared by their whole sets, all with all that their sizes allow."""
+    rows = marked.select(F.explode("bands").alias("band"), "c")
+    edges = rows.repartition("band").sortWithinPartitions("band", "c").mapInArrow(_stars, "u long, v long")
+    roots = components(edges)
+    members = roots.select(F.col("u").alias("c"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
+    classes = marked.groupBy("c", "fp", "n").agg(F.min("r").alias("r"))
+    members = stash(members.join(classes, "c"))
+    wanted = members.select(F.expr(f"r & {TABLE_BITS - 1}L").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    table = np.zeros(TABLE_BITS >> 6, np.int64)  # TABLE_BITS / 64 rows at most
+    for x in wanted.collect():
+        table[x.word] = x.bits
+    sets = docs.select("r", "text").mapInArrow(_wanted_sets(size, table), "r long, hashes binary")
+    dealt = cells(members, least, most, most_hashes).join(sets, "r").select("cell", "c", "fp", "hashes")
+    return stash(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(least), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, similar: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct fingerprint; both in the shared folder.
-    similar: texts also link if so large a share of their shingles is common, by a sketch of each."""
+    similar: texts also link if their sets of shingles have so large a Jaccard similarity."""
     if similar is None:
         marked = stash(with_fingerprint(docs.select("doc_id", "text"), size, "fp").select("doc_id", "fp"))
         classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
         edges = links(classes.select("fp"))
     else:
-        marked = stash(docs.select("doc_id", "text").mapInArrow(_sketched(size), "doc_id long, fp long, sketch binary, bands array<long>"))
-        found = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.struct("sketch", "bands")).alias("x"))
-        classes = stash(found.select("fp", "least", "x.sketch", "x.bands"))
-        edges = links(classes.select("fp")).union(similar_links(classes, similar))
-        marked, classes = marked.select("doc_id", "fp"), classes.select("fp", "least")
+        docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), "text")
+        marked = stash(docs.mapInArrow(_sketched(size), "doc_id long, r long, fp long, c long, n long, bands array<long>"))
+        classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        edges = links(classes.select("fp")).union(similar_links(docs, marked, size, similar))
+        marked = marked.select("doc_id", "fp")
     roots = components(edges)
     rooted = stash(classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root")))
     names = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")))

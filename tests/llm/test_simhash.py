@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -119,3 +120,41 @@ def test_sketch_estimates_similarity():
         b = np.concatenate([a[: n * 8 // 9], r.integers(0, 2**63, n - n * 8 // 9).astype(np.uint64) * np.uint64(2)])
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(simhash.similarity(simhash.sketch(a)[0], simhash.sketch(b)[0]) - j) < 0.12
+
+
+def edited(r, base, share, fresh):
+    """base with about so large a share of its five-word shingles broken by words that no other text has."""
+    copy = list(base)
+    for k in r.sample(range(len(base)), round(len(base) * share / 5)):
+        copy[k] = f"n{next(fresh)}"
+    return copy
+
+
+def test_keep_one_links_by_exact_similarity(spark):
+    """Templated texts of a similarity below 0.8 all stay; of pairs above 0.8 within a family, whose members are less alike, one goes each."""
+    r, fresh = random.Random(4), itertools.count()
+    rows = []
+    near = [r.choice([f"w{i}" for i in range(3000)]) for _ in range(400)]
+    for _ in range(150):  # pairwise 0.7 to 0.8
+        rows.append((len(rows), " ".join(edited(r, near, 0.125, fresh))))
+    far = [r.choice([f"v{i}" for i in range(3000)]) for _ in range(300)]
+    for _ in range(100):  # pairs of 0.8 and a little more within a family of about 0.65
+        base = edited(r, far, 0.2, fresh)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited(r, base, 0.1, fresh)))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(rows)) if find(i) == i}
+    got = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(want) < len(rows) - 40
