@@ -158,3 +158,24 @@ def test_keep_one_links_by_exact_similarity(spark):
     want = {i for i in range(len(rows)) if find(i) == i}
     got = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and len(want) < len(rows) - 40
+
+
+@pytest.mark.parametrize("most", [8, 2048])
+def test_large_bands_lose_no_pair(spark, most):
+    """Pairs of 0.85 in a family of about 0.68, whole or dealt by sizes and blocks: each is found."""
+    r, fresh = random.Random(6), itertools.count()
+    far = [r.choice([f"v{i}" for i in range(3000)]) for _ in range(400)]
+    texts = []
+    for _ in range(120):
+        base = edited(r, far, 0.18, fresh)
+        texts += [" ".join(base), " ".join(edited(r, base, 0.08, fresh))]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(doc_id, text) r", "text")
+    marked = docs.mapInArrow(simhash._sketched(5), "doc_id long, r long, fp long, c long, n long, bands array<long>")
+    got = {frozenset((x.u, x.v)) for x in simhash.similar_links(docs, marked, 5, 0.8, most).collect()}
+    i, j = simhash.alike(sets, 0.8)
+    brute = {(a, b) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert set(zip(i.tolist(), j.tolist())) == brute and len(brute) >= 100
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    assert got == {frozenset((signed[a], signed[b])) for a, b in brute}
