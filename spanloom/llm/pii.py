@@ -1,14 +1,15 @@
 """Personal data: four patterns, and terms that reveal what they found.
 
-The protected entities are the distinct values of the patterns. Terms (words of letters, three or more, in
-lower case) stand around an entity if at most NEAR words lie between. Over all documents, p(e|t) is the share
-of the documents with term t that have it around entity e, and log2(p(e|t) / p(e)) is what the term
-tells of the entity. A pair is disclosed if the term stands around the entity in SUPPORT unlike contexts at
-least, p(e|t) >= SHARE and it tells BITS or more. The term's occurrences around that entity are
-generalised, from SHARE_REMOVED on removed. Documents without a pattern's match lose nothing.
+The protected entities are the distinct values of the patterns. Terms are words of letters, three or more, in
+lower case, outside of matches. Over all documents, p(e|t) is the share of the documents with term t that have
+entity e too, anywhere, and log2(p(e|t) / p(e)) is what the term tells of the entity. A pair is disclosed if
+it has the support of SUPPORT unlike contexts at least, p(e|t) >= SHARE and the term tells BITS or more. A context is
+the NEAR terms, within 240 characters, on each side of the entity (the whole text, where there are none): copies of a passage are one. A
+document supports a pair by the context of its first match of the entity, and by each that has the term.
+All occurrences of a disclosed term, in whole texts and in documents without a match too, are generalised, from SHARE_REMOVED on removed.
 
-How often candidate terms occur is counted over the whole corpus; a bit table of fixed size keeps tasks from
-reporting words that no candidate has, and the join after it is exact.
+Entities with fewer contexts than SUPPORT disclose nothing, so terms are gathered from the documents of the others only. Bit
+tables of fixed size keep tasks from reporting entities and words that can't matter; what follows them is exact.
 
 Nulls and empty texts have no spans. Repeated rows have the same result each. Empty table: an empty result.
 """
@@ -88,12 +89,9 @@ def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x, 42) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The terms around each entity: entity and context hashed, the term and its place."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, set[str]]]:
+    """Of each match: its entity and context, hashed, and the terms of the context."""
     out = []
-    if not spans:
-        return out
-    inside = [(a, b) for a, _, b in spans]
     for a, k, b in spans:
         value = text[a:b].lower() if k < 2 else NOT_DIGIT.sub("", text[a:b])
         before = [m for m in TERM.finditer(text, max(0, a - 40 * NEAR), a)][-NEAR:]
@@ -102,14 +100,22 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             after.append(m)
             if len(after) == NEAR:
                 break
-        found = [m for m in (*before, *after) if not any(x < m.end() and m.start() < y for x, y in inside)]
-        words = [m[0].lower() for m in found]
-        entity, context = _hash(f"{k}:{value}"), _hash(" ".join(words))
-        out += [{"entity": entity, "context": context, "term": w, "start": m.start(), "stop": m.end()} for w, m in zip(words, found, strict=True)]
+        words = [m[0].lower() for m in (*before, *after) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
+        out.append((_hash(f"{k}:{value}"), _hash(" ".join(words) or text), set(words)))
     return out
 
 
-FOUND = "doc_id long, tie long, base array<struct<start:int,kind:int,stop:int>>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, near array<struct<entity:long,context:long,term:string,start:int,stop:int>>"
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, stop) of each term outside of the spans."""
+    inside, k, end = sorted((a, b) for a, _, b in spans), 0, -1
+    for m in TERM.finditer(text):
+        while k < len(inside) and inside[k][0] < m.end():
+            end, k = max(end, inside[k][1]), k + 1
+        if end <= m.start():
+            yield m[0].lower(), m.start(), m.end()
+
+
+FOUND = "doc_id long, tie long, base array<struct<start:int,kind:int,stop:int>>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, entities array<struct<entity:long,context:long>>"
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -118,14 +124,14 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches, BATCH_BYTES):
-        base, counts, sha, near = [], [], [], []
+        base, counts, sha, entities = [], [], [], []
         for text in batch.column(2):
             text = text.as_py() or ""
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
             counts.append([sum(k == n for _, k, _ in spans) for n in range(4)])
             sha.append(hashlib.sha256(joined(spans).encode()).hexdigest())
-            near.append(contexts(text, spans))
+            entities.append([{"entity": e, "context": c} for e, c, _ in contexts(text, spans)])
         i32, i64 = pa.int32(), pa.int64()
         yield pa.RecordBatch.from_arrays(
             [
@@ -134,33 +140,84 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(base, pa.list_(pa.struct([("start", i32), ("kind", i32), ("stop", i32)]))),
                 *(pa.array(c, i64) for c in zip(*counts, strict=True)),
                 pa.array(sha),
-                pa.array(near, pa.list_(pa.struct([("entity", i64), ("context", i64), ("term", pa.string()), ("start", i32), ("stop", i32)]))),
+                pa.array(entities, pa.list_(pa.struct([("entity", i64), ("context", i64)]))),
             ],
-            ["doc_id", "tie", "base", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "near"],
+            ["doc_id", "tie", "base", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "entities"],
         )
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Of each row: its base spans and what stands around them; in the shared folder. tie: XXH64 of the text."""
+    """Of each row: its base spans, their entities and contexts; in the shared folder. tie: XXH64 of the text."""
     return stash(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(_find, FOUND))
 
 
-def _count(table: np.ndarray):
-    """Of each slice of documents: words that the bit table has, and in how many documents."""
+def bit_table(rows: DataFrame, hashed: Column) -> np.ndarray:
+    """A bit for each value of a hash, by its low bits."""
+    at = rows.select(hashed.bitwiseAND(F.lit(TABLE_BITS - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    table = np.zeros(TABLE_BITS >> 6, np.int64)  # TABLE_BITS / 64 rows at most
+    for r in words.collect():
+        table[r.word] = r.bits
+    return table.view(np.uint64)
+
+
+def _has(table: np.ndarray, h: int) -> bool:
+    at = h % TABLE_BITS
+    return bool(table[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
+
+
+def _may(table: np.ndarray):
+    """Whether the bit table may have a word."""
+    import xxhash
+
+    known: dict[str, bool] = {}
+
+    def may(word: str) -> bool:
+        if (x := known.get(word)) is None:
+            if len(known) > 300_000:
+                known.clear()
+            x = known[word] = _has(table, xxhash.xxh64_intdigest(word, 42))
+        return x
+
+    return may
+
+
+def _together(table: np.ndarray):
+    """Over rows (doc, text): (entity, term, context, doc) of the entities that the bit table has and all terms of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "context", "doc"])
 
-        known: dict[str, bool] = {}
+        for batch in rows_of(batches, BATCH_BYTES):
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                spans = base_spans(text)
+                of: dict[int, list] = {}
+                for e, c, near in contexts(text, spans):
+                    if _has(table, e):
+                        of.setdefault(e, []).append((c, near))
+                if not of:
+                    continue
+                terms = {w for w, _, _ in terms_of(text, spans)}
+                for e, found in of.items():
+                    rows += [(e, w, found[0][0], doc) for w in terms]
+                    rows += {(e, w, c, doc) for c, near in found[1:] for w in near & terms}
+                    if len(rows) > 200_000:
+                        yield made(rows)
+                        rows = []
+            if rows:
+                yield made(rows)
+
+    return run
 
-        def may(word: str) -> bool:
-            if (x := known.get(word)) is None:
-                if len(known) > 300_000:
-                    known.clear()
-                at = xxhash.xxh64_intdigest(word, 42) % TABLE_BITS
-                x = known[word] = bool(table[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
-            return x
 
+def _count(table: np.ndarray):
+    """Of each slice of documents: words that the bit table has, and in how many documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = _may(table)
         for batch in rows_of(batches, BATCH_BYTES):
             counts: dict[str, int] = {}
             for text in batch.column(0):
@@ -172,29 +229,48 @@ def _count(table: np.ndarray):
 
 
 def disclosed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, kind) of the pairs whose term reveals the entity, by the whole corpus."""
-    near = found.select(F.struct("doc_id", "tie").alias("doc"), F.explode("near").alias("x")).select("doc", "x.entity", "x.context", "x.term")
+    """(term, kind) of the terms that reveal an entity, by the whole corpus."""
+    doc = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known = found.select(F.xxhash64("doc_id", "tie").alias("doc"), F.explode("entities").alias("x")).select("doc", "x.entity", "x.context")
+    entities = known.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"), F.count_distinct("context").alias("contexts"))
+    entities = stash(entities.where(F.col("contexts") >= SUPPORT).drop("contexts"))
+    texts = docs.where("text is not null")
+    near = texts.select(doc.alias("doc"), "text").mapInArrow(_together(bit_table(entities, F.col("entity"))), "entity long, term string, context long, doc long")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("together"))
     pairs = stash(pairs.where(F.col("contexts") >= SUPPORT))
-    at = F.expr(f"xxhash64(term) & {TABLE_BITS - 1}L")
-    words = pairs.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    table = np.zeros(TABLE_BITS >> 6, np.int64)  # TABLE_BITS / 64 rows at most
-    for r in words.collect():
-        table[r.word] = r.bits
-    texts = docs.where("text is not null").select("text")
-    totals = texts.mapInArrow(_count(table.view(np.uint64)), "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
-    entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"))
+    table = bit_table(pairs, F.xxhash64("term"))
+    totals = texts.select("text").mapInArrow(_count(table), "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
     n = docs.count()
     told = pairs.join(totals, "term").join(entities, "entity").withColumn("share", F.least(F.lit(1.0), F.col("together") / F.col("total")))
     told = told.where((F.col("share") >= SHARE) & (F.log2(F.col("share") * n / F.col("of_entity")) >= BITS))
-    return stash(told.select("entity", "term", F.when(F.col("share") >= SHARE_REMOVED, 5).otherwise(4).alias("kind")))
+    return stash(told.groupBy("term").agg(F.when(F.max("share") >= SHARE_REMOVED, 5).otherwise(4).alias("kind")))
+
+
+def _places(table: np.ndarray):
+    """Over rows (doc_id, tie, text): where words stand that the bit table has, outside of matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = _may(table)
+        for batch in rows_of(batches, BATCH_BYTES):
+            rows = []
+            for k, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                if hit := set(filter(may, {w.lower() for w in TERM.findall(text)})):
+                    rows += [(k, *x) for x in terms_of(text, base_spans(text)) if x[0] in hit]
+            if rows:
+                at, *columns = zip(*rows, strict=True)
+                own = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True))], ["doc_id", "tie", "term", "start", "stop"])
+
+    return run
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, tie, terms: array of (start, kind, stop)) of the documents that have any."""
-    near = found.where(F.size("near") > 0).select("doc_id", "tie", F.explode("near").alias("x")).select("doc_id", "tie", "x.*")
-    hit = near.join(disclosed(docs, found), ["entity", "term"])
-    return hit.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop"))).alias("terms"))
+    told = disclosed(docs, found)
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    places = rows.mapInArrow(_places(bit_table(told, F.xxhash64("term"))), "doc_id long, tie long, term string, start int, stop int")
+    return places.join(told, "term").groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop"))).alias("terms"))
 
 
 def _named(spans: Column) -> Column:
@@ -205,7 +281,7 @@ def _named(spans: Column) -> Column:
 def op8(docs: DataFrame) -> DataFrame:
     found = find(docs)
     terms = stash(term_spans(docs, found))
-    rows = found.drop("near")
+    rows = found.drop("entities")
     same = rows.doc_id.eqNullSafe(terms.doc_id) & (rows.tie == terms.tie)
     return rows.join(terms, same, "left").select(rows.doc_id, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _named(F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms"))).alias("spans"))
 

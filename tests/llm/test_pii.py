@@ -91,3 +91,26 @@ def test_sanitise(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.op8(docs).collect() == [] and pii.sanitise(docs).collect() == []
+
+
+def test_terms_far_from_the_match(spark):
+    """A surname a paragraph from the address, and in a document without it; words of copies of one passage stay."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=7))
+    rows = []
+    for k in range(200):
+        words = [word() for _ in range(150)]
+        if k % 20 == 0:
+            words[10:10], words[130:130] = ["joe.q@example.org"], ["Quillfeather"]
+        rows.append((k, " ".join(words)))
+    rows.append((200, f"{rows[1][1]} Quillfeather {rows[2][1]}"))
+    passage = f"{word()} {word()} {word()} {word()} {word()} {word()} ann@example.org {' '.join(word() for _ in range(60))}"
+    rows += [(201 + k, f"{passage} {word()}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in pii.op8(docs).collect()}
+    for d, t in rows:
+        extra = [(m.start(), 5, m.end()) for m in re.finditer("Quillfeather", t)]
+        assert got[d] == pii.joined(sorted(brute(t) + extra))
+    made = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    assert not any("Quillfeather" in t for t in made.values())
+    assert all(made[d] == t for d, t in rows if "@" not in t and "Quillfeather" not in t)
