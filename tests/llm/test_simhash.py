@@ -179,3 +179,12 @@ def test_large_bands_lose_no_pair(spark, most):
     assert set(zip(i.tolist(), j.tolist())) == brute and len(brute) >= 100
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     assert got == {frozenset((signed[a], signed[b])) for a, b in brute}
+
+
+def test_each_set_of_one_fingerprint_links(spark):
+    """A run of one word decides two texts' fingerprint; each has its own near copy, which has another fingerprint."""
+    parts = [" ".join(f"{x}{i}" for i in range(70)) for x in "pq"]
+    texts = [f"{'run ' * 300}{x}" for x in parts] + parts
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 3
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [x.doc_id for x in got] == [0]
