@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a local master gets one of its own (tests); a cluster gets an error."""
     to = spark.conf.get("spark.checkpoint.dir", None)
     if not to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         to = tempfile.mkdtemp(prefix="spanloom-")
@@ -26,14 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return to
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, after: Sequence[DataFrame] = ()) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, so a lost
     executor costs no recomputation, and the table can be read twice. checkpoint() would compute the
-    last stage of df two times."""
+    last stage of df two times. after: tables stashed before that nothing reads from here on; they are deleted."""
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    for old in after:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old._stash)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    made = spark.read.schema(df.schema).parquet(to)
+    made._stash = to
+    return made
+
+
+#: Bits of the tables below; their size doesn't grow with the corpus.
+TABLE_BITS = 1 << 22
+
+
+def bit_table(rows: DataFrame, hashed: Column, bits: int = TABLE_BITS) -> np.ndarray:
+    """A bit for each value of a hash, by its low bits: at most bits / 64 rows come to the driver. What a table lets through is checked by a join after it."""
+    at = rows.select(hashed.bitwiseAND(F.lit(bits - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    table = np.zeros(bits >> 6, np.int64)
+    for r in words.collect():
+        table[r.word] = r.bits
+    return table.view(np.uint64)
+
+
+def in_table(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Whether a bit table may have each of some hashes (64 bits, signed or not)."""
+    at = hashed.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def total_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
@@ -74,15 +102,9 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "t
             at = to
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, factor: int) -> np.ndarray:
-    """A 64-bit hash of each of the strings that lie end to end in raw: a polynomial in an odd factor, and the length."""
-    n = len(raw)
-    power = np.full(n + 1, np.uint64(factor))
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    a, b = offsets[:-1], offsets[1:]
-    back = np.uint64(pow(pow(factor, -1, 1 << 64), n, 1 << 64))  # so that a hash doesn't depend on where its string lies
-    h = (total[b] - total[a]) * power[n - a] * back + (b - a).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(32))
+def strong_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each string raw[begin:end], as two columns of 64. Polynomial hashes wouldn't do: unlike strings
+    that collide in one modulo 2 ** 64 can be written down, whatever its factor."""
+    data, digest = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+    made = b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, "<u8").reshape(-1, 2)

@@ -12,18 +12,18 @@ from spanloom.llm.common import stash
 def _large_star(edges: DataFrame) -> DataFrame:
     both = stash(edges.select("u", "v").union(edges.select("v", "u")))
     least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return stash(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), [both, least])
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")))
+def _small_star(edges: DataFrame, old: DataFrame) -> DataFrame:
+    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), [old])
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return stash(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), [edges, least])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges: (u, v), any orientation, u <> v. Returns (u, v): each node that isn't the least of its
-    component, with the least. Nodes without an edge are absent."""
+    component, with the least. Nodes without an edge are absent. A round's tables are deleted when the next one stands."""
     edges = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     digest = None
     for _ in range(most_rounds):
@@ -31,5 +31,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not now[0] or now == digest:
             return edges
         digest = now
-        edges = stash(_small_star(stash(_large_star(edges))))
+        edges = _small_star(_large_star(edges), edges)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

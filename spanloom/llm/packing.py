@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, stash, utf8, word_hashes
+from spanloom.llm.common import rows_of, stash, strong_hashes, utf8
 
 LENGTH = 2048
 CLOSE = 1
@@ -39,7 +39,7 @@ BATCH_BYTES = 3 << 20
 
 class Encoder:
     """Token ids of batches of texts, by distinct words. The ids of up to CACHED_WORDS words stay, in arrays sorted by
-    a word's hash and checked by a second one (some 60 bytes a word); when they are full, the half met longest ago goes."""
+    one half of a word's BLAKE2b and checked by the other (128 bits; some 60 bytes a word); when they are full, the half met longest ago goes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,7 +75,7 @@ class Encoder:
         if len(self.keys) > CACHED_WORDS:
             self._forget()
         raw, offsets = utf8(words)
-        key, check = word_hashes(raw, offsets, 0x9E3779B97F4A7C15), word_hashes(raw, offsets, 0xD6E8FEB86659FD93)
+        key, check = np.ascontiguousarray(strong_hashes(raw, offsets[:-1], offsets[1:]).T)
         at = np.searchsorted(self.keys, key)
         near = np.minimum(at, max(len(self.keys) - 1, 0))
         known = (self.keys[near] == key) & (self.checks[near] == check) if len(self.keys) else np.zeros(len(key), bool)

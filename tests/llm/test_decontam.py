@@ -19,7 +19,7 @@ def brute(docs, items):
     for i, t in items:
         w = words(t)
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[k : k + 10]), set()).add("" if i is None else str(i))
+            windows.setdefault(tuple(w[k : k + 10]), set()).add((i is None, "" if i is None else str(i)))
     out = []
     for d, t in docs:
         w, hit, found = words(t), set(), set()
@@ -28,7 +28,7 @@ def brute(docs, items):
                 if (x := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     found |= x
-        sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        sha = hashlib.sha256(",".join(sorted(i for _, i in found)).encode()).hexdigest()
         out.append((d is None, d or 0, len(w), len(hit), len(found), sha, bool(hit)))
     return sorted(out)
 
@@ -38,7 +38,7 @@ def fixture():
     vocabulary = ["a", "B", "Café", "ß9", "x1", "the", "Über", "longer_than", "w" * 30, "7"]
     say = lambda n: " ".join(r.choices(vocabulary, k=n))
     items = [(k, say(r.choice([0, 1, 3, 9, 10, 11, 40]))) for k in range(6, 20)]
-    items += [(20, items[-1][1]), (None, say(12)), (21, None), (22, "?!")]
+    items += [(20, items[-1][1]), (None, say(12)), ("", say(13)), (21, None), (22, "?!")]
     docs = []
     for k in range(120):
         text = say(r.choice([0, 5, 60, 300]))
@@ -53,7 +53,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs, items = fixture()
     items = [x for x in items if x[1] is None or len(words(x[1])) != 1]
     d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, item_id string")
-    b = spark.createDataFrame(items, "item_id long, text string")
+    b = spark.createDataFrame([(None if i is None else str(i), t) for i, t in items], "item_id string, text string")
     want = brute(docs, items)
     whole = decontam.blocks_of
     for size in (decontam.BLOCK_BYTES, 300):
@@ -69,6 +69,18 @@ def test_removal(spark):
     assert got == {1: ("Keep é ! end", 12), 2: ("clean", 9), 3: (None, None)}
 
 
+def test_words_made_to_collide(spark):
+    """Words whose polynomial hashes, sizes and first bytes agree."""
+    thue = lambda n, swap: "q" * 16 + "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+    say = "one two three four five six seven eight nine "
+    for n in (1024, 2048):
+        items = [(1, say + thue(n, 0)), (2, say + "ten " + thue(n, 1) + " " + thue(n, 0))]
+        docs = [(1, say + thue(n, 0)), (2, say + thue(n, 1)), (3, say + "ten"), (4, f"two three four five six seven eight nine ten {thue(n, 1)}"), (5, f"two three four five six seven eight nine ten {thue(n, 0)}")]
+        d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = sorted((False, *x) for x in decontam.op6(d, b).collect())
+        assert got == brute(docs, items) and [x[-1] for x in got] == [True, False, True, True, False]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")

@@ -75,6 +75,33 @@ def test_forgotten_words(monkeypatch):
             assert stream[a:b].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def thue_morse(n, swap=False):
+    """Words on which polynomial hashes modulo 2 ** 64 collide with those of their complements, whatever the factor."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_made_to_collide(n):
+    import pyarrow as pa
+
+    tokenizer = Tokenizer.from_file(PATH)
+    one, other = thue_morse(n), thue_morse(n, True)
+    for batches in ([[one, other]], [[one], [other]], [[f"{other} {one}"], [f"x {one}"]]):
+        encoder = packing.Encoder(PATH)
+        for texts in batches:
+            stream, offsets = encoder(pa.array(texts, pa.string()))
+            for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
+                assert stream[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    packed = packing.op5(docs, PATH).groupBy("sequence_id").sum("length").collect()
+    used = sum(x[1] for x in packed)
+    size = sum(x[1] if x[1] & (x[1] - 1) == 0 else 2048 for x in packed)
+    assert used > 0.98 * size
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.op5(docs, PATH).collect() == []
