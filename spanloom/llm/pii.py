@@ -1,23 +1,26 @@
 """Personal data: four patterns, and terms that reveal what they found.
 
 The protected entities are the distinct values of the patterns. Terms are words of letters, three or more, in
-lower case, outside of matches. Over all documents, p(e|t) is the share of the documents with term t that have
+lower case, outside of matches. Over all distinct documents (doc_id and text), p(e|t) is the share of the documents with term t that have
 entity e too, anywhere, and log2(p(e|t) / p(e)) is what the term tells of the entity. A pair is disclosed if
 it has the support of SUPPORT unlike contexts at least, p(e|t) >= SHARE and the term tells BITS or more. A context is
-the NEAR terms, within 240 characters, on each side of the entity (the whole text, where there are none): copies of a passage are one. A
+the NEAR whole terms, however long and far, on each side of the entity (the whole text, where there are none): copies of a passage are one. A
 document supports a pair by the context of its first match of the entity, and by each that has the term.
 All occurrences of a disclosed term, in whole texts and in documents without a match too, are generalised, from SHARE_REMOVED on removed.
 
 Entities with fewer contexts than SUPPORT disclose nothing, so terms are gathered from the documents of the others only. Bit
 tables of fixed size keep tasks from reporting entities and words that can't matter; what follows them is exact.
 
-Nulls and empty texts have no spans. Repeated rows have the same result each. Empty table: an empty result.
+Nulls and empty texts have no spans. Rows that repeat doc_id and text are one document in all counts and have the same result each; unlike texts
+with one doc_id are documents of their own. Ties: spans by start, kind, end. Very long texts take time in proportion to their length. Other columns, whatever
+their names, aren't read (sanitise passes them on, but for the names __id, __tie, __terms). Empty table: an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, stash
+from spanloom.llm.common import bit_table, rows_of, stash
 
 #: The kinds in their order; the last two are the method's: generalised and removed terms.
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
@@ -34,7 +37,7 @@ SUPPORT = 3
 SHARE = 0.5
 SHARE_REMOVED = 0.9
 BITS = 3.0
-TABLE_BITS = 1 << 22
+TABLE_BITS = 1 << 24
 BATCH_BYTES = 4 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,22 +92,6 @@ def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x, 42) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, set[str]]]:
-    """Of each match: its entity and context, hashed, and the terms of the context."""
-    out = []
-    for a, k, b in spans:
-        value = text[a:b].lower() if k < 2 else NOT_DIGIT.sub("", text[a:b])
-        before = [m for m in TERM.finditer(text, max(0, a - 40 * NEAR), a)][-NEAR:]
-        after = []
-        for m in TERM.finditer(text, b, min(len(text), b + 40 * NEAR)):
-            after.append(m)
-            if len(after) == NEAR:
-                break
-        words = [m[0].lower() for m in (*before, *after) if not any(x < m.end() and m.start() < y for x, _, y in spans)]
-        out.append((_hash(f"{k}:{value}"), _hash(" ".join(words) or text), set(words)))
-    return out
-
-
 def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, stop) of each term outside of the spans."""
     inside, k, end = sorted((a, b) for a, _, b in spans), 0, -1
@@ -115,6 +102,20 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str
             yield m[0].lower(), m.start(), m.end()
 
 
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, set[str]]]:
+    """Of each match: its entity and context, hashed, and the terms of the context."""
+    if not spans:
+        return []
+    terms = list(terms_of(text, spans))
+    starts, out = [a for _, a, _ in terms], []
+    for a, k, b in spans:
+        value = text[a:b].lower() if k < 2 else NOT_DIGIT.sub("", text[a:b])
+        to, since = bisect_left(starts, a), bisect_left(starts, b)
+        words = [w for w, _, _ in (*terms[max(0, to - NEAR) : to], *terms[since : since + NEAR])]
+        out.append((_hash(f"{k}:{value}"), _hash(" ".join(words) or text), set(words)))
+    return out
+
+
 FOUND = "doc_id long, tie long, base array<struct<start:int,kind:int,stop:int>>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, entities array<struct<entity:long,context:long>>"
 
 
@@ -151,18 +152,8 @@ def find(docs: DataFrame) -> DataFrame:
     return stash(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(_find, FOUND))
 
 
-def bit_table(rows: DataFrame, hashed: Column) -> np.ndarray:
-    """A bit for each value of a hash, by its low bits."""
-    at = rows.select(hashed.bitwiseAND(F.lit(TABLE_BITS - 1)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    table = np.zeros(TABLE_BITS >> 6, np.int64)  # TABLE_BITS / 64 rows at most
-    for r in words.collect():
-        table[r.word] = r.bits
-    return table.view(np.uint64)
-
-
 def _has(table: np.ndarray, h: int) -> bool:
-    at = h % TABLE_BITS
+    at = h & (64 * len(table) - 1)
     return bool(table[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
 
 
@@ -214,13 +205,13 @@ def _together(table: np.ndarray):
 
 
 def _count(table: np.ndarray):
-    """Of each slice of documents: words that the bit table has, and in how many documents."""
+    """Over rows (doc, text), of each slice: words that the bit table has, and in how many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = _may(table)
         for batch in rows_of(batches, BATCH_BYTES):
             counts: dict[str, int] = {}
-            for text in batch.column(0):
+            for text in batch.column(1):
                 for word in filter(may, {w.lower() for w in TERM.findall(text.as_py())}):
                     counts[word] = counts.get(word, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -228,22 +219,30 @@ def _count(table: np.ndarray):
     return run
 
 
-def disclosed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, kind) of the terms that reveal an entity, by the whole corpus."""
-    doc = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    known = found.select(F.xxhash64("doc_id", "tie").alias("doc"), F.explode("entities").alias("x")).select("doc", "x.entity", "x.context")
+def told(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, entity, together, total, of_entity, n) of the pairs with support, counts over distinct documents."""
+    name = F.xxhash64("doc_id", "tie").alias("doc")
+    known = found.select(name, F.explode("entities").alias("x")).select("doc", "x.entity", "x.context")
     entities = known.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"), F.count_distinct("context").alias("contexts"))
     entities = stash(entities.where(F.col("contexts") >= SUPPORT).drop("contexts"))
-    texts = docs.where("text is not null")
-    near = texts.select(doc.alias("doc"), "text").mapInArrow(_together(bit_table(entities, F.col("entity"))), "entity long, term string, context long, doc long")
+    repeated = stash(found.groupBy(name).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    n = found.count() - (repeated.agg(F.sum(F.col("rows") - 1)).first()[0] or 0)
+    once = docs.where("text is not null").select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"), "text")
+    if not repeated.isEmpty():  # of repeated rows one
+        once = once.join(repeated, "doc", "left_anti").union(once.join(repeated, "doc", "left_semi").dropDuplicates(["doc"]))
+    near = once.mapInArrow(_together(bit_table(entities, F.col("entity"), TABLE_BITS)), "entity long, term string, context long, doc long")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("together"))
     pairs = stash(pairs.where(F.col("contexts") >= SUPPORT))
-    table = bit_table(pairs, F.xxhash64("term"))
-    totals = texts.select("text").mapInArrow(_count(table), "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
-    n = docs.count()
-    told = pairs.join(totals, "term").join(entities, "entity").withColumn("share", F.least(F.lit(1.0), F.col("together") / F.col("total")))
-    told = told.where((F.col("share") >= SHARE) & (F.log2(F.col("share") * n / F.col("of_entity")) >= BITS))
-    return stash(told.groupBy("term").agg(F.when(F.max("share") >= SHARE_REMOVED, 5).otherwise(4).alias("kind")))
+    table = bit_table(pairs, F.xxhash64("term"), TABLE_BITS)
+    totals = once.mapInArrow(_count(table), "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
+    return pairs.join(totals, "term").join(entities, "entity").select("term", "entity", "together", "total", "of_entity", F.lit(n).alias("n"))
+
+
+def disclosed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, kind) of the terms that reveal an entity, by the whole corpus."""
+    share = F.col("together") / F.col("total")
+    over = told(docs, found).withColumn("share", share).where((share >= SHARE) & (F.log2(share * F.col("n") / F.col("of_entity")) >= BITS))
+    return stash(over.groupBy("term").agg(F.when(F.max("share") >= SHARE_REMOVED, 5).otherwise(4).alias("kind")))
 
 
 def _places(table: np.ndarray):
@@ -267,10 +266,10 @@ def _places(table: np.ndarray):
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, tie, terms: array of (start, kind, stop)) of the documents that have any."""
-    told = disclosed(docs, found)
+    terms = disclosed(docs, found)
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    places = rows.mapInArrow(_places(bit_table(told, F.xxhash64("term"))), "doc_id long, tie long, term string, start int, stop int")
-    return places.join(told, "term").groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop"))).alias("terms"))
+    places = rows.mapInArrow(_places(bit_table(terms, F.xxhash64("term"), TABLE_BITS)), "doc_id long, tie long, term string, start int, stop int")
+    return places.join(terms, "term").groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop"))).alias("terms"))
 
 
 def _named(spans: Column) -> Column:

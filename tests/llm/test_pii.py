@@ -114,3 +114,47 @@ def test_terms_far_from_the_match(spark):
     made = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
     assert not any("Quillfeather" in t for t in made.values())
     assert all(made[d] == t for d, t in rows if "@" not in t and "Quillfeather" not in t)
+
+
+def brute_told(rows):
+    """(term, entity): documents with both, with the term, with the entity; of pairs with three unlike contexts."""
+    docs = sorted({(d is None, d or 0, t or "") for d, t in rows})
+    found = {}
+    for at, (*_, t) in enumerate(docs):
+        spans = brute(t)
+        inside = [any(a <= i < b for a, _, b in spans) for i in range(len(t))]
+        terms = [(m[0].lower(), m.start()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(inside[m.start() : m.end()])]
+        seen = set()
+        for a, k, b in spans:
+            entity = (k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b]))
+            near = tuple(w for w, s in terms if s < a)[-6:] + tuple(w for w, s in terms if s >= b)[:6]
+            for w in {w for w, _ in terms} if entity not in seen else {w for w, _ in terms} & set(near):
+                found.setdefault((w, entity), []).append((near or t, at))
+            seen.add(entity)
+    words = [{m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for a, _, b in brute(t))} for *_, t in docs]
+    has = [{(k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])) for a, k, b in brute(t)} for *_, t in docs]
+    return sorted((w, len({i for _, i in x}), sum(w in s for s in words), sum(e in s for s in has), len(docs)) for (w, e), x in found.items() if len({c for c, _ in x}) >= 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    vocabulary = [r.choice("xyz") * r.choice([3, 5, 300]) + r.choice("abcdefgh") for _ in range(25)]
+    rows = []
+    for k in range(80):
+        words = r.choices(vocabulary, k=r.choice([0, 3, 30, 60]))
+        for _ in range(r.randrange(3)):
+            words.insert(r.randrange(len(words) + 1), r.choice(["ann@example.org", "Ann@example.org", "10.0.0.1", "bob@example.org"]))
+        rows.append((k, " ".join(words)))
+    rows += [(1, rows[2][1]), (None, rows[3][1]), (None, rows[3][1]), (90, None), (91, ""), *[rows[k] for k in (4, 5, 5, 6, 6, 6)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.term, x.together, x.total, x.of_entity, x.n) for x in pii.told(docs, pii.find(docs)).collect())
+    assert got == brute_told(rows) and len(got) > 20
+
+
+def test_repeated_rows_count_once(spark):
+    """A term that reveals, each row three times: the same spans as without the repeats."""
+    rows = [(k, f"{'ab'[k % 2] * (3 + k)} Quillfeather {'w' * 300}{'abcdefghij'[k]} ann@example.org {'cd'[k % 2] * (4 + k)}") for k in range(10)] + [(20 + k, f"plain text {k * 'z'}") for k in range(200)]
+    one, three = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows, 3 * rows))
+    spans = lambda d: {(x.doc_id, x.spans) for x in pii.op8(d).collect()}
+    assert spans(one) == spans(three) and sum("removed" in s for _, s in spans(one)) == 10
