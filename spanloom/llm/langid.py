@@ -7,8 +7,12 @@ a piece has the likelihood sum_k pi_k p_k(piece). Expectation-maximisation gives
 then the weakest language is struck out as long as the likelihood falls by less than the penalty that the
 language costs (half the logarithm of the number of pieces, and PENALTY). The largest proportion is the prediction.
 
-Null text or no letter: und, score 0. No language learned: und. Empty table: an empty result. Repeated rows: the
-same result each. Null doc_id: not learned from, not held out. Columns with the names made here aren't read.
+The table of all languages has MOST_ENTRIES at most (16 MB, broadcast): where there are more languages than that allows at full width,
+it has fewer entries a language, half each time; more than MOST_LANGUAGES values of lang are an error.
+
+Null text or no letter: und, score 0. No language learned: und. Ties: the language first by name. Empty table: an empty result. Repeated
+rows: learned from each, the same result each; several texts of one doc_id are learned from or held out together. Null doc_id: not
+learned from, not held out. Very long texts: whole, all their pieces in one fit. Columns with the names made here aren't read.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import rows_of, utf8
 
 TABLE = 1 << 16
+MOST_ENTRIES = 1 << 22
+MOST_LANGUAGES = 4096
 PER_LANGUAGE = 2000
 PIECE = 64
 ROUNDS = 10
@@ -36,14 +42,14 @@ _letter = np.zeros(256, bool)
 _letter[0x41:0x5B] = _letter[0x61:0x7B] = True
 
 
-def trigrams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """At each byte the hash of it, the one before and the one after; spaces beyond a text's ends."""
+def trigrams(raw: np.ndarray, offsets: np.ndarray, width: int = TABLE) -> np.ndarray:
+    """Below width, at each byte the hash of it, the one before and the one after; spaces beyond a text's ends."""
     low = _lower[raw]
     before, after = np.roll(low, 1), np.roll(low, -1)
     full = offsets[1:] > offsets[:-1]
     before[offsets[:-1][full]] = 32
     after[offsets[1:][full] - 1] = 32
-    return ((before << 16 | low << 8 | after) * np.uint32(2654435761)) >> np.uint32(16)
+    return ((before << 16 | low << 8 | after) * np.uint32(2654435761)) >> np.uint32(33 - width.bit_length())
 
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -61,27 +67,33 @@ def held_out():
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, and the logarithms of their trigrams' probabilities."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.limit(MOST_LANGUAGES + 1).collect()}
     names = sorted(counts)
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     if not names:
         return [], np.zeros((0, TABLE), np.float32)
-    bound = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, -(-(per_language << 20) // n)))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.get(F.array(bound[F.col("lang")]), F.lit(0)))
+    width = TABLE
+    while width * len(names) > MOST_ENTRIES:
+        width //= 2
+    bounds = known.sparkSession.createDataFrame([(k, min(1 << 20, -(-(per_language << 20) // n))) for k, n in counts.items()], "lang string, bound long")  # a row a language
+    sample = known.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("bound"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), TABLE), np.int64)
+        total = np.zeros((len(names), width), np.int64)
         for batch in rows_of(batches, SLICE_BYTES):
             raw, offsets = utf8(batch.column(1))
-            grams = trigrams(raw, offsets)
+            grams = trigrams(raw, offsets, width)
             langs = batch.column(0).to_pylist()
             for lang in set(langs):
                 which = np.repeat(np.array([x == lang for x in langs]), np.diff(offsets))
-                total[names.index(lang)] += np.bincount(grams[which], minlength=TABLE)
+                total[names.index(lang)] += np.bincount(grams[which], minlength=width)
         lang, gram = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(total[lang, gram])], ["k", "gram", "n"])
 
     rows = sample.select("lang", "text").mapInArrow(run, "k long, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((len(names), TABLE), 0.5)
+    table = np.full((len(names), width), 0.5)
     table[rows["k"].to_numpy(int), rows["gram"].to_numpy(int)] += rows["n"].to_numpy(float)
     return names, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
@@ -98,7 +110,7 @@ def _fit(p: np.ndarray, begin: np.ndarray, of: np.ndarray, pi: np.ndarray, round
 
 def proportions(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Texts (none empty) x languages; 0: not in the set selected."""
-    grams, size = trigrams(raw, offsets), np.diff(offsets)
+    grams, size = trigrams(raw, offsets, table.shape[1]), np.diff(offsets)
     pieces = -(-size // PIECE)
     begin = np.cumsum(pieces) - pieces
     of = np.repeat(np.arange(len(size)), pieces)

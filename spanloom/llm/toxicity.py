@@ -7,8 +7,13 @@ of five letters and more allow one edit. A hit counts by its term's weight, apar
 by the window of words around it, for quoted and direct ones. A logistic regression on these sums, fitted to the
 same sample and set back to the classes' true shares, gives the score.
 
+Words are split at white space (Unicode's) and stripped of STRIP, in learning and scoring alike; a text without white space is one word.
+Terms have 3 to 40 letters; words of any length are held against them.
+
 Null and empty texts have no hit and score the base rate. No labels: all scores are 0. A doc_id with several labels
-counts as toxic if any says so. Null ids are never learned from nor held out. Empty table: an empty result.
+counts as toxic if any says so; of several texts of one doc_id the greatest is learned from, and each is scored. Null ids are never learned
+from nor held out. Ties in the lexicon: by word. Repeated rows: the same result each. Very long texts: whole, in time proportional to their
+length. Other columns, whatever their names, aren't read. Empty table: an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ ONE_EDIT_FROM = 5
 NEAR = 4
 THRESHOLD = 0.3
 KNOWN_WORDS = 300_000
+KNOWN_STATES = 50_000  # of the automaton, made anew when there are more
 STRIP = ".,;:!?()[]{}<>|#*$%&\"'“”„«»‘’`-_~=+/\\"
 QUOTES = frozenset("\"“”„«»‘’")
 #: Fixed words that report speech, and that address a reader.
@@ -37,6 +43,10 @@ REPORTS = frozenset("said says say quoted quote wrote writes called calls word w
 ADDRESSES = frozenset("you your youre you're u ur du dein tu ton vous votre tú usted".split())
 
 
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
 class Automaton:
     """All words within the allowed edits of a lexicon's term. find(word): (term's number, edits) of the best one, or None."""
 
@@ -54,6 +64,9 @@ class Automaton:
                 node = self.next[node][c]
             if self.end[node] < 0:
                 self.end[node] = k
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -92,6 +105,8 @@ class Automaton:
         return to
 
     def find(self, word: str) -> tuple[int, int] | None:
+        if len(self.sets) > KNOWN_STATES:
+            self._begin()
         state = self.start
         for c in word:
             to = self.steps[state].get(c)
@@ -114,13 +129,14 @@ class Scorer:
         except KeyError:
             if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
-            bare = word.strip(STRIP)
-            hit = self.known[word] = self.automaton.find(bare) if 2 < len(bare) < 60 else None
+            hit = self.automaton.find(word.strip(STRIP))
+            if len(word) < 100:
+                self.known[word] = hit
             return hit
 
     def features(self, text: str | None) -> list[float]:
         """Weights of direct exact hits, of direct misspelled ones, of quoted ones, of hits near an address; unlike terms; hits in 100 words."""
-        words = (text or "").lower().split()
+        words = words_of(text)
         if not any(map(self._hit, set(words))):
             return [0.0] * FEATURES
         sums, terms, hits = [0.0] * 4, set(), 0
@@ -168,7 +184,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return [], [], None
-    split = sample.select("toxic", F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(STRIP))).alias("w"))
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 4 << 20):
+            made = [[w.strip(STRIP) for w in words_of(x.as_py())] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], ["toxic", "w"])
+
+    split = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(bare, "toxic int, w array<string>")
     word = split.select("toxic", F.explode(F.array_distinct("w")).alias("word")).where("length(word) between 3 and 40")
     word = word.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 3")
     n1, n0 = size[1], size[0]
@@ -176,10 +198,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     g = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
     weight = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-    likely = word.select("word", "a", g.alias("g"), weight.alias("weight")).where(f"g >= {LEAST_G} and weight >= 1").orderBy(F.desc("g"), "word").limit(8 * TERMS)
+    likely = word.select("word", "a", g.alias("g"), weight.alias("weight")).where(f"g >= {LEAST_G} and weight >= 1")
     # words of one text and its copies stand before the same word each time
     pairs = split.where("toxic = 1").select(F.explode(F.transform("w", lambda w, k: F.struct(w.alias("word"), F.get("w", k + 1).alias("after")))).alias("x")).select("x.*")
-    apart = pairs.join(F.broadcast(likely), "word").groupBy("word", "a", "g", "weight").agg(F.count_distinct("after").alias("contexts"))
+    apart = pairs.join(likely, "word").groupBy("word", "a", "g", "weight").agg(F.count_distinct("after").alias("contexts"))
     top = apart.where(f"contexts >= least(0.6 * a, {CONTEXTS})").orderBy(F.desc("g"), "word").limit(TERMS).collect()
     terms, weights = [r["word"] for r in top], [r["weight"] for r in top]
     schema = "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))

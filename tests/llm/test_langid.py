@@ -1,6 +1,10 @@
+import math
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from spanloom.llm import langid
 
 
@@ -29,6 +33,59 @@ def test_held_out_accuracy(spark):
     assert got[404].lang_pred in ("aa", "bb", "cc")
 
 
+def brute_proportions(text, logs):
+    """One text: the mixture by expectation-maximisation over pieces of 64 bytes, languages struck out from the weakest on."""
+    data = text.encode()
+    low = [c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in data]
+    gram = lambda k: ((((low[k - 1] if k else 32) << 16 | low[k] << 8 | (low[k + 1] if k + 1 < len(low) else 32)) * 2654435761) % 2**32) >> 16
+    pieces = [[sum(float(logs[j][gram(k)]) for k in range(a, min(a + 64, len(low)))) for j in range(len(logs))] for a in range(0, len(low), 64)]
+    likely = [[math.exp(max(x - max(row), -500)) for x in row] for row in pieces]
+
+    def fit(pi, rounds):
+        for _ in range(rounds):
+            parts = [[w * x for w, x in zip(pi, row)] for row in likely]
+            pi = [sum(row[j] / sum(row) for row in parts) / len(parts) for j in range(len(pi))]
+        return pi, sum(math.log(sum(w * x for w, x in zip(pi, row))) for row in likely)
+
+    pi, best = fit([1 / len(logs)] * len(logs), 10)
+    while sum(x > 0 for x in pi) > 1:
+        weakest = min((x, j) for j, x in enumerate(pi) if x > 0)[1]
+        rest = [0 if j == weakest else x for j, x in enumerate(pi)]
+        if sum(rest) <= 1e-12:
+            break
+        fewer, less = fit([x / sum(rest) for x in rest], 5)
+        if best - less >= 0.5 * math.log(len(pieces)) + 2:
+            break
+        pi, best = fewer, less
+    return pi
+
+
+def test_proportions_against_brute_force(spark):
+    rows = fixture(200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table = langid.learn(docs)
+    counts = np.full((3, langid.TABLE), 0.5)
+    for d, t, lang in rows:
+        if d is not None and lang and t and zlib.crc32(str(d).encode()) % 5:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            np.add.at(counts[names.index(lang)], langid.trigrams(raw, np.array([0, len(raw)])), 1)
+    assert names == ["aa", "bb", "cc"] and np.allclose(table, np.log(counts / counts.sum(1, keepdims=True)), atol=1e-5)
+    texts = [t for _, t, _ in rows if t] + ["the tion " * 40 + "ção não " * 40, "über " * 10 + "the " * 100, "x", "日本 " * 3000, "the" * 50_000]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = langid.proportions(raw, offsets, table)
+    for t, pi in zip(texts, got):
+        assert pi == pytest.approx(brute_proportions(t, table), abs=1e-6)
+
+
+def test_many_languages_share_the_table(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ENTRIES", 1 << 17)
+    names, table = langid.learn(spark.createDataFrame(fixture(), "doc_id long, text string, lang string"))
+    assert table.shape == (3, 1 << 15)
+    monkeypatch.setattr(langid, "TABLE", 1 << 15)
+    test_held_out_accuracy(spark)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.op9(docs).collect() == []
