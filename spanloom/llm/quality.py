@@ -13,7 +13,8 @@ probability 1 - ERROR at least the rules reject at most RISK of the good documen
 All labelled documents are the holdout: the grid is fixed beforehand, so nothing is fitted to other rows.
 A doc_id with several labels counts as good only if all say so; null ids and null qualities aren't
 labels. Null texts have no words, so the base rule rejects them. A null lang is a stratum of its own.
-Repeated rows are judged alike. Empty tables: an empty result, or no cutoffs.
+Repeated rows are judged alike. Very long texts: whole. Other columns, whatever their names, aren't read; keep_good passes them on. Ties
+between cutoffs: the mildest. Empty tables: an empty result, or no cutoffs.
 """
 
 from __future__ import annotations
@@ -150,8 +151,7 @@ def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the base rule and the certified cutoffs keep."""
-    own = docs.withColumn("__stratum", _stratum(F.col("lang")))
-    found = cutoffs(stash(features(own.select("doc_id", "text", F.col("__stratum").alias("stratum")), "doc_id", "stratum")), labels)
-    again = features(own.select(F.struct(*docs.columns).alias("__row"), "text", F.col("__stratum").alias("stratum")), "__row", "stratum")
-    return judged(again, found).where("kept").select("__row.*")
+    """The rows of docs that the base rule and the certified cutoffs keep. Features are computed once and written beside their rows."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text", _stratum(F.col("lang")).alias("stratum"))
+    marked = stash(features(rows, "__row", "stratum"))
+    return judged(marked, cutoffs(marked.withColumn("doc_id", F.col("__row.doc_id")), labels)).where("kept").select("__row.*")

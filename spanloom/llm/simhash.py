@@ -8,7 +8,8 @@ other segment, which bounds a group by the 18 bits left free: no candidate is lo
 grows with the corpus. Within a group only a spanning forest of the verified links is emitted.
 
 Nulls, empty and blank texts: fingerprint zero, linked like any other. Repeated rows: each gets its
-row. Null doc_id: never a component's name unless all its rows have none. Empty table: empty result.
+row. Null doc_id: never a component's name unless all its rows have none. Very long texts: whole. Other columns, whatever their
+names, aren't read by op7. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import rows_of, stash
+from spanloom.llm.common import bit_table, in_table, rows_of, stash
 from spanloom.llm.components import components
 
 SEED = 42
@@ -331,9 +332,8 @@ def _wanted_sets(size: int, table: np.ndarray):
         seen: set[int] = set()  # rows repeated whole
         for batch in rows_of(batches, 4 << 20):
             r = batch.column(0).to_numpy(zero_copy_only=False)
-            at = r & (TABLE_BITS - 1)
             keep = []
-            for k in np.nonzero(table[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1))[0].tolist():
+            for k in np.nonzero(in_table(table, r))[0].tolist():
                 if (x := int(r[k])) not in seen:
                     if len(seen) > 300_000:
                         seen.clear()
@@ -355,32 +355,29 @@ def similar_links(docs: DataFrame, marked: DataFrame, size: int, least: float, m
     members = roots.select(F.col("u").alias("c"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
     classes = marked.groupBy("c", "fp", "n").agg(F.min("r").alias("r"))
     members = stash(members.join(classes, "c"))
-    wanted = members.select(F.expr(f"r & {TABLE_BITS - 1}L").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    table = np.zeros(TABLE_BITS >> 6, np.int64)  # TABLE_BITS / 64 rows at most
-    for x in wanted.collect():
-        table[x.word] = x.bits
+    table = bit_table(members, F.col("r"), TABLE_BITS)
     sets = docs.select("r", "text").mapInArrow(_wanted_sets(size, table), "r long, hashes binary")
     dealt = cells(members, least, most, most_hashes).join(sets, "r").select("cell", "c", "fp", "hashes")
     return stash(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(least), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, similar: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct fingerprint; both in the shared folder.
+    """(doc_id, r, fp) of each row (r: a hash of doc_id and text), and (fp, root, component_id) of each distinct fingerprint; both in the shared folder.
     similar: texts also link if their sets of shingles have so large a Jaccard similarity."""
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), "text")
     if similar is None:
-        marked = stash(with_fingerprint(docs.select("doc_id", "text"), size, "fp").select("doc_id", "fp"))
-        classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        edges = links(classes.select("fp"))
+        marked = stash(with_fingerprint(docs, size, "fp").select("doc_id", "r", "fp"))
     else:
-        docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), "text")
         marked = stash(docs.mapInArrow(_sketched(size), "doc_id long, r long, fp long, c long, n long, bands array<long>"))
-        classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        edges = links(classes.select("fp")).union(similar_links(docs, marked, size, similar))
-        marked = marked.select("doc_id", "fp")
+    classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = links(classes.select("fp"))
+    if similar is not None:
+        edges = edges.union(similar_links(docs, marked, size, similar))
+        marked = marked.select("doc_id", "r", "fp")
     roots = components(edges)
-    rooted = stash(classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root")))
+    rooted = stash(classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root")), [classes, roots])
     names = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return marked, stash(rooted.join(names, "root").select("fp", "root", "component_id"))
+    return marked, stash(rooted.join(names, "root").select("fp", "root", "component_id"), [rooted, names])
 
 
 def op7(docs: DataFrame) -> DataFrame:
@@ -389,12 +386,15 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (of repeated ids the one
-    with the least text digest; null ids come last). Shingles have five words here, and beside fingerprints within
-    three bits texts link from a similarity of 0.8: a few changed words move a fingerprint further than three bits."""
-    _, classes = near_duplicates(docs, size, similar)
-    fp, root = "__simhash_fp", "__simhash_root"
-    marked = with_fingerprint(docs, size, fp)
-    classes = classes.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias("__simhash_least"))
-    first = Window.partitionBy(root).orderBy(F.md5("text"))
-    return marked.join(classes, fp).where(F.col("doc_id").eqNullSafe(F.col("__simhash_least"))).withColumn("__simhash_n", F.row_number().over(first)).where("__simhash_n = 1").select(*docs.columns)
+    """docs without near copies: of each component the row with the smallest doc_id stays (null ids come last; of unlike texts with one doc_id
+    the one with the least hash, of repeated rows the one whose columns have the least hash). Shingles have five words here, and beside fingerprints
+    within three bits texts link from a similarity of 0.8: a few changed words move a fingerprint further than three bits. Null and blank texts
+    are copies of each other. Shingles are hashed once for all rows, and once more for those that have something to be compared with."""
+    marked, classes = near_duplicates(docs, size, similar)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r"))
+    # one row a fingerprint before the join, so no fingerprint's many rows meet there
+    least = marked.groupBy("fp").agg(first.alias("x")).join(classes, "fp").groupBy("root").agg(F.min("x").alias("x"))
+    stays = stash(least.select(F.col("x.r").alias("__simhash_r"), F.col("x.doc_id").alias("__simhash_id")), [classes])
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("__simhash_r"), F.struct(*docs.columns).alias("__simhash_row"), F.xxhash64(*docs.columns).alias("__simhash_h"))
+    kept = rows.join(stays, "__simhash_r").where(F.col("__simhash_row.doc_id").eqNullSafe(F.col("__simhash_id")))
+    return kept.groupBy("__simhash_r").agg(F.min_by("__simhash_row", "__simhash_h").alias("row")).select("row.*")
