@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -80,9 +81,27 @@ def test_stages_of_nothing_and_of_nulls(spark, k):
     assert len(corpus_pipeline.STAGES[k][1](spark, none, DIR).collect()) == (0, 2, 3, 3, 3)[k]
 
 
-def test_registered():
-    import __spark_entry__
-
-    names = list(__spark_entry__.queries())
-    assert "pipeline" in names
-    assert not re.search("limit", "".join(__spark_entry__.oracle_sql().get("pipeline", "")))
+def test_methods_take_effect(spark, tmp_path):
+    """A planted corpus on which cutoffs certify and a term discloses: what the two stages do is seen in what the whole run keeps and packs."""
+    rows, labels = test_quality.planted(4000, 9)
+    r = random.Random(1)
+    word = lambda: "".join(r.choices("abcdefgh", k=7))
+    rows = [(d, t + (f"\n{word()} Quillfeather {word()} joe.q@example.org {word()}" if d % 40 == 0 else ""), lang, "web", len(t)) for d, t, lang in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, q, 0) for d, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this stands in any text at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cut = test_quality.brute_cutoffs([r[:3] for r in rows], labels)
+    assert cut
+    want = {}
+    for d, t, lang, *_ in rows:
+        n, chars, symbols, dups, repeats, failed = test_quality.brute(t)
+        lines, capitals = len(t.split("\n")), len(re.findall("[A-ZÀ-ÖØ-Þ]", t))
+        beyond = {"symbols": 1000 * symbols // chars, "dup_lines": 1000 * dups // lines, "repeats": 1000 * repeats // n, "capitals": 1000 * capitals // chars}
+        if not failed and not any(v > cut.get((lang, rule), 10**9) for rule, v in beyond.items()):
+            want[d] = re.sub("Quillfeather", "", pii.cleaned(t, test_pii.brute(t)))
+    fps = {d: simhash.fingerprint(t, 5) for d, t, *_ in rows if d in want}
+    assert len(set(fps.values())) == len(fps)  # no copies here
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    crc = {d: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, t in want.items()}
+    assert {x.doc_id: x.ids_crc32 for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == crc
+    assert len(want) < 0.97 * sum(not test_quality.brute(t)[-1] for _, t, *_ in rows)

@@ -63,6 +63,74 @@ def test_cutoffs_and_verdicts(spark):
     assert {x.doc_id for x in kept.collect()} == {k for k in got if got[k]}
 
 
+def brute_cutoffs(rows, labels):
+    """rows: (doc_id, text, lang). Of each stratum and rule with a certified cutoff, the cutoff; by exact binomial sums."""
+    marks = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            marks[d] = min(q, marks.get(d, q))
+    values = {}
+    for d, t, lang in rows:
+        n, chars, symbols, dups, repeats, failed = brute(t)
+        if failed or d not in marks:
+            continue
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        capitals = len(re.findall("[A-ZÀ-ÖØ-Þ]", t))
+        for rule, over, under in (("symbols", symbols, chars), ("dup_lines", dups, len(lines)), ("repeats", repeats, n), ("capitals", capitals, chars)):
+            values.setdefault((lang, rule), []).append((1000 * over // under if under else 0, marks[d] >= 1))
+    out = {}
+    for key, found in values.items():
+        a, b, step = quality.RULES[key[1]][1]
+        n, best, p = sum(good for _, good in found), None, Fraction(quality.RISK) / len(quality.RULES)
+        for cutoff in range(a, b - 1, -step):
+            good, bad = (sum(v > cutoff and g == want for v, g in found) for want in (True, False))
+            if sum(comb(n, i) * float(p) ** i * (1 - float(p)) ** (n - i) for i in range(good + 1)) > quality.ERROR / len(values):
+                break
+            if best is None or bad - quality.COST * good > best[0]:
+                best = (bad - quality.COST * good, cutoff)
+        if best:
+            out[key] = best[1]
+    return out
+
+
+def planted(n, seed=4):
+    """Texts of two languages and of none, whose symbols, capitals, repeats and lines grow with a grade; labels after it, with some noise."""
+    r = random.Random(seed)
+    rows, labels = [], []
+    for k in range(n):
+        lang, grade = r.choice(["en", "en", "de", None]), r.random() ** 4
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        words = [w.upper() if r.random() < grade and k % 4 == 0 else w + "###" if r.random() < grade and k % 4 == 1 else words[i - 5] if i > 5 and r.random() < grade / 2 and k % 4 == 2 else w for i, w in enumerate(words)]
+        lines = [" ".join(words[i : i + 6]) for i in range(0, 60, 6)]
+        if k % 4 == 3:
+            lines = [r.choice(lines[:2]) if r.random() < grade / 2 else x for x in lines]
+        rows.append((k, "\n".join(lines), lang))
+        if k % 10:
+            labels.append((k, int((grade < 0.3) ^ (r.random() < 0.004))))
+    return rows, labels
+
+
+def test_certified_cutoffs_against_brute_force(spark):
+    rows, labels = planted(4000)
+    labels += [(1, 0), (1, 1), (None, 0), (2, None)]
+    want = brute_cutoffs(rows, labels)
+    assert len(want) > 5 and len({lang for lang, _ in want}) == 3
+    docs = spark.createDataFrame([(*x, "z") for x in rows], "doc_id long, text string, lang string, stratum string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    marked = quality.stash(quality.features(docs.select("doc_id", "text", quality._stratum(F.col("lang")).alias("stratum")), "doc_id", "stratum"))
+    got = {}
+    for x in quality.cutoffs(marked, marks).collect():
+        got |= {(x.stratum[1:] if x.stratum else None, r): x[f"cut_{r}"] for r in quality.RULES if x[f"cut_{r}"] is not None}
+    assert got == want
+    kept = {x.doc_id: x.kept for x in quality.op2(docs, marks).collect()}
+    for d, t, lang in rows:
+        n, chars, symbols, dups, repeats, failed = brute(t)
+        lines, capitals = len(t.split("\n")), len(re.findall("[A-ZÀ-ÖØ-Þ]", t))
+        beyond = {"symbols": 1000 * symbols // chars, "dup_lines": 1000 * dups // lines, "repeats": 1000 * repeats // n, "capitals": 1000 * capitals // chars}
+        assert kept[d] == (not failed and not any(v > want.get((lang, rule), 10**9) for rule, v in beyond.items()))
+    assert not all(kept[d] for d, t, _ in rows if not brute(t)[-1])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
