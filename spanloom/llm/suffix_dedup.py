@@ -4,21 +4,25 @@ A window is 100 bytes of one document. Windows are brought together by content:
 leftmost of its 50-byte substrings with the least hash, and consecutive windows with one anchor place form a
 run. Equal windows lie in runs whose anchors hash alike (a bucket), at the same distance from the anchor.
 
-1. Tasks cut their documents into runs. Of runs of equal content a slice of documents passes on the first
+1. A census: each portion of the texts reports the anchors that it has in two unlike runs or more. What is reported HOT times
+   in all is a hot anchor (a passage after very many different beginnings); a bit table of fixed size names them to the tasks. Any other
+   anchor has fewer unlike runs than HOT and one for each portion.
+2. Tasks cut their documents into runs. Of runs of equal content a slice of documents passes on the first
    alone; the others repeat it, so all their bytes go. What is passed on is packed into one row for each
-   partition of buckets: 24 bytes a run.
-2. For each partition of buckets, runs of equal content leave the first; buckets with one content are done.
-3. For buckets with several contents the runs' bytes are fetched from the documents and dealt by bucket. Sorting by what
+   partition: 34 bytes a run. Runs are dealt by bucket, those of hot anchors by content and a salt.
+3. In each partition runs of equal content leave the first; buckets with one content are done.
+4. For buckets with several contents the runs' bytes are fetched from the documents and dealt by bucket. Sorting by what
    stands right and left of the anchor cuts each run down to what it shares with any other. Equal cut runs leave the
    first. The suffix array of the rest (gsaca.py; the anchor counts as one symbol) brings equal windows
    together; all but the first in each class go.
-   A bucket with more than MOST contents (a passage after very many different beginnings) isn't gathered:
-   its windows are dealt by a 128-bit hash of each, and each hash's least keeps.
-4. Each document gets its spans and loses them.
+   Hot anchors' runs aren't gathered by bucket: each of their unlike runs gives its windows, which meet by a 128-bit hash each, first within a salt
+   and then the salts' firsts; each hash's least keeps. This is the exact way for what no task could hold.
+5. Each document gets its spans and loses them. Texts are dealt once, for the fetching and for this.
 
 Order: doc_id, nulls last; of unlike texts with one doc_id the one with the smaller (signed) XXH64 first. Rows that
 repeat both doc_id and text are one document: each has its result. Nulls and empty texts have no bytes, texts
-below 100 bytes no window. Contents are told apart by 128 bits of hash. Empty table: empty result.
+below 100 bytes no window; very long texts are a slice of their own. Contents of runs are told apart by 128 bits of BLAKE2b, anchors within
+a bucket too. Other columns, whatever their names, aren't read. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, stash, total_bytes, utf8
+from spanloom.llm.common import bit_table, in_table, rows_of, stash, strong_hashes, utf8
 from spanloom.llm.gsaca import suffix_array
 
 SIZE = 100
@@ -39,11 +43,14 @@ ANCHOR = 50
 REST = SIZE - ANCHOR
 SLICE_BYTES = 2 << 20
 PARTITION_BYTES = 16 << 20  # of text, for each partition of buckets
-MOST = 20_000
+HOT = 256
+SALTS = 64
+CENSUS_RUNS = 4 << 20  # of one portion
+TABLE_BITS = 1 << 24
+HELD_BYTES = 64 << 20
 CHUNK = 60_000  # symbols of one suffix array, or one bucket if that has more
 MUL = np.uint64(0x9E3779B97F4A7C15)
-MUL2 = np.uint64(0xD6E8FEB86659FD93)
-RUN = np.dtype([("m", "<u8"), ("c", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "u1"), ("left", "u1")])
+RUN = np.dtype([("m", "<u8"), ("c", "<u8"), ("d", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "u1"), ("left", "u1")])
 DOC = np.dtype([("id", "<i8"), ("none", "?"), ("tie", "<i8")])
 
 
@@ -53,11 +60,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of a slice (doc: the document's number, start: in it) and where each begins in raw."""
+def _runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a slice (doc: the document's number, start: in it), where each begins in raw and where it ends. c and d are still to be set."""
     n = len(raw)
     if n < SIZE:
-        return np.empty(0, RUN), np.empty(0, np.int64)
+        return np.empty(0, RUN), np.empty(0, np.int64), np.empty(0, np.int64)
     power = np.full(n + 1, MUL)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -88,9 +95,45 @@ def _runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     i, j = np.nonzero(opens)[0], np.nonzero(closes)[0]
     doc = np.searchsorted(offsets, i, side="right") - 1
     out = np.empty(len(i), RUN)
-    out["m"], out["c"] = least[i], _mix((total[j + SIZE] - total[i]) * power[i] * MUL2 + ((place[i] - i) * 256 + (j - i)).astype(np.uint64))
+    out["m"] = least[i]
     out["doc"], out["start"], out["n"], out["left"] = doc, i - offsets[doc], j - i + 1, place[i] - i
-    return out, i
+    return out, i, j + SIZE
+
+
+def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to rows (m, n, bytes): anchors with n > 1 unlike runs in a portion; and the bytes read. Runs are told apart by a quick hash: it only counts."""
+    ms, cs, many, read = [], [], 0, 0
+
+    def out(n_bytes: int) -> pa.RecordBatch:
+        m, c = (np.concatenate([np.empty(0, np.uint64), *x]) for x in (ms, cs))
+        order = np.lexsort((c, m))
+        m, c = m[order], c[order]
+        new = np.ones(len(m), bool)
+        new[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
+        m = m[new]
+        at = np.nonzero(np.concatenate([[True], m[1:] != m[:-1]]))[0] if len(m) else np.empty(0, np.int64)
+        n = np.diff(np.append(at, len(m)))
+        m, n = np.append(m[at][n > 1], np.uint64(0)), np.append(n[n > 1], 0)
+        n_bytes = np.append(np.zeros(len(m) - 1, np.int64), n_bytes)
+        return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n_bytes)], ["m", "n", "bytes"])
+
+    for batch in rows_of(batches, SLICE_BYTES):
+        raw, offsets = utf8(batch.column(0))
+        read += len(raw)
+        runs, i, j = _runs(raw, offsets)
+        if not len(runs):
+            continue
+        # of a run the sums of its bytes and of its byte pairs
+        wide = raw.astype(np.uint64)
+        wide[1:] += wide[:-1] * np.uint64(1 << 20) + (wide[1:] * wide[:-1] << np.uint64(40))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide)])
+        ms.append(runs["m"])
+        cs.append(_mix(total[j] - total[i + 1] + runs["n"] * MUL))
+        many += len(runs)
+        if many > CENSUS_RUNS:
+            yield out(read)
+            ms, cs, many, read = [], [], 0, 0
+    yield out(read)
 
 
 def _ranks(docs: np.ndarray) -> np.ndarray:
@@ -105,10 +148,10 @@ def _ranks(docs: np.ndarray) -> np.ndarray:
 
 def _first(runs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted by bucket, content and order; of each content, whether a run is the first (its equals in place, too)."""
-    order = np.lexsort((runs["start"], rank[runs["doc"]], runs["c"], runs["m"]))
+    order = np.lexsort((runs["start"], rank[runs["doc"]], runs["d"], runs["c"], runs["m"]))
     runs = runs[order]
     new = np.ones(len(runs), bool)
-    new[1:] = (runs["m"][1:] != runs["m"][:-1]) | (runs["c"][1:] != runs["c"][:-1])
+    new[1:] = (runs["m"][1:] != runs["m"][:-1]) | (runs["c"][1:] != runs["c"][:-1]) | (runs["d"][1:] != runs["d"][:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(runs)), 0))
     same = (rank[runs["doc"]] == rank[runs["doc"][head]]) & (runs["start"] == runs["start"][head])
     return runs, np.where(same, np.where(new, 1, 2), 0)  # 1: first, 2: the same place of a repeated row, 0: repeats the first
@@ -139,17 +182,18 @@ def _rows(kind: int, docs: np.ndarray, m, start, stop, lead=None) -> pa.RecordBa
     )
 
 
-def _cut(parts: int):
-    """Documents to rows (p, blob): the runs of one partition of buckets; or to spans, dealt as they come."""
+def _cut(parts: int, hot: np.ndarray):
+    """Documents to rows (p, blob): the runs of one partition of buckets; or to spans, dealt as they come. hot: the bit table of hot anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for number, batch in enumerate(rows_of(batches, SLICE_BYTES)):
             raw, offsets = utf8(batch.column(1))
-            runs, _ = _runs(raw, offsets)
+            runs, i, j = _runs(raw, offsets)
             if not len(runs):
                 continue
+            runs["c"], runs["d"] = strong_hashes(raw, i, j).T
             docs, ids = np.empty(batch.num_rows, DOC), batch.column(0)
             docs["none"] = ids.is_null().to_numpy(zero_copy_only=False)
             docs["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -163,7 +207,8 @@ def _cut(parts: int):
                 where.append(number % parts)
                 blobs.append(b"S" + np.int64(len(doc)).tobytes() + docs[doc].tobytes() + np.stack([start, end]).astype("<i8").tobytes())
             runs = runs[first == 1]
-            part = (runs["m"] % np.uint64(parts)).astype(np.int64)
+            salted = runs["c"] + np.uint64(int(docs["tie"][0]) % SALTS * 0x9E3779B97F4A7C15 % (1 << 64))
+            part = (np.where(in_table(hot, runs["m"]), salted, runs["m"]) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1)) if parts < len(runs) else None
             pieces = [(p, order[a:b]) for p, a, b in zip(range(parts), cuts[:-1], cuts[1:], strict=True) if b > a] if cuts is not None else [(int(part[x[0]]), x) for x in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1) if len(x)]
@@ -177,50 +222,68 @@ def _cut(parts: int):
     return run
 
 
-def _compare(most: int):
-    """Rows (p, blob) in order of p to spans (kind 0), and runs of buckets with several contents (kind 1; 2: more than most)."""
+def _compare(hot: np.ndarray):
+    """Rows (p, blob) in order of p to spans (kind 0), and runs of buckets with several contents (kind 1), or of hot anchors (kind 2)."""
+
+    class Held:
+        """The firsts of the runs of one partition so far, and blobs not yet looked at."""
+
+        def __init__(self):
+            self.docs, self.runs, self.blobs, self.size = np.empty(0, DOC), np.empty(0, RUN), [], 0
+
+        def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+            self.blobs.append(blob)
+            self.size += len(blob)
+            if self.size > HELD_BYTES:
+                yield from self.reduce()
+
+        def reduce(self) -> Iterator[pa.RecordBatch]:
+            docs, runs, at = [self.docs], [self.runs], len(self.docs)
+            for blob in self.blobs:
+                n = int(np.frombuffer(blob, np.int64, 1, 1)[0])
+                docs.append(np.frombuffer(blob, DOC, n, 9))
+                some = np.frombuffer(blob, RUN, -1, 9 + n * DOC.itemsize).copy()
+                some["doc"] += at
+                runs.append(some)
+                at += n
+            docs, runs = np.concatenate(docs), np.concatenate(runs)
+            runs, first = _first(runs, _ranks(docs))
+            again = runs[first == 0]
+            for k in range(0, len(again), 200_000):
+                x = again[k : k + 200_000]
+                yield _rows(0, docs[x["doc"]], None, x["start"], x["start"].astype(np.int64) + x["n"] + SIZE - 1)
+            runs = runs[first == 1]
+            used, runs["doc"] = np.unique(runs["doc"], return_inverse=True)
+            self.docs, self.runs, self.blobs, self.size = docs[used], runs, [], 0
 
-    def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        docs, runs, at = [], [], 0
-        for blob in held:
-            n = int(np.frombuffer(blob, np.int64, 1, 1)[0])
-            docs.append(np.frombuffer(blob, DOC, n, 9))
-            some = np.frombuffer(blob, RUN, -1, 9 + n * DOC.itemsize).copy()
-            some["doc"] += at
-            runs.append(some)
-            at += n
-        if not runs:
+    def done(held: Held) -> Iterator[pa.RecordBatch]:
+        yield from held.reduce()
+        docs, runs = held.docs, held.runs
+        if not len(runs):
             return
-        docs, runs = np.concatenate(docs), np.concatenate(runs)
-        runs, first = _first(runs, _ranks(docs))
-        again = runs[first == 0]
-        for k in range(0, len(again), 200_000):
-            x = again[k : k + 200_000]
-            yield _rows(0, docs[x["doc"]], None, x["start"], x["start"].astype(np.int64) + x["n"] + SIZE - 1)
-        runs = runs[first == 1]
         new = np.ones(len(runs), bool)
         new[1:] = runs["m"][1:] != runs["m"][:-1]
         many = np.diff(np.append(np.nonzero(new)[0], len(runs)))
-        many = np.repeat(many, many)
-        for kind, which in ((1, (many > 1) & (many <= most)), (2, many > most)):
+        many, windows = np.repeat(many, many), in_table(hot, runs["m"])
+        for kind, which in ((1, (many > 1) & ~windows), (2, windows)):
             x = runs[which]
             for k in range(0, len(x), 200_000):
                 y = x[k : k + 200_000]
                 yield _rows(kind, docs[y["doc"]], y["m"], y["start"], y["start"].astype(np.int64) + y["n"] + SIZE - 1, y["left"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        last, held = None, Held()
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p != last:
                     yield from done(held)
-                    last, held = p, []
+                    last, held = p, Held()
                 if blob[:1] == b"S":
                     n = int(np.frombuffer(blob, np.int64, 1, 1)[0])
                     span = np.frombuffer(blob, "<i8", 2 * n, 9 + n * DOC.itemsize).reshape(2, n)
                     yield _rows(0, np.frombuffer(blob, DOC, n, 9), None, span[0], span[1])
                 else:
-                    held.append(blob)
+                    yield from held.add(blob)
         yield from done(held)
 
     return run
@@ -249,12 +312,13 @@ def _columns(text: np.ndarray) -> np.ndarray:
 def _resolve(m: np.ndarray, docs: np.ndarray, start: np.ndarray, lead: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whole buckets of runs. (run, first byte, end) of the spans to remove."""
     rank = _ranks(docs)
-    _, group = np.unique(m, return_inverse=True)
     size = np.fromiter(map(len, data), np.int64, len(data))
     right = size - lead - ANCHOR
     raw = np.frombuffer(b"".join(data), np.uint8)
     begin = np.cumsum(size) - size
     anchor, k = begin + lead, np.arange(REST)
+    keys = np.concatenate([m.view(np.uint64)[:, None], strong_hashes(raw, anchor, anchor + ANCHOR)], 1)
+    group = np.unique(keys, axis=0, return_inverse=True)[1].ravel()
     after = np.where(k < right[:, None], raw[np.minimum(anchor[:, None] + ANCHOR + k, len(raw) - 1)], 0).astype(np.uint8)
     before = np.where(k < lead[:, None], raw[np.maximum(anchor[:, None] - 1 - k, 0)], 0).astype(np.uint8)
     most_right, most_left = _longest(after, group, right), _longest(before, group, lead)
@@ -380,9 +444,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append(hashlib.blake2b(data[a : a + SIZE], digest_size=16).digest())
                 who.append(k)
                 at.append(starts[k] + a)
-        if who:
-            who = pa.array(who)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), batch.column(2).take(who), batch.column(3).take(who), pa.array(at, pa.int64())], ["h", "doc_id", "tie", "start"])
+        for k in range(0, len(who), 200_000):
+            own = pa.array(who[k : k + 200_000])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + 200_000], pa.binary()), batch.column(2).take(own), batch.column(3).take(own), pa.array(at[k : k + 200_000], pa.int64())], ["h", "doc_id", "tie", "start"])
+
+
+def _later(windows: DataFrame) -> DataFrame:
+    """Windows (h, doc_id, tie, start) that stand behind another of their hash. Those of one hash meet in SALTS parts first, then the parts' firsts."""
+    ranked = lambda d, *by: d.withColumn("k", F.rank().over(Window.partitionBy(*by).orderBy(F.col("doc_id").asc_nulls_last(), "tie", "start")))
+    within = ranked(windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS))), "h", "salt")
+    firsts = ranked(within.where("k = 1").select("h", "doc_id", "tie", "start").distinct(), "h")
+    return within.where("k > 1").select("doc_id", "tie", "start").union(firsts.where("k > 1").select("doc_id", "tie", "start"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,32 +480,37 @@ def _union(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def removal_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, tie: XXH64 of text, spans: array of (start, stop) in bytes) of each document that loses something."""
+def dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie: XXH64 of text, text)."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a.doc_id.eqNullSafe(b.doc_id) & (a.tie == b.tie)
+
+
+def removal_spans(docs: DataFrame, keyed: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, tie, spans: array of (start, stop) in bytes) of each document that loses something. keyed: docs as dealt() gives them."""
     texts = docs.where("text is not null").select("doc_id", "text")
-    _, size = total_bytes(texts)
-    parts = -(-size // PARTITION_BYTES) or 1
-    blobs = texts.mapInArrow(_cut(parts), "p long, blob binary")
-    found = stash(blobs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_compare(most), SPANS))
+    census = stash(texts.select("text").mapInArrow(_census, "m long, n long, bytes long"))
+    parts = -(-(census.agg(F.sum("bytes")).first()[0] or 0) // PARTITION_BYTES) or 1
+    often = census.where("n > 0").groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") >= hot)
+    table = bit_table(often, F.col("m"), TABLE_BITS)
+    blobs = texts.mapInArrow(_cut(parts, table), "p long, blob binary")
+    found = stash(blobs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_compare(table), SPANS), [census])
     runs = found.where("kind > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("kind", "m", "start", "stop", "lead")).alias("runs"))
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    same = keyed.doc_id.eqNullSafe(runs.doc_id) & (keyed.tie == runs.tie)
-    wanted = keyed.join(runs, same).select(keyed.doc_id, keyed.tie, "text", "runs").mapInArrow(_fetched, "kind int, m long, doc_id long, tie long, start long, lead int, data binary")
-    wanted = stash(wanted)
+    # not written: the exchange of the texts is used again where the spans meet them
+    wanted = keyed.join(runs, _same(keyed, runs)).select(keyed.doc_id, keyed.tie, "text", "runs").mapInArrow(_fetched, "kind int, m long, doc_id long, tie long, start long, lead int, data binary")
     spans = found.where("kind = 0").select("doc_id", "tie", "start", "stop")
     near = wanted.where("kind = 1").repartition("m").sortWithinPartitions("m").mapInArrow(_buckets, SPANS)
     spans = spans.union(near.select("doc_id", "tie", "start", "stop"))
-    if not wanted.where("kind = 2").isEmpty():
-        each = stash(wanted.where("kind = 2").mapInArrow(_windows, "h binary, doc_id long, tie long, start long"))
-        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "start")
-        first = stash(each.groupBy("h").agg(F.min(place).alias("first")))
-        later = each.join(first, "h").where(~place.eqNullSafe(F.col("first")))
-        spans = spans.union(later.select("doc_id", "tie", "start", (F.col("start") + SIZE).alias("stop")))
+    if table.any():
+        each = wanted.where("kind = 2").mapInArrow(_windows, "h binary, doc_id long, tie long, start long")
+        spans = spans.union(_later(each).select("doc_id", "tie", "start", (F.col("start") + SIZE).alias("stop")))
     return spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def op10(docs: DataFrame, most: int = MOST) -> DataFrame:
-    spans = removal_spans(docs, most)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    same = keyed.doc_id.eqNullSafe(spans.doc_id) & (keyed.tie == spans.tie)
-    return keyed.join(spans, same, "left").select(keyed.doc_id, "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def op10(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    keyed = dealt(docs)
+    spans = removal_spans(docs, keyed, hot)
+    return keyed.join(spans, _same(keyed, spans), "left").select(keyed.doc_id, "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

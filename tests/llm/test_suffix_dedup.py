@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import suffix_dedup
@@ -51,27 +53,27 @@ def fixture(seed, n=60):
     return rows + [(None, passages[4] + "q"), (None, None), (3, rows[3][1]), (3, rows[9][1]), (n, None), (n + 1, ""), (n + 2, "the " * 400), (n + 3, "ab" * 300 + "the " * 60), (n + 4, "z" * 500)]
 
 
-@pytest.mark.parametrize("seed,most", [(1, 20_000), (2, 3), (3, 20_000)])
-def test_against_brute_force(spark, monkeypatch, seed, most):
+@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 3), (3, 256), (4, 0)])
+def test_against_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "PARTITION_BYTES", 8000)
     rows = fixture(seed)
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, tie string, start int")
-    got = sorted((x.doc_id is None, x.doc_id or 0, *x[1:]) for x in suffix_dedup.op10(docs, most).collect())
+    got = sorted((x.doc_id is None, x.doc_id or 0, *x[1:]) for x in suffix_dedup.op10(docs, hot).collect())
     assert got == brute(rows)
 
 
 @pytest.mark.parametrize("seed", range(12))
 def test_without_spark(seed, monkeypatch):
-    """The steps alone, on many more documents."""
-    import numpy as np
-    import pyarrow as pa
-
+    """The steps alone, on many more documents; each blob looked at as it comes for half of the seeds."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", 400)
+    monkeypatch.setattr(suffix_dedup, "HELD_BYTES", 0 if seed % 2 else 1 << 20)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 5000)
+    cold = np.zeros(16, np.uint64)
     rows = [(d, t) for d, t in fixture(seed + 10, 150)]
     table = pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
-    blobs = pa.concat_tables(pa.Table.from_batches([b]) for b in suffix_dedup._cut(3)([table])).sort_by("p")
-    found = [x for b in suffix_dedup._compare(20_000)(blobs.to_batches()) for x in b.to_pylist()]
+    blobs = pa.concat_tables(pa.Table.from_batches([b]) for b in suffix_dedup._cut(3, cold)([table])).sort_by("p")
+    found = [x for b in suffix_dedup._compare(cold)(blobs.to_batches()) for x in b.to_pylist()]
     import xxhash
 
     texts = {}
@@ -101,5 +103,42 @@ def test_without_spark(seed, monkeypatch):
     assert sorted(out) == brute(rows)
 
 
+def common_passage(n):
+    r = random.Random(8)
+    say = lambda k: "".join(r.choices("abcdefghij ", k=k))
+    passage = say(170)
+    return [(k, say(120) + passage + say(120)) for k in range(n)]
+
+
+def test_one_passage_in_all_documents(spark, monkeypatch):
+    """Its anchors are found hot, none of their runs is dealt by bucket, and no task gets more than a part of them."""
+    monkeypatch.setattr(suffix_dedup, "PARTITION_BYTES", 20_000)
+    rows = common_passage(1200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 4000)
+    census = docs.select("text").mapInArrow(suffix_dedup._census, "m long, n long, bytes long").groupBy("m").sum("n").where("sum(n) >= 256").collect()
+    assert len(census) >= 2
+    hot = suffix_dedup.bit_table(spark.createDataFrame([(x.m,) for x in census], "m long"), suffix_dedup.F.col("m"), 1 << 24)
+    blobs = docs.mapInArrow(suffix_dedup._cut(32, hot), "p long, blob binary").groupBy("p").agg(suffix_dedup.F.sum(suffix_dedup.F.length("blob")).alias("size")).collect()
+    sizes = sorted(x["size"] for x in blobs)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+    found = docs.mapInArrow(suffix_dedup._cut(32, hot), "p long, blob binary").repartition(8, "p").sortWithinPartitions("p").mapInArrow(suffix_dedup._compare(hot), suffix_dedup.SPANS)
+    assert max((x["count"] for x in found.where("kind = 1").groupBy("m").count().collect()), default=0) < 256 + 4
+    got = sorted((x.doc_id is None, x.doc_id or 0, *x[1:]) for x in suffix_dedup.op10(docs).collect())
+    assert got == brute(rows)
+
+
+def test_texts_are_dealt_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = suffix_dedup.op10(docs)
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan
+
+
 def test_empty(spark):
     assert suffix_dedup.op10(spark.createDataFrame([], "doc_id long, text string")).collect() == []
