@@ -41,7 +41,7 @@ from spanloom.llm.gsaca import suffix_array
 SIZE = 100
 ANCHOR = 50
 REST = SIZE - ANCHOR
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 PARTITION_BYTES = 16 << 20  # of text, for each partition of buckets
 HOT = 256
 SALTS = 64
