@@ -80,21 +80,48 @@ def _unshift(n: int) -> np.uint64:
     return np.uint64(pow(pow(int(MUL), -1, 1 << 64), n, 1 << 64))
 
 
+class Vocabulary:
+    """Words by number. They are told apart by their bytes: of a hash that one short word has, its size and first bytes are all of it."""
+
+    def __init__(self, words: Words):
+        self.number: dict[bytes, int] = {}
+        self.code_of = np.array([self.number.setdefault(x, len(self.number)) for x in words.bytes_of(range(len(words.starts)))], np.int64)
+        self.hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.sizes, self.heads, self.code = (words.ends - words.starts)[first], words.heads(first), self.code_of[first]
+        self.plain = self.sizes <= HEAD
+        self.plain[which[self.code_of != self.code_of[first][which]]] = False
+        # one look into a table by the hash's top bits spares most words the binary search
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hashes >> np.uint64(44)] = True
+
+    def codes(self, words: Words) -> np.ndarray:
+        """Each word's number, from 1; 0: not there."""
+        h = words.hashes()
+        if not len(self.hashes) or not len(h):
+            return np.zeros(len(h), np.int64)
+        maybe = np.nonzero(self.seen[h >> np.uint64(44)])[0]
+        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        same = self.hashes[at] == h[maybe]
+        maybe, at = maybe[same], at[same]
+        out = np.zeros(len(h), np.int64)
+        whole = ~self.plain[at]
+        rest = maybe[whole]
+        out[rest] = [self.number.get(x, -1) + 1 for x in words.bytes_of(rest.tolist())]
+        maybe, at = maybe[~whole], at[~whole]
+        same = ((words.ends - words.starts)[maybe] == self.sizes[at]) & (words.heads(maybe) == self.heads[at]).all(1)
+        out[maybe[same]] = self.code[at[same]] + 1
+        return out
+
+
 class Block:
-    """The windows of some items: vocabulary by hash, patterns by length, the items of each pattern."""
+    """The windows of some items: vocabulary, patterns by length, the items of each pattern."""
 
     def __init__(self, items: list[tuple[tuple[bool, str], str]], window: int = WINDOW):
         column = pa.array([t for _, t in items], pa.large_string())
         words = Words(*utf8(column))
         self.names = [i for i, _ in items]
-        # words are told apart by their bytes; of a hash that one short word has, its size and first bytes are all of it
-        self.number: dict[bytes, int] = {}
-        code = np.array([self.number.setdefault(x, len(self.number)) for x in words.bytes_of(range(len(words.starts)))], np.int64)
-        self.vocabulary, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        self.sizes, self.heads, self.code = (words.ends - words.starts)[first], words.heads(first), code[first]
-        self.plain = self.sizes <= HEAD
-        self.plain[which[code != code[first][which]]] = False
-        ends = np.cumsum(words.count)
+        self.vocabulary = Vocabulary(words)
+        code, ends = self.vocabulary.code_of, np.cumsum(words.count)
         by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (n, end) in enumerate(zip(words.count.tolist(), ends.tolist(), strict=True)):
             if n:
@@ -108,31 +135,10 @@ class Block:
             self.patterns.append((distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]))
         self.least = min(by_length, default=0)
 
-    def codes(self, words: Words) -> np.ndarray:
-        """Each word's number in the vocabulary, from 1; 0: not there."""
-        h = words.hashes()
-        if not len(self.vocabulary) or not len(h):
-            return np.zeros(len(h), np.int64)
-        # one look into a table by the hash's top bits spares most words the binary search
-        seen = np.zeros(1 << 20, bool)
-        seen[self.vocabulary >> np.uint64(44)] = True
-        maybe = np.nonzero(seen[h >> np.uint64(44)])[0]
-        at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
-        same = self.vocabulary[at] == h[maybe]
-        maybe, at = maybe[same], at[same]
-        out = np.zeros(len(h), np.int64)
-        whole = ~self.plain[at]
-        rest = maybe[whole]
-        out[rest] = [self.number.get(x, -1) + 1 for x in words.bytes_of(rest.tolist())]
-        maybe, at = maybe[~whole], at[~whole]
-        same = ((words.ends - words.starts)[maybe] == self.sizes[at]) & (words.heads(maybe) == self.heads[at]).all(1)
-        out[maybe[same]] = self.code[at[same]] + 1
-        return out
-
 
 def _occurrences(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """By pattern length in turn: (first word, pattern's items at, ...) of all occurrences in a shard."""
-    code = block.codes(words)
+    code = block.vocabulary.codes(words)
     text_end = np.zeros(len(code) + 1, bool)
     text_end[np.cumsum(words.count)] = True
     # a stretch: words of the vocabulary, in one text
