@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) runs of digits, letters and non-ASCII. The benchmark's windows (10
 consecutive words of an item; a shorter item is one window) go to the tasks in blocks of a checked
-size. A task takes shards of its texts; words that no item of the block has break the sequence, as do
+size, MOST_BLOCKS at a time. A task takes shards of its texts; words that no item of the block has break the sequence, as do
 ends of documents; stretches too short for any window are left out, since none can lie there. The
 rest is indexed (fmindex.py), all windows are searched backwards at once, occurrences located
 through sampled positions and merged to removal spans.
@@ -17,19 +17,21 @@ No item: nothing is hit. Empty tables: an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, total_bytes, utf8
+from spanloom.llm.common import rows_of, stash, total_bytes, utf8
 from spanloom.llm.fmindex import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+MOST_BLOCKS = 16
 SHARD_BYTES = 4 << 20
 HEAD = 16
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -164,8 +166,8 @@ def _occurrences(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np
             yield place[index.locate(rows)], np.repeat(hit, many), (at, items), distinct.shape[1]
 
 
-def search(raw: np.ndarray, offsets: np.ndarray, blocks) -> tuple[np.ndarray, np.ndarray, list[set], Words, np.ndarray]:
-    """Of each text: words, words hit, the items found; and which words are hit."""
+def search(raw: np.ndarray, offsets: np.ndarray, blocks, given=None) -> tuple[np.ndarray, np.ndarray, list[set], Words, np.ndarray]:
+    """Of each text: words, words hit, the items found; and which words are hit. given: of each text what earlier rounds found, instead of blocks."""
     words = Words(raw, offsets)
     n, texts = len(words.starts), len(offsets) - 1
     text_of = np.repeat(np.arange(texts), words.count)
@@ -177,54 +179,115 @@ def search(raw: np.ndarray, offsets: np.ndarray, blocks) -> tuple[np.ndarray, np
             np.add.at(cover, first + length, -1)
             for text, pattern in np.unique(np.stack([text_of[first], which], 1), axis=0).tolist():
                 found[text].update(block.names[k] for k in items[at[pattern] : at[pattern + 1]].tolist())
+    base = np.cumsum(words.count) - words.count
+    for text, x in enumerate(given or ()):
+        if x is not None:
+            cover[base[text] + [y["first"] for y in x["spans"]]] += 1
+            cover[base[text] + [y["last"] for y in x["spans"]]] -= 1
+            found[text].update((y["none"], y["id"]) for y in x["items"])
     hit = np.cumsum(cover[:-1]) > 0
     return words.count, np.bincount(text_of, hit, minlength=texts).astype(np.int64), found, words, hit
 
 
-def blocks_of(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark's windows as broadcasts of blocks, as many as keep each near most_bytes of text."""
-    spark = benchmark.sparkSession
+def blocks_of(items: DataFrame, n: int, which: Iterable[int]) -> list:
+    """Blocks of a benchmark's items dealt to n, as broadcasts."""
+    context = items.sparkSession.sparkContext
+    return [context.broadcast(Block([((r.i is None, r.i or ""), r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()])) for b in which]
+
+
+FOUND = "doc_id long, tie long, spans array<struct<first:int,last:int>>, items array<struct<none:boolean,id:string>>"
+
+
+def _found(blocks: list):
+    """Rows (doc_id, tie, text) to the word spans and items of the texts that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, item = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.struct([("none", pa.bool_()), ("id", pa.string())]))
+        for batch in rows_of(batches, SHARD_BYTES):
+            raw, offsets = utf8(batch.column(2))
+            _, n_hit, items, words, hit = search(raw, offsets, blocks)
+            which = np.nonzero(n_hit)[0]
+            a, b, text = _stretches(words, hit)
+            base = (np.cumsum(words.count) - words.count)[text]
+            made: dict[int, list] = {}
+            for k, i, j in zip(text.tolist(), (a - base).tolist(), (b - base).tolist(), strict=True):
+                made.setdefault(k, []).append({"first": i, "last": j})
+            kept = batch.select([0, 1]).take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([made[k] for k in which.tolist()], span), pa.array([[{"none": x, "id": y} for x, y in items[k]] for k in which.tolist()], item)], ["doc_id", "tie", "spans", "items"])
+
+    return run
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, list]:
+    """docs and the blocks to search them for. Up to most_blocks they are broadcast together; of a larger benchmark so many go at a time, a round over
+    the documents each, and docs get a column __found with what the rounds found (there are no blocks left to search for then)."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     _, size = total_bytes(items, "t")
     n = -(-size // most_bytes)
-    return [spark.sparkContext.broadcast(Block([((r.i is None, r.i or ""), r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()])) for b in range(n)]
+    if n <= most_blocks:
+        return docs, blocks_of(items, n, range(n))
+    rows, rounds = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), []
+    for k in range(0, n, most_blocks):
+        blocks = blocks_of(items, n, range(k, min(n, k + most_blocks)))
+        rounds.append(stash(rows.mapInArrow(_found(blocks), FOUND)))
+        for b in blocks:
+            b.destroy()
+    every = functools.reduce(DataFrame.union, rounds)
+    # of repeated rows each round has as many alike; one is enough
+    every = every.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = every.select("__id", "__tie", F.struct("spans", "items").alias("__found"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left").drop("__id", "__tie"), []
+
+
+def _given(batch: pa.RecordBatch) -> list | None:
+    at = batch.schema.get_field_index("__found")
+    return batch.column(at).to_pylist() if at >= 0 else None
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    blocks = blocks_of(benchmark)
+    rows, blocks = searched(docs.select("doc_id", "text"), benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SHARD_BYTES):
-            n_words, n_hit, items, _, _ = search(*utf8(batch.column(1)), blocks)
+            n_words, n_hit, items, _, _ = search(*utf8(batch.column(1)), blocks, _given(batch))
             sha = [hashlib.sha256(",".join(sorted(i for _, i in x)).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def spans(words: Words, offsets: np.ndarray, hit: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Of each text, the merged removal spans, as bytes from the text's start."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
+def _stretches(words: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words hit side by side in one text: the first, the end, the text."""
     ends = np.cumsum(words.count)
     edge = np.zeros(len(hit) + 1, bool)
     edge[ends] = True
-    if len(hit):
-        a = np.nonzero(hit & (np.concatenate([[True], ~hit[:-1]]) | edge[:-1]))[0]
-        b = np.nonzero(hit & (np.concatenate([~hit[1:], [True]]) | edge[1:]))[0]
-        for text, i, j in zip(np.searchsorted(ends, a, side="right").tolist(), words.starts[a].tolist(), words.ends[b].tolist(), strict=True):
-            out[text].append((i - int(offsets[text]), j - int(offsets[text])))
+    if not len(hit):
+        return (np.empty(0, np.int64),) * 3
+    a = np.nonzero(hit & (np.concatenate([[True], ~hit[:-1]]) | edge[:-1]))[0]
+    b = np.nonzero(hit & (np.concatenate([~hit[1:], [True]]) | edge[1:]))[0] + 1
+    return a, b, np.searchsorted(ends, a, side="right")
+
+
+def spans(words: Words, offsets: np.ndarray, hit: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Of each text, the merged removal spans, as bytes from the text's start."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    a, b, text = _stretches(words, hit)
+    for k, i, j in zip(text.tolist(), words.starts[a].tolist(), words.ends[b - 1].tolist(), strict=True):
+        out[k].append((i - int(offsets[k]), j - int(offsets[k])))
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the removal spans cut out of text and n_chars, where there is one, counted anew; other rows as they are."""
-    blocks = blocks_of(benchmark)
+    names, schema = docs.columns, docs.schema
+    rows, blocks = searched(docs, benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SHARD_BYTES):
+            given, batch = _given(batch), batch.select(names)
             at = batch.schema.get_field_index("text")
             raw, offsets = utf8(batch.column(at))
-            _, n_hit, _, words, hit = search(raw, offsets, blocks)
+            _, n_hit, _, words, hit = search(raw, offsets, blocks, given)
             columns = list(batch.columns)
             if n_hit.any():
                 texts, cut = columns[at].to_pylist(), spans(words, offsets, hit)
@@ -239,4 +302,4 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     columns[c] = pa.array([len(t) if h else n for t, h, n in zip(texts, n_hit.tolist(), columns[c].to_pylist(), strict=True)], batch.schema.field(c).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)

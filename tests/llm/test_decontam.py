@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from spanloom.llm import decontam
 from spanloom.llm.fmindex import FMIndex, suffix_array
@@ -55,15 +56,19 @@ def test_against_brute_force(spark, monkeypatch):
     d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(None if i is None else str(i), t) for i, t in items], "item_id string, text string")
     want = brute(docs, items)
-    whole = decontam.blocks_of
-    for size in (decontam.BLOCK_BYTES, 300):
-        monkeypatch.setattr(decontam, "blocks_of", lambda x, s=size: whole(x, s))
+    whole = decontam.searched
+    for size, many in ((decontam.BLOCK_BYTES, 16), (300, 100), (300, 2)):
+        monkeypatch.setattr(decontam, "searched", lambda x, y, s=size, m=many: whole(x, y, s, m))
         got = sorted((x.doc_id is None, x.doc_id or 0, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontam.op6(d, b).collect())
         assert got == want
 
 
-def test_removal(spark):
-    b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+@pytest.mark.parametrize("many", [16, 1])
+def test_removal(spark, monkeypatch, many):
+    whole = decontam.searched
+    monkeypatch.setattr(decontam, "searched", lambda x, y: whole(x, y, 40, many))
+
+    b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "not there"), (3, "nor this")], "item_id long, text string")
     d = spark.createDataFrame([(1, "Keep é ONE two three four five six seven eight nine ten, eleven! end", 5), (2, "clean", 9), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {x.doc_id: (x.text, x.n_chars) for x in decontam.remove(d, b).collect()}
     assert got == {1: ("Keep é ! end", 12), 2: ("clean", 9), 3: (None, None)}
