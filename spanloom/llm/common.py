@@ -64,6 +64,16 @@ def in_table(table: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a text column."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import rows_of, stash, total_bytes, utf8
+from spanloom.llm.common import fresh, rows_of, stash, total_bytes, utf8
 from spanloom.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -220,7 +220,7 @@ def _found(blocks: list):
 
 def searched(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, list]:
     """docs and the blocks to search them for. Up to most_blocks they are broadcast together; of a larger benchmark so many go at a time, a round over
-    the documents each, and docs get a column __found with what the rounds found (there are no blocks left to search for then)."""
+    the documents each, and docs get one more column with what the rounds found (there are no blocks left to search for then)."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     _, size = total_bytes(items, "t")
     n = -(-size // most_bytes)
@@ -234,14 +234,13 @@ def searched(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK_BYTE
             b.destroy()
     every = functools.reduce(DataFrame.union, rounds)
     # of repeated rows each round has as many alike; one is enough
-    every = every.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    found = every.select("__id", "__tie", F.struct("spans", "items").alias("__found"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left").drop("__id", "__tie"), []
+    own, tie, found = fresh(docs, "__id", "__tie", "__found")
+    every = every.groupBy(F.col("doc_id").alias(own), F.col("tie").alias(tie)).agg(F.struct(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).alias(found))
+    return docs.join(every, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(tie)), "left").drop(own, tie), []
 
 
-def _given(batch: pa.RecordBatch) -> list | None:
-    at = batch.schema.get_field_index("__found")
-    return batch.column(at).to_pylist() if at >= 0 else None
+def _given(batch: pa.RecordBatch, columns: int) -> list | None:
+    return batch.column(columns).to_pylist() if batch.num_columns > columns else None
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -249,7 +248,7 @@ def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SHARD_BYTES):
-            n_words, n_hit, items, _, _ = search(*utf8(batch.column(1)), blocks, _given(batch))
+            n_words, n_hit, items, _, _ = search(*utf8(batch.column(1)), blocks, _given(batch, 2))
             sha = [hashlib.sha256(",".join(sorted(i for _, i in x)).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
@@ -284,7 +283,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, SHARD_BYTES):
-            given, batch = _given(batch), batch.select(names)
+            given, batch = _given(batch, len(names)), batch.select(names)
             at = batch.schema.get_field_index("text")
             raw, offsets = utf8(batch.column(at))
             _, n_hit, _, words, hit = search(raw, offsets, blocks, given)

@@ -13,7 +13,7 @@ tables of fixed size keep tasks from reporting entities and words that can't mat
 
 Nulls and empty texts have no spans. Rows that repeat doc_id and text are one document in all counts and have the same result each; unlike texts
 with one doc_id are documents of their own. Ties: spans by start, kind, end. Very long texts take time in proportion to their length. Other columns, whatever
-their names, aren't read (sanitise passes them on, but for the names __id, __tie, __terms). Empty table: an empty result.
+their names, aren't read (sanitise passes them on). Empty table: an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bit_table, rows_of, stash
+from spanloom.llm.common import bit_table, fresh, rows_of, stash
 
 #: The kinds in their order; the last two are the method's: generalised and removed terms.
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
@@ -304,9 +304,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data and disclosing terms generalised or removed in text; n_chars, where there is one, counted anew."""
     terms = stash(term_spans(docs, find(docs)))
     few = terms.count() <= BROADCAST_ROWS  # some hundred bytes each
-    terms = terms.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("terms").alias("__terms"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__tie"))
-    both = docs.join(F.broadcast(terms) if few else terms, same, "left").drop("__id", "__tie")
+    own, tie, found = fresh(docs, "__id", "__tie", "__terms")
+    terms = terms.select(F.col("doc_id").alias(own), F.col("tie").alias(tie), F.col("terms").alias(found))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(tie))
+    both = docs.join(F.broadcast(terms) if few else terms, same, "left").drop(own, tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, BATCH_BYTES):
@@ -326,4 +327,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
                     columns[c] = pa.array([len(t) if x else n for t, x, n in zip(made, changed, columns[c].to_pylist(), strict=True)], columns[c].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return both.select(*docs.columns, "__terms").mapInArrow(run, docs.schema)
+    return both.select(*docs.columns, found).mapInArrow(run, docs.schema)
