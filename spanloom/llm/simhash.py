@@ -247,7 +247,7 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]
     """All pairs i < j of sets, each sorted and without repeats, whose Jaccard similarity is ``least`` or more."""
     m = len(sets)
     n = np.array([len(x) for x in sets], np.int64)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(m), n)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), n)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     begins = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0]
@@ -258,14 +258,14 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]
         step = max(1, (1 << 21) // len(x))
         for k in range(0, len(at), step):
             of = row[at[k : k + step, None] + np.arange(d)]
-            common += np.bincount((of[:, x] * m + of[:, y]).ravel(), minlength=m * m)
+            common += np.bincount((of[:, x] * np.int64(m) + of[:, y]).ravel(), minlength=m * m)
     common = common.reshape(m, m)
     many, lengths = begins[having > 48], having[having > 48]
-    for k in range(0, len(many), 4096):  # what many have: by products of 0-1 matrices
-        d = lengths[k : k + 4096]
+    for k in range(0, len(many), 2048):  # what many have: by products of 0-1 matrices
+        d = lengths[k : k + 2048]
         within = np.arange(d.sum()) - np.repeat(np.cumsum(d) - d, d)
         has = np.zeros((m, len(d)), np.float32)
-        has[row[np.repeat(many[k : k + 4096], d) + within], np.repeat(np.arange(len(d)), d)] = 1
+        has[row[np.repeat(many[k : k + 2048], d) + within], np.repeat(np.arange(len(d)), d)] = 1
         common += np.rint(has @ has.T).astype(np.int64)
     linked = (common >= least * (n[:, None] + n[None, :] - common)) & (common > 0)
     return np.nonzero(np.triu(linked, 1))
@@ -302,20 +302,24 @@ def _compared(least: float):
     return run
 
 
-def cells(members: DataFrame, least: float, most: int, most_hashes: int) -> DataFrame:
-    """members: (root, c, n, ...). The same with a cell: all pairs of one root whose sizes allow a similarity of ``least`` meet in a cell.
-    A root with more than ``most`` members, or hashes, is dealt by sizes first, and then by pairs of blocks."""
+SALTS = 64
 
-    def weighed(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes")), [*by])
 
-    own = weighed(members, "root")
+def cells(members: DataFrame, least: float, most: int, most_hashes: int) -> DataFrame:
+    """members: (root, c, n, ...). The same with a cell: all pairs of one root whose sizes allow a similarity of ``least`` meet in a cell.
+    A root with more than ``most`` members, or hashes, is dealt by sizes first, and then by pairs of blocks. Sums are added up before they are
+    shuffled, and only those of large roots meet members again, by root and a salt: no task gets all members of one."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sums = F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes")
     fits = (F.col("rows") <= most) & (F.col("hashes") <= most_hashes)
-    whole = own.where(fits).withColumn("cell", F.xxhash64("root"))
+    large = members.groupBy("root").agg(*sums).where(~fits).select("root", F.lit(True).alias("large"), salts)
+    own = members.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(large, ["root", "salt"], "left")
+    whole = own.where("large is null").withColumn("cell", F.xxhash64("root"))
     step = -math.log(least) * 1.0001  # sizes of a ratio of least are one class apart at most
-    sized = own.where(~fits).drop("rows", "hashes").withColumn("s", F.floor(F.log("n") / step)).withColumn("s", F.explode(F.array("s", F.col("s") + 1)))
+    sized = own.where("large").withColumn("s", F.floor(F.log("n") / step)).withColumn("s", F.explode(F.array("s", F.col("s") + 1)))
     blocks = F.ceil(F.greatest(2 * F.col("rows") / most, 2 * F.col("hashes") / most_hashes)).cast("int")
-    dealt = weighed(sized, "root", "s").withColumn("blocks", F.when(fits, 1).otherwise(blocks)).withColumn("a", F.pmod(F.xxhash64("c"), "blocks"))
+    dealt = sized.join(sized.groupBy("root", "s").agg(*sums).select("*", salts), ["root", "s", "salt"])
+    dealt = dealt.withColumn("blocks", F.when(fits, 1).otherwise(blocks)).withColumn("a", F.pmod(F.xxhash64("c", F.lit(1)), "blocks"))
     dealt = dealt.withColumn("b", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.withColumn("cell", F.xxhash64("root", "s", F.least("a", "b"), F.greatest("a", "b")))
     names = [*members.columns, "cell"]
@@ -345,7 +349,7 @@ def _wanted_sets(size: int, table: np.ndarray):
     return run
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, size: int, least: float, most: int = 2048, most_hashes: int = 4 << 20) -> DataFrame:
+def similar_links(docs: DataFrame, marked: DataFrame, size: int, least: float, most: int = 2048, most_hashes: int = 2 << 20) -> DataFrame:
     """docs: (doc_id, r, text); marked: (r, fp, c, n, bands). Edges (u, v) between fingerprints whose components are those of all pairs of
     texts that share a band and whose sets of shingles have a Jaccard similarity of ``least`` or more. Bands only say what is compared:
     texts that bands join, over others too, are compared by their whole sets, all with all that their sizes allow."""
