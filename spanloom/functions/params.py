@@ -18,6 +18,9 @@ EFFECTS = {"hook-impact": ("glare", "zoom-punch", "flash"), "ding": ("glare",),
 EFFECT_COLORS = {"hook-impact": "#ffffff", "ding": "#f5c842", "cash-register": "#f5c842", "wrong-answer": "#ff3653"}
 EFFECT_MS = {"glare": 280, "zoom-punch": 220, "flash": 90}
 
+#: Files that each slot has in the queries' pack, taken in turn; a slot without any gives no event.
+SLOT_FILES = {"swipe-in": 3, "swipe-out": 2, "hook-impact": 1, "cash-register": 2, "wrong-answer": 3, "ding": 4}
+
 STUTTER_GAP, STUTTER_LEAST = 350, 20
 FILLER_PAD = 60
 SILENCE, SILENCE_MARGIN, SILENCE_LEAST = 800, 300, 50

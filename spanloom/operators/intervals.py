@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from spanloom.functions import params as P
+from spanloom.operators.folds import along
 
 
 def merge(spans: DataFrame, key: str, tolerance: int = P.MERGE_GAP) -> DataFrame:
@@ -53,27 +55,27 @@ def in_gap(spans: DataFrame, gaps: DataFrame, key: str, span_id: str, cell_ms: i
 
 
 def greedy(spans: DataFrame, key: str, span_id: str) -> DataFrame:
-    """From left to right, spans that don't begin before the last kept one ends. One fold for each key over its sorted spans."""
-    rows = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", span_id)))
-    start = F.struct(F.expr(f"cast(array() as array<struct<start_ms:bigint,end_ms:bigint,{span_id}:bigint>>)").alias("kept"), F.lit(None).cast("long").alias("reach"))
+    """From left to right, spans that don't begin before the last kept one ends."""
 
-    def add(a, x):
-        fits = a["reach"].isNull() | (x["start_ms"] >= a["reach"])
-        return F.struct(F.when(fits, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"), F.when(fits, x["end_ms"]).otherwise(a["reach"]).alias("reach"))
+    def step(reach: list, start: int, end: int) -> bool:
+        if reach[0] is not None and start < reach[0]:
+            return False
+        reach[0] = end
+        return True
 
-    return spans.groupBy(key).agg(rows.alias("r")).select(key, F.explode(F.aggregate("r", start, add, lambda a: a["kept"])).alias("x")).select(key, "x.*")
+    own = spans.select(key, "start_ms", "end_ms", span_id)
+    return along(own, key, ["start_ms", "end_ms", span_id], ["start_ms", "end_ms"], "__kept", BooleanType(), lambda: [None], step).where("__kept").drop("__kept")
 
 
 def apart(events: DataFrame, key: str, within: int = P.SAME_EVENT) -> DataFrame:
     """events: (key, t_ms, slot, ...) in order of time and slot; one like the last kept, less than ``within`` after it, goes."""
-    own = [c for c in events.columns if c != key]
-    rest = [c for c in own if c not in ("t_ms", "slot")]
-    rows = F.sort_array(F.collect_list(F.struct("t_ms", "slot", *rest)))
-    kind = ",".join(f"{c}:{dict(events.dtypes)[c]}" for c in ("t_ms", "slot", *rest))
-    start = F.struct(F.expr(f"cast(array() as array<struct<{kind}>>)").alias("kept"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("slot"))
+    rest = [c for c in events.columns if c not in (key, "t_ms", "slot")]
 
-    def add(a, x):
-        same = F.coalesce((a["slot"] == x["slot"]) & (x["t_ms"] - a["t"] < within), F.lit(False))
-        return F.struct(F.when(same, a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"), F.when(same, a["t"]).otherwise(x["t_ms"]).alias("t"), F.when(same, a["slot"]).otherwise(x["slot"]).alias("slot"))
+    def step(last: list, t: int, slot: str) -> bool:
+        if last[0] is not None and last[1] == slot and t - last[0] < within:
+            return False
+        last[:] = t, slot
+        return True
 
-    return events.groupBy(key).agg(rows.alias("r")).select(key, F.explode(F.aggregate("r", start, add, lambda a: a["kept"])).alias("x")).select(key, "x.*")
+    own = events.select(key, "t_ms", "slot", *rest)
+    return along(own, key, ["t_ms", "slot", *rest], ["t_ms", "slot"], "__kept", BooleanType(), lambda: [None, None], step).where("__kept").drop("__kept")

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from spanloom.functions import params as P
+from spanloom.operators.folds import along
 
 
 def by_pos() -> WindowSpec:
@@ -51,48 +53,68 @@ def stutter_cuts(words: DataFrame, least: int = 2) -> DataFrame:
     return cut.where(f"end_ms > start_ms + {P.STUTTER_LEAST}").withColumn("kind", F.lit("stutter"))
 
 
+def _fillers(w: DataFrame, fillers: Sequence[str]) -> DataFrame:
+    """w: with s2, the stem. Adds the words that the filler beginning here uses up (0: none), its end and what follows it. From left to right a word
+    is looked at alone first, then the phrases in the list's order, of any length; a phrase uses up all its words."""
+    order = by_pos()
+    phrases = [f.split() for f in fillers if len(f.split()) > 1]
+    lengths = sorted({len(p) for p in phrases})
+    w = w.withColumns({f"__s{k}": F.lead("s2", k).over(order) for k in range(1, max(lengths, default=1))} | {f"__e{n}": F.lead("end_ms", n - 1).over(order) for n in lengths} | {f"__a{n}": F.lead("start_ms", n).over(order) for n in (1, *lengths)})
+    alone = F.col("s2").isin([f for f in fillers if len(f.split()) == 1])
+    stood = F.lit(0)
+    for p in reversed(phrases):
+        same = F.col("s2") == p[0]
+        for k in range(1, len(p)):
+            same = same & (F.col(f"__s{k}") == p[k])
+        stood = F.when(F.coalesce(same, F.lit(False)), len(p)).otherwise(stood)
+    w = w.withColumn("size", F.when(alone, 1).otherwise(stood).cast("long"))
+    if max(lengths, default=2) == 2:
+        # of pairs that start at one word after another every second one overlaps the one before
+        pair = F.col("size") == 2
+        w = w.withColumn("__island", F.sum((~pair).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        w = w.withColumn("__taken", pair & ((F.sum(pair.cast("int")).over(Window.partitionBy("source_id", "__island").orderBy("pos")) % 2) == 1)).drop("__island")
+        used = F.col("__taken") | (F.col("size") == 1) & ~F.coalesce(F.lag("__taken").over(order), F.lit(False))
+        w = w.withColumn("size", F.when(used, F.col("size")).otherwise(0)).drop("__taken")
+    else:
+
+        def step(left: list, size: int) -> int:
+            if left[0]:
+                left[0] -= 1
+                return 0
+            left[0] = max(size - 1, 0)
+            return size
+
+        w = along(w.withColumnRenamed("size", "__size"), "source_id", ["pos"], ["__size"], "size", LongType(), lambda: [0], step).drop("__size")
+    last, after = F.col("end_ms"), F.col("__a1")
+    for n in lengths:
+        last, after = F.when(F.col("size") == n, F.col(f"__e{n}")).otherwise(last), F.when(F.col("size") == n, F.col(f"__a{n}")).otherwise(after)
+    return w.withColumn("last", last).withColumn("after", F.coalesce(after, F.col("last") + 1000)).drop(*(c for c in w.columns if c[:3] in ("__s", "__e", "__a") and c[3:].isdigit()))
+
+
+def _filler(before: Column) -> tuple[Column, Column]:
+    return F.greatest(F.coalesce(before, F.lit(0)) + 1, F.col("start_ms") - P.FILLER_PAD), F.least(F.col("after") - 1, F.col("last") + P.FILLER_PAD)
+
+
 def filler_cuts(words: DataFrame, fillers: Sequence[str]) -> DataFrame:
-    """Fillers of one word, or of two: a word is looked at alone first, and a pair uses up both its words, from left to right."""
-    single = [f for f in fillers if " " not in f]
-    pairs = [f for f in fillers if len(f.split()) == 2]
-    seen = words.withColumn("stem", stem(F.col("text"), ",.?!:;"))
-    for name, col, k in (("next_stem", "stem", 1), ("next_end", "end_ms", 1), ("after1", "start_ms", 1), ("after2", "start_ms", 2)):
-        seen = seen.withColumn(name, F.lead(col, k).over(by_pos()))
-    seen = seen.withColumn("before_ms", F.coalesce(F.lag("end_ms").over(by_pos()), F.lit(0)))
-    seen = seen.withColumn("alone", F.col("stem").isin(single)).withColumn("pair", F.coalesce(~F.col("alone") & F.concat_ws(" ", "stem", "next_stem").isin(pairs) & F.col("next_stem").isNotNull(), F.lit(False)))
-    # of pairs that start at one word after another every second one overlaps the one before
-    island = F.sum((~F.col("pair")).cast("int")).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))
-    seen = seen.withColumn("island", island)
-    seen = seen.withColumn("taken", F.col("pair") & ((F.sum(F.col("pair").cast("int")).over(Window.partitionBy("source_id", "island").orderBy("pos")) % 2) == 1))
-    seen = seen.withColumn("alone", F.col("alone") & ~F.coalesce(F.lag("taken").over(by_pos()), F.lit(False))).where("alone or taken")
-    last = F.when(F.col("taken"), F.col("next_end")).otherwise(F.col("end_ms"))
-    after = F.coalesce(F.when(F.col("taken"), F.col("after2")).otherwise(F.col("after1")), last + 1000)
-    cut = seen.select("source_id", F.greatest(F.col("before_ms") + 1, F.col("start_ms") - P.FILLER_PAD).alias("start_ms"), F.least(after - 1, last + P.FILLER_PAD).alias("end_ms"))
-    return cut.where("end_ms > start_ms").withColumn("kind", F.lit("filler"))
+    seen = _fillers(words.withColumn("s2", stem(F.col("text"), ",.?!:;")).withColumn("before_ms", F.lag("end_ms").over(by_pos())), fillers).where("size > 0")
+    start, end = _filler(F.col("before_ms"))
+    return seen.select("source_id", start.alias("start_ms"), end.alias("end_ms")).where("end_ms > start_ms").withColumn("kind", F.lit("filler"))
 
 
 def all_cuts(words: DataFrame, fillers: Sequence[str]) -> DataFrame:
     """The three kinds of cuts, bag union, in one pass over the words: the same as filler_cuts, stutter_cuts and silence_cuts apart."""
-    single = [f for f in fillers if " " not in f]
-    pairs = [f for f in fillers if len(f.split()) == 2]
     order, so_far = by_pos(), by_pos().rowsBetween(Window.unboundedPreceding, 0)
     w = words.withColumn("s1", stem(F.col("text"), ",.?!:;-")).withColumn("s2", stem(F.col("text"), ",.?!:;")).drop("text")
-    w = w.withColumns({"before_ms": F.lag("end_ms").over(order), "s1_before": F.lag("s1").over(order), "next_s2": F.lead("s2").over(order), "next_end": F.lead("end_ms").over(order), "after1": F.lead("start_ms").over(order), "after2": F.lead("start_ms", 2).over(order)})
+    w = w.withColumns({"before_ms": F.lag("end_ms").over(order), "s1_before": F.lag("s1").over(order), "next_ms": F.lead("start_ms").over(order)})
     same = F.coalesce((F.col("s1_before") == F.col("s1")) & (F.col("s1") != "") & (F.col("start_ms") - F.col("before_ms") <= P.STUTTER_GAP), F.lit(False))
-    alone = F.col("s2").isin(single)
-    pair = F.coalesce(~alone & F.concat_ws(" ", "s2", "next_s2").isin(pairs) & F.col("next_s2").isNotNull(), F.lit(False))
-    w = w.withColumns({"opens": ~same, "alone": alone, "pair": pair}).drop("s1", "s2", "s1_before", "next_s2")
+    w = _fillers(w.withColumn("opens", ~same).drop("s1", "s1_before"), fillers).drop("s2")
     # where the run of a word's equals began, and what stood before it; whether the run ends here
     head = lambda c: F.last(F.when(F.col("opens"), F.struct(F.col(c).alias("v"))), True).over(so_far)["v"]
-    w = w.withColumns({"first": head("start_ms"), "first_before": head("before_ms"), "closes": F.coalesce(F.lead("opens").over(order), F.lit(True)), "island": F.sum((~F.col("pair")).cast("int")).over(so_far)})
-    w = w.withColumn("taken", F.col("pair") & ((F.sum(F.col("pair").cast("int")).over(Window.partitionBy("source_id", "island").orderBy("pos")) % 2) == 1)) if pairs else w.withColumn("taken", F.lit(False))
-    w = w.withColumn("alone", F.col("alone") & ~F.coalesce(F.lag("taken").over(order), F.lit(False)))
+    w = w.withColumns({"first": head("start_ms"), "first_before": head("before_ms"), "closes": F.coalesce(F.lead("opens").over(order), F.lit(True))})
     cut = lambda kind, start, end, least: F.when(end > start + least, F.struct(start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"), F.lit(kind).alias("kind")))
     stutter = F.when(F.col("closes") & ~F.col("opens"), cut("stutter", F.greatest("first", F.col("first_before") + 1), F.col("start_ms"), P.STUTTER_LEAST))
-    silence = F.when(F.col("after1") - F.col("end_ms") > P.SILENCE, cut("silence", F.col("end_ms") + P.SILENCE_MARGIN, F.col("after1") - P.SILENCE_MARGIN, P.SILENCE_LEAST))
-    last = F.when(F.col("taken"), F.col("next_end")).otherwise(F.col("end_ms"))
-    after = F.coalesce(F.when(F.col("taken"), F.col("after2")).otherwise(F.col("after1")), last + 1000)
-    filler = F.when(F.col("alone") | F.col("taken"), cut("filler", F.greatest(F.coalesce("before_ms", F.lit(0)) + 1, F.col("start_ms") - P.FILLER_PAD), F.least(after - 1, last + P.FILLER_PAD), 0))
+    silence = F.when(F.col("next_ms") - F.col("end_ms") > P.SILENCE, cut("silence", F.col("end_ms") + P.SILENCE_MARGIN, F.col("next_ms") - P.SILENCE_MARGIN, P.SILENCE_LEAST))
+    filler = F.when(F.col("size") > 0, cut("filler", *_filler(F.col("before_ms")), 0))
     return w.select("source_id", F.inline(F.array_compact(F.array(filler, stutter, silence))))
 
 
@@ -132,19 +154,23 @@ def chunks(words: DataFrame, size: int) -> DataFrame:
     return words.groupBy("source_id", F.floor(F.col("pos") / size).alias("chunk")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
 
 
+SLICE_CELL = 60_000
+
+
 def slice_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
     """segments: (source_id, seg_no, seg_start, seg_end), in the order they play. Words that lie in one, on the new timeline."""
     before = Window.partitionBy("source_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = segments.withColumn("offset", F.coalesce(F.sum(F.col("seg_end") - F.col("seg_start")).over(before), F.lit(0)))
-    both = words.join(placed, "source_id").where("start_ms >= seg_start and end_ms <= seg_end")
+    placed = placed.withColumn("cell", F.explode(F.expr(f"sequence(seg_start div {SLICE_CELL}, seg_end div {SLICE_CELL})")))
+    # a word stands in the cell of its start, a segment in all that it meets: equal keys, and each pair meets once
+    both = words.withColumn("cell", F.expr(f"start_ms div {SLICE_CELL}")).join(placed, ["source_id", "cell"]).where("start_ms >= seg_start and end_ms <= seg_end")
     moved = F.col("offset") - F.col("seg_start")
     return both.select("source_id", "seg_no", "pos", "text", (F.col("start_ms") + moved).cast("long").alias("start_ms"), (F.col("end_ms") + moved).cast("long").alias("end_ms"))
 
 
 def snap(targets: DataFrame, words: DataFrame) -> DataFrame:
     """targets: (source_id, target, t_ms, after). The middle (in half milliseconds) of the word gap that suits each best:
-    sentence ends before breaths before near gaps before far ones, then the nearest; else the nearest gap of all.
-    Gaps meet targets by time cells of the widest window; the fallback runs along one sorted stream."""
+    sentence ends before breaths before near gaps before far ones, then the nearest; else the nearest gap of all (null: there is none). Where a source has fewer than two words, targets stay where they are. Gaps meet targets by time cells of the widest window; the fallback runs along one sorted stream."""
     base = 2 * P.SNAP_WINDOW
     widest = 8 * base
     gap = gaps(words).withColumn("cell", F.expr(f"mid2 div {widest}"))
@@ -172,7 +198,9 @@ def snap(targets: DataFrame, words: DataFrame) -> DataFrame:
     nearest = F.when(F.col("right").isNull() | (F.col("at") - F.col("left") <= F.col("right") - F.col("at")), F.col("left")).otherwise(F.col("right"))
     last = stream.where("mid2 is null").select("source_id", "target", nearest.alias("nearest"))
     found = targets.join(best, ["source_id", "target"], "left").join(last, ["source_id", "target"], "left")
-    return found.select("source_id", "target", "t_ms", "after", F.coalesce("b.mid2", "nearest").alias("mid2"), F.col("b.tier").alias("tier"))
+    found = found.join(words.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_words")), "source_id", "left")
+    mid2 = F.when(F.coalesce("n_words", F.lit(0)) < 2, 2 * F.col("t_ms")).otherwise(F.coalesce("b.mid2", "nearest"))
+    return found.select("source_id", "target", "t_ms", "after", mid2.alias("mid2"), F.col("b.tier").alias("tier"))
 
 
 def lexicon_hits(words: DataFrame, lexicon: Sequence[str], numbers: bool = False, mode: str = "every") -> DataFrame:

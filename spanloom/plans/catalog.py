@@ -149,30 +149,33 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TIMES = ("09:00", "13:30", "18:00", "21:15")
-N_POSTS = 120
+PER_DAY = 3
+BUCKET = 1 << 16  # ids
 
 
 @Q.add(
     f"""WITH c AS (SELECT doc_id AS base, text FROM documents), u AS (SELECT CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE page_id || '.mp4' END AS key, url FROM pages), m AS (SELECT doc_id, max(quality * 10 + toxic) AS score FROM labels GROUP BY doc_id),
 items AS (SELECT base, coalesce(u1.url, u2.url) AS media, text, coalesce(score, 0) AS score FROM c LEFT JOIN u u1 ON u1.key = base || '.mp4' LEFT JOIN u u2 ON u2.key = CAST(base AS VARCHAR) LEFT JOIN m ON m.doc_id = base WHERE coalesce(u1.url, u2.url) IS NOT NULL),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, base) AS k FROM items),
-l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '') AS ls FROM r WHERE k <= {N_POSTS})
-SELECT base, media, CAST(score AS INTEGER) AS score, strftime(DATE '2026-01-05' + CAST((k - 1) // 3 AS INTEGER), '%Y-%m-%d') || 'T' || [{', '.join(f"'{t}'" for t in TIMES)}][(k - 1) % 3 + 1] || ':00' AS publish_at, coalesce(ls[1], '')[1:100] AS title FROM l"""
+l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '') AS ls FROM r)
+SELECT base, media, CAST(score AS INTEGER) AS score, strftime(DATE '2026-01-05' + CAST((k - 1) // {PER_DAY} AS INTEGER), '%Y-%m-%d') || 'T' || [{', '.join(f"'{t}'" for t in TIMES)}][(k - 1) % {PER_DAY} + 1] || ':00' AS publish_at, coalesce(ls[1], '')[1:100] AS title FROM l"""
 )
 def publish_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN12, JOI12, JOI13, TIM13, SRT4, SCL16, LIM3: three posts a day for as many items as there are slots. The best items
-    are taken by a top-k over all, so only they are numbered in one place."""
+    """PLN12, JOI12, JOI13, TIM13, SRT4, SCL16, LIM3: three posts a day, a slot for every item, the best first. Items are numbered within
+    buckets of score and id; only the buckets' sizes, a row each, are summed up in one place."""
     c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("base"), "text")
     p = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise(F.concat(F.col("page_id").cast("string"), F.lit(".mp4"))).alias("key"), "url")
     m = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("base")).agg(F.max(F.col("quality") * 10 + F.col("toxic")).alias("score"))
     first, second = p.toDF("k1", "u1"), p.toDF("k2", "u2")
     both = c.join(first, F.concat(F.col("base").cast("string"), F.lit(".mp4")) == F.col("k1"), "left").join(second, F.col("base").cast("string") == F.col("k2"), "left")
     items = both.withColumn("media", F.coalesce("u1", "u2")).where("media is not null").join(m, "base", "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    top = items.orderBy(F.desc("score"), "base").limit(N_POSTS)
-    k = F.row_number().over(Window.orderBy(F.desc("score"), "base")) - 1
-    day = F.date_format(F.date_add(F.lit("2026-01-05").cast("date"), F.floor(F.col("k") / 3).cast("int")), "yyyy-MM-dd")
-    at = F.concat(day, F.lit("T"), F.get(F.array(*map(F.lit, TIMES)), F.col("k") % 3), F.lit(":00"))
-    return top.withColumn("k", k).select("base", "media", "score", at.alias("publish_at"), T.first_line(F.col("text")).alias("title"))
+    items = items.withColumn("bucket", F.floor(F.col("base") / BUCKET)).select("base", "media", "score", "bucket", T.first_line(F.col("text")).alias("title"))
+    before = Window.orderBy(F.desc("score"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = items.groupBy("score", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    k = F.row_number().over(Window.partitionBy("score", "bucket").orderBy("base")) - 1 + F.col("offset")
+    day = F.date_format(F.date_add(F.lit("2026-01-05").cast("date"), F.floor(F.col("k") / PER_DAY).cast("int")), "yyyy-MM-dd")
+    at = F.concat(day, F.lit("T"), F.get(F.array(*map(F.lit, TIMES)), (F.col("k") % PER_DAY).cast("int")), F.lit(":00"))
+    return items.join(sizes, ["score", "bucket"]).withColumn("k", k).select("base", "media", "score", at.alias("publish_at"), "title")
 
 
 @Q.add(

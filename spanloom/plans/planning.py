@@ -33,10 +33,17 @@ def callouts(spark: SparkSession, sf_dir: str, w: DataFrame) -> DataFrame:
 
 
 def semantic(w: DataFrame, mode: str) -> DataFrame:
-    money = words.lexicon_hits(w, P.TABLE_MONEY, True, mode).select("source_id", F.col("start_ms").alias("t"), F.lit("cash-register").alias("slot"))
-    return money.unionByName(words.lexicon_hits(w, P.TABLE_NEGATIVE, False, mode).select("source_id", F.col("start_ms").alias("t"), F.lit("wrong-answer").alias("slot")))
+    """Both lists' events of the words, in one pass over them."""
+    bare = words.stem(F.col("text"), ".,!?:;\"')")
+    money = bare.isin(list(P.TABLE_MONEY)) | bare.contains("$") | bare.rlike(r"^\d+[km]?$")
+    slots = F.array_compact(F.array(F.when(money, F.lit("cash-register")), F.when(bare.isin(list(P.TABLE_NEGATIVE)), F.lit("wrong-answer"))))
+    found = w.select("source_id", "pos", F.col("start_ms").alias("t"), F.explode(slots).alias("slot"))
+    if mode == "sparing":
+        found = found.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "slot").orderBy("pos"))).where("k = 1")
+    return found.select("source_id", "t", "slot")
 
 
+FILES = ", ".join(f"('{k}', {n})" for k, n in P.SLOT_FILES.items())
 GAINS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SLOT_GAIN.items())
 
 
@@ -52,7 +59,9 @@ def sound_events(mode: str):
         every = hook.unionByName(come).unionByName(go).unionByName(semantic(w, mode)).withColumnRenamed("t", "t_ms").withColumn("t_ms", F.col("t_ms").cast("long"))
         kept = intervals.apart(every, "source_id")
         order = Window.partitionBy("source_id", "slot").orderBy("t_ms")
-        return kept.select("source_id", "t_ms", "slot", T.lookup(F.col("slot"), {k: str(v) for k, v in P.SLOT_GAIN.items()}, "1.0").cast("double").alias("gain"), ((F.row_number().over(order) - 1) % 3).alias("variant"))
+        number = lambda of, other: T.lookup(F.col("slot"), {k: str(v) for k, v in of.items()}, other)
+        kept = kept.withColumn("n", number(P.SLOT_FILES, "0").cast("int")).where("n > 0")
+        return kept.select("source_id", "t_ms", "slot", number(P.SLOT_GAIN, "1.0").cast("double").alias("gain"), ((F.row_number().over(order) - 1) % F.col("n")).alias("variant"))
 
     plan.__doc__ = sound_events.__doc__
     return plan
@@ -66,7 +75,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY t, slot) AS k
 g(source_id, k, lt, ls, kept) AS (SELECT source_id, k, t, slot, true FROM o WHERE k = 1 UNION ALL
   SELECT o.source_id, o.k, CASE WHEN o.slot = ls AND o.t - lt < 80 THEN lt ELSE o.t END, CASE WHEN o.slot = ls AND o.t - lt < 80 THEN ls ELSE o.slot END, NOT (o.slot = ls AND o.t - lt < 80) FROM g JOIN o ON o.source_id = g.source_id AND o.k = g.k + 1),
 f AS (SELECT source_id, t, slot FROM o JOIN g USING (source_id, k) WHERE kept)
-SELECT source_id, CAST(t AS BIGINT) AS t_ms, slot, CAST(CASE slot {GAINS} ELSE 1.0 END AS DOUBLE) AS gain, CAST((row_number() OVER (PARTITION BY source_id, slot ORDER BY t) - 1) % 3 AS INTEGER) AS variant FROM f"""
+SELECT source_id, CAST(t AS BIGINT) AS t_ms, slot, CAST(CASE slot {GAINS} ELSE 1.0 END AS DOUBLE) AS gain, CAST((row_number() OVER (PARTITION BY source_id, slot ORDER BY t) - 1) % n AS INTEGER) AS variant FROM f JOIN (VALUES {FILES}) v(slot, n) USING (slot)"""
 
 
 Q.put("sound_events_sparing", sound_events("sparing"), sound_sql("sparing"))  # PLN1, SEQ3, WIN13, WIN14, TIM8

@@ -38,7 +38,7 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf"""SELECT p_partkey, trim(regexp_replace(translate(replace(lower(p_name || ' É' || p_type), 'ß', 'ss'), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '-')[1:40] AS slug,
   regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, regexp_matches(p_type, '[$£€]|[0-9]') AS has_number, length(p_name) AS n,
   CASE WHEN length(p_name) <= 12 THEN repeat('*', length(p_name)) ELSE p_name[1:4] || '...' || p_name[-4:] END AS hidden,
-  md5(p_brand) || '.jpg' AS cache_path, sha1(p_type) AS type_sha1,
+  sha1(p_type) AS type_sha1,
   'rgba(245, 200, 66, ' || CAST(p_size AS VARCHAR) || ')' AS tint, upper(p_name) || chr(10) || chr(10) || 'Follow for more.' AS caption FROM part"""
 )
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,6 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").rlike("[$£€]|[0-9]").alias("has_number"),
         F.length(name).cast("long").alias("n"),
         T.redacted(name).alias("hidden"),
-        F.concat(F.md5("p_brand"), F.lit(".jpg")).alias("cache_path"),
         F.sha1("p_type").alias("type_sha1"),
         T.with_alpha(F.lit("#f5c842"), F.col("p_size")).alias("tint"),
         F.concat(F.upper(name), F.lit("\n\nFollow for more.")).alias("caption"),
@@ -168,20 +167,22 @@ tt AS (SELECT source_id, k, max(end_ms) * k // 9 AS t FROM words, (SELECT unnest
 SELECT tt.source_id, CAST(k AS INTEGER) AS k, coalesce(min(chunk) FILTER (t BETWEEN s - 50 AND e + 250), max(chunk) FILTER (t > e)) AS chunk FROM tt LEFT JOIN ch ON ch.source_id = tt.source_id AND s - 50 <= t GROUP BY tt.source_id, k"""
 )
 def chunk_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN16: the first chunk a time lies in, else the last one before it; along one sorted stream of chunks and times.
-    Chunks follow one another, so the candidates are the last two that have opened."""
+    """WIN16: the first chunk that ends 250 ms before a time at the earliest, if it has begun 50 ms after it at the latest; else the last one that ended before.
+    Chunks follow one another, so both are neighbours in one sorted stream of chunks' ends and times, looked at from either side."""
     w = timeline(spark, sf_dir)
-    ch = w.groupBy("source_id", F.floor(F.col("pos") / 5).alias("chunk")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
-    order = Window.partitionBy("source_id").orderBy("chunk")
-    ch = ch.withColumn("c", F.struct("chunk", "e", F.lag("chunk").over(order).alias("chunk1"), F.lag("e").over(order).alias("e1"), F.lag("chunk", 2).over(order).alias("chunk2"), F.lag("e", 2).over(order).alias("e2"), F.lag("chunk", 3).over(order).alias("chunk3"), F.lag("e", 3).over(order).alias("e3")))
+    ch = w.groupBy("source_id", F.floor(F.col("pos") / 5).alias("chunk")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e")).withColumn("c", F.struct("chunk", "s", "e"))
     times = w.groupBy("source_id").agg(F.max("end_ms").alias("l")).select("source_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"), "l").withColumn("t", F.expr("l * k div 9"))
-    kind = dict(ch.dtypes)["c"]
-    stream = ch.select("source_id", (F.col("s") - 50).alias("at"), F.lit(0).alias("k"), "c").unionByName(times.select("source_id", F.col("t").alias("at"), "k", F.lit(None).cast(kind).alias("c")))
-    seen = stream.withColumn("o", F.last("c", True).over(Window.partitionBy("source_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0))).where("k > 0")
-    t, held = F.col("at"), F.lit(None).cast("long")
-    for x in ("", "1", "2", "3"):  # the earliest that still holds wins
-        held = F.when(t <= F.col(f"o.e{x}") + 250, F.col(f"o.chunk{x}")).otherwise(held)
-    return seen.select("source_id", "k", F.coalesce(held, "o.chunk").alias("chunk"))
+    none = F.lit(None).cast(dict(ch.dtypes)["c"])
+
+    def seen(shift: int, forth: bool) -> DataFrame:
+        """Of each time the nearest chunk whose end, shifted, stands at it or behind it, or before it."""
+        stream = ch.select("source_id", (F.col("e") + shift).alias("at"), F.lit(0).alias("k"), "c").unionByName(times.select("source_id", F.col("t").alias("at"), "k", none.alias("c")))
+        order = (F.col("at"), F.desc("k")) if forth else (F.desc("at"), F.asc("k"))
+        return stream.withColumn("o", F.last("c", True).over(Window.partitionBy("source_id").orderBy(*order, "c.chunk").rowsBetween(Window.unboundedPreceding, 0))).where("k > 0").select("source_id", "k", "at", "o")
+
+    ahead, behind = seen(250, False), seen(0, True)
+    both = ahead.join(behind.select("source_id", "k", F.col("o").alias("p")), ["source_id", "k"])
+    return both.select("source_id", "k", F.when(F.col("o.s") - 50 <= F.col("at"), F.col("o.chunk")).otherwise(F.col("p.chunk")).alias("chunk"))
 
 
 @Q.add(

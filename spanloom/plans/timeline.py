@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType
 
 from spanloom.functions import params as P
+from spanloom.functions import text as T
 from spanloom.operators import intervals, words
+from spanloom.operators.folds import along
 from spanloom.plans.common import Queries, quoted, table
 
 Q = Queries()
@@ -143,8 +146,8 @@ def segment_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SNAP = """,
-ends AS (SELECT source_id, max(end_ms) AS l FROM words GROUP BY source_id),
-targets AS (SELECT source_id, k AS target, l * k // 7 AS t_ms, k % 2 = 1 AS after FROM ends, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 9]) AS k)),
+ends AS (SELECT source_id, max(end_ms) AS l, count(*) AS nw FROM words GROUP BY source_id),
+targets AS (SELECT source_id, nw, k AS target, l * k // 7 AS t_ms, k % 2 = 1 AS after FROM ends, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 9]) AS k)),
 g AS (SELECT *, lead(start_ms) OVER (PARTITION BY source_id ORDER BY pos) AS ns FROM words),
 gaps AS (SELECT source_id, pos, text, ns - end_ms AS gap, end_ms + ns AS mid2 FROM g WHERE ns > end_ms),
 c AS (SELECT t.source_id, target, pos, mid2, gap, text, abs(mid2 - 2 * t_ms) AS d, after AND mid2 >= 2 * t_ms AS wide, after FROM targets t JOIN gaps USING (source_id)),
@@ -153,7 +156,7 @@ tier AS (SELECT *, CASE
     WHEN gap >= 350 AND d <= CASE WHEN wide THEN 3600 ELSE 1200 END THEN 1
     WHEN d <= CASE WHEN wide THEN 6000 ELSE 3000 END THEN 2 WHEN d <= CASE WHEN wide THEN 9600 ELSE 6000 END THEN 3 END AS tier FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id, target ORDER BY tier IS NULL, tier, CASE WHEN tier IS NULL THEN d WHEN wide THEN d * 7 WHEN after THEN d * 13 ELSE d * 10 END, pos) AS k FROM tier),
-snapped AS (SELECT t.*, r.mid2, r.tier FROM targets t LEFT JOIN (SELECT * FROM r WHERE k = 1) r USING (source_id, target))"""
+snapped AS (SELECT t.source_id, target, t_ms, after, CASE WHEN nw < 2 THEN 2 * t_ms ELSE r.mid2 END AS mid2, r.tier FROM targets t LEFT JOIN (SELECT source_id, target, mid2, tier FROM r WHERE k = 1) r USING (source_id, target))"""
 
 
 def targets(w: DataFrame) -> DataFrame:
@@ -212,65 +215,86 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.phrase_hits(timeline(spark, sf_dir), phrases)
 
 
-def transcript(marker_ms: int):
-    """SEQ1, SEQ2. Marks at a word that starts so long after the last mark's word: one fold along each source's words."""
+def spoken(marked: DataFrame, line: str, second: str) -> DataFrame:
+    """Words (source_id, pos, text, start_ms, line) to one row a line: its start, a mark made of it, and its words."""
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    lines = marked.groupBy("source_id", line).agg(F.min("start_ms").alias("start_ms"), joined.alias("words"), F.min_by("code", "pos").alias("code") if "code" in marked.columns else F.lit(None).alias("code"))
+    return lines.select("source_id", line, "code", F.concat(F.lit("\n[t="), F.expr(second).cast("string"), F.lit("s]\n")).alias("mark"), "words")
+
+
+def whole(lines: DataFrame, line: str, shown: Column) -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(line, shown.alias("shown")))), lambda x: x["shown"]), "\n")
 
-    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = timeline(spark, sf_dir).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start_ms"))).alias("r"))
-        start = F.struct(F.lit(-marker_ms).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
 
-        def add(a, x):
-            mark = x["start_ms"] - a["last"] >= marker_ms
-            return F.struct(F.when(mark, x["start_ms"]).otherwise(a["last"]).alias("last"), (a["n"] + mark.cast("long")).alias("n"), (a["total"] + F.when(mark, x["start_ms"]).otherwise(0)).alias("total"))
+def transcript(marker_ms: int, second: str):
+    """SEQ1, SEQ2. The transcript with a mark at each word that starts so long after the last mark's word: one fold along each source's words."""
 
-        made = w.select("source_id", F.aggregate("r", start, add).alias("m"))
-        return made.select("source_id", F.col("m.n").alias("n_markers"), F.col("m.last").alias("last_marker_ms"), F.col("m.total").alias("marker_sum"))
+    def step(last: list, start: int) -> bool:
+        if start - last[0] < marker_ms:
+            return False
+        last[0] = start
+        return True
+
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        w = timeline(spark, sf_dir).select("source_id", "pos", "text", "start_ms")
+        marked = along(w, "source_id", ["pos"], ["start_ms"], "mark", BooleanType(), lambda: [-marker_ms], step)
+        marked = marked.withColumn("line", F.sum(F.col("mark").cast("int")).over(words.by_pos().rowsBetween(Window.unboundedPreceding, 0)))
+        lines = spoken(marked, "line", second)
+        made = lines.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_markers"), whole(lines, "line", F.concat("mark", "words")).alias("text"))
+        return made.select("source_id", "n_markers", F.substr("text", F.lit(2)).alias("text"))
 
     plan.__doc__ = transcript.__doc__
     return plan
 
 
-def transcript_sql(ms: int) -> str:
+def transcript_sql(ms: int, second: str) -> str:
     return f"""WITH RECURSIVE {WORDS.strip()},
 m(source_id, mk) AS (
   SELECT source_id, min(start_ms) FROM words GROUP BY source_id
-  UNION ALL SELECT m.source_id, (SELECT min(w.start_ms) FROM words w WHERE w.source_id = m.source_id AND w.start_ms >= m.mk + {ms}) FROM m WHERE m.mk IS NOT NULL)
-SELECT source_id, count(*) AS n_markers, max(mk) AS last_marker_ms, CAST(sum(mk) AS BIGINT) AS marker_sum FROM m WHERE mk IS NOT NULL GROUP BY source_id"""
+  UNION ALL SELECT m.source_id, (SELECT min(w.start_ms) FROM words w WHERE w.source_id = m.source_id AND w.start_ms >= m.mk + {ms}) FROM m WHERE m.mk IS NOT NULL),
+l AS (SELECT w.source_id, m.mk, string_agg(w.text, ' ' ORDER BY w.pos) AS line FROM words w ASOF JOIN (SELECT * FROM m WHERE mk IS NOT NULL) m ON w.source_id = m.source_id AND w.start_ms >= m.mk GROUP BY ALL)
+SELECT source_id, count(*) AS n_markers, ltrim(string_agg(chr(10) || '[t=' || CAST({second} AS BIGINT) || 's]' || chr(10) || line, chr(10) ORDER BY mk), chr(10)) AS text FROM l GROUP BY source_id"""
 
 
-Q.put("transcript_markers_10s", transcript(10_000), transcript_sql(10_000))  # SEQ1
-Q.put("transcript_markers_8s", transcript(8_000), transcript_sql(8_000))  # SEQ2
+Q.put("transcript_10s", transcript(10_000, "start_ms div 1000"), transcript_sql(10_000, "mk // 1000"))  # SEQ1
+Q.put("transcript_8s", transcript(8_000, "cast(bround(start_ms / 1000) as long)"), transcript_sql(8_000, "round_even(mk / 1000.0, 0)"))  # SEQ2, TIM9
+
 
 @Q.add(
     f"""WITH RECURSIVE {WORDS.strip()},
 l AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY source_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS c FROM words),
-b(source_id, pos, start_ms, c, last, marks) AS (
-  SELECT source_id, pos, start_ms, c, CAST(-10 AS BIGINT), CAST(0 AS BIGINT) FROM l WHERE pos = 0
+b(source_id, pos, start_ms, c, last, before) AS (
+  SELECT source_id, pos, start_ms, c, CAST(-10 AS BIGINT), CAST(NULL AS BOOLEAN) FROM l WHERE pos = 0
   UNION ALL
-  SELECT source_id, x.pos, x.start_ms, x.c, CASE WHEN start_ms // 1000 - last >= 9 THEN start_ms // 1000 ELSE last END, marks + CASE WHEN start_ms // 1000 - last >= 9 THEN 1 ELSE 0 END
-  FROM (SELECT b.*, (SELECT min({{'pos': l.pos, 'start_ms': l.start_ms, 'c': l.c}}) FROM l WHERE l.source_id = b.source_id AND l.pos > b.pos AND (l.start_ms - b.start_ms > 10000 OR l.c - b.c - 1 > 350)) AS x FROM b) WHERE x IS NOT NULL)
-SELECT source_id, count(*) AS n_blocks, max(marks) + 1 AS n_markers, CAST(sum(pos) AS BIGINT) AS starts FROM b GROUP BY source_id"""
+  SELECT source_id, x.pos, x.start_ms, x.c, CASE WHEN start_ms // 1000 - last >= 9 THEN start_ms // 1000 ELSE last END, start_ms // 1000 - last >= 9
+  FROM (SELECT b.*, (SELECT min({{'pos': l.pos, 'start_ms': l.start_ms, 'c': l.c}}) FROM l WHERE l.source_id = b.source_id AND l.pos > b.pos AND (l.start_ms - b.start_ms > 10000 OR l.c - b.c - 1 > 350)) AS x FROM b) WHERE x IS NOT NULL),
+k AS (SELECT source_id, pos AS block, start_ms, coalesce(lead(before) OVER (PARTITION BY source_id ORDER BY pos), true) AS marked FROM b),
+t AS (SELECT w.source_id, block, k.start_ms, marked, string_agg(w.text, ' ' ORDER BY w.pos) AS line FROM words w ASOF JOIN k ON w.source_id = k.source_id AND w.pos >= k.block GROUP BY ALL)
+SELECT source_id, count(*) AS n_blocks, count(*) FILTER (marked) AS n_markers, string_agg(CASE WHEN marked THEN chr(10) || '[t=' || start_ms // 1000 || 's]' || chr(10) ELSE '' END || line, chr(10) ORDER BY block) AS text FROM t GROUP BY source_id"""
 )
 def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ6: a block ends when it is ten seconds old or longer than 350 characters; it gets a mark nine seconds after the last one, the last block always."""
-    w = timeline(spark, sf_dir).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start_ms", F.length("text").alias("n")))).alias("r"))
-    zero = F.struct(F.lit(0).cast("long").alias("begin"), F.lit(-1).cast("long").alias("size"), F.lit(-10).cast("long").alias("last"), F.lit(0).cast("long").alias("marks"), F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("starts"))
-
-    def add(a, x):
-        ends = (x["start_ms"] - a["begin"] > 10000) | (a["size"] > 350)
-        second = F.floor(a["begin"] / 1000)
-        marks = ends & (second - a["last"] >= 9)
-        return F.struct(
-            F.when(ends, x["start_ms"]).otherwise(a["begin"]).alias("begin"),
-            (F.when(ends, F.lit(-1)).otherwise(a["size"]) + x["n"] + 1).cast("long").alias("size"),
-            F.when(marks, second).otherwise(a["last"]).alias("last"),
-            (a["marks"] + marks.cast("long")).alias("marks"),
-            (a["blocks"] + ends.cast("long")).alias("blocks"),
-            (a["starts"] + F.when(ends, x["pos"]).otherwise(0)).alias("starts"),
-        )
-
-    made = w.select("source_id", F.aggregate("r", zero, add).alias("m"))
-    return made.select("source_id", F.col("m.blocks").alias("n_blocks"), (F.col("m.marks") + 1).alias("n_markers"), F.col("m.starts").alias("starts"))
+
+    def step(s: list, start: int, size: int) -> int:
+        """0: the block goes on; 1: a new one, no mark for the one before; 2: a new one, and a mark."""
+        if s[0] is None:
+            s[:] = start, size, -10
+            return 1
+        if start - s[0] <= 10_000 and s[1] <= 350:
+            s[1] += size + 1
+            return 0
+        second = s[0] // 1000
+        marks = second - s[2] >= 9
+        s[:] = start, size, second if marks else s[2]
+        return 1 + marks
+
+    w = timeline(spark, sf_dir).select("source_id", "pos", "text", "start_ms", F.length("text").alias("size"))
+    coded = along(w, "source_id", ["pos"], ["start_ms", "size"], "code", LongType(), lambda: [None, 0, 0], step)
+    coded = coded.withColumn("block", F.sum((F.col("code") > 0).cast("int")).over(words.by_pos().rowsBetween(Window.unboundedPreceding, 0)))
+    lines = spoken(coded, "block", "start_ms div 1000")
+    marked = lines.withColumn("marked", F.coalesce(F.lead("code").over(Window.partitionBy("source_id").orderBy("block")) == 2, F.lit(True)))
+    shown = F.concat(F.when(F.col("marked"), F.col("mark")).otherwise(""), "words")
+    return marked.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if("marked").alias("n_markers"), whole(marked, "block", shown).alias("text"))
 
 
 EVENTS = """
@@ -368,11 +392,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_ms, slot, eve
 g(user_id, k, t, s, kept) AS (SELECT user_id, k, t_ms, slot, true FROM o WHERE k = 1 UNION ALL
   SELECT o.user_id, o.k, CASE WHEN o.slot = s AND o.t_ms - t < 80 THEN t ELSE o.t_ms END, CASE WHEN o.slot = s AND o.t_ms - t < 80 THEN s ELSE o.slot END, NOT (o.slot = s AND o.t_ms - t < 80) FROM g JOIN o ON o.user_id = g.user_id AND o.k = g.k + 1),
 f AS (SELECT user_id, t_ms, slot, event_id FROM o JOIN g USING (user_id, k) WHERE kept)
-SELECT user_id, CAST(t_ms AS BIGINT) AS t_ms, slot, event_id, CAST((row_number() OVER (PARTITION BY user_id, slot ORDER BY t_ms, event_id) - 1) % 3 AS INTEGER) AS variant FROM f"""
+SELECT user_id, CAST(t_ms AS BIGINT) AS t_ms, slot, event_id, CAST((row_number() OVER (PARTITION BY user_id, slot ORDER BY t_ms, event_id) - 1) % n AS INTEGER) AS variant FROM f JOIN (VALUES ('signup', 1), ('purchase', 2), ('view', 3), ('click', 4)) v(slot, n) USING (slot)"""
 )
 def spaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ3, WIN12, WIN14, SRT2."""
     e = table(spark, sf_dir, "events").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 7200 * 40").alias("t_ms"), F.col("event_type").alias("slot"), "event_id")
     kept = intervals.apart(e, "user_id")
     order = Window.partitionBy("user_id", "slot").orderBy("t_ms", "event_id")
-    return kept.select("user_id", "t_ms", "slot", "event_id", ((F.row_number().over(order) - 1) % 3).alias("variant"))
+    n = T.lookup(F.col("slot"), {"signup": "1", "purchase": "2", "view": "3", "click": "4"}, "0").cast("int")  # a slot without a file gives no event
+    return kept.withColumn("n", n).where("n > 0").select("user_id", "t_ms", "slot", "event_id", ((F.row_number().over(order) - 1) % F.col("n")).alias("variant"))

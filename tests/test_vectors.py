@@ -27,7 +27,9 @@ def test_snap(spark):
     assert snapped(spark, w, 1.05, True) > 1.5
     w = said(spark, ("intro.", 0, 0.5), ("Here", 1.0, 1.3), ("we", 1.32, 1.5), ("go", 1.52, 1.8))
     assert 0.5 <= snapped(spark, w, 0.8, False) <= 1.0
-    assert snapped(spark, said(spark, ("one", 4, 5)), 5.0, True) is None
+    assert snapped(spark, said(spark, ("one", 4, 5)), 5.0, True) == 5.0
+    assert snapped(spark, said(spark, ("one", 4, 5)).limit(0), 5.0, False) == 5.0
+    assert snapped(spark, said(spark, ("one", 4, 5), ("two", 5, 6)), 5.0, True) is None
     far = said(spark, ("a", 0, 1), ("b", 2, 3), ("c", 3, 4))
     assert snapped(spark, far, 600.0, True) == 1.5
 
@@ -49,6 +51,49 @@ def test_fillers(spark):
     assert cuts(words.filler_cuts(said(spark, ("a", 0, 1), ("a", 1, 2), ("a", 2, 3)), ["a a"])) == [(1, 1999)]
 
 
+def plain_fillers(stems, fillers):
+    """(first word, words) of each filler, from left to right."""
+    at, out, phrases = 0, [], [f.split() for f in fillers if " " in f]
+    while at < len(stems):
+        n = 1 if stems[at] in fillers else next((len(p) for p in phrases if stems[at : at + len(p)] == p), 0)
+        if n:
+            out.append((at, n))
+        at += max(n, 1)
+    return out
+
+
+@pytest.mark.parametrize("fillers", [["you know what"], ["um", "you know what", "you know"], ["a", "you you", "you know what i", "know what"]])
+def test_fillers_of_any_length(spark, fillers):
+    import random
+
+    r = random.Random(3)
+    texts = ["you", "know", "what", "you", "know", "what", *r.choices(["you", "Know", "what?", "i", "a", "um,"], k=400)]
+    w = said(spark, *[(t, k, k + 0.5) for k, t in enumerate(texts)])
+    want = []
+    for k, n in plain_fillers([t.lower().rstrip(",?") for t in texts], fillers):
+        want.append((max(1000 * k - 60, 1000 * k - 499 if k else 1), 1000 * (k + n - 1) + 560))
+    assert cuts(words.filler_cuts(w, fillers)) == want and len(want) > 3
+    assert cuts(words.all_cuts(w, fillers).where("kind = 'filler'")) == want
+
+
+def test_slices_by_cells(spark):
+    w = said(spark, ("a", 0, 1), ("b", 59, 61), ("c", 60, 61), ("d", 200, 201), ("e", 119.9, 120))
+    s = spark.createDataFrame([(1, 0, 60_000, 201_000), (1, 1, 0, 60_999), (1, 2, 0, 120_000)], "source_id long, seg_no int, seg_start long, seg_end long")
+    got = sorted((x.seg_no, x.pos, x.start_ms) for x in words.slice_segments(w, s).collect())
+    assert got == [(0, 2, 0), (0, 3, 140_000), (0, 4, 59_900), (1, 0, 141_000), (2, 0, 201_999), (2, 1, 260_999), (2, 2, 261_999), (2, 4, 321_899)]
+
+
+def test_folds_take_linear_time(spark):
+    import time
+
+    began = time.perf_counter()
+    e = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") * 30).alias("t_ms"), F.lit("a").alias("slot"))
+    assert intervals.apart(e, "k").count() == 66_667
+    g = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") * 30).alias("start_ms"), (F.col("id") * 30 + 45).alias("end_ms"), "id")
+    assert intervals.greedy(g, "k", "id").count() == 100_000
+    assert time.perf_counter() - began < 30
+
+
 def test_one_pass_is_the_three(spark):
     import random
 
