@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -23,6 +24,8 @@ SECRETS = {
     "Bearer token": r"Bearer\s+[A-Za-z0-9._\-]{30,}",
     "Suspicious secret assignment": r"(?i)(?:password|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\s*[=:]\s*['\"]?([A-Za-z0-9+/=_\-]{30,})['\"]?",
 }
+#: Endings of an address that are kept, in the order they are looked for.
+ENDINGS = (".svg", ".png", ".jpg", ".jpeg", ".webp", ".json")
 OPT_OUT = r"(?i)#\s*(pragma:\s*allowlist\s*secret|noqa:\s*secrets)\b"
 
 
@@ -124,3 +127,47 @@ def with_alpha(color: Column, alpha: Column) -> Column:
     """#rrggbb to rgba(r, g, b, alpha)."""
     part = lambda k: F.conv(F.substring(color, k, 2), 16, 10)
     return F.concat(F.lit("rgba("), part(2), F.lit(", "), part(4), F.lit(", "), part(6), F.lit(", "), alpha.cast("string"), F.lit(")"))
+
+
+def cache_path(url: Column) -> Column:
+    """SHA-1 of an address, and the ending that it shows before a query."""
+    low, ending = F.substring_index(F.lower(url), "?", 1), F.lit("")
+    for e in reversed(ENDINGS):
+        ending = F.when(F.endswith(low, F.lit(e)), e).otherwise(ending)
+    return F.concat(F.sha1(url), ending)
+
+
+def every_string(x: str | Column, kind: T.DataType, change: Callable[[Column], Column]) -> Column:
+    """x, of a given type, with every string in it changed: in structs, arrays and the values of maps, at any depth."""
+    x = F.col(x) if isinstance(x, str) else x
+    if isinstance(kind, T.StringType):
+        return change(x)
+    if isinstance(kind, T.StructType):
+        made = F.struct(*(every_string(x[f.name], f.dataType, change).alias(f.name) for f in kind.fields))
+        return F.when(x.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: every_string(v, kind.elementType, change))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: every_string(v, kind.valueType, change))
+    return x
+
+
+def fallback_caption(hook: Column, why: Column) -> Column:
+    """Headline in upper case unless it asks, why it is worth while, and the call."""
+    headline = F.when((hook != "") & ~F.endswith(hook, F.lit("?")), F.upper(hook)).otherwise(hook)
+    body = F.when(F.trim(why) != "", F.trim(why)).otherwise("Worth a second look.")
+    return F.concat(headline, F.lit("\n\n"), body, F.lit("\n\nFollow for more."))
+
+
+def with_duration(html: Column, seconds: Column) -> Column:
+    """A template's length, in its attribute and its script, replaced."""
+    html = F.regexp_replace(html, F.lit(r'data-duration="[\d.]+"'), F.concat(F.lit('data-duration="'), seconds, F.lit('"')))
+    return F.regexp_replace(html, F.lit(r"const TOTAL = [\d.]+"), F.concat(F.lit("const TOTAL = "), seconds))
+
+
+def loudness_filter(target: float, peak: float, spread: float, measured: Mapping[str, Column] | None = None) -> Column:
+    """The measuring pass' filter, or the second pass' with what was measured."""
+    head = F.lit(f"loudnorm=I={target}:TP={peak}:LRA={spread}:")
+    if measured is None:
+        return F.concat(head, F.lit("print_format=json"))
+    return F.concat(head, *(F.concat(F.lit(f"{name}="), value, F.lit(":")) for name, value in measured.items()), F.lit("linear=true:print_format=summary"))

@@ -87,28 +87,34 @@ def slot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHECKS = """
 m AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
-v AS (SELECT d.doc_id AS base, strlen(d.text) AS bytes, d.doc_id % 17 <> 0 AS audio, CASE WHEN d.doc_id % 23 = 0 THEN 720 ELSE 1080 END AS w, n_chars / 100.0 AS dur, d.text, m.doc_id IS NOT NULL AS meta, quality FROM documents d LEFT JOIN m USING (doc_id)),
+cap AS (SELECT conv_id, min(text) FILTER (turn = 1) AS caption FROM conversations GROUP BY conv_id),
+th AS (SELECT DISTINCT page_id FROM pages WHERE page_id % 5 <> 0),
+v AS (SELECT d.doc_id AS base, strlen(d.text) AS bytes, d.doc_id % 17 <> 0 AS audio, CASE WHEN d.doc_id % 23 = 0 THEN 720 ELSE 1080 END AS w, n_chars / 100.0 AS dur, caption, m.doc_id IS NOT NULL AS meta, quality, th.page_id IS NOT NULL AS thumb
+  FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN cap ON cap.conv_id = d.doc_id LEFT JOIN th ON th.page_id = d.doc_id),
 i AS (SELECT base, bytes,
-  list_filter([CASE WHEN bytes = 0 THEN 'zero-byte mp4' END, CASE WHEN bytes > 0 AND NOT audio THEN 'no audio stream' END, CASE WHEN bytes > 0 AND w <> 1080 THEN 'dims ' || w || 'x1920 != 1080x1920' END,
-    CASE WHEN bytes > 0 AND dur < 5 THEN 'duration below 5 s' END, CASE WHEN trim(text) = '' THEN 'missing/empty caption .txt' END], lambda x: x IS NOT NULL) AS hard,
-  list_filter([CASE WHEN NOT meta THEN 'missing metadata .json' END, CASE WHEN quality = 0 THEN 'metadata missing title/description' END, CASE WHEN base % 5 = 0 THEN 'missing thumbnail .jpg' END], lambda x: x IS NOT NULL) AS soft FROM v)"""
+  list_filter([CASE WHEN bytes = 0 THEN 'video: empty' END, CASE WHEN bytes > 0 AND NOT audio THEN 'video: silent' END, CASE WHEN bytes > 0 AND w <> 1080 THEN 'video: ' || w || ' wide' END,
+    CASE WHEN bytes > 0 AND dur < 5 THEN 'video: short' END, CASE WHEN trim(coalesce(caption, '')) = '' THEN 'caption: none' END], lambda x: x IS NOT NULL) AS hard,
+  list_filter([CASE WHEN NOT meta THEN 'record: none' END, CASE WHEN quality = 0 THEN 'record: no title' END, CASE WHEN NOT thumb THEN 'thumbnail: none' END], lambda x: x IS NOT NULL) AS soft FROM v)"""
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliverables with the captions, records and thumbnails that go with them: three left joins on the base name."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     m = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.lit(True).alias("meta"))
-    v = d.join(m, "doc_id", "left").withColumn("bytes", F.octet_length("text").cast("long"))
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min(F.when(F.col("turn") == 1, F.col("text"))).alias("caption"))
+    thumbs = table(spark, sf_dir, "pages").where("page_id % 5 <> 0").select(F.col("page_id").alias("doc_id"), F.lit(True).alias("thumb")).distinct()
+    v = d.join(m, "doc_id", "left").join(c, "doc_id", "left").join(thumbs, "doc_id", "left").withColumn("bytes", F.octet_length("text").cast("long"))
     there, width = F.col("bytes") > 0, F.when(F.col("doc_id") % 23 == 0, 720).otherwise(1080)
     hard = F.array_compact(
         F.array(
-            F.when(~there, "zero-byte mp4"),
-            F.when(there & (F.col("doc_id") % 17 == 0), "no audio stream"),
-            F.when(there & (width != 1080), F.concat(F.lit("dims "), width.cast("string"), F.lit("x1920 != 1080x1920"))),
-            F.when(there & (F.col("n_chars") / 100 < 5), "duration below 5 s"),
-            F.when(F.trim("text") == "", "missing/empty caption .txt"),
+            F.when(~there, "video: empty"),
+            F.when(there & (F.col("doc_id") % 17 == 0), "video: silent"),
+            F.when(there & (width != 1080), F.concat(F.lit("video: "), width.cast("string"), F.lit(" wide"))),
+            F.when(there & (F.col("n_chars") / 100 < 5), "video: short"),
+            F.when(F.trim(F.coalesce("caption", F.lit(""))) == "", "caption: none"),
         )
     )
-    soft = F.array_compact(F.array(F.when(F.col("meta").isNull(), "missing metadata .json"), F.when(F.col("quality") == 0, "metadata missing title/description"), F.when(F.col("doc_id") % 5 == 0, "missing thumbnail .jpg")))
+    soft = F.array_compact(F.array(F.when(F.col("meta").isNull(), "record: none"), F.when(F.col("quality") == 0, "record: no title"), F.when(F.col("thumb").isNull(), "thumbnail: none")))
     return v.select(F.col("doc_id").alias("base"), "bytes", hard.alias("hard"), soft.alias("soft"))
 
 
@@ -121,7 +127,7 @@ def status() -> Column:
 
 @Q.add(f"WITH {CHECKS.strip()} SELECT base, {STATUS} AS status, array_to_string(list_concat(hard, soft), '; ') AS issues FROM i")
 def deliverable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN11, JOI11, FLT13, FLT17, FLT18."""
+    """PLN11, JOI11, FLT13."""
     return checked(spark, sf_dir).select("base", status().alias("status"), F.array_join(F.concat("hard", "soft"), "; ").alias("issues"))
 
 
@@ -219,35 +225,6 @@ def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("rank <= 5").select("o_custkey", "rank", "o_orderkey", "score")
 
 
-CLIPS = """
-raw AS (SELECT o_custkey AS source_id, o_orderkey AS k, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 977 * 1000 END AS start_ms, o_orderkey % 977 * 1000 + CAST(floor(o_totalprice) AS BIGINT) % 200 * 1000 - 2000 AS end_ms, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 10 END AS score, o_orderpriority AS hook FROM orders),
-ok AS (SELECT *, coalesce(score, 5) AS s FROM raw WHERE end_ms > start_ms AND end_ms <= 1000000 + 1000 AND end_ms - start_ms BETWEEN 5000 AND 180000)"""
-
-
-@Q.add(
-    f"""WITH {CLIPS.strip()}
-SELECT source_id, k, CAST(row_number() OVER (PARTITION BY source_id ORDER BY s DESC, k) AS INTEGER) AS rank, start_ms, CAST(end_ms AS BIGINT) AS end_ms, CAST(s AS BIGINT) AS score, CAST(least(start_ms + 10000, end_ms) AS BIGINT) AS hook_end_ms, trim(regexp_replace(lower(hook), '[^a-z0-9]+', '-', 'g'), '-')[1:40] AS slug,
-  CASE WHEN k % 3 = 0 THEN start_ms ELSE start_ms + 1000 END AS first_start_ms, CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END AS n_segments FROM ok"""
-)
-def normalized_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN6, FLT1, FLT3, FLT4, SCL1, SCL37, WIN11: orders in the part of raw clips; segments that don't run forwards are dropped, and the whole clip stands where none is left."""
-    o = table(spark, sf_dir, "orders")
-    raw = o.select(
-        F.col("o_custkey").alias("source_id"),
-        F.col("o_orderkey").alias("k"),
-        F.when(F.col("o_orderkey") % 19 != 0, F.col("o_orderkey") % 977 * 1000).alias("start_ms"),
-        (F.col("o_orderkey") % 977 * 1000 + F.floor("o_totalprice") % 200 * 1000 - 2000).alias("end_ms"),
-        F.coalesce(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 10), F.lit(5)).alias("score"),
-        F.col("o_orderpriority").alias("hook"),
-    )
-    ok = raw.where("end_ms > start_ms and end_ms <= 1001000 and end_ms - start_ms between 5000 and 180000")
-    parts = F.expr("case when k % 3 = 0 then array(struct(end_ms as s, start_ms as e)) else array(struct(start_ms + 1000 as s, end_ms as e), struct(start_ms as s, start_ms + 1000 as e), struct(end_ms as s, end_ms as e)) end")
-    good = F.filter(parts, lambda x: x["e"] > x["s"])
-    good = F.when(F.size(good) > 0, good).otherwise(F.expr("array(struct(start_ms as s, end_ms as e))"))
-    made = ok.withColumn("segments", good).withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "k")))
-    return made.select("source_id", "k", "rank", "start_ms", "end_ms", "score", F.least(F.col("start_ms") + 10000, F.col("end_ms")).alias("hook_end_ms"), T.slug(F.col("hook"), 40).alias("slug"), F.get("segments", F.lit(0))["s"].alias("first_start_ms"), F.size("segments").alias("n_segments"))
-
-
 DETECTIONS = """
 raw AS (SELECT l_suppkey AS clip_id, l_extendedprice / 25.0 AS cx, l_quantity * 40.0 AS cy, 100.0 + l_partkey % 400 AS h FROM lineitem),
 a AS (SELECT *, h >= 180.0 AS p0 FROM raw),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +68,59 @@ def read_ok(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path, bytes, modified, location) of files below root; their contents aren't read."""
+    """(path, bytes, modified, location) of files below root; their contents aren't read. location: pack, for what lies in root's folder of that name."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.when(F.col("path").contains("/pack/"), "pack").otherwise("library").alias("location"))
+    bare = lambda x: F.regexp_replace(x, "^[a-z0-9]+:/+", "/")
+    inside = F.startswith(bare(F.col("path")), bare(F.lit(f"{root.rstrip('/')}/pack/")))
+    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.when(inside, "pack").otherwise("library").alias("location"))
+
+
+def list_roots(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
+    """The files below several roots, each once."""
+    return functools.reduce(DataFrame.union, (list_files(spark, r, pattern) for r in roots)).dropDuplicates(["path"])
+
+
+def read_slides(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(source, slide, kind, start, end) out of JSON files of slides. A file that isn't a list has none, or is an error if strict; a slide whose
+    times aren't numbers has null ones."""
+    text = F.trim("value")
+    files = spark.read.schema("value string").text(path, wholetext=True).select(F.input_file_name().alias("source"), text.alias("t"))
+    slides = F.from_json("t", "array<struct<type:string,start:string,end:string>>")
+    listed = F.startswith("t", F.lit("[")) & slides.isNotNull()
+    checked = F.when(listed, slides).otherwise(F.raise_error(F.concat(F.lit("not a list of slides: "), "source")) if strict else F.lit(None))
+    each = files.select("source", F.posexplode(checked).alias("slide", "x"))
+    return each.select("source", "slide", F.col("x.type").alias("kind"), F.col("x.start").try_cast("double").alias("start"), F.col("x.end").try_cast("double").alias("end"))
+
+
+PROGRESS = "work string, step string, op string, at long"
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """(work, steps: sorted array) by a log of steps done and of works reset: a step counts if it was done after the work's last reset. A log that isn't there yet has none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "work string, steps array<string>")
+    log = spark.read.schema(PROGRESS).parquet(path)
+    last = log.where("op = 'reset'").groupBy("work").agg(F.max("at").alias("since"))
+    done = log.where("op = 'done'").join(last, "work", "left").where("since is null or at > since")
+    return done.groupBy("work").agg(F.sort_array(F.collect_set("step")).alias("steps"))
+
+
+def mark_done(steps: DataFrame, path: str, at: int) -> None:
+    """steps: (work, step). Those not done yet are appended to the log; marking one again adds nothing."""
+    spark = steps.sparkSession
+    known = progress(spark, path).select("work", F.explode("steps").alias("step"))
+    new = steps.select("work", "step").distinct().join(known, ["work", "step"], "left_anti")
+    new.select("work", "step", F.lit("done").alias("op"), F.lit(at).cast("long").alias("at")).write.mode("append").parquet(path)
+
+
+def reset(works: DataFrame, path: str, at: int) -> None:
+    """works: (work). Their steps up to now count no more; the log only grows."""
+    works.select("work", F.lit(None).cast("string").alias("step"), F.lit("reset").alias("op"), F.lit(at).cast("long").alias("at")).distinct().write.mode("append").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -77,7 +130,6 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_missing(df: DataFrame, key: str, path: str) -> None:
     """Only rows whose key the table at path hasn't yet; made if it isn't there."""
     spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if _exists(spark, path):
         df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     df.write.mode("append").parquet(path)

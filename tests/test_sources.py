@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from spanloom.sources import records
 from spanloom.streaming.sessions import sessions
 
@@ -37,6 +39,39 @@ def test_logs_files_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+def test_files_of_several_roots(spark, tmp_path):
+    for name in ("lib/pack/a.wav", "lib/sub/pack/b.wav", "lib/c.wav", "more/d.wav"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    got = sorted((x.path.rsplit("/", 1)[1], x.location) for x in records.list_files(spark, str(tmp_path / "lib"), "*.wav").collect())
+    assert got == [("a.wav", "pack"), ("b.wav", "library"), ("c.wav", "library")]
+    roots = [str(tmp_path / r) for r in ("lib", "lib", "more")]
+    assert records.list_roots(spark, roots, "*.wav").count() == 4
+
+
+def test_slides_of_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"type": "logo", "start": 1.5, "end": "3"}, {"type": "stat", "start": "soon"}]')
+    (tmp_path / "b.json").write_text('{"type": "logo", "start": 1, "end": 2}')
+    got = [(x.slide, x.kind, x.start, x.end) for x in records.read_slides(spark, str(tmp_path)).orderBy("slide").collect()]
+    assert got == [(0, "logo", 1.5, 3.0), (1, "stat", None, None)]
+    with pytest.raises(Exception, match="not a list of slides"):
+        records.read_slides(spark, str(tmp_path), strict=True).collect()
+
+
+def test_progress(spark, tmp_path):
+    log = str(tmp_path / "log")
+    steps = lambda *x: spark.createDataFrame(x, "work string, step string")
+    done = lambda: {x.work: x.steps for x in records.progress(spark, log).collect()}
+    assert done() == {}
+    records.mark_done(steps(("a", "1"), ("a", "2"), ("b", "1"), ("a", "1")), log, 1)
+    records.mark_done(steps(("a", "2"), ("b", "2")), log, 2)
+    assert done() == {"a": ["1", "2"], "b": ["1", "2"]} and spark.read.parquet(log).count() == 4
+    records.reset(spark.createDataFrame([("a",)], "work string"), log, 3)
+    assert done() == {"b": ["1", "2"]}
+    records.mark_done(steps(("a", "1"), ("b", "1")), log, 4)
+    assert done() == {"a": ["1"], "b": ["1", "2"]} and spark.read.parquet(log).count() == 6
+
+
 def test_stream_of_sessions(spark, tmp_path):
     events = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (2, "2024-01-01 05:00:00"), (1, "2024-01-02 00:00:00"), (9, "2024-03-01 00:00:00")]
     df = spark.createDataFrame(events, "user_id long, ts string").selectExpr("user_id", "cast(ts as timestamp) as ts")

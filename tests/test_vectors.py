@@ -160,6 +160,33 @@ def test_text(spark):
     assert one(lambda x: T.human_bytes(F.length(x) * 700), "ab") == "1.4 KB"
 
 
+def test_paths_of_addresses(spark):
+    import hashlib
+
+    one = lambda x: spark.createDataFrame([(x,)], "x string").select(T.cache_path(F.col("x"))).first()[0]
+    for url, ending in (("http://a/b.SVG", ".svg"), ("http://a/b.png?x=.json", ".png"), ("http://a/b.jpeg", ".jpeg"), ("http://a/b.gif", ""), ("http://a/b", "")):
+        assert one(url) == hashlib.sha1(url.encode()).hexdigest() + ending == one(url)
+    assert one("http://a/b") != one("http://a/c")
+
+
+def test_every_string(spark):
+    x = spark.createDataFrame([((1, "a — b", ["c – d", None], {"k": ("e—f", 2.0)}, None),), (None,)], "x struct<n:int,t:string,l:array<string>,m:map<string,struct<s:string,d:double>>,z:struct<q:string>>")
+    y = x.select(T.every_string("x", x.schema["x"].dataType, T.without_dashes).alias("x"))
+    assert y.schema == x.schema or y.schema.simpleString() == x.schema.simpleString()
+    got, none = y.collect()
+    assert none.x is None
+    assert (got.x.n, got.x.t, got.x.l, got.x.m["k"].s, got.x.m["k"].d, got.x.z) == (1, "a, b", ["c, d", None], "e, f", 2.0, None)
+
+
+def test_captions_and_templates(spark):
+    say = lambda h, w: spark.range(1).select(T.fallback_caption(F.lit(h), F.lit(w))).first()[0]
+    assert say("Buy low", " it works ") == "BUY LOW\n\nit works\n\nFollow for more."
+    assert say("Buy low?", "").startswith("Buy low?\n\nWorth")
+    html = spark.range(1).select(T.with_duration(F.lit('<a data-duration="1.5"> const TOTAL = 18.84;'), F.lit("2.50"))).first()[0]
+    assert html == '<a data-duration="2.50"> const TOTAL = 2.50;'
+    assert spark.range(1).select(T.loudness_filter(-14.0, -1.5, 11.0)).first()[0] == "loudnorm=I=-14.0:TP=-1.5:LRA=11.0:print_format=json"
+
+
 def test_times(spark):
     x = spark.range(1).select(C.clamp(F.lit(999), F.lit(0), F.lit(29)).alias("a"), *(c.alias(f"f{k}") for k, c in enumerate(C.frames(F.lit(50), F.lit(60), 30))), C.fade(F.lit(1.0), F.lit(4.0), F.lit(2.0)).alias("d")).first()
     assert (x.a, x.f0, x.f1, x.d) == (29, 2, 1, 0.5)
