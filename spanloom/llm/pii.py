@@ -278,11 +278,13 @@ def _named(spans: Column) -> Column:
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and n_spans: all spans, the method's too."""
     found = find(docs)
     terms = stash(term_spans(docs, found))
     rows = found.drop("entities")
     same = rows.doc_id.eqNullSafe(terms.doc_id) & (rows.tie == terms.tie)
-    return rows.join(terms, same, "left").select(rows.doc_id, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _named(F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms"))).alias("spans"))
+    every = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms"))
+    return rows.join(terms, same, "left").select(rows.doc_id, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _named(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 #: What stands for a span of each kind.

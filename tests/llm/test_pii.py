@@ -73,6 +73,7 @@ def test_op8(spark):
         counts = tuple(sum(k == n for _, k, _ in spans) for n in range(4))
         want.append(((d is None, d or 0), (*counts, hashlib.sha256(pii.joined(spans).encode()).hexdigest()), pii.joined(sorted(spans + extra))))
     assert got == sorted(want)
+    assert all(x.n_spans == len(x.spans.split(",")) * bool(x.spans) for x in pii.op8(docs).collect())
 
 
 def test_sanitise(spark):
