@@ -174,11 +174,12 @@ def _may(table: np.ndarray):
 
 
 def _together(table: np.ndarray):
-    """Over rows (doc, text): (entity, term, context, doc) of the entities that the bit table has and all terms of their documents."""
+    """Over rows (doc, text): (entity, term, context, doc, first) of the entities that the bit table has and all terms of their documents; of a
+    document and a term one row is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "context", "doc"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "context", "doc", "first"])
 
         for batch in rows_of(batches, BATCH_BYTES):
             rows = []
@@ -192,9 +193,9 @@ def _together(table: np.ndarray):
                 if not of:
                     continue
                 terms = {w for w, _, _ in terms_of(text, spans)}
-                for e, found in of.items():
-                    rows += [(e, w, found[0][0], doc) for w in terms]
-                    rows += {(e, w, c, doc) for c, near in found[1:] for w in near & terms}
+                for k, (e, found) in enumerate(of.items()):
+                    rows += [(e, w, found[0][0], doc, int(k == 0)) for w in terms]
+                    rows += {(e, w, c, doc, 0) for c, near in found[1:] for w in near & terms}
                     if len(rows) > 200_000:
                         yield made(rows)
                         rows = []
@@ -220,7 +221,7 @@ def _count(table: np.ndarray):
 
 
 def told(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, entity, together, total, of_entity, n) of the pairs with support, counts over distinct documents."""
+    """(term, entity, together, total, of_entity, n) of the pairs with support (all that can be disclosed), counts over distinct documents."""
     name = F.xxhash64("doc_id", "tie").alias("doc")
     known = found.select(name, F.explode("entities").alias("x")).select("doc", "x.entity", "x.context")
     entities = known.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"), F.count_distinct("context").alias("contexts"))
@@ -230,12 +231,16 @@ def told(docs: DataFrame, found: DataFrame) -> DataFrame:
     once = docs.where("text is not null").select(F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"), "text")
     if not repeated.isEmpty():  # of repeated rows one
         once = once.join(repeated, "doc", "left_anti").union(once.join(repeated, "doc", "left_semi").dropDuplicates(["doc"]))
-    near = once.mapInArrow(_together(bit_table(entities, F.col("entity"), TABLE_BITS)), "entity long, term string, context long, doc long")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("together"))
-    pairs = stash(pairs.where(F.col("contexts") >= SUPPORT))
+    near = once.mapInArrow(_together(bit_table(entities, F.col("entity"), TABLE_BITS)), "entity long, term string, context long, doc long, first long")
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("together"), F.sum("first").alias("first"))
+    # the entities' documents alone that have a term bound its share from above: common words needn't be counted in all documents
+    seen = pairs.groupBy("term").agg(F.sum("first").alias("seen"))
+    most = F.col("together") / F.col("seen")
+    likely = pairs.where(F.col("contexts") >= SUPPORT).join(seen, "term").join(entities, "entity").where((most >= SHARE) & (F.log2(most * n / F.col("of_entity")) >= BITS))
+    pairs = stash(likely.select("entity", "term", "together", "of_entity"))
     table = bit_table(pairs, F.xxhash64("term"), TABLE_BITS)
     totals = once.mapInArrow(_count(table), "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
-    return pairs.join(totals, "term").join(entities, "entity").select("term", "entity", "together", "total", "of_entity", F.lit(n).alias("n"))
+    return pairs.join(totals, "term").select("term", "entity", "together", "total", "of_entity", F.lit(n).alias("n"))
 
 
 def disclosed(docs: DataFrame, found: DataFrame) -> DataFrame:
