@@ -38,6 +38,9 @@ SHARE = 0.5
 SHARE_REMOVED = 0.9
 BITS = 3.0
 TABLE_BITS = 1 << 24
+#: Documents, drawn by their hash, in which terms are counted first. What stands there too often already can't reveal anything; the rest is counted in all.
+FIRST_DOCS = 20_000
+COUNTED_WORDS = 200_000
 BATCH_BYTES = 4 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -206,16 +209,23 @@ def _together(table: np.ndarray):
 
 
 def _count(table: np.ndarray):
-    """Over rows (doc, text), of each slice: words that the bit table has, and in how many documents."""
+    """Over rows (doc, text), of each task (or each COUNTED_WORDS words of it): words that the bit table has, and in how many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = _may(table)
+        may, counts = _may(table), {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
         for batch in rows_of(batches, BATCH_BYTES):
-            counts: dict[str, int] = {}
             for text in batch.column(1):
                 for word in filter(may, {w.lower() for w in TERM.findall(text.as_py())}):
                     counts[word] = counts.get(word, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            if len(counts) > COUNTED_WORDS:
+                yield out()
+                counts = {}
+        if counts:
+            yield out()
 
     return run
 
@@ -238,8 +248,15 @@ def told(docs: DataFrame, found: DataFrame) -> DataFrame:
     most = F.col("together") / F.col("seen")
     likely = pairs.where(F.col("contexts") >= SUPPORT).join(seen, "term").join(entities, "entity").where((most >= SHARE) & (F.log2(most * n / F.col("of_entity")) >= BITS))
     pairs = stash(likely.select("entity", "term", "together", "of_entity"))
-    table = bit_table(pairs, F.xxhash64("term"), TABLE_BITS)
-    totals = once.mapInArrow(_count(table), "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.mapInArrow(_count(bit_table(pairs, F.xxhash64("term"), TABLE_BITS)), "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+
+    # so do some documents, which are few: a count there is one from below
+    first = once.where(F.pmod("doc", F.lit(max(1, n // FIRST_DOCS))) == 0).repartition(4)
+    most = F.col("together") / F.greatest("together", F.coalesce("least", F.lit(0)))
+    pairs = stash(pairs.join(counted(first, "least"), "term", "left").where((most >= SHARE) & (F.log2(most * n / F.col("of_entity")) >= BITS)).drop("least"), [pairs])
+    totals = counted(once, "total")
     return pairs.join(totals, "term").select("term", "entity", "together", "total", "of_entity", F.lit(n).alias("n"))
 
 
