@@ -199,9 +199,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     g = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
     weight = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
     likely = word.select("word", "a", g.alias("g"), weight.alias("weight")).where(f"g >= {LEAST_G} and weight >= 1")
+    likely = stash(likely)
+    few = likely.count() <= 100_000  # some 60 bytes each: broadcast, so that no frequent word's places meet in one task
     # words of one text and its copies stand before the same word each time
     pairs = split.where("toxic = 1").select(F.explode(F.transform("w", lambda w, k: F.struct(w.alias("word"), F.get("w", k + 1).alias("after")))).alias("x")).select("x.*")
-    apart = pairs.join(likely, "word").groupBy("word", "a", "g", "weight").agg(F.count_distinct("after").alias("contexts"))
+    apart = pairs.join(F.broadcast(likely) if few else likely, "word").groupBy("word", "a", "g", "weight").agg(F.count_distinct("after").alias("contexts"))
     top = apart.where(f"contexts >= least(0.6 * a, {CONTEXTS})").orderBy(F.desc("g"), "word").limit(TERMS).collect()
     terms, weights = [r["word"] for r in top], [r["weight"] for r in top]
     schema = "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
