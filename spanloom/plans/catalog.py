@@ -205,7 +205,7 @@ r AS (SELECT k, o_orderkey, row_number() OVER (PARTITION BY k ORDER BY CASE o_or
 SELECT c_custkey, c_name, n_name, o_orderkey AS best_order FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN r ON r.k = c_custkey AND p = 1"""
 )
 def preferred_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI7, JOI8, JOI9, JOI10, TOP1: by preference of kind, then the newest."""
+    """JOI7, JOI8, JOI10, TOP1: by preference of kind, then the newest."""
     o = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     best = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by("o_orderkey", F.struct(kind.alias("kind"), (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("age"), F.col("o_orderkey").alias("tie"))).alias("best_order"))
@@ -246,7 +246,7 @@ SELECT clip_id, n_used, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, CAST
   CAST(round_even(1080.0 / zoom, 0) AS BIGINT) AS crop_w, CAST(round_even(1920.0 / zoom, 0) AS BIGINT) AS crop_h FROM z"""
 )
 def robust_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN9, FLT6, FLT7, FLT8, FLT9, AGG4, AGG5, AGG6, AGG8, TIM14, SRC15."""
+    """PLN9, FLT6, FLT7, FLT8, FLT9, AGG4, AGG5, AGG6, AGG8, TIM14."""
     d = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_extendedprice") / 25.0).alias("cx"), (F.col("l_quantity") * 40.0).alias("cy"), (100.0 + F.col("l_partkey") % 400).alias("h"))
     return stats.robust_center(d, 3840, 2160)
 

@@ -115,7 +115,7 @@ def overlays(c: DataFrame, lengths: DataFrame) -> DataFrame:
 
 @Q.add(f"WITH {WORDS}, {CALLOUTS.strip()}, {OVERLAYS.strip()} SELECT source_id, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM ov")
 def overlay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIM2, TIM3, TIM4, SET5."""
+    """TIM2, TIM3, TIM4."""
     w = timeline(spark, sf_dir)
     return overlays(callouts(spark, sf_dir, w), w.groupBy("source_id").agg(F.max("end_ms").alias("dur")))
 
@@ -140,7 +140,7 @@ k AS (SELECT source_id, pos, start_ms, end_ms, row_number() OVER (PARTITION BY s
 SELECT source_id, pos, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM k WHERE n <= {N_SLIDES}"""
 )
 def slide_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN7, JOI16, FLT11, SEQ4, SEQ5, LIM2: slides at entities' words, fitted into what the overlays leave free, the first few that don't overlap."""
+    """SEQ4, LIM2: slides at entities' words, fitted into what the overlays leave free, the first few that don't overlap."""
     w = timeline(spark, sf_dir)
     lengths = w.groupBy("source_id").agg(F.max("end_ms").alias("dur"))
     gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, w), lengths), lengths.withColumnRenamed("dur", "duration_ms"), "source_id")
@@ -160,7 +160,7 @@ SELECT source_id, n_words, md5(line) AS line_md5, platform,
 FROM b JOIN (VALUES ('tiktok', 0.86, 0.60), ('instagram', 0.84, 0.58), ('youtube', 0.90, 0.62), ('generic', 0.88, 0.60)) v(platform, lim, dt) USING (platform)"""
 )
 def caption_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN8, FLT5, SCL6, TIM15, SCL25: caption words without fillers, and the band they stand in."""
+    """FLT5, SCL6, TIM15: caption words without fillers, and the band they stand in."""
     w = timeline(spark, sf_dir)
     bare = F.btrim(F.lower("text"), F.lit(".,!?;:—-"))
     kept = w.where(~bare.isin([f for f in P.TABLE_FILLERS if " " not in f]))
@@ -186,7 +186,7 @@ SELECT d.doc_id, CAST(coalesce(len(ks), 0) AS INTEGER) AS n_keywords, coalesce(a
 FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id)"""
 )
 def publish_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN14, AGG12, SCL35, LIM3, JOI8: first words of a text's lines as keywords, first occurrence kept, the source put before them."""
+    """PLN14, AGG12, LIM3, JOI8: first words of a text's lines as keywords, first occurrence kept, the source put before them."""
     d = table(spark, sf_dir, "documents")
     first = F.transform(F.split("text", "\n"), lambda s: F.regexp_extract(F.trim(s), "^[^ ]+", 0))
     named = F.filter(first, lambda s: s != "")

@@ -66,7 +66,7 @@ sl AS (SELECT conv_id, turn AS slide, turn * 4100 AS start_ms, turn * 4100 + 200
 SELECT conv_id, slide, start_ms, end_ms FROM sl WHERE end_ms > start_ms AND end_ms <= {DURATION} + 50 AND NOT EXISTS (SELECT 1 FROM co WHERE co.conv_id = sl.conv_id AND sl.start_ms < co.start_ms + co.duration_ms AND sl.end_ms > co.start_ms)"""
 )
 def valid_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT10, JOI5, SRC10: slides that run forwards, end with the clip and meet no callout."""
+    """FLT10, JOI5: slides that run forwards, end with the clip and meet no callout."""
     s = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
     s = s.select("conv_id", F.col("turn").alias("slide"), (F.col("turn") * 4100).alias("start_ms"), (F.col("turn") * 4100 + 2000 - F.col("turn") % 4 * 700).alias("end_ms"))
     c = callouts(spark, sf_dir).select("conv_id", "start_ms", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms"))
@@ -78,7 +78,7 @@ def valid_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE url[-1] WHEN '1' THEN 'bold' WHEN '2' THEN 'minimal' ELSE 'default' END AS style, regexp_replace(url, '[0-9]+', '0.00', 'g') AS timeless FROM pages"""
 )
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT15, FLT16, SRC8, SCL15."""
+    """FLT15, FLT16, SRC8."""
     p = table(spark, sf_dir, "pages")
     magic = F.hex(F.substring(F.encode("html", "UTF-8"), 1, 2))
     large = F.octet_length("html") >= 2048

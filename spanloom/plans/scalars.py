@@ -29,7 +29,7 @@ def dashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add(rf"WITH {SQL_DASHED.strip()} SELECT doc_id, md5(clean) AS clean_md5, CAST(length(clean) AS INTEGER) AS n_clean, md5(trim(bare, ' ' || chr(9) || chr(10) || chr(13))) AS bare_md5 FROM h1")
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL11, SCL12, SCL17."""
+    """SCL11, SCL12."""
     d = dashed(spark, sf_dir).select("doc_id", T.without_dashes(F.col("t")).alias("clean"), T.without_hashtags(F.col("t")).alias("bare"))
     return d.select("doc_id", F.md5("clean").alias("clean_md5"), F.length("clean").alias("n_clean"), F.md5("bare").alias("bare_md5"))
 
@@ -42,7 +42,7 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
   'rgba(245, 200, 66, ' || CAST(p_size AS VARCHAR) || ')' AS tint, upper(p_name) || chr(10) || chr(10) || 'Follow for more.' AS caption FROM part"""
 )
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL1, SCL2, SCL9, SCL13, SCL23, SCL27, SCL31."""
+    """SCL1, SCL2, SCL9, SCL23, SCL27."""
     p = table(spark, sf_dir, "part")
     name = F.col("p_name")
     return p.select(
@@ -81,7 +81,7 @@ SELECT event_id, CAST(json_array_length(arr) AS INTEGER) AS n, CAST(json_extract
   CASE WHEN contains(event_type, 'click') THEN 'tap' WHEN contains(event_type, 'view') THEN 'look' ELSE 'other' END AS hint FROM x"""
 )
 def json_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL20, SCL21, SCL28, SCL29, SCL34."""
+    """SCL20, SCL21, SCL29, SCL34."""
     e = table(spark, sf_dir, "events")
     a = F.concat(F.lit("Here: ```json\n["), "props", F.lit(", "), "props", F.lit("]\n``` done"))
     b = F.concat(F.lit('log\n{"input_i": "'), (F.col("event_id") % 40 - 30).cast("string"), F.lit('"}'))
@@ -105,7 +105,7 @@ def json_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, s_suppkey * s_suppkey * 7919 AS b FROM supplier)"""
 )
 def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL24, SCL25, SCL26, SCL33, SCL36, SCL38."""
+    """SCL24, SCL33, SCL36."""
     b = F.col("s_suppkey") * F.col("s_suppkey") * 7919
     even = F.col("s_suppkey") % 2 == 0
     record = F.to_json(
@@ -130,7 +130,7 @@ SELECT event_id, round(sum(CASE WHEN t <= len THEN sin(pi() * t / len) ELSE 0 EN
   round(sum(greatest(0, least(1, least(t / (len / 4), (len - t) / (len / 4))))), 6) AS fade FROM t GROUP BY event_id"""
 )
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIM11, AGG14, AGG15: curves of each event sampled at ten times."""
+    """TIM11: curves of each event sampled at ten times."""
     e = table(spark, sf_dir, "events").where("value > 0").select("event_id", (F.col("value") * 3).alias("len"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
     e = e.withColumn("t", F.col("i") * 0.3)
     t, n = F.col("t"), F.col("len")
@@ -143,7 +143,7 @@ SELECT source_id, CAST(sum(CAST(floor(s0 * 30 / 1000.0 + 0.5) AS BIGINT)) AS BIG
   CAST(greatest(300, least(max(dur) // 2, max(dur) - 100)) AS BIGINT) AS thumb_ms, CAST(count(*) FILTER (start_ms - 50 <= dur // 2 AND dur // 2 < end_ms + 50) AS BIGINT) AS active, CAST(count(*) FILTER (end_ms + 50 <= dur // 2) AS BIGINT) AS spoken FROM z GROUP BY source_id"""
 )
 def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIM1, TIM7, TIM9, TIM10, TIM12."""
+    """TIM1, TIM7, TIM10, TIM12."""
     whole = Window.partitionBy("source_id")
     w = timeline(spark, sf_dir).withColumn("s0", F.col("start_ms") - F.min("start_ms").over(whole)).withColumn("dur", F.max("end_ms").over(whole))
     first, _ = C.frames(F.col("s0"), F.col("s0"), 30)
@@ -191,7 +191,7 @@ f AS (SELECT k, o, row_number() OVER (PARTITION BY k ORDER BY o) AS r FROM u)
 SELECT k, CAST(o AS INTEGER) AS o, k NOT IN (SELECT r_name FROM region) AS new_key FROM f WHERE r = 1"""
 )
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET3, SET4, SET6, JOI18, SRC17."""
+    """SET3, SET4, SRC17."""
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("k"), F.lit(0).alias("o"))
     r = table(spark, sf_dir, "region")
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("k"), F.lit(2).alias("o"))
@@ -216,7 +216,7 @@ def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(slot AS BIGINT) AS slot, count(*) AS n, string_agg(CAST(file AS VARCHAR), ',' ORDER BY file) AS files FROM a SEMI JOIN e USING (slot, file) GROUP BY slot"""
 )
 def existing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC4, SRC3, SRC9: a pack's files that exist, slots without any gone."""
+    """SRC4: a pack's files that exist, slots without any gone."""
     p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("slot"), F.col("p_partkey").alias("file"), "p_size")
     there = p.where("p_size > 10").select("slot", "file")
     kept = p.select("slot", "file").join(there, ["slot", "file"], "left_semi")

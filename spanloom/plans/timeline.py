@@ -371,7 +371,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add(f"WITH {EVENTS.strip()}, {GAPS.strip()}, {FIT.strip()} SELECT user_id, event_id, start_ms, end_ms FROM fitted")
 def fitted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI6, TIM5, FLT11."""
+    """JOI6, TIM5."""
     return fitted(spark, sf_dir)
 
 
