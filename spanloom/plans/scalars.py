@@ -173,16 +173,14 @@ def chunk_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = w.groupBy("source_id", F.floor(F.col("pos") / 5).alias("chunk")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e")).withColumn("c", F.struct("chunk", "s", "e"))
     times = w.groupBy("source_id").agg(F.max("end_ms").alias("l")).select("source_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("k"), "l").withColumn("t", F.expr("l * k div 9"))
     none = F.lit(None).cast(dict(ch.dtypes)["c"])
-
-    def seen(shift: int, forth: bool) -> DataFrame:
-        """Of each time the nearest chunk whose end, shifted, stands at it or behind it, or before it."""
-        stream = ch.select("source_id", (F.col("e") + shift).alias("at"), F.lit(0).alias("k"), "c").unionByName(times.select("source_id", F.col("t").alias("at"), "k", none.alias("c")))
-        order = (F.col("at"), F.desc("k")) if forth else (F.desc("at"), F.asc("k"))
-        return stream.withColumn("o", F.last("c", True).over(Window.partitionBy("source_id").orderBy(*order, "c.chunk").rowsBetween(Window.unboundedPreceding, 0))).where("k > 0").select("source_id", "k", "at", "o")
-
-    ahead, behind = seen(250, False), seen(0, True)
-    both = ahead.join(behind.select("source_id", "k", F.col("o").alias("p")), ["source_id", "k"])
-    return both.select("source_id", "k", F.when(F.col("o.s") - 50 <= F.col("at"), F.col("o.chunk")).otherwise(F.col("p.chunk")).alias("chunk"))
+    ends = ch.select("source_id", F.explode(F.array(F.struct((F.col("e") + 250).alias("at"), F.col("c").alias("o"), none.alias("p")), F.struct(F.col("e").alias("at"), none.alias("o"), F.col("c").alias("p")))).alias("x"))
+    stream = ends.select("source_id", F.lit(0).alias("k"), "x.*").unionByName(times.select("source_id", "k", F.col("t").alias("at"), none.alias("o"), none.alias("p")))
+    # at one time: the ends 250 ms later stand before the times from behind, the ends themselves behind the times from the front
+    so_far = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy("source_id").orderBy(F.desc("at"), "k", F.desc("o.chunk")).rowsBetween(*so_far)
+    forth = Window.partitionBy("source_id").orderBy("at", F.desc("k"), "p.chunk").rowsBetween(*so_far)
+    seen = stream.withColumn("ahead", F.last("o", True).over(back)).withColumn("behind", F.last("p", True).over(forth)).where("k > 0")
+    return seen.select("source_id", "k", F.when(F.col("ahead.s") - 50 <= F.col("at"), F.col("ahead.chunk")).otherwise(F.col("behind.chunk")).alias("chunk"))
 
 
 @Q.add(
