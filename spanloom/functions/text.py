@@ -24,6 +24,9 @@ SECRETS = {
     "Bearer token": r"Bearer\s+[A-Za-z0-9._\-]{30,}",
     "Suspicious secret assignment": r"(?i)(?:password|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\s*[=:]\s*['\"]?([A-Za-z0-9+/=_\-]{30,})['\"]?",
 }
+#: Endings and names of files that are never scanned for secrets: media, archives, lock files.
+SKIP_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".mp4", ".mkv", ".webm", ".mov", ".wav", ".mp3", ".onnx", ".bin", ".pdf", ".zip", ".tar", ".gz")
+SKIP_NAMES = (".secrets.baseline", "uv.lock", "package-lock.json", "yarn.lock")
 #: Endings of an address that are kept, in the order they are looked for.
 ENDINGS = (".svg", ".png", ".jpg", ".jpeg", ".webp", ".json")
 OPT_OUT = r"(?i)#\s*(pragma:\s*allowlist\s*secret|noqa:\s*secrets)\b"
@@ -86,6 +89,11 @@ def overlay(x: Column, accents: Sequence[str], color: str, upper: bool = True) -
     return F.array_join(F.transform(F.split(x, "\n"), line), "<br>")
 
 
+def skipped(name: Column) -> Column:
+    """Whether a file of that name isn't scanned."""
+    return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(*SKIP_ENDINGS) | name.isin(*SKIP_NAMES)
+
+
 def redacted(x: Column) -> Column:
     return F.when(F.length(x) <= 12, F.repeat(F.lit("*"), F.length(x))).otherwise(F.concat(F.substring(x, 1, 4), F.lit("..."), F.right(x, F.lit(4))))
 
