@@ -32,6 +32,10 @@ def stem(text: Column, drop: str) -> Column:
     return F.rtrim(F.lower(F.trim(text)), F.lit(drop))
 
 
+#: What a list's words may end with.
+EDGES = ".,!?:;\"')"
+
+
 def gaps(words: DataFrame) -> DataFrame:
     """Each positive gap between a word and the next, with its middle in half milliseconds."""
     return words.withColumn("next_ms", F.lead("start_ms").over(by_pos())).where("next_ms > end_ms").withColumn("mid2", F.col("end_ms") + F.col("next_ms"))
@@ -205,7 +209,7 @@ def snap(targets: DataFrame, words: DataFrame) -> DataFrame:
 
 def lexicon_hits(words: DataFrame, lexicon: Sequence[str], numbers: bool = False, mode: str = "every") -> DataFrame:
     """Words of a list (and money amounts); the first of each source only where mode is sparing."""
-    bare = stem(F.col("text"), ".,!?:;\"')")
+    bare = stem(F.col("text"), EDGES)
     hit = bare.isin(list(lexicon))
     if numbers:
         hit = hit | bare.contains("$") | bare.rlike(r"^\d+[km]?$")

@@ -9,7 +9,7 @@ from spanloom.functions import params as P
 from spanloom.functions import text as T
 from spanloom.operators import intervals
 from spanloom.plans.common import Queries, quoted, table
-from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, overlays, semantic
+from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
 
 Q = Queries()
@@ -56,21 +56,23 @@ def entity_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PLN7, JOI16, SEQ5, FLT11, SEQ4, LIM2: slides of entities at their first mention, in the lexicon's order into what the overlays leave free. A mention
     needs the words in a row and the key in the joined text (a logo's between word edges). A logo's name counts once, by its first key that is mentioned; no
     two slides get the same span, and there are CAP at most; of those that overlap the earlier stays."""
-    w = timeline(spark, sf_dir)
-    lengths = w.groupBy("source_id").agg(F.max("end_ms").alias("dur"))
-    gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, w), lengths), lengths.withColumnRenamed("dur", "duration_ms"), "source_id")
-    lexicon = F.broadcast(spark.createDataFrame(ENTITY_ROWS, "k int, type string, key string, name string, len int, n int"))  # fixed
-    bare = F.btrim(F.lower("text"), F.lit(".,!?"))
-    order = Window.partitionBy("source_id").orderBy("pos")
     longest = max(r[-1] for r in ENTITY_ROWS)
-    spoken = w.select("source_id", "pos", "start_ms", bare.alias("b0"))
+    order = Window.partitionBy("source_id").orderBy("pos")
+    spoken = timeline(spark, sf_dir).withColumn("b0", F.btrim(F.lower("text"), F.lit(".,!?")))
     spoken = spoken.withColumns({f"b{k}": F.lead("b0", k).over(order) for k in range(1, longest)})
-    grams = [F.when(F.col(f"b{n - 1}").isNotNull(), F.concat_ws(" ", *(f"b{k}" for k in range(n)))) for n in range(1, longest + 1)]
-    each = spoken.select("source_id", "start_ms", F.explode(F.array_compact(F.array(*(F.when(g.isNotNull(), F.struct(F.lit(n).alias("n"), g.alias("key"))) for n, g in enumerate(grams, 1))))).alias("g"))
-    hits = each.select("source_id", "start_ms", "g.*").join(lexicon, ["n", "key"]).groupBy("source_id", "k", "type", "key", "name", "len").agg(F.min("start_ms").alias("t"))
-    low = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lower(F.array_join(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)), " ")).alias("low"))
-    edged = F.expr(rf"low rlike concat('(^|{EDGE})', key, '($|{EDGE})')".replace("\\", "\\\\"))
-    held = hits.join(low, "source_id").where(F.when(F.col("type") == "person", F.expr("contains(low, key)")).otherwise(edged)).drop("low")
+    grams = [F.concat(*(x for k in range(n) for x in (F.lit(" " if k else "="), F.col(f"b{k}")))) for n in range(1, longest + 1)]
+    m = marks(spoken, *((g, g.isin([f"={key}" for _, _, key, _, _, size in ENTITY_ROWS if size == n])) for n, g in enumerate(grams, 1)))
+    ends = lengths(m)
+    gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, ends), ends), ends.withColumnRenamed("dur", "duration_ms"), "source_id")
+    lexicon = F.broadcast(spark.createDataFrame(ENTITY_ROWS, "k int, type string, key string, name string, len int, n int"))  # fixed
+    first_said = m.where("slot like '=%'").groupBy("source_id", F.expr("substring(slot, 2)").alias("key")).agg(F.min("t").alias("t"))
+    hits = first_said.join(lexicon, "key").select("source_id", "k", "type", "key", "name", "len", "t")
+    # which keys the joined text holds is asked before the join, so that no text is shuffled for it; a lambda's argument is computed once, not for each key
+    said = lambda low, kind, key: F.contains(low, F.lit(key)) & (F.lit(True) if kind == "person" else low.rlike(rf"(^|{EDGE})\Q{key}\E($|{EDGE})"))
+    has = lambda low: F.array_compact(F.array(*(F.when(said(low, kind, key), F.lit(k)) for k, kind, key, *_ in ENTITY_ROWS)))
+    joined = F.lower(F.array_join(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)), " "))
+    ks = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("source_id"), F.transform(F.array(joined), has)[0].alias("ks"))
+    held = hits.join(ks, "source_id").where("array_contains(ks, k)").drop("ks")
     first = F.row_number().over(Window.partitionBy("source_id", F.col("type") == "person", F.when(F.col("type") == "person", F.col("key")).otherwise(F.col("name"))).orderBy("k"))
     once = held.withColumn("r", first).where("r = 1")
     want = once.select("source_id", F.col("k").cast("long").alias("entity"), F.col("t").alias("start_ms"), (F.col("t") + F.col("len")).alias("end_ms"))
@@ -157,21 +159,21 @@ def render_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = timeline(spark, sf_dir)
     bare = F.btrim(F.lower("text"), F.lit(".,!?;:—-"))
     kept = ~bare.isin([f for f in P.TABLE_FILLERS if " " not in f])
-    per = w.groupBy("source_id").agg(F.max("end_ms").alias("dur"), F.count_if(kept).alias("n_words"))
-    lengths = per.select("source_id", "dur")
-    said = callouts(spark, sf_dir, w)
-    over = overlays(said, lengths)
+    m = marks(w, *semantic())
+    ends = lengths(m)
+    per = ends.join(w.where(kept).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_words")), "source_id", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long")))
+    said = callouts(spark, sf_dir, ends)
+    over = overlays(said, ends)
     a = F.col("i") * 9000 + F.col("source_id") % 7 * 300
-    manual = lengths.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("source_id", "i", a.cast("long").alias("start_ms"), (a + 2500 - F.col("i") % 3 * 1300).cast("long").alias("end_ms"))
-    auto = lengths.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("source_id", "i", (F.col("i") * 4700 + 3000).cast("long").alias("start_ms"), (F.col("i") * 4700 + 6000).cast("long").alias("end_ms"))
+    manual = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("source_id", "i", a.cast("long").alias("start_ms"), (a + 2500 - F.col("i") % 3 * 1300).cast("long").alias("end_ms"))
+    auto = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("source_id", "i", (F.col("i") * 4700 + 3000).cast("long").alias("start_ms"), (F.col("i") * 4700 + 6000).cast("long").alias("end_ms"))
     merged = manual.unionByName(intervals.without_overlap(auto, manual, ["source_id"], 10_000))
-    fine = merged.join(lengths, "source_id").where("end_ms > start_ms and end_ms <= dur + 50").drop("dur")
+    fine = merged.join(ends, "source_id").where("end_ms > start_ms and end_ms <= dur + 50").drop("dur")
     slides = intervals.without_overlap(fine, over, ["source_id"], 10_000).withColumn("badge", (F.col("source_id") + F.col("i")) % 3 == 0)
     shown = F.concat(F.col("start_ms").cast("string"), F.lit("-"), F.col("end_ms").cast("string"), F.when(F.col("badge"), "b").otherwise(""))
     broll = slides.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_broll"), F.count_if(~F.col("badge")).alias("n_full"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", shown.alias("shown")))), lambda x: x["shown"]), ",").alias("broll"))
     numbers = over.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_overlays"))
-    hook = w.where("pos = 0").select("source_id", F.lit(50).cast("long").alias("t"), F.lit("hook-impact").alias("slot"))
-    events = hook.unionByName(said.where("ding").select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))).unionByName(semantic(w, "sparing")).join(lengths, "source_id").where("t <= dur")
+    events = sounding(m, "sparing").unionByName(said.where("ding").select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))).join(ends, "source_id").where("t <= dur")
     many = T.lookup(F.col("slot"), {s: str(len(x)) for s, x in P.EFFECTS.items()}, "0").cast("long")
     fx = events.groupBy("source_id").agg(F.sum(many).alias("n_fx"))
     style = F.col("source_id") % 4

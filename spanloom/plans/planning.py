@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
@@ -23,24 +23,44 @@ lex AS (
   UNION ALL SELECT source_id, start_ms, 'wrong-answer', row_number() OVER (PARTITION BY source_id ORDER BY pos) FROM st WHERE s IN (""" + quoted(P.TABLE_NEGATIVE) + """))"""
 
 
-def callouts(spark: SparkSession, sf_dir: str, w: DataFrame) -> DataFrame:
+def marks(w: DataFrame, *found: tuple[str | Column, Column]) -> DataFrame:
+    """(source_id, slot, pos, t) from one pass over the words: of each source its start (slot hook-impact, at 50), its end (slot end), and the words for
+    which one of ``found``, a slot and a condition, holds. All that reads it shares one small shuffle: rows are packed into an array before it, so that
+    readers of fewer columns ask for the same one."""
+    row = lambda slot, t, when: F.when(when, F.struct((F.lit(slot) if isinstance(slot, str) else slot).alias("slot"), "pos", t.cast("long").alias("t")))
+    ends = F.lead("pos").over(words.by_pos()).isNull()
+    rows = (row("end", F.col("end_ms"), F.col("ends")), row("hook-impact", F.lit(50), F.col("pos") == 0), *(row(slot, F.col("start_ms"), when) for slot, when in found))
+    packed = w.withColumn("ends", ends).select("source_id", F.array_compact(F.array(*rows)).alias("m")).where("size(m) > 0")
+    # repartition by the same key would be optimised out, and each reader would cut the texts into words for itself
+    return packed.hint("rebalance", "source_id").select("source_id", F.inline("m"))
+
+
+def lengths(m: DataFrame) -> DataFrame:
+    """Of marks: each source's end."""
+    return m.where("slot = 'end'").select("source_id", F.col("t").alias("dur"))
+
+
+def callouts(spark: SparkSession, sf_dir: str, ends: DataFrame) -> DataFrame:
     """Turns of the conversation with a source's number as its callouts, held to the source's length."""
-    lengths = w.groupBy("source_id").agg(F.max("end_ms").alias("dur"))
     c = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("source_id"), "turn", "text", (F.col("turn") * 7000).alias("ls"), (1000 + F.col("turn") * 500).alias("len"))
     style = F.when(F.col("turn") % 3 == 0, "bigstat").when(F.col("turn") % 3 == 1, "punch").otherwise("caption")
-    c = c.withColumn("style", style).join(lengths, "source_id")
+    c = c.withColumn("style", style).join(ends, "source_id")
     return c.withColumn("t", F.greatest(F.lit(0), F.least("ls", "dur"))).withColumn("ding", (F.col("style") == "bigstat") & F.col("text").rlike("[$£€]|[0-9]"))
 
 
-def semantic(w: DataFrame, mode: str) -> DataFrame:
-    """Both lists' events of the words, in one pass over them."""
-    bare = words.stem(F.col("text"), ".,!?:;\"')")
+def semantic() -> tuple[tuple[str, Column], ...]:
+    """What marks finds: both lists' words."""
+    bare = words.stem(F.col("text"), words.EDGES)
     money = bare.isin(list(P.TABLE_MONEY)) | bare.contains("$") | bare.rlike(r"^\d+[km]?$")
-    slots = F.array_compact(F.array(F.when(money, F.lit("cash-register")), F.when(bare.isin(list(P.TABLE_NEGATIVE)), F.lit("wrong-answer"))))
-    found = w.select("source_id", "pos", F.col("start_ms").alias("t"), F.explode(slots).alias("slot"))
+    return ("cash-register", money), ("wrong-answer", bare.isin(list(P.TABLE_NEGATIVE)))
+
+
+def sounding(m: DataFrame, mode: str) -> DataFrame:
+    """(source_id, t, slot) of marks, the ends aside; in the sparing mode the first word of each list only."""
+    m = m.where("slot <> 'end'")
     if mode == "sparing":
-        found = found.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "slot").orderBy("pos"))).where("k = 1")
-    return found.select("source_id", "t", "slot")
+        m = m.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "slot").orderBy("pos"))).where("k = 1 or slot = 'hook-impact'")
+    return m.select("source_id", "t", "slot")
 
 
 FILES = ", ".join(f"('{k}', {n})" for k, n in P.SLOT_FILES.items())
@@ -51,12 +71,11 @@ def sound_events(mode: str):
     """PLN1, SEQ3, WIN13, WIN14, TIM8: the hook's, callouts' and words' sounds, near repeats gone, variants in turn."""
 
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = timeline(spark, sf_dir)
-        c = callouts(spark, sf_dir, w)
-        hook = w.where("pos = 0").select("source_id", F.lit(50).cast("long").alias("t"), F.lit("hook-impact").alias("slot"))
-        come = c.select("source_id", "t", F.when(F.col("ding"), "ding").otherwise("swipe-in").alias("slot"))
-        go = c.select("source_id", F.least(F.col("t") + F.col("len"), F.col("dur")).alias("t"), F.lit("swipe-out").alias("slot"))
-        every = hook.unionByName(come).unionByName(go).unionByName(semantic(w, mode)).withColumnRenamed("t", "t_ms").withColumn("t_ms", F.col("t_ms").cast("long"))
+        m = marks(timeline(spark, sf_dir), *semantic())
+        sound = lambda t, slot: F.struct(t.cast("long").alias("t"), slot.alias("slot"))
+        both = F.array(sound(F.col("t"), F.when(F.col("ding"), "ding").otherwise("swipe-in")), sound(F.least(F.col("t") + F.col("len"), F.col("dur")), F.lit("swipe-out")))
+        said = callouts(spark, sf_dir, lengths(m)).select("source_id", F.inline(both))
+        every = sounding(m, mode).unionByName(said).withColumnRenamed("t", "t_ms")
         kept = intervals.apart(every, "source_id")
         order = Window.partitionBy("source_id", "slot").orderBy("t_ms")
         number = lambda of, other: T.lookup(F.col("slot"), {k: str(v) for k, v in of.items()}, other)
@@ -91,12 +110,11 @@ SELECT e.source_id, CAST(t AS BIGINT) AS t_ms, effect, color, 1.0::DOUBLE AS int
 )
 def picture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PLN2, JOI17, SCL32, SRT2."""
-    w = timeline(spark, sf_dir)
-    lengths = w.groupBy("source_id").agg(F.max("end_ms").alias("dur"))
-    hook = w.where("pos = 0").select("source_id", F.lit(50).cast("long").alias("t"), F.lit("hook-impact").alias("slot"))
-    dings = callouts(spark, sf_dir, w).where("ding").select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))
+    m = marks(timeline(spark, sf_dir), *semantic())
+    ends = lengths(m)
+    dings = callouts(spark, sf_dir, ends).where("ding").select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))
     fx = spark.createDataFrame(FX, "slot string, effect string, color string, duration_ms int")  # as many rows as there are slots and effects
-    e = hook.unionByName(dings).unionByName(semantic(w, "sparing")).join(lengths, "source_id").where("t between 0 and dur").join(F.broadcast(fx), "slot")
+    e = sounding(m, "sparing").unionByName(dings).join(ends, "source_id").where("t between 0 and dur").join(F.broadcast(fx), "slot")
     return e.select("source_id", F.col("t").cast("long").alias("t_ms"), "effect", "color", F.lit(1.0).alias("intensity"), "duration_ms")
 
 
@@ -106,9 +124,9 @@ ov AS (
   UNION ALL SELECT source_id, s, s + greatest(600, least(len, dur - s)) FROM (SELECT *, greatest(0, least(ls, greatest(0, dur - 500))) AS s FROM c))"""
 
 
-def overlays(c: DataFrame, lengths: DataFrame) -> DataFrame:
+def overlays(c: DataFrame, ends: DataFrame) -> DataFrame:
     """The hook's window, and the callouts', held to the clip."""
-    hook = lengths.select("source_id", F.lit(0).cast("long").alias("start_ms"), F.greatest(F.lit(1500), F.least(F.lit(2600), F.greatest(F.lit(2000), F.expr("3 * dur div 10")))).cast("long").alias("end_ms"))
+    hook = ends.select("source_id", F.lit(0).cast("long").alias("start_ms"), F.greatest(F.lit(1500), F.least(F.lit(2600), F.greatest(F.lit(2000), F.expr("3 * dur div 10")))).cast("long").alias("end_ms"))
     s = c.withColumn("s", F.greatest(F.lit(0), F.least(F.col("ls"), F.greatest(F.lit(0), F.col("dur") - 500))))
     return hook.unionByName(s.select("source_id", F.col("s").cast("long").alias("start_ms"), (F.col("s") + F.greatest(F.lit(600), F.least(F.col("len"), F.col("dur") - F.col("s")))).cast("long").alias("end_ms")))
 
@@ -116,8 +134,8 @@ def overlays(c: DataFrame, lengths: DataFrame) -> DataFrame:
 @Q.add(f"WITH {WORDS}, {CALLOUTS.strip()}, {OVERLAYS.strip()} SELECT source_id, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM ov")
 def overlay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TIM2, TIM3, TIM4."""
-    w = timeline(spark, sf_dir)
-    return overlays(callouts(spark, sf_dir, w), w.groupBy("source_id").agg(F.max("end_ms").alias("dur")))
+    ends = lengths(marks(timeline(spark, sf_dir)))
+    return overlays(callouts(spark, sf_dir, ends), ends)
 
 
 SLIDES = """
@@ -141,10 +159,10 @@ SELECT source_id, pos, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGI
 )
 def slide_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ4, LIM2: slides at entities' words, fitted into what the overlays leave free, the first few that don't overlap."""
-    w = timeline(spark, sf_dir)
-    lengths = w.groupBy("source_id").agg(F.max("end_ms").alias("dur"))
-    gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, w), lengths), lengths.withColumnRenamed("dur", "duration_ms"), "source_id")
-    want = words.lexicon_hits(w, ENTITIES).select("source_id", "pos", "start_ms", (F.col("start_ms") + 3000).alias("end_ms"))
+    m = marks(timeline(spark, sf_dir), ("slide", words.stem(F.col("text"), words.EDGES).isin(list(ENTITIES))))
+    ends = lengths(m)
+    gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, ends), ends), ends.withColumnRenamed("dur", "duration_ms"), "source_id")
+    want = m.where("slot = 'slide'").select("source_id", "pos", F.col("t").alias("start_ms"), (F.col("t") + 3000).alias("end_ms"))
     kept = intervals.greedy(intervals.in_gap(want, gaps, "source_id", "pos", 60_000), "source_id", "pos")
     ranked = kept.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("start_ms")))
     return ranked.where(f"n <= {N_SLIDES}").select("source_id", "pos", "start_ms", "end_ms")
