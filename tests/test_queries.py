@@ -57,6 +57,16 @@ def test_no_nested_loops(spark, name):
     assert name in FOLDS or "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+@pytest.mark.parametrize("name", ["sound_events_sparing", "sound_events_every", "picture_events", "overlay_windows", "slide_plan", "entity_slides"])
+def test_words_are_cut_once(spark, name):
+    """In the plan as it ran, the texts become words at one place; every other reader shares that shuffle."""
+    df = registry.QUERIES[name](spark, DIR)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert ran.count("Generate posexplode(w#") == 1
+    assert ran.count("REBALANCE_PARTITIONS_BY_COL") >= 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
