@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import chat, decontam, langid, license, packing, pii, quality, simhash, suffix_dedup, toxicity
+from spanloom.llm import chat, decontam, fim, langid, license, packing, pii, quality, repair, simhash, suffix_dedup, topk, toxicity
 from spanloom.llm.common import table
 
 
@@ -52,14 +52,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op11(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality_rules, op3_chat_format, op4_toxicity, op5_packing, op6_decontamination, op7_simhash, op8_pii, op9_language_mixture, op10_suffix_dedup)
+    for f in (
+        op1_license_scan, op2_quality_rules, op3_chat_format, op4_toxicity, op5_packing, op6_decontamination, op7_simhash, op8_pii, op9_language_mixture, op10_suffix_dedup,
+        op11_conversation_repair, op12_fill_in_middle, op13_exact_top_k,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op1_license_scan"] = license.oracle_sql()
+ORACLE_SQL["op11_conversation_repair"] = repair.oracle_sql()
+ORACLE_SQL["op12_fill_in_middle"] = fim.ORACLE_SQL
+ORACLE_SQL["op13_exact_top_k"] = topk.ORACLE_SQL
 
 ORACLE_SQL["op3_chat_format"] = r"""
 WITH c AS (

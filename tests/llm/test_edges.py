@@ -1,4 +1,4 @@
-"""Of all ten operators and the pipeline's stages: columns with clashing names, nulls, very long texts, repeated rows."""
+"""Of all operators on documents and the pipeline's stages: columns with clashing names, nulls, very long texts, repeated rows."""
 
 import random
 
@@ -6,12 +6,12 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from spanloom.llm import chat, decontam, langid, license, packing, pii, quality, simhash, suffix_dedup, toxicity
+from spanloom.llm import chat, decontam, fim, langid, license, packing, pii, quality, simhash, suffix_dedup, toxicity
 
 DIR = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 #: Names that the operators make for themselves.
-CLASHING = "tie h c d u v fp root r m p kind lead blob runs spans start stop row g crcs ids stratum kept rule good bad toxic word a b w item_id i t n k x base terms entities entity context doc score held_out lang_pred bound at sets op seq msg_id last first named parts band cell hashes salt least label quality __row __w __s __at __id __tie __terms __found __simhash_r __simhash_row __simhash_id __simhash_h __stratum _c0 value count".split()
+CLASHING = "tie h c d u v fp root r m p kind lead blob runs spans start stop row g crcs ids stratum kept rule good bad toxic word a b w item_id i t n k x base terms entities entity context doc score held_out lang_pred bound at sets op seq msg_id last first named parts band cell hashes salt least label quality __row __w __s __at __id __tie __terms __found __simhash_r __simhash_row __simhash_id __simhash_h __stratum _c0 value count fim form output n_words n_hit".split()
 
 OPS = {
     "op1": lambda d, b, m: license.op1(d),
@@ -23,6 +23,7 @@ OPS = {
     "op8": lambda d, b, m: pii.op8(d),
     "op9": lambda d, b, m: langid.op9(d),
     "op10": lambda d, b, m: suffix_dedup.op10(d),
+    "op12": lambda d, b, m: fim.op12(d),
 }
 STAGES = {
     "quality_rules": lambda d, b, m: quality.keep_good(d, m),
