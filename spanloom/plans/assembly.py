@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import intervals
+from spanloom.operators import intervals, lookups, publishing
 from spanloom.plans.common import Queries, quoted, table
 from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
@@ -290,15 +290,13 @@ def doctor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, arg_min(s_suppkey, tag || '/' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0')) AS transcript FROM v JOIN t ON tag <> '' AND contains(stem, tag) GROUP BY c_custkey"""
 )
 def reused_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC3: of each video the first transcript whose tag its stem contains. A tag's first three characters (or all it has) are a key that the stem must have too, so the
-    join is by equality and containment only checks what it brings."""
+    """SRC3: of each video the first transcript, by tag, whose tag its stem contains."""
     v = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("stem"))
     k, name = F.col("s_suppkey"), F.col("s_name")
     tag = F.lower(F.when(k % 4 == 0, F.right(name, F.lit(3))).when(k % 4 == 1, F.right(name, F.lit(2))).when(k % 4 == 2, F.concat(F.lit("r#"), F.right(name, F.lit(9)))).otherwise(""))
-    tags = table(spark, sf_dir, "supplier").select(k, tag.alias("tag")).where("tag <> ''").withColumn("key", F.substring("tag", 1, 3))
-    keys = F.expr("array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, greatest(length(stem), 1)), i -> substring(stem, i, n)))))")
-    both = v.withColumn("key", F.explode(keys)).join(tags, "key").where("contains(stem, tag)")
-    return both.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct("tag", "s_suppkey")).alias("transcript"))
+    tags = table(spark, sf_dir, "supplier").select(k, tag.alias("tag")).where("tag <> ''")
+    first = lookups.held(v, "c_custkey", "stem", tags, first=True)
+    return first.join(tags.groupBy("tag").agg(F.min("s_suppkey").alias("transcript")), "tag").select("c_custkey", "transcript")
 
 
 @Q.add(
@@ -440,17 +438,28 @@ def cache_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS text, regexp_extract(text, '^[^ ]+') AS kw, 'Étion' AS overline FROM conversations),
-g AS (SELECT conv_id, list({sql_dashes('text')} ORDER BY turn) FILTER (text <> '') AS said, list_distinct(list(kw ORDER BY turn) FILTER (kw <> '')) AS bag FROM c GROUP BY conv_id),
-k AS (SELECT conv_id, list(kw ORDER BY turn) AS ks FROM (SELECT conv_id, kw, min(turn) AS turn FROM c WHERE kw <> '' GROUP BY ALL) GROUP BY conv_id)
-SELECT conv_id, CAST(coalesce(len(said), 0) AS INTEGER) AS n_callouts, md5(array_to_string(coalesce(said, []), '|')) AS callouts_md5, array_to_string(CASE WHEN list_contains(coalesce(ks, []), 'Étion') THEN ks ELSE list_prepend('Étion', coalesce(ks, [])) END, '|') AS keywords FROM g LEFT JOIN k USING (conv_id)"""
+    f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS text, regexp_extract(text, '^[^ ]+') AS kw FROM conversations),
+low AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(kw)) ORDER BY turn) AS n FROM c WHERE trim(kw) <> ''),
+g AS (SELECT conv_id, list({sql_dashes('text')} ORDER BY turn) FILTER (text <> '') AS said, min(text) FILTER (turn = 0) AS title0, min(text) FILTER (turn = 1) AS told FROM c GROUP BY conv_id),
+k AS (SELECT conv_id, list(trim(kw) ORDER BY turn) AS ks FROM low WHERE n = 1 GROUP BY conv_id),
+x AS (SELECT g.*, coalesce(ks, []) AS ks, CASE conv_id % 4 WHEN 0 THEN 'Étion' WHEN 1 THEN 'étion' WHEN 2 THEN ' In — Thing ' END AS over FROM g LEFT JOIN k USING (conv_id)),
+y AS (SELECT *, CASE WHEN coalesce(trim(over), '') <> '' AND NOT list_contains(ks, trim(over)) THEN list_prepend(trim(over), ks) ELSE ks END AS words FROM x)
+SELECT conv_id, CAST(conv_id % 90 + 1 AS INTEGER) AS rank, md5({sql_dashes("trim(coalesce(title0, ''), ' ' || chr(9) || chr(10) || chr(13))")}) AS title_md5, {sql_dashes("trim(coalesce(over, ''))")} AS label, md5({sql_dashes("trim(CASE WHEN conv_id % 5 = 0 THEN 'none' ELSE coalesce(told, '') END, ' ' || chr(9) || chr(10) || chr(13))")}) AS description_md5,
+  CAST(coalesce(len(said), 0) AS INTEGER) AS n_callouts, md5(array_to_string(coalesce(said, []), '|')) AS callouts_md5, array_to_string(list_transform(words, lambda s: {sql_dashes('s')}), '|') AS keywords,
+  CASE WHEN conv_id % 3 > 0 THEN round_even((conv_id % 977 * 1231 + 5) / 1000.0, 2) END::DOUBLE AS duration_seconds, CASE WHEN conv_id % 2 = 0 THEN 'all/' || conv_id || '.jpg' WHEN conv_id % 7 > 0 THEN 'own/' || conv_id || '.jpg' END AS thumbnail
+FROM y WHERE conv_id % 11 <> 0"""
 )
 def clip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN14, SCL35, SCL11: the texts of callouts that have one, and keywords once each, the headline put before them unless it is one."""
+    """PLN14, SNK5, SCL35, SCL11: the record of each conversation as a clip; one of eleven has a folder without a rank in its name, and no record."""
+    k = F.col("conv_id")
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("text")).alias("text"), F.regexp_extract("text", "^[^ ]+", 0).alias("kw"))
-    rows = F.sort_array(F.collect_list(F.struct("turn", "text", "kw")))
-    g = c.groupBy("conv_id").agg(rows.alias("r"))
-    said = F.transform(F.filter("r", lambda x: x["text"] != ""), lambda x: T.without_dashes(x["text"]))
-    kws = F.array_distinct(F.transform(F.filter("r", lambda x: x["kw"] != ""), lambda x: x["kw"]))
-    every = F.when(F.array_contains(kws, "Étion"), kws).otherwise(F.array_prepend(kws, "Étion"))
-    return g.select("conv_id", F.size(said).alias("n_callouts"), F.md5(F.array_join(said, "|")).alias("callouts_md5"), F.array_join(every, "|").alias("keywords"))
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "kw"))).alias("r"), F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("hook_text"), F.min(F.when(F.col("turn") == 1, F.col("text"))).alias("told"))
+    clips = g.select(
+        k, F.lit("talk").alias("source"), F.when(k % 11 == 0, "notes").otherwise(F.concat(F.lit("short-"), F.lpad((k % 90 + 1).cast("string"), 2, "0"), F.lit("-"), k.cast("string"))).alias("short"), "hook_text",
+        either("Étion", "étion", " In — Thing ", None, at=k % 4).alias("overline"), F.when(k % 5 == 0, "none").alias("caption"), F.col("told").alias("instagram_caption"), F.lit("why").alias("reasoning"),
+        F.transform("r", lambda x: x["kw"]).alias("entities"), F.transform("r", lambda x: x["text"]).alias("callouts"), F.lit(5).alias("viral_score"), (k % 977 * 1231 + 5).alias("duration_ms"),
+        F.when(k % 2 == 0, F.concat(F.lit("all/"), k.cast("string"), F.lit(".jpg"))).alias("cover"), F.when(k % 7 > 0, F.concat(F.lit("own/"), k.cast("string"), F.lit(".jpg"))).alias("own_thumb"), F.when(k % 3 > 0, "final.mp4").alias("deliverable"),
+    )
+    m = publishing.metadata(clips.withColumn("source", k.cast("string"))).withColumn("conv_id", F.col("source").cast("long"))
+    joined = lambda c: F.array_join(c, "|")
+    return m.select("conv_id", "rank", F.md5("title").alias("title_md5"), "label", F.md5("description").alias("description_md5"), F.size("callouts").alias("n_callouts"), F.md5(joined("callouts")).alias("callouts_md5"), joined("keywords").alias("keywords"), "duration_seconds", "thumbnail")

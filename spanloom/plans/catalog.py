@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import stats
-from spanloom.plans.common import Queries, table
+from spanloom.operators import publishing, stats
+from spanloom.plans.common import Queries, quoted, table
 
 Q = Queries()
 
@@ -180,7 +180,6 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TIMES = ("09:00", "13:30", "18:00", "21:15")
 PER_DAY = 3
-BUCKET = 1 << 16  # ids
 
 
 @Q.add(
@@ -191,21 +190,41 @@ l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda s
 SELECT base, media, CAST(score AS INTEGER) AS score, strftime(DATE '2026-01-05' + CAST((k - 1) // {PER_DAY} AS INTEGER), '%Y-%m-%d') || 'T' || [{', '.join(f"'{t}'" for t in TIMES)}][(k - 1) % {PER_DAY} + 1] || ':00' AS publish_at, coalesce(ls[1], '')[1:100] AS title FROM l"""
 )
 def publish_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN12, JOI12, JOI13, TIM13, SRT4, SCL16, LIM3: three posts a day, a slot for every item, the best first. Items are numbered within
-    buckets of score and id; only the buckets' sizes, a row each, are summed up in one place."""
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("base"), "text")
+    """PLN12, JOI12, JOI13, TIM13, SRT4, SCL16, LIM3: three posts a day, a slot for every item, the best first."""
+    items = publishable(spark, sf_dir).select("base", "media", "score", T.first_line(F.col("caption")).alias("title"), (-F.col("score")).alias("down"))
+    return publishing.scheduled(items, ["down", "base"], "2026-01-05", TIMES, PER_DAY).select("base", "media", "score", "publish_at", "title")
+
+
+def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as captions with an address among the pages, by the name with or without its ending; their best score, and tags of their language, source and first words."""
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("base"), F.col("text").alias("caption"), F.concat(F.array("lang", "source"), F.regexp_extract_all(F.substring("text", 1, 200), F.lit("([A-Za-z]+)"), F.lit(1))).alias("tags"))
     p = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise(F.concat(F.col("page_id").cast("string"), F.lit(".mp4"))).alias("key"), "url")
     m = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("base")).agg(F.max(F.col("quality") * 10 + F.col("toxic")).alias("score"))
     first, second = p.toDF("k1", "u1"), p.toDF("k2", "u2")
     both = c.join(first, F.concat(F.col("base").cast("string"), F.lit(".mp4")) == F.col("k1"), "left").join(second, F.col("base").cast("string") == F.col("k2"), "left")
-    items = both.withColumn("media", F.coalesce("u1", "u2")).where("media is not null").join(m, "base", "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    items = items.withColumn("bucket", F.floor(F.col("base") / BUCKET)).select("base", "media", "score", "bucket", T.first_line(F.col("text")).alias("title"))
-    before = Window.orderBy(F.desc("score"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = items.groupBy("score", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    k = F.row_number().over(Window.partitionBy("score", "bucket").orderBy("base")) - 1 + F.col("offset")
-    day = F.date_format(F.date_add(F.lit("2026-01-05").cast("date"), F.floor(F.col("k") / PER_DAY).cast("int")), "yyyy-MM-dd")
-    at = F.concat(day, F.lit("T"), F.get(F.array(*map(F.lit, TIMES)), (F.col("k") % PER_DAY).cast("int")), F.lit(":00"))
-    return items.join(sizes, ["score", "bucket"]).withColumn("k", k).select("base", "media", "score", at.alias("publish_at"), "title")
+    items = both.withColumn("media", F.coalesce("u1", "u2")).where("media is not null").join(m, "base", "left")
+    return items.select("base", "media", "caption", "tags", F.coalesce("score", F.lit(0)).alias("score"))
+
+
+POSTED = ("facebook", "instagram", "tiktok", "youtube", "linkedin", "threads")
+
+
+@Q.add(
+    f"""WITH c AS (SELECT doc_id AS base, regexp_replace(text, '^[ \t\n\r\v\f]+|[ \t\n\r\v\f]+$', '', 'g') AS caption, list_concat([lang, source], regexp_extract_all(text[1:200], '[A-Za-z]+'))[1:10] AS tags FROM documents),
+u AS (SELECT CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE page_id || '.mp4' END AS key, url FROM pages), m AS (SELECT doc_id, max(quality * 10 + toxic) AS score FROM labels GROUP BY doc_id),
+items AS (SELECT base, coalesce(u1.url, u2.url) AS media, caption, tags, coalesce(score, 0) AS score FROM c LEFT JOIN u u1 ON u1.key = base || '.mp4' LEFT JOIN u u2 ON u2.key = CAST(base AS VARCHAR) LEFT JOIN m ON m.doc_id = base WHERE coalesce(u1.url, u2.url) IS NOT NULL AND caption IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, base) AS k, coalesce(list_filter(list_transform(string_split(caption, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '')[1], '')[1:100] AS title FROM items),
+d AS (SELECT *, strftime(DATE '2026-03-01' + CAST((k - 1) // 2 AS INTEGER), '%Y-%m-%d') || 'T' || ['09:00', '18:00'][(k - 1) % 2 + 1] || ':00' AS due FROM r)
+SELECT base, due || '-06:00' AS date, md5(CAST(json_object('blogId', 'b-1', 'date', due || '-06:00', 'base', base, 'info', json_object('autoPublish', true, 'draft', false, 'text', caption, 'media', [media], 'mediaAltText', CAST([] AS VARCHAR[]), 'shortener', false,
+  'smartLinkData', json_object('ids', CAST([] AS VARCHAR[])), 'firstCommentText', '', 'publicationDate', json_object('dateTime', due, 'timezone', 'America/Chicago'), 'providers', list_transform([{quoted(POSTED)}], lambda n: json_object('network', n)),
+  'facebookData', json_object('type', 'REEL', 'title', title), 'instagramData', json_object('type', 'REEL', 'showReelOnFeed', true), 'tiktokData', json_object('title', title), 'youtubeData', json_object('title', title, 'type', 'short', 'privacy', 'public', 'madeForKids', false, 'tags', tags),
+  'linkedinData', json_object(), 'threadsData', json_object())) AS VARCHAR)) AS payload_md5 FROM d"""
+)
+def publish_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PLN12, SNK6: the records that are sent, with their networks' blocks and tags, two a day."""
+    items = publishable(spark, sf_dir).withColumn("title", F.lit(None).cast("string"))
+    made = publishing.payloads(items, POSTED, "b-1", "2026-03-01", ("09:00", "18:00"), 3, "America/Chicago", "-06:00")
+    return made.select("base", "date", F.md5("payload").alias("payload_md5"))
 
 
 @Q.add(

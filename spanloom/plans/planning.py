@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import intervals, words
+from spanloom.operators import intervals, sounds, words
 from spanloom.plans.common import Queries, quoted, table
 from spanloom.plans.timeline import STEM, WORDS, timeline
 
@@ -56,66 +56,80 @@ def semantic() -> tuple[tuple[str, Column], ...]:
 
 
 def sounding(m: DataFrame, mode: str) -> DataFrame:
-    """(source_id, t, slot) of marks, the ends aside; in the sparing mode the first word of each list only."""
-    m = m.where("slot <> 'end'")
+    """(source_id, t, slot) of marks, the ends aside; in the sparing mode the first word of each list only, none where the mode is off."""
+    m = m.where("slot = 'hook-impact'" if mode == "off" else "slot <> 'end'")
     if mode == "sparing":
         m = m.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "slot").orderBy("pos"))).where("k = 1 or slot = 'hook-impact'")
     return m.select("source_id", "t", "slot")
 
 
-FILES = ", ".join(f"('{k}', {n})" for k, n in P.SLOT_FILES.items())
+#: Packs of the queries: files of each slot.
+PACKS = {"full": P.SLOT_FILES, "poor": {"swipe-in": 1, "swipe-out": 0, "cash-register": 2, "ding": 0}}
 GAINS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SLOT_GAIN.items())
 
 
-def sound_events(mode: str):
+def sound_query(mode: str, pack: str = "full", swipe_out: bool = True):
     """PLN1, SEQ3, WIN13, WIN14, TIM8: the hook's, callouts' and words' sounds, near repeats gone, variants in turn."""
 
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = marks(timeline(spark, sf_dir), *semantic())
-        sound = lambda t, slot: F.struct(t.cast("long").alias("t"), slot.alias("slot"))
-        both = F.array(sound(F.col("t"), F.when(F.col("ding"), "ding").otherwise("swipe-in")), sound(F.least(F.col("t") + F.col("len"), F.col("dur")), F.lit("swipe-out")))
-        said = callouts(spark, sf_dir, lengths(m)).select("source_id", F.inline(both))
-        every = sounding(m, mode).unionByName(said).withColumnRenamed("t", "t_ms")
-        kept = intervals.apart(every, "source_id")
-        order = Window.partitionBy("source_id", "slot").orderBy("t_ms")
-        number = lambda of, other: T.lookup(F.col("slot"), {k: str(v) for k, v in of.items()}, other)
-        kept = kept.withColumn("n", number(P.SLOT_FILES, "0").cast("int")).where("n > 0")
-        return kept.select("source_id", "t_ms", "slot", number(P.SLOT_GAIN, "1.0").cast("double").alias("gain"), ((F.row_number().over(order) - 1) % F.col("n")).alias("variant"))
-
-    plan.__doc__ = sound_events.__doc__
+        ends = lengths(m)
+        mentions = m.where(F.col("slot").isin("cash-register", "wrong-answer")).join(ends, "source_id")
+        return sounds.sound_events(m.where("slot = 'hook-impact'"), callouts(spark, sf_dir, ends), mentions, PACKS[pack], mode, swipe_out)
+
+    plan.__doc__ = sound_query.__doc__
     return plan
 
 
-def sound_sql(mode: str) -> str:
-    first = "WHERE k = 1" if mode == "sparing" else ""
+def sound_sql(mode: str, pack: str = "full", swipe_out: bool = True) -> str:
+    files = {k: n for k, n in PACKS[pack].items() if n}
+    dings = "ding" if "ding" in files and mode != "off" else "false"
+    first = "AND k = 1" if mode == "sparing" else "AND false" if mode == "off" else ""
     return f"""WITH RECURSIVE {WORDS.strip()}, {CALLOUTS.strip()},
-e AS (SELECT source_id, 50 AS t, 'hook-impact' AS slot FROM words WHERE pos = 0 UNION ALL SELECT source_id, t, CASE WHEN ding THEN 'ding' ELSE 'swipe-in' END FROM c UNION ALL SELECT source_id, least(t + len, dur), 'swipe-out' FROM c UNION ALL SELECT source_id, t, slot FROM lex {first}),
+e0 AS (SELECT source_id, 50 AS t, 'hook-impact' AS slot FROM words WHERE pos = 0 UNION ALL SELECT source_id, t, CASE WHEN {dings} THEN 'ding' ELSE 'swipe-in' END FROM c UNION ALL SELECT source_id, least(t + len, dur), 'swipe-out' FROM c WHERE {str(swipe_out).lower()}
+  UNION ALL SELECT source_id, t, slot FROM lex JOIN dur USING (source_id) WHERE t BETWEEN 0 AND dur {first}),
+e AS (SELECT * FROM e0 WHERE slot IN ({quoted(files)})),
 o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY t, slot) AS k FROM e),
 g(source_id, k, lt, ls, kept) AS (SELECT source_id, k, t, slot, true FROM o WHERE k = 1 UNION ALL
   SELECT o.source_id, o.k, CASE WHEN o.slot = ls AND o.t - lt < 80 THEN lt ELSE o.t END, CASE WHEN o.slot = ls AND o.t - lt < 80 THEN ls ELSE o.slot END, NOT (o.slot = ls AND o.t - lt < 80) FROM g JOIN o ON o.source_id = g.source_id AND o.k = g.k + 1),
 f AS (SELECT source_id, t, slot FROM o JOIN g USING (source_id, k) WHERE kept)
-SELECT source_id, CAST(t AS BIGINT) AS t_ms, slot, CAST(CASE slot {GAINS} ELSE 1.0 END AS DOUBLE) AS gain, CAST((row_number() OVER (PARTITION BY source_id, slot ORDER BY t) - 1) % n AS INTEGER) AS variant FROM f JOIN (VALUES {FILES}) v(slot, n) USING (slot)"""
+SELECT source_id, CAST(t AS BIGINT) AS t_ms, slot, CAST(CASE slot {GAINS} ELSE 1.0 END AS DOUBLE) AS gain, CAST((row_number() OVER (PARTITION BY source_id, slot ORDER BY t) - 1) % n AS INTEGER) AS variant FROM f JOIN (VALUES {', '.join(f"('{k}', {n})" for k, n in files.items())}) v(slot, n) USING (slot)"""
 
 
-Q.put("sound_events_sparing", sound_events("sparing"), sound_sql("sparing"))  # PLN1, SEQ3, WIN13, WIN14, TIM8
-Q.put("sound_events_every", sound_events("every"), sound_sql("every"))
+# PLN1, SEQ3, WIN13, WIN14, TIM8
+Q.put("sound_events_sparing", sound_query("sparing"), sound_sql("sparing"))
+Q.put("sound_events_every", sound_query("every"), sound_sql("every"))
+Q.put("sound_events_poor_pack", sound_query("every", "poor", False), sound_sql("every", "poor", False))
+Q.put("sound_events_off", sound_query("off", "full", False), sound_sql("off", "full", False))
 
 FX = [(slot, fx, P.EFFECT_COLORS[slot], P.EFFECT_MS[fx]) for slot, names in P.EFFECTS.items() for fx in names]
 
 
-@Q.add(
-    f"""WITH {WORDS}, {CALLOUTS.strip()},
-e AS (SELECT source_id, 50 AS t, 'hook-impact' AS slot FROM words WHERE pos = 0 UNION ALL SELECT source_id, t, 'ding' FROM c WHERE ding UNION ALL SELECT source_id, t, slot FROM lex WHERE k = 1)
+def picture_query(mode: str):
+    """PLN2, JOI17, SCL32, SRT2: the effects of each slot at once, within the clip; the hook's alone where the mode is off."""
+
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = marks(timeline(spark, sf_dir), *semantic())
+        ends = lengths(m)
+        dings = callouts(spark, sf_dir, ends).where(F.col("ding") & F.lit(mode != "off")).select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))
+        fx = spark.createDataFrame(FX, "slot string, effect string, color string, duration_ms int")  # as many rows as there are slots and effects
+        e = sounding(m, mode).unionByName(dings).join(ends, "source_id").where("t between 0 and dur").join(F.broadcast(fx), "slot")
+        return e.select("source_id", F.col("t").cast("long").alias("t_ms"), "effect", "color", F.lit(1.0).alias("intensity"), "duration_ms")
+
+    plan.__doc__ = picture_query.__doc__
+    return plan
+
+
+def picture_sql(mode: str) -> str:
+    on, first = ("true", "k = 1") if mode == "sparing" else ("true", "true") if mode == "every" else ("false", "false")
+    return f"""WITH {WORDS}, {CALLOUTS.strip()},
+e AS (SELECT source_id, 50 AS t, 'hook-impact' AS slot FROM words WHERE pos = 0 UNION ALL SELECT source_id, t, 'ding' FROM c WHERE ding AND {on} UNION ALL SELECT source_id, t, slot FROM lex WHERE {first})
 SELECT e.source_id, CAST(t AS BIGINT) AS t_ms, effect, color, 1.0::DOUBLE AS intensity, duration_ms FROM e JOIN dur USING (source_id) JOIN (VALUES {', '.join(map(str, FX))}) v(slot, effect, color, duration_ms) USING (slot) WHERE t BETWEEN 0 AND dur"""
-)
-def picture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PLN2, JOI17, SCL32, SRT2."""
-    m = marks(timeline(spark, sf_dir), *semantic())
-    ends = lengths(m)
-    dings = callouts(spark, sf_dir, ends).where("ding").select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))
-    fx = spark.createDataFrame(FX, "slot string, effect string, color string, duration_ms int")  # as many rows as there are slots and effects
-    e = sounding(m, "sparing").unionByName(dings).join(ends, "source_id").where("t between 0 and dur").join(F.broadcast(fx), "slot")
-    return e.select("source_id", F.col("t").cast("long").alias("t_ms"), "effect", "color", F.lit(1.0).alias("intensity"), "duration_ms")
+
+
+Q.put("picture_events", picture_query("sparing"), picture_sql("sparing"))
+Q.put("picture_events_every", picture_query("every"), picture_sql("every"))
+Q.put("picture_events_off", picture_query("off"), picture_sql("off"))
 
 
 OVERLAYS = """

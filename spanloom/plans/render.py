@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import intervals
+from spanloom.operators import cues, intervals
 from spanloom.plans.common import Queries, table
 
 Q = Queries()
@@ -41,23 +41,45 @@ def callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@Q.add(f"""WITH {SQL_CALLOUTS.strip()} SELECT conv_id, turn, '{{"track":' || track || ',"style":"' || style || '","color":"' || color || '","start_ms":' || start_ms || ',"duration_ms":' || duration_ms || '}}' AS record FROM co""")
-def callout_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT12, TIM2, TIM8, TIM16, SNK2, SNK5, SNK6."""
-    return callouts(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct("track", "style", "color", "start_ms", "duration_ms")).alias("record"))
+SQL_HOOKS = """
+hk AS (SELECT conv_id, CAST(NULL AS BIGINT) AS turn, CAST(0 AS BIGINT) AS start_ms, CAST(1500 + conv_id % 4 * 500 AS BIGINT) AS duration_ms, 'hook' AS style, CASE WHEN conv_id % 2 = 0 THEN 'gold' ELSE 'red' END AS color, 9 AS track, CASE WHEN conv_id % 4 = 0 THEN '' ELSE 'Overline' END AS overline
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL AND conv_id % 3 <> 0)),
+cues AS (SELECT conv_id, turn, start_ms, duration_ms, style, color, track, NULL AS overline FROM co UNION ALL SELECT * FROM hk)"""
+
+
+def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three conversations open with a hook, some of them with an overline."""
+    k = table(spark, sf_dir, "conversations").where("conv_id % 3 <> 0").select("conv_id").distinct()
+    return k.select("conv_id", F.lit(None).cast("long").alias("turn"), (1500 + F.col("conv_id") % 4 * 500).alias("duration_ms"), F.when(F.col("conv_id") % 2 == 0, "gold").otherwise("red").alias("color"), F.when(F.col("conv_id") % 4 == 0, "").otherwise("Overline").alias("overline"))
+
+
+def all_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = callouts(spark, sf_dir).withColumn("overline", F.lit(None).cast("string"))
+    return cues.on_tracks(said, hooks(spark, sf_dir), "conv_id", "turn")
 
 
-#: Of each style: name, whether counted from the end, offset, length; all in ms.
-KEYS = {"punch": (("in", False, 0, 180), ("out", True, -220, 220)), "bigstat": (("in", False, 0, 260), ("count", False, 120, 900), ("out", True, -220, 220)), "hero": (("in", False, 0, 420), ("out", True, -420, 420)), "caption": (("in", False, 0, 120), ("out", True, -120, 120))}
-KEY_ROWS = [(style, *k) for style, keys in KEYS.items() for k in keys]
+@Q.add(f"""WITH {SQL_CALLOUTS.strip()}, {SQL_HOOKS.strip()} SELECT conv_id, turn, '{{"track":' || track || ',"style":"' || style || '","color":"' || color || '","start_ms":' || start_ms || ',"duration_ms":' || duration_ms || '}}' AS record FROM cues""")
+def callout_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT12, TIM2, TIM8, TIM16, SNK2, SNK5, SNK6: the hook at 0 on track 9, callouts on the tracks from 11 on."""
+    return all_cues(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct(F.col("track").cast("int").alias("track"), "style", "color", "start_ms", "duration_ms")).alias("record"))
 
 
-@Q.add(f"WITH {SQL_CALLOUTS.strip()} SELECT conv_id, turn, k.name, CAST(start_ms + CASE WHEN k.tail THEN duration_ms ELSE 0 END + k.off AS BIGINT) AS at_ms, k.len AS len_ms FROM co JOIN (VALUES {', '.join(map(str, KEY_ROWS))}) k(style, name, tail, off, len) USING (style)")
+@Q.add(
+    f"""WITH {SQL_CALLOUTS.strip()}, {SQL_HOOKS.strip()},
+k AS (SELECT * FROM (VALUES ('punch', 'in', 0, 0, 400), ('punch', 'out', 1, -350, 350), ('bigstat', 'in', 0, 0, 300), ('bigstat', 'eyebrow', 0, 50, 450), ('bigstat', 'number', 0, 180, 600), ('bigstat', 'subline', 0, 550, 500),
+  ('bigstat', 'out', 1, -400, 400), ('hero', 'in', 0, 0, 550), ('hero', 'out', 1, -400, 400), ('caption', 'in', 0, 0, 550), ('caption', 'out', 1, -400, 400), ('hook', 'background', 0, 0, 180), ('hook', 'flash', 0, 30, 120),
+  ('hook', 'flash-out', 0, 180, 450), ('hook', 'overline', 0, 140, 420), ('hook', 'headline', 0, 200, 500), ('hook', 'rule', 0, 700, 450), ('hook', 'out', 1, -420, 420)) v(style, name, tail, off, len))
+SELECT conv_id, turn, style, name, CAST(start_ms + tail * duration_ms + off AS BIGINT) AS at_ms, CAST(len AS INTEGER) AS len_ms FROM cues JOIN k USING (style) WHERE name <> 'overline' OR overline <> ''"""
+)
 def key_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TIM17: one row a key frame of each callout's style."""
-    keys = spark.createDataFrame(KEY_ROWS, "style string, name string, tail boolean, off long, len_ms int")  # fixed, a few rows
-    c = callouts(spark, sf_dir).join(F.broadcast(keys), "style")
-    return c.select("conv_id", "turn", "name", (F.col("start_ms") + F.when(F.col("tail"), F.col("duration_ms")).otherwise(0) + F.col("off")).alias("at_ms"), "len_ms")
+    """TIM17: one row a key frame of each callout's style, and of the hook."""
+    return cues.key_frames(all_cues(spark, sf_dir)).select("conv_id", "turn", "style", "name", "at_ms", "len_ms")
+
+
+@Q.add(f"""WITH d AS (SELECT event_id, 5000 + event_id % 20001 AS dur FROM events) SELECT event_id, unnest(['zoom-in', 'zoom-out']) AS name, CAST(unnest([0, dur // 2]) AS BIGINT) AS at_ms, CAST(unnest([dur // 2, dur - dur // 2]) AS BIGINT) AS len_ms FROM d""")
+def camera_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TIM17: the camera's two moves over a clip."""
+    return cues.camera(table(spark, sf_dir, "events").select("event_id", (5000 + F.col("event_id") % 20001).alias("duration_ms"))).drop("duration_ms")
 
 
 @Q.add(
