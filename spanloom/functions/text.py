@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 DASHES = "—–‒―�"
+#: Letters that no rule below takes apart, and two alphabets that are spelt in Latin letters.
+SPELT = {"ß": "ss", "þ": "th", "ð": "d", "ı": "i", "ĸ": "q", "ŋ": "ng", "ſ": "s"}
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюя", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch - y - e iu ia".split(), strict=True)) | {"ъ": "", "ь": "", "ё": "io"}
 SECRETS = {
     "Metricool client ID": r"client_[a-f0-9]{32}\b",
     "Anthropic API key": r"sk-ant-[A-Za-z0-9_\-]{20,}",
@@ -32,10 +37,44 @@ ENDINGS = (".svg", ".png", ".jpg", ".jpeg", ".webp", ".json")
 OPT_OUT = r"(?i)#\s*(pragma:\s*allowlist\s*secret|noqa:\s*secrets)\b"
 
 
+@cache
+def transliteration() -> dict[str, str]:
+    """Small letters to ASCII, made by rule: a letter's compatibility decomposition without its marks; else, for Latin, the letter that its Unicode name starts from (``L WITH STROKE``,
+    ``LIGATURE OE``); Greek and Cyrillic letters, with or without marks, are spelt. A letter that no rule takes isn't there."""
+    table = dict(SPELT)
+    spelt = GREEK | CYRILLIC
+    for code in (*range(0xAA, 0x530), *range(0x1D00, 0x2000), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800), *range(0xFB00, 0xFB07), *range(0xFF41, 0xFF5B)):
+        letter = chr(code)
+        if letter in table or not letter.isalpha() or letter.lower() != letter:
+            continue
+        whole = letter if letter in spelt else "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).lower()
+        named = re.fullmatch(r"LATIN SMALL (?:LETTER|LIGATURE) ([A-Z]{1,2})(?: WITH .*)?", unicodedata.name(letter, ""))
+        flat = "".join(table.get(c, spelt.get(c, c)) for c in whole)
+        if flat.isascii() and (flat.isalnum() or letter in spelt):
+            table[letter] = flat
+        elif named:
+            table[letter] = named[1].lower()
+    return table
+
+
+def ascii_letters(x: Column) -> Column:
+    """Lower case, letters spelt in ASCII where transliteration() has them, marks that stand alone gone. All that is one letter for one goes in one pass."""
+    table = transliteration()
+    ones = {k: v for k, v in table.items() if len(v) == 1}
+    none = "".join(k for k, v in table.items() if not v)
+    folded = F.translate(F.regexp_replace(F.lower(x), r"[\u0300-\u036f]+", ""), "".join(ones) + none, "".join(ones.values()))
+    longer: dict[str, list[str]] = {}
+    for letter, spelling in table.items():
+        if len(spelling) > 1:
+            longer.setdefault(spelling, []).append(letter)
+    for spelling, letters in longer.items():
+        folded = F.regexp_replace(folded, f"[{''.join(letters)}]", spelling)
+    return folded
+
+
 def slug(x: Column, most: int = 60) -> Column:
-    """Lower case, Latin accents folded, hyphens between words, at most so many characters."""
-    folded = F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
-    return F.substring(F.btrim(F.regexp_replace(folded, "[^a-z0-9]+", "-"), F.lit("-")), 1, most)
+    """Lower case, letters spelt in ASCII, hyphens between words, at most so many characters."""
+    return F.substring(F.btrim(F.regexp_replace(ascii_letters(x), "[^a-z0-9]+", "-"), F.lit("-")), 1, most)
 
 
 def letters_and_digits(x: Column) -> Column:
@@ -160,6 +199,26 @@ def every_string(x: str | Column, kind: T.DataType, change: Callable[[Column], C
     return x
 
 
+#: A JSON text's tokens: a string, with the colon if it names a member, or what lies between strings. Possessive, so that no long string is a deep recursion.
+JSON_TOKEN = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++)"""
+
+
+def every_json_string(x: Column, change: Callable[[Column], Column]) -> Column:
+    """JSON text of any shape to a struct (value, changed): the text with every string in it changed, members' names aside, at any depth, all else as it was written;
+    and whether one did change. Null where x is no JSON; a VARIANT goes in by to_json and out by parse_json."""
+
+    def token(t: Column) -> Column:
+        plain = F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(0))
+        new = change(plain)
+        quoted = F.to_json(F.array(new))
+        return F.when(F.startswith(t, F.lit('"')) & ~F.endswith(t, F.lit(":")) & (new != plain), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(t)
+
+    tokens = F.regexp_extract_all(x, F.lit(JSON_TOKEN), F.lit(1))
+    made = F.struct(F.array_join(F.transform(tokens, token), "").alias("value"))
+    found = F.when(F.try_parse_json(x).isNotNull(), made)
+    return F.transform(F.array(found), lambda y: F.when(y.isNotNull(), F.struct(y["value"].alias("value"), (y["value"] != x).alias("changed"))))[0]
+
+
 def fallback_caption(hook: Column, why: Column) -> Column:
     """Headline in upper case unless it asks, why it is worth while, and the call."""
     headline = F.when((hook != "") & ~F.endswith(hook, F.lit("?")), F.upper(hook)).otherwise(hook)

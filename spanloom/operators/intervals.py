@@ -10,25 +10,40 @@ from pyspark.sql.types import BooleanType
 
 from spanloom.functions import params as P
 from spanloom.operators.folds import along
-
-
-def merge(spans: DataFrame, key: str, tolerance: int = P.MERGE_GAP) -> DataFrame:
-    """(key, start_ms, end_ms): spans that overlap or are no more than tolerance apart made one."""
+from spanloom.operators.scan import running
+
+
+def merge(spans: DataFrame, key: str, tolerance: int = P.MERGE_GAP, cell_ms: int | None = None) -> DataFrame:
+    """(key, start_ms, end_ms): spans that overlap or are no more than tolerance apart made one. With cell_ms a key's spans are cut into slices of so much time,
+    so that a key of very many spans is many tasks' work; without it a key is one task's."""
+    own = spans.select(key, "start_ms", "end_ms")
+    if cell_ms:
+        cell, order = F.floor(F.col("start_ms") / cell_ms), ["start_ms", "end_ms"]
+        reached = running(own, [key], cell, order, {"__reach": ("max", F.col("end_ms"))}, inclusive=False)
+        opened = reached.withColumn("__opens", F.when(F.coalesce(F.col("start_ms") > F.col("__reach") + tolerance, F.lit(True)), F.col("start_ms"))).drop("__reach")
+        # an island is named by its start: starts of islands rise along the order
+        named = running(opened, [key], cell, order, {"__island": ("max", F.col("__opens"))})
+        return named.groupBy(key, F.col("__island").alias("start_ms")).agg(F.max("end_ms").alias("end_ms"))
     order = Window.partitionBy(key).orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("start_ms") > reach + tolerance, F.lit(True))
-    grouped = spans.select(key, "start_ms", "end_ms").withColumn("opens", opens.cast("int"))
+    grouped = own.withColumn("opens", opens.cast("int"))
     grouped = grouped.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(key, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
-def free_gaps(windows: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
-    """lengths: (key, duration_ms). What the windows leave of [0, duration], if long enough, less a margin on both sides."""
+def free_gaps(windows: DataFrame, lengths: DataFrame, key: str, cell_ms: int | None = None) -> DataFrame:
+    """lengths: (key, duration_ms). What the windows leave of [0, duration], if long enough, less a margin on both sides. cell_ms: as in merge."""
     ends = lengths.select(key, F.col("duration_ms").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
     # the end stands last, whatever starts at it or beyond
     rows = windows.select(key, "start_ms", "end_ms", F.lit(0).alias("last")).unionByName(ends.withColumn("last", F.lit(1)))
-    order = Window.partitionBy(key).orderBy("last", "start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = rows.withColumn("cursor", F.greatest(F.lit(0), F.coalesce(F.max("end_ms").over(order), F.lit(0))))
+    order = ["last", "start_ms", "end_ms"]
+    if cell_ms:
+        cell = F.when(F.col("last") == 1, F.lit((1 << 63) - 1)).otherwise(F.floor(F.col("start_ms") / cell_ms))
+        reached = running(rows, [key], cell, order, {"reach": ("max", F.col("end_ms"))}, inclusive=False)
+    else:
+        reached = rows.withColumn("reach", F.max("end_ms").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    open_ = reached.withColumn("cursor", F.greatest(F.lit(0), F.coalesce("reach", F.lit(0))))
     kept = open_.where(F.col("start_ms") - F.col("cursor") >= P.FREE_GAP)
     return kept.select(key, (F.col("cursor") + P.FREE_MARGIN).cast("long").alias("start_ms"), (F.col("start_ms") - P.FREE_MARGIN).cast("long").alias("end_ms"))
 

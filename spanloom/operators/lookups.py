@@ -24,7 +24,7 @@ def _known(tags: DataFrame) -> DataFrame:
 
 
 def held(texts: DataFrame, key: str, text: str, tags: DataFrame, first: bool = False, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """(key, tag): the tags that each text contains, once each; with ``first`` the least of them alone. tags: (tag) and, if wanted, ``edges``, whether
+    """(key, tag, at_edges): the tags that each text contains, once each, and whether one stands between word edges somewhere; with ``first`` (key, tag), the least of them alone. tags: (tag) and, if wanted, ``edges``, whether
     word edges must stand around it. key names a text. Null texts hold nothing; null and empty tags are none. A short list (its size is measured) is
     an automaton in each worker and a text is read once; a longer list meets whole substrings of its tags' lengths by equality."""
     known = _known(tags)
@@ -55,15 +55,23 @@ def by_automaton(texts: DataFrame, tags: DataFrame, first: bool) -> DataFrame:
         for batch in batches:
             rows, found = [], []
             for k, text in enumerate(batch.column(1).to_pylist() if len(automaton) else ()):
-                hits = {tag for end, (tag, edges) in automaton.iter(text) if not edges or _edge(text, end - len(tag)) and _edge(text, end + 1)}
+                hits: dict[str, bool] = {}
+                for end, (tag, edges) in automaton.iter(text):
+                    if not hits.get(tag):
+                        at = _edge(text, end - len(tag)) and _edge(text, end + 1)
+                        if at or not edges:
+                            hits[tag] = at
                 if first and hits:
-                    hits = {min(hits, key=str.encode)}
+                    least = min(hits, key=str.encode)
+                    hits = {least: hits[least]}
                 rows += [k] * len(hits)
-                found += hits
+                found += hits.items()
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found, pa.string())], [key, "tag"])
+                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], [key, "tag", "at_edges"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema[key], T.StructField("tag", T.StringType())]))
+    made_rows = texts.mapInArrow(run, T.StructType([texts.schema[key], T.StructField("tag", T.StringType()), T.StructField("at_edges", T.BooleanType())]))
+    return made_rows.drop("at_edges") if first else made_rows
 
 
 def met(texts: DataFrame, tags: DataFrame) -> DataFrame:
@@ -81,5 +89,5 @@ def met(texts: DataFrame, tags: DataFrame) -> DataFrame:
 
 def by_lengths(texts: DataFrame, tags: DataFrame, first: bool) -> DataFrame:
     key = texts.columns[0]
-    hits = met(texts, tags).where("at_edges or not edges").select(key, "tag")
-    return hits.groupBy(key).agg(F.min("tag").alias("tag")) if first else hits.distinct()
+    hits = met(texts, tags).where("at_edges or not edges")
+    return hits.groupBy(key).agg(F.min("tag").alias("tag")) if first else hits.groupBy(key, "tag").agg(F.max("at_edges").alias("at_edges"))

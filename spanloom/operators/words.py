@@ -10,6 +10,8 @@ from pyspark.sql.types import LongType
 
 from spanloom.functions import params as P
 from spanloom.operators.folds import along
+from spanloom.operators.scan import running
+from spanloom.operators.tables import written
 
 
 def by_pos() -> WindowSpec:
@@ -122,23 +124,29 @@ def all_cuts(words: DataFrame, fillers: Sequence[str]) -> DataFrame:
     return w.select("source_id", F.inline(F.array_compact(F.array(filler, stutter, silence))))
 
 
-def timeline_stream(words: DataFrame, cuts: DataFrame) -> DataFrame:
+def timeline_stream(words: DataFrame, cuts: DataFrame, cell_ms: int | None = None) -> DataFrame:
     """Words and disjoint cuts (cs, ce) as one sorted stream for each source, instead of a join by range: of each word
-    whether no cut overlaps it (kept) and how much is cut before it (gone)."""
+    whether no cut overlaps it (kept) and how much is cut before it (gone). With cell_ms the stream is cut into slices of so much time, so that one very long source is many tasks' work; the
+    stream is written first, as it is read several times."""
     rows = words.select("source_id", "pos", "text", "start_ms", "end_ms", F.lit(None).cast("long").alias("cs"), F.lit(None).cast("long").alias("ce")).unionByName(
         cuts.select("source_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), "start_ms", "end_ms", F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"))
     )
     is_cut = F.col("cs").isNotNull()
     so_far = (Window.unboundedPreceding, 0)
-    by_begin = Window.partitionBy("source_id").orderBy(F.when(is_cut, F.col("cs")).otherwise(F.col("end_ms")), is_cut, "pos").rowsBetween(*so_far)
-    by_end = Window.partitionBy("source_id").orderBy(F.when(is_cut, F.col("ce")).otherwise(F.col("start_ms")), ~is_cut, "pos").rowsBetween(*so_far)
-    seen = rows.withColumn("reach", F.max("ce").over(by_begin)).withColumn("gone", F.coalesce(F.sum(F.col("ce") - F.col("cs")).over(by_end), F.lit(0)))
+    begin, end, length = F.when(is_cut, F.col("cs")).otherwise(F.col("end_ms")), F.when(is_cut, F.col("ce")).otherwise(F.col("start_ms")), F.col("ce") - F.col("cs")
+    if cell_ms:
+        cut = running(written(rows), ["source_id"], F.floor(begin / cell_ms), [begin, is_cut, "pos"], {"reach": ("max", F.col("ce"))})
+        seen = running(cut, ["source_id"], F.floor(end / cell_ms), [end, ~is_cut, "pos"], {"gone": ("sum", length)}).withColumn("gone", F.coalesce("gone", F.lit(0)))
+    else:
+        by_begin = Window.partitionBy("source_id").orderBy(begin, is_cut, "pos").rowsBetween(*so_far)
+        by_end = Window.partitionBy("source_id").orderBy(end, ~is_cut, "pos").rowsBetween(*so_far)
+        seen = rows.withColumn("reach", F.max("ce").over(by_begin)).withColumn("gone", F.coalesce(F.sum(length).over(by_end), F.lit(0)))
     return seen.withColumn("kept", F.col("cs").isNull() & (F.col("reach").isNull() | (F.col("reach") <= F.col("start_ms"))))
 
 
-def retime(words: DataFrame, cuts: DataFrame) -> DataFrame:
+def retime(words: DataFrame, cuts: DataFrame, cell_ms: int | None = None) -> DataFrame:
     """words without those that overlap a cut, moved left by all that is cut before. cuts: disjoint."""
-    kept = timeline_stream(words, cuts).where("kept")
+    kept = timeline_stream(words, cuts, cell_ms).where("kept")
     return kept.select("source_id", "pos", "text", (F.col("start_ms") - F.col("gone")).cast("long").alias("start_ms"), (F.col("end_ms") - F.col("gone")).cast("long").alias("end_ms"))
 
 
@@ -159,12 +167,12 @@ def chunks(words: DataFrame, size: int) -> DataFrame:
 
 
 SLICE_CELL = 60_000
+SLICE_SEGMENTS = 4096
 
 
 def slice_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
     """segments: (source_id, seg_no, seg_start, seg_end), in the order they play. Words that lie in one, on the new timeline."""
-    before = Window.partitionBy("source_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = segments.withColumn("offset", F.coalesce(F.sum(F.col("seg_end") - F.col("seg_start")).over(before), F.lit(0)))
+    placed = running(segments, ["source_id"], F.expr(f"seg_no div {SLICE_SEGMENTS}"), ["seg_no"], {"offset": ("sum", F.col("seg_end") - F.col("seg_start"))}, inclusive=False).withColumn("offset", F.coalesce("offset", F.lit(0)))
     placed = placed.withColumn("cell", F.explode(F.expr(f"sequence(seg_start div {SLICE_CELL}, seg_end div {SLICE_CELL})")))
     # a word stands in the cell of its start, a segment in all that it meets: equal keys, and each pair meets once
     both = words.withColumn("cell", F.expr(f"start_ms div {SLICE_CELL}")).join(placed, ["source_id", "cell"]).where("start_ms >= seg_start and end_ms <= seg_end")
@@ -219,10 +227,31 @@ def lexicon_hits(words: DataFrame, lexicon: Sequence[str], numbers: bool = False
     return found
 
 
-def phrase_hits(words: DataFrame, phrases: DataFrame, size: int = 2) -> DataFrame:
-    """phrases: (phrase_id, phrase) of ``size`` words. Where each first stands in each source: word n-grams meet phrases by equality."""
-    bare = F.btrim(F.lower("text"), F.lit(".,!?"))
-    gram = F.array_join(F.array(*(F.lead("bare", k).over(by_pos()) for k in range(size))), " ")
-    seen = words.withColumn("bare", bare).withColumn("last", F.lead("bare", size - 1).over(by_pos())).withColumn("phrase", gram).where("last is not null")
-    both = seen.join(phrases, "phrase")
-    return both.groupBy("source_id", "phrase_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("first_ms"))
+#: First words of phrases of so many bytes together are sent to all tasks; more are joined.
+FIRSTS_BYTES = 8 << 20
+
+
+def bare(text: Column) -> Column:
+    """A word as phrases are compared: lower case, without .,!? around it."""
+    return F.btrim(F.lower(text), F.lit(".,!?"))
+
+
+def phrase_starts(words: DataFrame, phrases: DataFrame) -> tuple[DataFrame, list[int]]:
+    """phrases: (phrase), of one word or more, single spaces between. words with ``next``, the bare words from each on, as many as the longest phrase has, and ``sizes``, the lengths of the phrases
+    that begin with this word (null: none does); and all lengths. This is a trie's first level; its other levels are the few grams that ``next`` and ``sizes`` give."""
+    parts = F.split("phrase", " ")
+    firsts = phrases.where("phrase <> ''").groupBy(F.get(parts, F.lit(0)).alias("__first")).agg(F.collect_set(F.size(parts)).alias("sizes"))
+    size, lengths = firsts.agg(F.sum(F.octet_length("__first") + 8 * F.size("sizes")), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sizes"))))).first()
+    longest = max(lengths, default=1)
+    ahead = F.collect_list("__bare").over(by_pos().rowsBetween(0, longest - 1)) if longest > 1 else F.array("__bare")
+    seen = words.withColumn("__bare", bare(F.col("text"))).withColumn("next", ahead)
+    return seen.join(F.broadcast(firsts) if (size or 0) <= FIRSTS_BYTES else firsts, F.col("__bare") == F.col("__first"), "left").drop("__bare", "__first"), lengths
+
+
+def phrase_hits(words: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrases: (phrase_id, phrase), a table of any size, phrases of any length. How often and where first each stands in each source: grams, counted by source before they
+    are shuffled, meet phrases by equality."""
+    starts, _ = phrase_starts(words, phrases)
+    grams = starts.where("sizes is not null").select("source_id", "start_ms", "next", F.explode("sizes").alias("__n")).where("__n <= size(next)")
+    counted = grams.groupBy("source_id", F.array_join(F.slice("next", F.lit(1), F.col("__n")), " ").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("first_ms"))
+    return counted.join(phrases.select("phrase_id", "phrase").distinct(), "phrase").groupBy("source_id", "phrase_id").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import intervals, lookups, publishing
+from spanloom.operators import entities, intervals, lookups, publishing, words
 from spanloom.plans.common import Queries, quoted, table
 from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
@@ -56,32 +56,17 @@ def entity_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PLN7, JOI16, SEQ5, FLT11, SEQ4, LIM2: slides of entities at their first mention, in the lexicon's order into what the overlays leave free. A mention
     needs the words in a row and the key in the joined text (a logo's between word edges). A logo's name counts once, by its first key that is mentioned; no
     two slides get the same span, and there are CAP at most; of those that overlap the earlier stays."""
-    longest = max(r[-1] for r in ENTITY_ROWS)
-    order = Window.partitionBy("source_id").orderBy("pos")
-    spoken = timeline(spark, sf_dir).withColumn("b0", F.btrim(F.lower("text"), F.lit(".,!?")))
-    spoken = spoken.withColumns({f"b{k}": F.lead("b0", k).over(order) for k in range(1, longest)})
-    grams = [F.concat(*(x for k in range(n) for x in (F.lit(" " if k else "="), F.col(f"b{k}")))) for n in range(1, longest + 1)]
-    m = marks(spoken, *((g, g.isin([f"={key}" for _, _, key, _, _, size in ENTITY_ROWS if size == n])) for n, g in enumerate(grams, 1)))
+    lexicon = spark.createDataFrame([r[:-1] for r in ENTITY_ROWS], "k int, type string, key string, name string, len int")
+    starts, sizes = words.phrase_starts(timeline(spark, sf_dir), lexicon.select(F.col("key").alias("phrase")))
+    grams = [(F.concat(F.lit("="), F.array_join(F.slice("next", 1, n), " ")), F.array_contains("sizes", n) & (F.size("next") >= n)) for n in sizes]
+    m = marks(starts, *grams)
     ends = lengths(m)
     gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, ends), ends), ends.withColumnRenamed("dur", "duration_ms"), "source_id")
-    lexicon = F.broadcast(spark.createDataFrame(ENTITY_ROWS, "k int, type string, key string, name string, len int, n int"))  # fixed
     first_said = m.where("slot like '=%'").groupBy("source_id", F.expr("substring(slot, 2)").alias("key")).agg(F.min("t").alias("t"))
-    hits = first_said.join(lexicon, "key").select("source_id", "k", "type", "key", "name", "len", "t")
-    # which keys the joined text holds is asked before the join, so that no text is shuffled for it; a lambda's argument is computed once, not for each key
-    said = lambda low, kind, key: F.contains(low, F.lit(key)) & (F.lit(True) if kind == "person" else low.rlike(rf"(^|{EDGE})\Q{key}\E($|{EDGE})"))
-    has = lambda low: F.array_compact(F.array(*(F.when(said(low, kind, key), F.lit(k)) for k, kind, key, *_ in ENTITY_ROWS)))
     joined = F.lower(F.array_join(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)), " "))
-    ks = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("source_id"), F.transform(F.array(joined), has)[0].alias("ks"))
-    held = hits.join(ks, "source_id").where("array_contains(ks, k)").drop("ks")
-    first = F.row_number().over(Window.partitionBy("source_id", F.col("type") == "person", F.when(F.col("type") == "person", F.col("key")).otherwise(F.col("name"))).orderBy("k"))
-    once = held.withColumn("r", first).where("r = 1")
-    want = once.select("source_id", F.col("k").cast("long").alias("entity"), F.col("t").alias("start_ms"), (F.col("t") + F.col("len")).alias("end_ms"))
-    fitted = intervals.in_gap(want, gaps, "source_id", "entity", 60_000)
-    placed = fitted.groupBy("source_id", "start_ms", "end_ms").agg(F.min("entity").alias("entity")).withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("entity"))).where(f"place <= {CAP}")
-    named = lexicon.select(F.col("k").cast("long").alias("entity"), "type", "name")
-    slides = placed.join(named, "entity").where(F.col("type").isin(*SLIDE_TYPES)).select("source_id", "start_ms", "end_ms", "entity")
-    kept = intervals.greedy(slides, "source_id", "entity")
-    return kept.join(named, "entity").select("source_id", F.col("entity").cast("int").alias("entity"), "type", "name", "start_ms", "end_ms")
+    texts = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("source_id"), joined.alias("text"))
+    made = entities.slides(entities.mentioned(first_said, texts, lexicon), gaps, SLIDE_TYPES, CAP)
+    return made.select("source_id", F.col("entity").cast("int").alias("entity"), "type", "name", "start_ms", "end_ms")
 
 
 # ---------------------------------------------------------------- clips
@@ -388,6 +373,36 @@ def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("conv_id", "turn", F.md5("y.title").alias("title_md5"), F.array_join("y.tags", "|").alias("tags"), F.col("y.meta")["note"].alias("note"), (unlike("title") | unlike("tags") | unlike("meta")).alias("changed"))
 
 
+ANY = """
+r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(text, ', ', ' — ') ELSE text END AS t, role FROM conversations),"""
+
+
+def sql_any(t: str, tag: str, deep: str, note: str) -> str:
+    """Four shapes of records in one column."""
+    return f"""CASE (conv_id + turn) % 4 WHEN 0 THEN '{{"title":' || to_json({t}) || ',"tags":[' || to_json(role) || ', "{tag}"],"n":' || turn || '}}'
+    WHEN 1 THEN '[ ' || to_json({t}) || ', {{"x — y" : {{"list": [1, null, true, "{deep}", "a\\"b", ""], "n—n": -1.50e3}}}}]' WHEN 2 THEN CAST(to_json({t}) AS VARCHAR) ELSE '{{"n":1.5,"t":true,"z":null,"note":"{note}"}}' END"""
+
+
+@Q.add(
+    f"""WITH {ANY.strip()} n AS (SELECT *, {sql_dashes('t')} AS t2 FROM r), j AS (SELECT conv_id, turn, {sql_any('t', 'a – b', 'r—s', 'plain')} AS old, {sql_any('t2', 'a, b', 'r, s', 'plain')} AS new FROM n)
+SELECT conv_id, turn, md5(new) AS json_md5, new <> old AS changed FROM j"""
+)
+def normalized_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL17: every string of JSON of any shape normalised, members' names left, and whether any changed."""
+    text = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit(", "), F.lit(" — "))).otherwise(F.col("text"))
+    quote = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    t, role, kind = quote(text), quote(F.col("role")), (F.col("conv_id") + F.col("turn")) % 4
+    shapes = (
+        F.concat(F.lit('{"title":'), t, F.lit(',"tags":['), role, F.lit(', "a – b"],"n":'), F.col("turn").cast("string"), F.lit("}")),
+        F.concat(F.lit("[ "), t, F.lit(', {"x — y" : {"list": [1, null, true, "r—s", "a\\"b", ""], "n—n": -1.50e3}}]')),
+        t,
+        F.lit('{"n":1.5,"t":true,"z":null,"note":"plain"}'),
+    )
+    record = F.when(kind == 0, shapes[0]).when(kind == 1, shapes[1]).when(kind == 2, shapes[2]).otherwise(shapes[3])
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.every_json_string(record, T.without_dashes).alias("x"))
+    return made.select("conv_id", "turn", F.md5("x.value").alias("json_md5"), F.col("x.changed").alias("changed"))
+
+
 @Q.add(
     f"""WITH s AS (SELECT o_orderkey AS k, ['text', 'stat', 'list', 'logo', 'person'][o_orderkey % 5 + 1] AS type, CASE WHEN o_orderkey % 7 = 0 THEN '#123456' END AS color, CASE WHEN o_orderkey % 2 = 0 THEN 'Brand' || o_orderkey % 50 END AS key_, CASE WHEN o_orderkey % 3 > 0 THEN 'Name' || o_orderkey % 50 END AS name, o_orderkey % 4 AS style FROM orders),
 p AS (SELECT *, CASE WHEN style = 1 THEN '#aa8800' ELSE '{PALETTE['primary']}' END AS c1, CASE WHEN style IN (1, 2) THEN '#990000' ELSE '{PALETTE['secondary']}' END AS c2, CASE WHEN style = 3 THEN '#00aa00' ELSE '{PALETTE['accent']}' END AS c3, CASE WHEN type IN ('logo', 'person') THEN coalesce(key_, name, '') END AS wanted FROM s)

@@ -35,7 +35,7 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    rf"""SELECT p_partkey, trim(regexp_replace(translate(replace(lower(p_name || ' É' || p_type), 'ß', 'ss'), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '-')[1:40] AS slug,
+    rf"""SELECT p_partkey, trim(regexp_replace(replace(replace(replace(translate(lower('Łódź œuvre Щи ' || p_name || ' É' || p_type), 'éłóź', 'eloz'), 'œ', 'oe'), 'щ', 'shch'), 'и', 'i'), '[^a-z0-9]+', '-', 'g'), '-')[1:40] AS slug,
   regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, regexp_matches(p_type, '[$£€]|[0-9]') AS has_number, length(p_name) AS n,
   CASE WHEN length(p_name) <= 12 THEN repeat('*', length(p_name)) ELSE p_name[1:4] || '...' || p_name[-4:] END AS hidden,
   sha1(p_type) AS type_sha1,
@@ -47,7 +47,7 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("p_name")
     return p.select(
         "p_partkey",
-        T.slug(F.concat(name, F.lit(" É"), "p_type"), 40).alias("slug"),
+        T.slug(F.concat(F.lit("Łódź œuvre Щи "), name, F.lit(" É"), "p_type"), 40).alias("slug"),
         T.letters_and_digits(name).alias("key"),
         F.col("p_type").rlike("[$£€]|[0-9]").alias("has_number"),
         F.length(name).cast("long").alias("n"),

@@ -203,15 +203,16 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add(
     f"""WITH {WORDS},
-b AS (SELECT source_id, pos, start_ms, trim(lower(text), '.,!?') AS s, trim(lower(lead(text) OVER w), '.,!?') AS s2 FROM words WINDOW w AS (PARTITION BY source_id ORDER BY pos)),
-i AS (SELECT item_id AS phrase_id, unnest(list_transform(range(1, 4), lambda k: trim(lower(t[k]), '.,!?') || ' ' || trim(lower(t[k + 1]), '.,!?'))) AS phrase FROM (SELECT item_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS t FROM benchmark) WHERE len(t) > 3)
-SELECT source_id, phrase_id, count(*) AS n, min(start_ms) AS first_ms FROM b JOIN i ON s || ' ' || s2 = phrase GROUP BY ALL"""
+b AS (SELECT source_id, pos, start_ms, trim(lower(text), '.,!?') AS s FROM words),
+c AS (SELECT source_id, start_ms, s || ' ' || lead(s, 1) OVER w AS g2, g2 || ' ' || lead(s, 2) OVER w AS g3, g3 || ' ' || lead(s, 3) OVER w AS g4, g4 || ' ' || lead(s, 4) OVER w AS g5 FROM b WINDOW w AS (PARTITION BY source_id ORDER BY pos)),
+g AS (SELECT source_id, start_ms, unnest([g2, g3, g4, g5]) AS gram FROM c),
+i AS (SELECT DISTINCT item_id AS phrase_id, unnest(list_transform(range(2, 6), lambda n: array_to_string(list_transform(t[1:n], lambda x: trim(lower(x), '.,!?')), ' '))) AS phrase FROM (SELECT item_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS t FROM benchmark) WHERE len(t) > 4)
+SELECT source_id, phrase_id, count(*) AS n, min(start_ms) AS first_ms FROM g JOIN i ON gram = phrase GROUP BY ALL"""
 )
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI15, SCL7: the first word pairs of each benchmark item, wherever they stand."""
-    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)).alias("t")).where("size(t) > 3")
-    bare = lambda k: F.btrim(F.lower(F.get("t", k)), F.lit(".,!?"))
-    phrases = t.select("phrase_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat_ws(" ", bare(k), bare(k + 1)))).alias("phrase"))
+    """JOI15, SCL7: the first two, three, four and five words of each benchmark item, wherever they stand."""
+    t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)).alias("t")).where("size(t) > 4")
+    phrases = t.select("phrase_id", F.explode(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda n: F.array_join(F.transform(F.slice("t", F.lit(1), n), words.bare), " "))).alias("phrase"))
     return words.phrase_hits(timeline(spark, sf_dir), phrases)
 
 
@@ -309,6 +310,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELL = 3_600_000
+SLICE = 24 * CELL
 
 
 @Q.add(
@@ -316,7 +318,7 @@ CELL = 3_600_000
 )
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN5 on events."""
-    return intervals.merge(events(spark, sf_dir), "user_id")
+    return intervals.merge(events(spark, sf_dir), "user_id", cell_ms=SLICE)
 
 
 @Q.add(
@@ -352,7 +354,7 @@ def from_first(e: DataFrame) -> tuple[DataFrame, DataFrame]:
 def free_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN6."""
     d, lengths = from_first(events(spark, sf_dir))
-    return intervals.free_gaps(d, lengths, "user_id")
+    return intervals.free_gaps(d, lengths, "user_id", cell_ms=SLICE)
 
 
 FIT = f"""
