@@ -62,31 +62,52 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 BINS = 256
-BANDS = 64
-BAND_BINS = 4
+BANDS = 48
+BAND_BINS = 3
 #: Sets of FEW hashes or more have the keys of the first half of the bands only.
 FEW = 64
+#: Bits of a set's sketch that goes with its bands' keys, one of each of the first bins.
+SKETCH_BITS = 128
+#: Where an empty bin looks for another's hash, in turn.
+PROBES = ((np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(48) + np.arange(48, dtype=np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+
+
+def _lent(there: np.ndarray) -> np.ndarray:
+    """The bin whose hash each bin has: its own, or that of the first bin on its list that isn't empty (of none on the list, the next to the right). Sets with the same empty bins borrow alike."""
+    of, left = np.arange(BINS), np.nonzero(~there)[0]
+    for k in range(PROBES.shape[1]):
+        if not len(left):
+            return of
+        to = PROBES[left, k]
+        good = there[to]
+        of[left[good]] = to[good]
+        left = left[~good]
+    full = np.nonzero(there)[0]
+    of[left] = full[np.searchsorted(full, left) % len(full)]
+    return of
 
 
 def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """The least hash in each of 256 bins of the hashes' top bits (16 bits of it, 65535: an empty bin), and a key for each band of four bins.
-    Large sets of similarity 0.8 share a given band with probability 0.8 ** 4, and none of 32 with about 5e-8."""
+    """The least hash in each of 256 bins of the hashes' top bits (16 bits of it, 65535: an empty bin); and, unless the set is empty, how many bins aren't, a sketch of one bit of
+    each of the first bins in two longs, and a key for each band of three bins, empty ones having lent hashes, so that no band of a small set hangs on a single shingle.
+    Large sets of similarity 0.8 share a given band with probability 0.8 ** 3, and none of 24 with about 3e-8."""
     h = np.unique(h)
     edges = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
     at = np.searchsorted(h, edges)
     full = np.append(h, np.uint64(0))[at]
     there = (at < len(h)) & (full >> np.uint64(56) == np.arange(BINS, dtype=np.uint64))
     least = np.where(there, np.minimum((full >> np.uint64(40)) & np.uint64(0xFFFF), 65534), 65535).astype("<u2")
-    bands = np.where(there, full, 0).reshape(BANDS, BAND_BINS)
-    used = there.reshape(BANDS, BAND_BINS).any(1)
-    if len(h) >= FEW:
-        used[BANDS // 2 :] = False
+    if not len(h):
+        return least.tobytes(), []
+    lent = full[_lent(there)]
+    bits = np.packbits((lent[:SKETCH_BITS] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    bands = lent[: BANDS * BAND_BINS].reshape(BANDS, BAND_BINS)[: BANDS // 2 if len(h) >= FEW else BANDS]
     with np.errstate(over="ignore"):
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        key = np.arange(1, len(bands) + 1, dtype=np.uint64)
         for k in range(BAND_BINS):
             key = (key ^ bands[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-    return least.tobytes(), key[used].view(np.int64).tolist()
+    return least.tobytes(), [int(there.sum()), *bits.tolist(), *key.view(np.int64).tolist()]
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -228,19 +249,76 @@ def _sketched(size: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (band, c) in order: edges from each member of a band to the band's first."""
-    band, first = None, 0
-    for batch in batches:
-        b, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(b):
-            continue
-        begins = np.concatenate([[band is None or b[0] != band], b[1:] != b[:-1]])
-        firsts = np.concatenate([[first], c[begins]])[np.cumsum(begins)]
-        band, first = b[-1], firsts[-1]
-        pair = np.unique(np.stack([c, firsts], 1)[c != firsts], axis=0)
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in (0, 1)], ["u", "v"])
+#: Members of a band whose sketches are compared, all with all, in one go.
+MOST_BAND = 8192
+
+
+def plausible(filled: np.ndarray, bits: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sets whose sketches don't rule out a similarity of ``least``: at that similarity a bit agrees with probability p = (1 + least) / 2, and a pair is ruled out if it falls short
+    of that by more than six standard deviations, of as few independent bits as the emptier set has (half of its full bins, since lent ones repeat)."""
+    p = (1 + least) / 2
+    own = np.where(filled == BINS, SKETCH_BITS, np.minimum(filled, SKETCH_BITS) / 2)
+    need = p - 6 * np.sqrt(p * (1 - p) / own)
+    us, vs = [], []
+    for at in range(0, len(filled), 512):
+        unlike = np.bitwise_count(bits[at : at + 512, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
+        i, j = np.nonzero(1 - unlike / SKETCH_BITS >= np.minimum(need[at : at + 512, None], need[None, :]))
+        i += at
+        us.append(i[i < j]), vs.append(j[i < j])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _stars(least: float):
+    """Over rows (band, c, filled, b0, b1) in order: edges that join the members of a band whose sketches may be alike, over others of the band too. Of a band beyond MOST_BAND members
+    all are joined; what isn't alike is parted when whole sets are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, over, first = np.empty((0, 5), np.int64), None, 0
+        for batch in (*batches, None):
+            last = batch is None
+            rows = held if last else np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], 1)])
+            if not len(rows):
+                continue
+            cuts = np.nonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))[0]
+            tail = len(rows) if last else int(cuts[-1])  # the last band may go on
+            us, vs = [], []
+            if over is not None and rows[0, 0] == over:
+                n = int(cuts[1]) if len(cuts) > 1 else len(rows)
+                us.append(rows[:n, 1]), vs.append(np.full(n, first))
+                cuts, tail = cuts[1:], max(tail, n)
+            cuts = cuts[cuts < tail]
+            lengths = np.diff(np.append(cuts, tail))
+            two = cuts[lengths == 2]
+            if len(two):
+                p = (1 + least) / 2
+                full = np.minimum(rows[two, 2], rows[two + 1, 2])
+                own = np.where(full == BINS, SKETCH_BITS, np.minimum(full, SKETCH_BITS) / 2)
+                unlike = np.bitwise_count((rows[two, 3:] ^ rows[two + 1, 3:]).view(np.uint64)).sum(1, dtype=np.int64)
+                good = two[1 - unlike / SKETCH_BITS >= p - 6 * np.sqrt(p * (1 - p) / own)]
+                us.append(rows[good + 1, 1]), vs.append(rows[good, 1])
+            for at, n in zip(cuts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                own_rows = rows[at : at + n]
+                if n > MOST_BAND:
+                    us.append(own_rows[1:, 1]), vs.append(np.full(n - 1, own_rows[0, 1]))
+                    continue
+                i, j = plausible(own_rows[:, 2], own_rows[:, 3:].view(np.uint64), least)
+                label = _merged(np.arange(n), i, j) if len(i) else np.arange(n)
+                while (label[label] != label).any():
+                    label = label[label]
+                moved = np.nonzero(label != np.arange(n))[0]
+                us.append(own_rows[moved, 1]), vs.append(own_rows[label[moved], 1])
+            held = rows[tail:]
+            if len(held) > MOST_BAND:  # its members are joined as they come
+                over, first = int(held[0, 0]), int(held[0, 1])
+                us.append(held[1:, 1]), vs.append(np.full(len(held) - 1, first))
+                held = held[:0]
+            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+            if len(u):
+                pair = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+                if len(pair):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k])) for k in (0, 1)], ["u", "v"])
+
+    return run
 
 
 def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -351,10 +429,11 @@ def _wanted_sets(size: int, table: np.ndarray):
 
 def similar_links(docs: DataFrame, marked: DataFrame, size: int, least: float, most: int = 2048, most_hashes: int = 2 << 20) -> DataFrame:
     """docs: (doc_id, r, text); marked: (r, fp, c, n, bands). Edges (u, v) between fingerprints whose components are those of all pairs of
-    texts that share a band and whose sets of shingles have a Jaccard similarity of ``least`` or more. Bands only say what is compared:
-    texts that bands join, over others too, are compared by their whole sets, all with all that their sizes allow."""
-    rows = marked.select(F.explode("bands").alias("band"), "c")
-    edges = rows.repartition("band").sortWithinPartitions("band", "c").mapInArrow(_stars, "u long, v long")
+    texts that share a band and whose sets of shingles have a Jaccard similarity of ``least`` or more. Bands, and the sketches of those that share one, only say what is compared:
+    texts that they join, over others too, are compared by their whole sets, all with all that their sizes allow."""
+    once = marked.where("n > 0").select("c", "bands").dropDuplicates(["c"])
+    rows = once.select(F.explode(F.slice("bands", 4, BANDS)).alias("band"), "c", *(F.get("bands", F.lit(k)).alias(x) for k, x in enumerate(("filled", "b0", "b1"))))
+    edges = rows.repartition("band").sortWithinPartitions("band", "c").mapInArrow(_stars(least), "u long, v long")
     roots = components(edges)
     members = roots.select(F.col("u").alias("c"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("c"), F.col("v").alias("root")).distinct())
     classes = marked.groupBy("c", "fp", "n").agg(F.min("r").alias("r"))
