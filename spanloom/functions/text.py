@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values.
+# The marks here, and the patterns and their order in without_dashes and without_hashtags.
 DASHES = "—–‒―�"
 #: Letters that no rule below takes apart, and two alphabets that are spelt in Latin letters.
 SPELT = {"ß": "ss", "þ": "th", "ð": "d", "ı": "i", "ĸ": "q", "ŋ": "ng", "ſ": "s"}

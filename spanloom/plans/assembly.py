@@ -26,6 +26,7 @@ ENTITIES = (
     ("logo", "which", "Which", 2200), ("logo", "in the", "In", 2200), ("logo", "avec", "Avec", 2200), ("logo", "of the", "Of", 2200), ("logo", "from", "From", 2200), ("logo", "have", "From", 2200),
     ("logo", "und", "Und", 2200), ("clip", "que", "Que", 2200), ("person", "para", "Para", 3500), ("person", "nicht", "Nicht", 3500), ("person", "la de", "Lade", 3500), ("person", "the", "The", 3500),
 )
+# Fixed values.
 SLIDE_TYPES = ("text", "stat", "list", "logo", "person")
 CAP = 4
 ENTITY_ROWS = [(k, *e, len(e[1].split())) for k, e in enumerate(ENTITIES)]
@@ -116,6 +117,7 @@ def normalized_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- render records
 
+# Fixed values.
 PALETTE = {"primary": "#f5c842", "secondary": "#ff3653", "accent": "#22dd88", "bg": "#000000"}
 BANDS = {"tiktok": (8600, 6000), "instagram": (8400, 5800), "youtube": (9000, 6200)}
 RENDER = f"""
