@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from spanloom.functions import params as P
+from spanloom.operators import chains
 from spanloom.operators.folds import along
 from spanloom.operators.scan import running
+from spanloom.operators.stats import Split, by_size
+
+#: Time of a slice, where a key is cut into slices.
+CELL_MS = 600_000
 
 
 def merge(spans: DataFrame, key: str, tolerance: int = P.MERGE_GAP, cell_ms: int | None = None) -> DataFrame:
@@ -69,8 +74,12 @@ def in_gap(spans: DataFrame, gaps: DataFrame, key: str, span_id: str, cell_ms: i
     return fitted.select(key, span_id, F.col("s").cast("long").alias("start_ms"), (F.col("s") + F.col("size")).cast("long").alias("end_ms"))
 
 
-def greedy(spans: DataFrame, key: str, span_id: str) -> DataFrame:
-    """From left to right, spans that don't begin before the last kept one ends."""
+def greedy(spans: DataFrame, key: str, span_id: str, most: int | None = None, cell_ms: int = CELL_MS) -> DataFrame:
+    """From left to right, spans that don't begin before the last kept one ends. A key is one fold along its sorted rows; with ``most``, keys of more rows than that (counted first) are
+    chains of pointers instead, many tasks' work."""
+    own = spans.select(key, "start_ms", "end_ms", span_id)
+    if most is not None:
+        return by_size(own, [key], most, lambda rows, asked: chains.greedy(rows, key, span_id, cell_ms) if isinstance(asked, Split) else greedy(rows, key, span_id))
 
     def step(reach: list, start: int, end: int) -> bool:
         if reach[0] is not None and start < reach[0]:
@@ -78,13 +87,15 @@ def greedy(spans: DataFrame, key: str, span_id: str) -> DataFrame:
         reach[0] = end
         return True
 
-    own = spans.select(key, "start_ms", "end_ms", span_id)
     return along(own, key, ["start_ms", "end_ms", span_id], ["start_ms", "end_ms"], "__kept", BooleanType(), lambda: [None], step).where("__kept").drop("__kept")
 
 
-def apart(events: DataFrame, key: str, within: int = P.SAME_EVENT) -> DataFrame:
-    """events: (key, t_ms, slot, ...) in order of time and slot; one like the last kept, less than ``within`` after it, goes."""
+def apart(events: DataFrame, key: str, within: int = P.SAME_EVENT, most: int | None = None, cell_ms: int = CELL_MS) -> DataFrame:
+    """events: (key, t_ms, slot, ...) in order of time and slot; one like the last kept, less than ``within`` after it, goes. most: as in greedy."""
     rest = [c for c in events.columns if c not in (key, "t_ms", "slot")]
+    own = events.select(key, "t_ms", "slot", *rest)
+    if most is not None:
+        return by_size(own, [key], most, lambda rows, asked: chains.apart(rows, key, within, cell_ms) if isinstance(asked, Split) else apart(rows, key, within))
 
     def step(last: list, t: int, slot: str) -> bool:
         if last[0] is not None and last[1] == slot and t - last[0] < within:
@@ -92,5 +103,4 @@ def apart(events: DataFrame, key: str, within: int = P.SAME_EVENT) -> DataFrame:
         last[:] = t, slot
         return True
 
-    own = events.select(key, "t_ms", "slot", *rest)
     return along(own, key, ["t_ms", "slot", *rest], ["t_ms", "slot"], "__kept", BooleanType(), lambda: [None, None], step).where("__kept").drop("__kept")

@@ -24,4 +24,13 @@ def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, so that readers neither compute it anew nor plan it anew."""
     to = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    made = df.sparkSession.read.schema(df.schema).parquet(to)
+    made._written = to
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads from here on."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import publishing, stats
+from spanloom.operators import publishing, reports, stats
 from spanloom.plans.common import Queries, quoted, table
 
 Q = Queries()
@@ -74,34 +74,37 @@ def sound_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    f"""WITH {FILES.strip()}, s AS (SELECT unnest([{', '.join(f"'{s}'" for s in IDEAL_MS)}]) AS slot), g AS (SELECT slots[1] AS slot, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ' ' ORDER BY coalesce(ms, 0), page_id) AS files FROM c WHERE len(slots) > 0 GROUP BY 1)
-SELECT slot, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(files, '') AS files FROM s LEFT JOIN g USING (slot)"""
+    f"""WITH {FILES.strip()}, s AS (SELECT unnest([{', '.join(f"'{s}'" for s in IDEAL_MS)}]) AS slot), g AS (SELECT slots[1] AS slot, page_id, row_number() OVER (PARTITION BY slots[1] ORDER BY coalesce(ms, 0), page_id) AS place, count(*) OVER (PARTITION BY slots[1]) AS n FROM c WHERE len(slots) > 0)
+SELECT slot, CAST(coalesce(n, 0) AS BIGINT) AS n, place, page_id FROM s LEFT JOIN g USING (slot)"""
 )
 def slot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG9, AGG10, AGG16, SNK3: files of each slot in order of length, slots without any too."""
+    """AGG9, AGG10, AGG16, SNK3: how many files each slot has, and each file's place in order of length; slots without any too."""
     slots = spark.createDataFrame([(s,) for s in IDEAL_MS], "slot string")
-    files = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("ms", F.lit(0)).alias("ms"), "page_id"))), lambda x: x["page_id"].cast("string"))
-    g = catalog_rows(spark, sf_dir).where("size(slots) > 0").groupBy(F.get("slots", F.lit(0)).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.array_join(files, " ").alias("files"))
-    return F.broadcast(slots).join(g, "slot", "left").select("slot", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("files", F.lit("")).alias("files"))
+    files = catalog_rows(spark, sf_dir).where("size(slots) > 0").select(F.get("slots", F.lit(0)).alias("slot"), F.coalesce("ms", F.lit(0)).alias("ms"), "page_id")
+    lines = reports.sections(files, "slot", ["ms", "page_id"], F.col("page_id").cast("string"), F.col("n").cast("string"))
+    sizes = files.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    every = F.broadcast(slots).join(sizes, "slot", "left")  # fixed, a row a slot
+    placed = lines.where("place > 0").select("slot", "place", F.col("line").cast("long").alias("page_id"))
+    return every.join(placed, "slot", "left").select("slot", F.coalesce("n", F.lit(0)).alias("n"), "place", "page_id")
 
 
 @Q.add(
     f"""WITH {FILES.strip()}, g AS (SELECT coalesce(slots[1], 'unmapped') AS slot, page_id, ms,
-  '| ' || page_id || ' | ' || CASE WHEN ms IS NULL THEN '—' ELSE ((ms + 5) // 10) // 100 || '.' || lpad(CAST(((ms + 5) // 10) % 100 AS VARCHAR), 2, '0') || 's' END || ' | ' || CASE WHEN peak IS NULL THEN '—' WHEN peak >= 0 THEN '+' || peak || '.0 dB' ELSE peak || '.0 dB' END || ' | ' || category || ' | ' || CASE WHEN len(slots) > 1 THEN array_to_string(slots[2:], ', ') ELSE '—' END || ' |' AS line FROM c)
-SELECT slot, '## ' || slot || ' (' || count(*) || CASE WHEN count(*) = 1 THEN ' file)' ELSE ' files)' END || chr(10) || string_agg(line, chr(10) ORDER BY coalesce(ms, 0), page_id) AS report FROM g GROUP BY slot"""
+  '| ' || page_id || ' | ' || CASE WHEN ms IS NULL THEN '—' ELSE ((ms + 5) // 10) // 100 || '.' || lpad(CAST(((ms + 5) // 10) % 100 AS VARCHAR), 2, '0') || 's' END || ' | ' || CASE WHEN peak IS NULL THEN '—' WHEN peak >= 0 THEN '+' || peak || '.0 dB' ELSE peak || '.0 dB' END || ' | ' || category || ' | ' || CASE WHEN len(slots) > 1 THEN array_to_string(slots[2:], ', ') ELSE '—' END || ' |' AS line FROM c),
+h AS (SELECT slot, 1 AS kind, coalesce(ms, 0) AS ms, page_id, line FROM g UNION ALL SELECT slot, 0, 0, 0, '## ' || slot || ' (' || count(*) || CASE WHEN count(*) = 1 THEN ' file)' ELSE ' files)' END FROM g GROUP BY slot)
+SELECT slot, row_number() OVER (ORDER BY slot, kind, ms, page_id) - 1 AS line_no, line FROM h"""
 )
 def catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK3: of each slot that has files, and of those without a slot, a section of the catalogue as text, shortest files first."""
+    """SNK3: the catalogue as text, a line a row: of each slot that has files, and of those without a slot, a head and the files, shortest first. sources.records.write_lines writes it in order."""
     c, ms, peak = catalog_rows(spark, sf_dir), F.col("ms"), F.col("peak")
     hundredths = F.floor((ms + 5) / 10).cast("long")
     length = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit("s"))
     loud = F.concat(F.when(peak >= 0, "+").otherwise(""), peak.cast("string"), F.lit(".0 dB"))
     also = F.array_join(F.slice("slots", 2, 99), ", ")
     cells = (F.col("page_id").cast("string"), F.coalesce(length, F.lit("—")), F.coalesce(loud, F.lit("—")), F.col("category"), F.when(F.size("slots") > 1, also).otherwise("—"))
-    lines = c.select(F.coalesce(F.get("slots", F.lit(0)), F.lit("unmapped")).alias("slot"), F.coalesce(ms, F.lit(0)).alias("ms"), "page_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ms", "page_id", "line"))), lambda x: x["line"]), "\n")
-    made = lines.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), body.alias("body"))
-    return made.select("slot", F.concat(F.lit("## "), "slot", F.lit(" ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " file)\n").otherwise(" files)\n"), "body").alias("report"))
+    files = c.select(F.coalesce(F.get("slots", F.lit(0)), F.lit("unmapped")).alias("slot"), F.coalesce(ms, F.lit(0)).alias("ms"), "page_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("shown"))
+    head = F.concat(F.lit("## "), "slot", F.lit(" ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " file)").otherwise(" files)"))
+    return reports.sections(files, "slot", ["ms", "page_id"], F.col("shown"), head).select("slot", "line_no", "line")
 
 
 CHECKS = """

@@ -8,7 +8,7 @@ from pyspark.sql.types import BooleanType, LongType
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import intervals, words
+from spanloom.operators import intervals, stats, words
 from spanloom.operators.folds import along
 from spanloom.plans.common import Queries, quoted, table
 
@@ -385,7 +385,7 @@ SELECT user_id, event_id, start_ms, end_ms FROM o JOIN g2 USING (user_id, k) WHE
 )
 def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ4, SRT3, PLN7's last steps."""
-    return intervals.greedy(fitted(spark, sf_dir), "user_id", "event_id")
+    return intervals.greedy(fitted(spark, sf_dir), "user_id", "event_id", most=stats.MOST)
 
 
 @Q.add(
@@ -399,7 +399,7 @@ SELECT user_id, CAST(t_ms AS BIGINT) AS t_ms, slot, event_id, CAST((row_number()
 def spaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ3, WIN12, WIN14, SRT2."""
     e = table(spark, sf_dir, "events").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 7200 * 40").alias("t_ms"), F.col("event_type").alias("slot"), "event_id")
-    kept = intervals.apart(e, "user_id")
+    kept = intervals.apart(e, "user_id", most=stats.MOST)
     order = Window.partitionBy("user_id", "slot").orderBy("t_ms", "event_id")
     n = T.lookup(F.col("slot"), {"signup": "1", "purchase": "2", "view": "3", "click": "4"}, "0").cast("int")  # a slot without a file gives no event
     return kept.withColumn("n", n).where("n > 0").select("user_id", "t_ms", "slot", "event_id", ((F.row_number().over(order) - 1) % F.col("n")).alias("variant"))

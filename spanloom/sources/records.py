@@ -133,3 +133,10 @@ def write_missing(df: DataFrame, key: str, path: str) -> None:
     if _exists(spark, path):
         df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     df.write.mode("append").parquet(path)
+
+
+def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """lines: (line_no, line), as operators.reports gives them. A folder of text files that, one after another by name, are the text: dealt by ranges of line numbers, so no task has all of it."""
+    dealt = lines.select("line_no", "line")
+    dealt = dealt.repartitionByRange(parts, "line_no") if parts else dealt.repartitionByRange("line_no")
+    dealt.sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
