@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import entities, intervals, lookups, publishing, words
+from spanloom.operators import clips, entities, intervals, lookups, publishing, words
 from spanloom.plans.common import Queries, quoted, table
 from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
@@ -115,6 +115,32 @@ def normalized_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("source_id", "k", "rank", "start_ms", "end_ms", "score", F.least(F.col("start_ms") + 10000, F.col("end_ms")).alias("hook_end_ms"), T.slug(F.col("hook"), 40).alias("slug"), F.get("segments", F.lit(0))["s"].alias("first_start_ms"), F.size("segments").alias("n_segments"), F.array_join(shown, "|").alias("callouts"))
 
 
+@Q.add(
+    """WITH r AS (SELECT o_custkey AS source_id, o_orderkey AS k, o_orderkey % 97 AS s, o_orderkey % 97 + o_orderkey % 61 + 2 AS e, o_orderpriority AS p, coalesce(last, 0) AS last FROM orders LEFT JOIN (SELECT c_custkey, c_custkey % 90 + 20 AS last FROM customer WHERE c_custkey % 10 <> 0) ON c_custkey = o_custkey),
+f AS (SELECT *, CASE k % 7 WHEN 1 THEN 5 ELSE k % 10 END AS score FROM r WHERE k % 19 <> 0 AND e - s BETWEEN 5 AND 180 AND e <= last + 1 AND k % 6 NOT IN (3, 5) AND k % 7 <> 0)
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DESC, k) AS INTEGER) AS rank, k, CAST(s * 1000 AS BIGINT) AS start_ms, CAST(e * 1000 AS BIGINT) AS end_ms, CAST(score AS INTEGER) AS score, CAST(least(s + 10, e) * 1000 AS BIGINT) AS hook_end_ms,
+  trim(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '-')[1:40] AS slug, CASE k % 6 WHEN 1 THEN (s + 1) * 1000 ELSE s * 1000 END || '-' || e * 1000 AS segments, k % 5 * 1000 || ':1600:Hi ' || k || ':::cyan|2500:2000:y:A:E:red' AS callouts FROM f"""
+)
+def clip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PLN6, FLT1, FLT3, FLT4, SCL1, SCL37, WIN11: orders as a picker's answers, a JSON record each, of several shapes, some malformed."""
+    k = F.col("o_orderkey")
+    s, e = (k % 97).cast("string"), (k % 97 + k % 61 + 2).cast("string")
+    part = {1: F.concat(F.lit("[["), (k % 97 + 1).cast("string"), F.lit(","), e, F.lit("],["), e, F.lit(","), s, F.lit("]]")), 2: F.concat(F.lit('[{"start":"'), s, F.lit('","end":'), e, F.lit('},{"start":'), e, F.lit(',"end":'), s, F.lit("}]")), 3: F.lit('[["x",5]]'), 4: F.lit("[[1],[],null]"), 5: F.lit("[7]")}
+    parts = F.when(F.lit(False), F.lit(""))
+    for n, x in part.items():
+        parts = parts.when(k % 6 == n, F.concat(F.lit(',"segments":'), x))
+    score = F.when(k % 7 == 0, ',"viral_score":"x"').when(k % 7 == 1, "").otherwise(F.concat(F.lit(',"viral_score":'), (k % 10).cast("string")))
+    said = F.concat(F.lit(',"callouts":[{"local_start":'), (k % 5).cast("string"), F.lit(',"text":" Hi '), k.cast("string"), F.lit(' "},{"local_start":"x","text":"t"},{"local_start":"2.5","duration":"2","text":"y","accent":["A"],"eyebrow":" E ","color":" RED "}]'))
+    record = F.concat(F.lit('{"start":'), F.when(k % 19 == 0, '"x"').otherwise(s), F.lit(',"end":'), e, F.lit(',"hook_text":"'), "o_orderpriority", F.lit('"'), F.coalesce(parts, F.lit("")), score, said, F.lit("}"))
+    raw = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), k.alias("place"), record.alias("record"))
+    lengths = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") % 90 + 20).cast("double").alias("last_end"))
+    ms = lambda x: (x * 1000).cast("long")
+    shown = F.transform("callouts", lambda c: F.concat_ws(":", ms(c["local_start"]).cast("string"), ms(c["duration"]).cast("string"), c["text"], F.array_join(c["accent"], ","), c["eyebrow"], c["color"]))
+    spans = F.transform("segments", lambda x: F.concat(ms(x["start"]).cast("string"), F.lit("-"), ms(x["end"]).cast("string")))
+    made = clips.normalized(raw, lengths)
+    return made.select("source_id", "rank", F.col("place").alias("k"), ms(F.col("start")).alias("start_ms"), ms(F.col("end")).alias("end_ms"), F.col("viral_score").alias("score"), ms(F.col("hook_end")).alias("hook_end_ms"), "slug", F.array_join(spans, "|").alias("segments"), F.array_join(shown, "|").alias("callouts"))
+
+
 # ---------------------------------------------------------------- render records
 
 # Fixed values.
