@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import clips, entities, intervals, lookups, publishing, words
+from spanloom.operators import clips, entities, intervals, lookups, publishing, styles, words
 from spanloom.plans.common import Queries, quoted, table
 from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
@@ -29,6 +29,8 @@ ENTITIES = (
 # Fixed values.
 SLIDE_TYPES = ("text", "stat", "list", "logo", "person")
 CAP = 4
+#: Of the queries' styles.
+DEFAULT_STYLE = "algeria"
 ENTITY_ROWS = [(k, *e, len(e[1].split())) for k, e in enumerate(ENTITIES)]
 EDGE = r"[^\pL\pN_]"
 
@@ -157,6 +159,44 @@ ovs AS (SELECT source_id, count(*) AS n_overlays FROM ov GROUP BY source_id),
 fx AS (SELECT source_id, CAST(sum(m) AS BIGINT) AS n_fx FROM (SELECT source_id, 3 AS m, 50 AS t FROM words WHERE pos = 0 UNION ALL SELECT source_id, 1, t FROM c WHERE ding UNION ALL SELECT source_id, 2, t FROM lex WHERE k = 1) e JOIN dur USING (source_id) WHERE t <= dur GROUP BY source_id)"""
 
 
+def full_slides(ends: DataFrame, over: DataFrame) -> DataFrame:
+    """Of each source the manual and automatic slides that stand, badges among them."""
+    a = F.col("i") * 9000 + F.col("source_id") % 7 * 300
+    manual = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("source_id", "i", a.cast("long").alias("start_ms"), (a + 2500 - F.col("i") % 3 * 1300).cast("long").alias("end_ms"))
+    auto = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("source_id", "i", (F.col("i") * 4700 + 3000).cast("long").alias("start_ms"), (F.col("i") * 4700 + 6000).cast("long").alias("end_ms"))
+    merged = manual.unionByName(intervals.without_overlap(auto, manual, ["source_id"], 10_000))
+    fine = merged.join(ends, "source_id").where("end_ms > start_ms and end_ms <= dur + 50").drop("dur")
+    return intervals.without_overlap(fine, over, ["source_id"], 10_000).withColumn("badge", (F.col("source_id") + F.col("i")) % 3 == 0)
+
+
+@Q.add(
+    f"""WITH {WORDS}, {CALLOUTS.strip()}, {OVERLAYS.strip()}, {RENDER.strip()}
+SELECT source_id, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, 'overlay' AS kind FROM ov UNION ALL SELECT source_id, CAST(a AS BIGINT), CAST(b AS BIGINT), 'slide' FROM br WHERE NOT badge"""
+)
+def caption_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET5: the windows in which captions yield, badges not among them."""
+    ends = lengths(marks(timeline(spark, sf_dir)))
+    over = overlays(callouts(spark, sf_dir, ends), ends)
+    return styles.yields(over, full_slides(ends, over))
+
+
+@Q.add(
+    """WITH st AS (SELECT lower(n_name) AS name, '#' || lpad(CAST(n_nationkey * 37 AS VARCHAR), 6, '0') AS gold, CASE WHEN n_nationkey % 3 > 0 THEN '#' || lpad(CAST(n_nationkey * 91 AS VARCHAR), 6, '0') END AS red FROM nation WHERE n_nationkey % 2 = 0),
+c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'unheard-of' ELSE lower(n_name) END AS style FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, coalesce(a.name, d.name) AS style, coalesce(CASE WHEN a.name IS NULL THEN d.gold ELSE a.gold END, '#f5c842') AS color_primary, coalesce(CASE WHEN a.name IS NULL THEN d.red ELSE a.red END, '#ff3653') AS color_secondary, CAST(round_even(c_acctbal / 8.0 * 1000, 0) AS BIGINT) AS delay_ms
+FROM c LEFT JOIN st a ON a.name = c.style LEFT JOIN st d ON d.name = 'algeria'"""
+)
+def styled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC8, SCL38, TIM9: each customer's style, the default one where it names none that there is, and its colours, those of the palette where the style has none."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    hexed = lambda x: F.concat(F.lit("#"), F.lpad(x.cast("string"), 6, "0"))
+    looks = nation.where("n_nationkey % 2 = 0").select("name", hexed(n * 37).alias("gold"), F.when(n % 3 > 0, hexed(n * 91)).alias("red"))
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == n).select("c_custkey", "c_acctbal", F.when(k % 5 == 0, None).when(k % 7 == 0, "unheard-of").otherwise(F.col("name")).alias("style"))
+    made = styles.with_style(c, "style", looks, DEFAULT_STYLE)
+    return made.select("c_custkey", F.col("look.name").alias("style"), F.coalesce("look.gold", F.lit(PALETTE["primary"])).alias("color_primary"), F.coalesce("look.red", F.lit(PALETTE["secondary"])).alias("color_secondary"), styles.delay_ms(F.col("c_acctbal") / 8.0).alias("delay_ms"))
+
+
 @Q.add(
     f"""WITH {WORDS}, {CALLOUTS.strip()}, {OVERLAYS.strip()}, {RENDER.strip()}
 SELECT source_id, dur AS duration_ms, n_words, coalesce(n_overlays, 0) AS n_overlays, coalesce(n_broll, 0) AS n_broll, coalesce(broll, '') AS broll, coalesce(n_overlays, 0) + coalesce(n_full, 0) AS n_yield, coalesce(n_fx, 0) AS n_fx,
@@ -177,12 +217,7 @@ def render_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = ends.join(w.where(kept).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_words")), "source_id", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long")))
     said = callouts(spark, sf_dir, ends)
     over = overlays(said, ends)
-    a = F.col("i") * 9000 + F.col("source_id") % 7 * 300
-    manual = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("source_id", "i", a.cast("long").alias("start_ms"), (a + 2500 - F.col("i") % 3 * 1300).cast("long").alias("end_ms"))
-    auto = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("source_id", "i", (F.col("i") * 4700 + 3000).cast("long").alias("start_ms"), (F.col("i") * 4700 + 6000).cast("long").alias("end_ms"))
-    merged = manual.unionByName(intervals.without_overlap(auto, manual, ["source_id"], 10_000))
-    fine = merged.join(ends, "source_id").where("end_ms > start_ms and end_ms <= dur + 50").drop("dur")
-    slides = intervals.without_overlap(fine, over, ["source_id"], 10_000).withColumn("badge", (F.col("source_id") + F.col("i")) % 3 == 0)
+    slides = full_slides(ends, over)
     shown = F.concat(F.col("start_ms").cast("string"), F.lit("-"), F.col("end_ms").cast("string"), F.when(F.col("badge"), "b").otherwise(""))
     broll = slides.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_broll"), F.count_if(~F.col("badge")).alias("n_full"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", shown.alias("shown")))), lambda x: x["shown"]), ",").alias("broll"))
     numbers = over.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_overlays"))
