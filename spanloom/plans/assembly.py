@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import clips, entities, intervals, lookups, publishing, styles, words
+from spanloom.operators import clips, entities, intervals, lookups, publishing, render, styles, words
 from spanloom.plans.common import Queries, quoted, table
-from spanloom.plans.planning import CALLOUTS, OVERLAYS, callouts, lengths, marks, overlays, semantic, sounding
+from spanloom.plans.planning import CALLOUTS, FX, OVERLAYS, SLIDES, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
 
 Q = Queries()
@@ -26,8 +26,6 @@ ENTITIES = (
     ("logo", "which", "Which", 2200), ("logo", "in the", "In", 2200), ("logo", "avec", "Avec", 2200), ("logo", "of the", "Of", 2200), ("logo", "from", "From", 2200), ("logo", "have", "From", 2200),
     ("logo", "und", "Und", 2200), ("clip", "que", "Que", 2200), ("person", "para", "Para", 3500), ("person", "nicht", "Nicht", 3500), ("person", "la de", "Lade", 3500), ("person", "the", "The", 3500),
 )
-# Fixed values.
-SLIDE_TYPES = ("text", "stat", "list", "logo", "person")
 CAP = 4
 #: Of the queries' styles.
 DEFAULT_STYLE = "algeria"
@@ -51,7 +49,7 @@ p AS (SELECT w.*, q, CASE q WHEN 0 THEN start_ms + end_ms WHEN 1 THEN 2 * start_
 b AS (SELECT p.*, ga, gb, row_number() OVER (PARTITION BY p.source_id, pos ORDER BY q, ga) AS r FROM p JOIN gaps g ON p.source_id = g.source_id AND t2 BETWEEN 2 * ga AND 2 * gb),
 fit AS (SELECT source_id, pos, type, name, greatest(ga, least(start_ms, gb - size)) AS start_ms, greatest(ga, least(start_ms, gb - size)) + size AS end_ms FROM (SELECT *, least(greatest(end_ms - start_ms, 2000), 4500, gb - ga) AS size FROM b WHERE r = 1)),
 own AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos) AS place FROM (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY source_id, start_ms, end_ms ORDER BY pos) = 1)),
-o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, pos) AS k FROM own WHERE place <= {CAP} AND type IN ({quoted(SLIDE_TYPES)})),
+o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, pos) AS k FROM own WHERE place <= {CAP} AND type IN ({quoted(render.MADE_TYPES)})),
 g2(source_id, k, reach, kept) AS (SELECT source_id, k, end_ms, true FROM o WHERE k = 1 UNION ALL SELECT o.source_id, o.k, CASE WHEN o.start_ms >= reach THEN o.end_ms ELSE reach END, o.start_ms >= reach FROM g2 JOIN o ON o.source_id = g2.source_id AND o.k = g2.k + 1)
 SELECT source_id, CAST(pos AS INTEGER) AS entity, type, name, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms FROM o JOIN g2 USING (source_id, k) WHERE kept"""
 )
@@ -68,7 +66,7 @@ def entity_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_said = m.where("slot like '=%'").groupBy("source_id", F.expr("substring(slot, 2)").alias("key")).agg(F.min("t").alias("t"))
     joined = F.lower(F.array_join(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)), " "))
     texts = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("source_id"), joined.alias("text"))
-    made = entities.slides(entities.mentioned(first_said, texts, lexicon), gaps, SLIDE_TYPES, CAP)
+    made = entities.slides(entities.mentioned(first_said, texts, lexicon), gaps, render.MADE_TYPES, CAP)
     return made.select("source_id", F.col("entity").cast("int").alias("entity"), "type", "name", "start_ms", "end_ms")
 
 
@@ -145,9 +143,7 @@ def clip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- render records
 
-# Fixed values.
-PALETTE = {"primary": "#f5c842", "secondary": "#ff3653", "accent": "#22dd88", "bg": "#000000"}
-BANDS = {"tiktok": (8600, 6000), "instagram": (8400, 5800), "youtube": (9000, 6200)}
+PALETTE = render.PALETTE
 RENDER = f"""
 n AS (SELECT source_id, count(*) FILTER (trim(lower(text), '.,!?;:—-') NOT IN ({quoted([f for f in P.TABLE_FILLERS if ' ' not in f])})) AS n_words FROM words GROUP BY source_id),
 man AS (SELECT source_id, i, i * 9000 + source_id % 7 * 300 AS a, i * 9000 + source_id % 7 * 300 + 2500 - i % 3 * 1300 AS b FROM dur, (SELECT unnest(range(0, 5)) AS i)),
@@ -164,9 +160,7 @@ def full_slides(ends: DataFrame, over: DataFrame) -> DataFrame:
     a = F.col("i") * 9000 + F.col("source_id") % 7 * 300
     manual = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("source_id", "i", a.cast("long").alias("start_ms"), (a + 2500 - F.col("i") % 3 * 1300).cast("long").alias("end_ms"))
     auto = ends.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("source_id", "i", (F.col("i") * 4700 + 3000).cast("long").alias("start_ms"), (F.col("i") * 4700 + 6000).cast("long").alias("end_ms"))
-    merged = manual.unionByName(intervals.without_overlap(auto, manual, ["source_id"], 10_000))
-    fine = merged.join(ends, "source_id").where("end_ms > start_ms and end_ms <= dur + 50").drop("dur")
-    return intervals.without_overlap(fine, over, ["source_id"], 10_000).withColumn("badge", (F.col("source_id") + F.col("i")) % 3 == 0)
+    return render.standing_slides(manual, auto, over, ends).withColumn("badge", (F.col("source_id") + F.col("i")) % 3 == 0)
 
 
 @Q.add(
@@ -181,9 +175,9 @@ def caption_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    """WITH st AS (SELECT lower(n_name) AS name, '#' || lpad(CAST(n_nationkey * 37 AS VARCHAR), 6, '0') AS gold, CASE WHEN n_nationkey % 3 > 0 THEN '#' || lpad(CAST(n_nationkey * 91 AS VARCHAR), 6, '0') END AS red FROM nation WHERE n_nationkey % 2 = 0),
+    f"""WITH st AS (SELECT lower(n_name) AS name, '#' || lpad(CAST(n_nationkey * 37 AS VARCHAR), 6, '0') AS gold, CASE WHEN n_nationkey % 3 > 0 THEN '#' || lpad(CAST(n_nationkey * 91 AS VARCHAR), 6, '0') END AS red FROM nation WHERE n_nationkey % 2 = 0),
 c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'unheard-of' ELSE lower(n_name) END AS style FROM customer JOIN nation ON n_nationkey = c_nationkey)
-SELECT c_custkey, coalesce(a.name, d.name) AS style, coalesce(CASE WHEN a.name IS NULL THEN d.gold ELSE a.gold END, '#f5c842') AS color_primary, coalesce(CASE WHEN a.name IS NULL THEN d.red ELSE a.red END, '#ff3653') AS color_secondary, CAST(round_even(c_acctbal / 8.0 * 1000, 0) AS BIGINT) AS delay_ms
+SELECT c_custkey, coalesce(a.name, d.name) AS style, coalesce(CASE WHEN a.name IS NULL THEN d.gold ELSE a.gold END, '{PALETTE['primary']}') AS color_primary, coalesce(CASE WHEN a.name IS NULL THEN d.red ELSE a.red END, '{PALETTE['secondary']}') AS color_secondary, CAST(round_even(c_acctbal / 8.0 * 1000, 0) AS BIGINT) AS delay_ms
 FROM c LEFT JOIN st a ON a.name = c.style LEFT JOIN st d ON d.name = 'algeria'"""
 )
 def styled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,16 +222,121 @@ def render_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     colors = F.when(style == 1, F.create_map(F.lit("gold"), F.lit("#aa8800"), F.lit("red"), F.lit("#990000"))).when(style == 2, F.create_map(F.lit("red"), F.lit("#990000")))
     top, bottom = F.col("source_id") % 100 * 100, F.col("source_id") % 100 * 100 + 2000
     platform = either("tiktok", "instagram", "youtube", "generic", at=style)
-    limit, default = (T.lookup(platform, {p: str(x[k]) for p, x in BANDS.items()}, other).cast("long") for k, other in ((0, "8800"), (1, "6000")))
-    band = F.when(bottom + 250 + 1300 <= limit, bottom + 250).when(top - 1550 >= 500, top - 1550).otherwise(default)
+    band = render.band(top, bottom, platform)["top"]
     made = per.join(numbers, "source_id", "left").join(broll, "source_id", "left").join(fx, "source_id", "left")
     none = lambda c: F.coalesce(c, F.lit(0))
     return made.select(
         "source_id", F.col("dur").alias("duration_ms"), "n_words", none("n_overlays").alias("n_overlays"), none("n_broll").alias("n_broll"), F.coalesce("broll", F.lit("")).alias("broll"), (none("n_overlays") + none("n_full")).alias("n_yield"), none("n_fx").alias("n_fx"),
-        F.coalesce(colors["gold"], F.lit(PALETTE["primary"])).alias("color_primary"), F.coalesce(colors["red"], F.lit(PALETTE["secondary"])).alias("color_secondary"), (band / 10000).alias("band_top"),
+        F.coalesce(colors["gold"], F.lit(PALETTE["primary"])).alias("color_primary"), F.coalesce(colors["red"], F.lit(PALETTE["secondary"])).alias("color_secondary"), band.alias("band_top"),
     )
 
 
+# ---------------------------------------------------------------- render records with whole lists
+
+SLIDE_KINDS = ("text", "list", "logo", "person", "stat", "unheard-of", None)
+PROPOSED = f"""
+ask AS (SELECT o_custkey AS source_id, o_orderkey AS pos, [{', '.join('NULL' if k is None else f"'{k}'" for k in SLIDE_KINDS)}][o_orderkey % {len(SLIDE_KINDS)} + 1] AS type,
+  CASE o_orderkey % 11 WHEN 3 THEN 'soon' WHEN 5 THEN NULL WHEN 7 THEN 'NaN' ELSE CAST(o_orderkey % 1901 / 100.0 AS VARCHAR) END AS a, CASE o_orderkey % 13 WHEN 4 THEN '' ELSE CAST(o_orderkey % 1901 / 100.0 + o_orderkey % 6 AS VARCHAR) END AS b FROM orders),
+want AS (SELECT source_id, pos, type, CAST(round_even(CAST(a AS DOUBLE) * 1000, 0) AS BIGINT) AS start_ms, CAST(round_even(CAST(b AS DOUBLE) * 1000, 0) AS BIGINT) AS end_ms FROM ask
+  WHERE type IN ({quoted(render.MADE_TYPES)}) AND isfinite(TRY_CAST(a AS DOUBLE)) AND isfinite(TRY_CAST(b AS DOUBLE))),"""
+
+
+def proposed_sql() -> str:
+    """The slides' SQL over proposals instead of words."""
+    lines = SLIDES.strip().split("\n")
+    return "\n".join(PROPOSED.strip() if x.startswith("want AS") else x.replace("start_ms, end_ms, pos) AS k", "start_ms, pos) AS k") for x in lines)
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides as a model might propose them for the sources: types and times that are wrong among them."""
+    k = F.col("o_orderkey")
+    at = k % 1901 / F.lit(100.0)
+    start = F.when(k % 11 == 3, "soon").when(k % 11 == 5, None).when(k % 11 == 7, "NaN").otherwise(at.cast("string"))
+    end = F.when(k % 13 == 4, "").otherwise((at + k % 6).cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), k.alias("place"), either(*SLIDE_KINDS, at=k % len(SLIDE_KINDS)).alias("type"), start.alias("start"), end.alias("end"))
+
+
+@Q.add(
+    f"""WITH RECURSIVE {WORDS.strip()}, {CALLOUTS.strip()}, {OVERLAYS.strip()}, {proposed_sql()}
+SELECT source_id, pos AS place, type, CAST(o.start_ms AS BIGINT) AS start_ms, CAST(o.end_ms AS BIGINT) AS end_ms FROM o JOIN g2 USING (source_id, k) JOIN (SELECT source_id, pos, type FROM want) USING (source_id, pos) WHERE kept"""
+)
+def made_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT11, with WIN6 and SEQ4: proposed slides of known types with times that are numbers, fitted into what the overlays leave free."""
+    ends = lengths(marks(timeline(spark, sf_dir)))
+    gaps = intervals.free_gaps(overlays(callouts(spark, sf_dir, ends), ends), ends.withColumnRenamed("dur", "duration_ms"), "source_id")
+    return render.made_slides(proposals(spark, sf_dir), gaps).select("source_id", "place", "type", "start_ms", "end_ms")
+
+
+SECONDS = "CAST({} / 1000.0 AS DOUBLE)"
+ITEMS = f"""
+pic AS (SELECT e.source_id, t AS start_ms, t + duration_ms AS end_ms, effect, color, duration_ms FROM (SELECT source_id, 50 AS t, 'hook-impact' AS slot FROM words WHERE pos = 0 UNION ALL SELECT source_id, t, 'ding' FROM c WHERE ding UNION ALL SELECT source_id, t, slot FROM lex WHERE k = 1) e
+  JOIN dur USING (source_id) JOIN (VALUES {', '.join(map(str, FX))}) v(slot, effect, color, duration_ms) USING (slot) WHERE t BETWEEN 0 AND dur),
+items AS (
+  SELECT source_id, 'words' AS part, start_ms, end_ms, '{{"text":' || to_json(text) || ',"start":' || {SECONDS.format('start_ms')} || ',"end":' || {SECONDS.format('end_ms')} || '}}' AS item FROM words WHERE trim(lower(text), '.,!?;:—-') NOT IN ({quoted([f for f in P.TABLE_FILLERS if ' ' not in f])})
+  UNION ALL SELECT source_id, 'overlayWindows', start_ms, end_ms, '{{"start":' || {SECONDS.format('start_ms')} || ',"end":' || {SECONDS.format('end_ms')} || '}}' FROM ov
+  UNION ALL SELECT source_id, 'broll', a, b, '{{"start":' || {SECONDS.format('a')} || ',"end":' || {SECONDS.format('b')} || ',"mode":"' || CASE WHEN badge THEN 'badge' ELSE 'full' END || '"}}' FROM br
+  UNION ALL SELECT source_id, 'vfxEvents', start_ms, end_ms, '{{"t":' || {SECONDS.format('start_ms')} || ',"effect":"' || effect || '","color":"' || color || '","intensity":1.0,"durationMs":' || duration_ms || '}}' FROM pic)"""
+
+
+def render_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Sources with their lengths, and the lists of a render record by name."""
+    w = timeline(spark, sf_dir)
+    m = marks(w, *semantic())
+    ends = lengths(m)
+    said = callouts(spark, sf_dir, ends)
+    over = overlays(said, ends)
+    bare = F.btrim(F.lower("text"), F.lit(".,!?;:—-"))
+    start, end = render.seconds(F.col("start_ms")).alias("start"), render.seconds(F.col("end_ms")).alias("end")
+    fx = F.broadcast(spark.createDataFrame(FX, "slot string, effect string, color string, duration_ms int"))  # as many rows as there are slots and effects
+    dings = said.where("ding").select("source_id", F.col("t").cast("long").alias("t"), F.lit("ding").alias("slot"))
+    events = sounding(m, "sparing").unionByName(dings).join(ends, "source_id").where("t between 0 and dur").join(fx, "slot")
+    event = F.struct(render.seconds(F.col("t")).alias("t"), "effect", "color", F.lit(1.0).alias("intensity"), F.col("duration_ms").alias("durationMs"))
+    window = lambda d, item: d.select("source_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), item.alias("item"))
+    return ends, {
+        "words": window(w.where(~bare.isin([f for f in P.TABLE_FILLERS if " " not in f])), F.struct("text", start, end)),
+        "overlayWindows": window(over, F.struct(start, end)),
+        "broll": window(full_slides(ends, over), F.struct(start, end, F.when(F.col("badge"), "badge").otherwise("full").alias("mode"))),
+        "vfxEvents": window(events.withColumns({"start_ms": F.col("t"), "end_ms": F.col("t") + F.col("duration_ms")}), event),
+    }
+
+
+@Q.add(f"""WITH {WORDS}, {CALLOUTS.strip()}, {OVERLAYS.strip()}, {RENDER.strip()}, {ITEMS.strip()} SELECT source_id, part, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, item FROM items""")
+def render_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PLN8: caption words, overlay windows, slides and effects as records, a row each; nothing is gathered."""
+    _, lists = render_lists(spark, sf_dir)
+    made = [rows.select("source_id", F.lit(name).alias("part"), "start_ms", "end_ms", F.to_json("item").alias("item")) for name, rows in lists.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+@Q.add(
+    f"""WITH {WORDS}, {CALLOUTS.strip()}, {OVERLAYS.strip()}, {RENDER.strip()}, {ITEMS.strip()},
+l AS (SELECT source_id, string_agg(item, ',' ORDER BY start_ms, end_ms, item) FILTER (part = 'words') AS w, string_agg(item, ',' ORDER BY start_ms, end_ms) FILTER (part = 'overlayWindows') AS o, string_agg(item, ',' ORDER BY start_ms, end_ms, item) FILTER (part = 'broll') AS b, string_agg(item, ',' ORDER BY start_ms, end_ms, item) FILTER (part = 'vfxEvents') AS v FROM items GROUP BY source_id),
+looks AS (SELECT lower(n_name) AS name, '#' || lpad(CAST(n_nationkey * 37 AS VARCHAR), 6, '0') AS gold, CASE WHEN n_nationkey % 3 > 0 THEN '#' || lpad(CAST(n_nationkey * 91 AS VARCHAR), 6, '0') END AS red FROM nation WHERE n_nationkey % 2 = 0),
+f AS (SELECT source_id, dur, CASE WHEN source_id % 9 <> 0 THEN source_id % 100 * 100 END AS top, CASE WHEN source_id % 9 <> 0 THEN source_id % 100 * 100 + 2000 END AS bot, ['tiktok', 'instagram', 'youtube', 'other'][source_id % 4 + 1] AS platform, lower(n.n_name) AS style FROM dur LEFT JOIN nation n ON n_nationkey = source_id % 30),
+p AS (SELECT f.*, lim, dt, db, CASE WHEN bot + 250 + 1300 <= lim THEN bot + 250 WHEN top - 1550 >= 500 THEN top - 1550 END AS bt FROM f JOIN (VALUES ('tiktok', 8600, 6000, 7800), ('instagram', 8400, 5800, 7600), ('youtube', 9000, 6200, 8200), ('other', 8800, 6000, 8000)) v(platform, lim, dt, db) USING (platform))
+SELECT source_id, '{{"baseVideo":"renders/' || source_id || '.mp4","durationInSeconds":' || {SECONDS.format('dur')} || ',"fps":30,"captionsEnabled":true,"captionBand":{{"top":' || CAST(coalesce(bt, dt) / 10000.0 AS DOUBLE) || ',"bottom":' || CAST(coalesce(bt + 1300, db) / 10000.0 AS DOUBLE)
+  || '}},"captionMaxWords":3,"captionFadeSeconds":0.2,"palette":{{"primary":"' || coalesce(CASE WHEN a.name IS NULL THEN d.gold ELSE a.gold END, '{PALETTE['primary']}') || '","secondary":"' || coalesce(CASE WHEN a.name IS NULL THEN d.red ELSE a.red END, '{PALETTE['secondary']}')
+  || '","accent":"{PALETTE['accent']}","bg":"{PALETTE['bg']}"}},"words":[' || coalesce(w, '') || '],"overlayWindows":[' || coalesce(o, '') || '],"broll":[' || coalesce(b, '') || '],"vfxEvents":[' || coalesce(v, '') || ']}}' AS props
+FROM p LEFT JOIN l USING (source_id) LEFT JOIN looks a ON a.name = p.style LEFT JOIN looks d ON d.name = '{DEFAULT_STYLE}'"""
+)
+def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PLN8 in full, with FLT5, TIM4, JOI4, FLT10, TIM15, SCL25, SRC8 and PLN2: of each source its whole render record as JSON, with lists of words, overlays, slides and effects."""
+    ends, lists = render_lists(spark, sf_dir)
+    k, n = F.col("source_id"), F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    hexed = lambda x: F.concat(F.lit("#"), F.lpad(x.cast("string"), 6, "0"))
+    none = F.lit(None).cast("string")
+    looks = nation.where("n_nationkey % 2 = 0").select("name", hexed(n * 37).alias("gold"), F.when(n % 3 > 0, hexed(n * 91)).alias("red"), none.alias("green"), none.alias("background"))
+    named = ends.join(nation, n == k % 30, "left").select("source_id", "dur", F.col("name").alias("style"))
+    seen = k % 9 != 0
+    band = render.band(F.when(seen, k % 100 * 100), F.when(seen, k % 100 * 100 + 2000), either("tiktok", "instagram", "youtube", "other", at=k % 4))
+    made = styles.with_style(named, "style", looks, DEFAULT_STYLE).select(
+        "source_id", F.concat(F.lit("renders/"), k.cast("string"), F.lit(".mp4")).alias("baseVideo"), render.seconds(F.col("dur")).alias("durationInSeconds"), F.lit(30).alias("fps"), F.lit(True).alias("captionsEnabled"),
+        band.alias("captionBand"), F.lit(3).alias("captionMaxWords"), F.lit(0.2).alias("captionFadeSeconds"), render.palette(F.col("look")).alias("palette"),
+    )
+    return render.documents(made, made.columns[1:], lists)
+
+
 # ---------------------------------------------------------------- detections and effects
 
 

@@ -46,7 +46,7 @@ def test_against_sql(spark, duck, name):
 
 
 #: Sequential by nature: a fold along sorted rows; and an automaton.
-FOLDS = {"reused_transcripts", "greedy_spans", "spaced_events", "sound_events_sparing", "sound_events_every", "sound_events_poor_pack", "sound_events_off", "slide_plan", "entity_slides", "transcript_10s", "transcript_8s", "transcript_blocks"}
+FOLDS = {"reused_transcripts", "greedy_spans", "spaced_events", "sound_events_sparing", "sound_events_every", "sound_events_poor_pack", "sound_events_off", "slide_plan", "entity_slides", "made_slides", "transcript_10s", "transcript_8s", "transcript_blocks"}
 
 
 @pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in ("slot_coverage",)])
