@@ -91,3 +91,26 @@ def test_empty(spark):
     assert langid.op9(docs).collect() == []
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [x.lang_pred for x in langid.op9(docs).collect()] == ["und"]
+
+
+def test_many_languages(monkeypatch):
+    """Forty languages: a text's set is found whatever the tiles, one with more languages than are kept at first included; and all languages at once give the same sets."""
+    r = random.Random(5)
+    words = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in range(40)]
+    say = lambda k, m: " ".join(r.choices(words[k], k=m)) + " "
+    table = np.full((40, langid.TABLE), 0.5)
+    for k in range(40):
+        raw = np.frombuffer(say(k, 4000).encode(), np.uint8)
+        np.add.at(table[k], langid.trigrams(raw, np.array([0, len(raw)])), 1)
+    table = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    sets = [{3}, {39}, {0, 17}, set(range(5, 17)), {21}, set(range(20)), {8, 9, 10}]
+    texts = ["".join(say(k, 120) for k in sorted(x)) for x in sets]
+    raw, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = langid.proportions(raw, offsets, table)
+    assert [set(np.flatnonzero(pi > 0.01).tolist()) for pi in want] == sets
+    assert np.allclose(want.sum(1), 1)
+    for tile in (40, 1000, 1 << 14):
+        monkeypatch.setattr(langid, "TILE", tile)
+        assert np.allclose(langid.proportions(raw, offsets, table), want, atol=1e-6)
+    monkeypatch.setattr(langid, "KEPT", 40)
+    assert np.allclose(langid.proportions(raw, offsets, table), want, atol=0.01)
