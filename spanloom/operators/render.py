@@ -82,3 +82,15 @@ def documents(clips: DataFrame, fields: Sequence[str], lists: Mapping[str, DataF
         made = made.join(rows.groupBy("source_id").agg(ordered.alias(f"__{name}")), "source_id", "left")
     whole = [F.coalesce(f"__{name}", F.array()).alias(name) for name in lists]
     return made.select("source_id", F.to_json(F.struct(*fields, *whole)).alias("props"))
+
+
+def slide_color(kind: Column, own: Column, colors: Column) -> Column:
+    """A slide's own colour, else its type's out of colours as palette() gives them."""
+    return F.coalesce(own, F.when(kind == "stat", colors["accent"]).when(kind == "list", colors["secondary"]).otherwise(colors["primary"]))
+
+
+def with_pictures(slides: DataFrame, pictures: DataFrame) -> DataFrame:
+    """slides: (type, key, name, ...); pictures: (wanted, src), each wanted once. Logos and persons get the picture of their key, else of their name, as ``wanted`` and ``src``; where there is none the slide goes. Others have nulls there."""
+    asks = F.col("type").isin("logo", "person")
+    known = slides.withColumn("wanted", F.when(asks, F.coalesce("key", "name", F.lit("")))).join(pictures.select("wanted", "src"), "wanted", "left")
+    return known.where(~F.coalesce(asks, F.lit(False)) | F.col("src").isNotNull())

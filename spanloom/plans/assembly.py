@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import params as P
 from spanloom.functions import text as T
-from spanloom.operators import clips, entities, intervals, lookups, publishing, render, styles, words
+from spanloom.operators import checks, clips, effects, entities, folders, intervals, lookups, publishing, render, styles, words
 from spanloom.plans.common import Queries, quoted, table
 from spanloom.plans.planning import CALLOUTS, FX, OVERLAYS, SLIDES, callouts, lengths, marks, overlays, semantic, sounding
 from spanloom.plans.timeline import WORDS, timeline
@@ -347,10 +347,9 @@ SELECT clip_id, frame, CAST(x + h / 4.0 AS DOUBLE) AS cx, CAST(y + h / 2.0 AS DO
 )
 def sampled_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC15: of every fifth frame the detection with the best score, if that is good enough."""
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_orderkey") % 60).alias("frame"), (F.col("l_discount") * 10).alias("score"), (F.col("l_extendedprice") / 25.0).alias("x"), (F.col("l_quantity") * 40.0).alias("y"), (100.0 + F.col("l_partkey") % 400).alias("h"), "l_orderkey", "l_linenumber")
-    best = d.where("frame % 5 = 0").groupBy("clip_id", "frame").agg(F.max_by(F.struct("x", "y", "h", "score"), F.struct("score", (-F.col("l_orderkey")).alias("k"), (-F.col("l_linenumber")).alias("n"))).alias("b"))
-    h = F.col("b.h")
-    return best.where("b.score >= 0.6").select("clip_id", "frame", (F.col("b.x") + h / 4.0).alias("cx"), (F.col("b.y") + h / 2.0).alias("cy"), h.alias("h"), F.col("b.score").alias("score"))
+    h = 100.0 + F.col("l_partkey") % 400
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip_id"), (F.col("l_orderkey") % 60).alias("frame"), (F.col("l_discount") * 10).alias("score"), (F.col("l_extendedprice") / 25.0).alias("x"), (F.col("l_quantity") * 40.0).alias("y"), (h / 2.0).alias("w"), h.alias("h"), "l_orderkey", "l_linenumber")
+    return effects.best_faces(d, ["clip_id"], ["l_orderkey", "l_linenumber"])
 
 
 FADE, REACH = 200, 280
@@ -368,18 +367,11 @@ SELECT user_id, CAST(t AS BIGINT) AS t_ms, round(1 + coalesce(bump, 0), 6) AS sc
 def overlapping_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG14, AGG15, TIM11: at sample times the largest of the bumps that overlap there (not their sum), the least opacity of the fade windows, and a slide's zoom and
     pan. Effects and times meet by time cells."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 7200 * 40").alias("a"), F.get(F.array(*map(F.lit, EFFECT_LENGTHS)), (F.col("event_id") % 3).cast("int")).alias("len"), ((F.col("event_id") % 4 + 1) / 4.0).alias("strength"))
-    cell = FADE + REACH
-    spread = e.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor((a - {FADE}) / {cell}) as bigint), cast(floor((a + len + {FADE}) / {cell}) as bigint))")))
-    times = e.select("user_id", (F.col("a") + 60).alias("t")).distinct()
-    both = times.withColumn("cell", F.expr(f"cast(floor(t / {cell}) as bigint)")).join(spread, ["user_id", "cell"], "left")
-    at, n = F.col("t") - F.col("a"), F.col("len")
-    bump = F.when(at.between(0, n), F.sin(F.lit(3.141592653589793) * at / n) * 0.04 * F.col("strength"))
-    local = F.when((F.col("event_id") % 5 == 0) & (at > -FADE) & (at < n + FADE), F.when(at < 0, -at / FADE).when(at > n, (at - n) / FADE).otherwise(0.0))
-    made = both.groupBy("user_id", "t").agg(F.max(bump).alias("bump"), F.min(local).alias("op"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 7200 * 40").alias("start_ms"), F.get(F.array(*map(F.lit, EFFECT_LENGTHS)), (F.col("event_id") % 3).cast("int")).alias("len"), ((F.col("event_id") % 4 + 1) / 4.0).alias("strength"), (F.col("event_id") % 5 == 0).alias("fades"))
+    made = effects.at_times(e, e.select("user_id", (F.col("start_ms") + 60).alias("t")).distinct(), "user_id", FADE, REACH)
     share = (F.col("t") % 1000) / 1000.0
-    pan = F.when(F.col("user_id") % 5 == 1, 4 - 8 * share).when(F.col("user_id") % 5 == 2, 8 * share - 4).otherwise(0.0)
-    return made.select("user_id", F.col("t").alias("t_ms"), F.round(1 + F.coalesce("bump", F.lit(0.0)), 6).alias("scale"), F.round(F.coalesce("op", F.lit(1.0)), 6).alias("opacity"), F.round(1 + 0.18 * share, 6).alias("zoom"), F.round(pan, 6).alias("pan_x"))
+    shift = effects.pan(share, F.when(F.col("user_id") % 5 == 1, "left").when(F.col("user_id") % 5 == 2, "right"))
+    return made.select("user_id", F.col("t").alias("t_ms"), F.round("scale", 6).alias("scale"), F.round("opacity", 6).alias("opacity"), F.round(effects.zoom(share), 6).alias("zoom"), F.round(shift, 6).alias("pan_x"))
 
 
 # ---------------------------------------------------------------- settings and checks
@@ -401,10 +393,8 @@ SELECT k, array_to_string(every, ',') AS problems, array_to_string(list_filter(e
 )
 def config_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT17, SET6: a setting's problems, those that the steps still to run have to do with, and the engines to fall back on."""
-    c = configs(spark, sf_dir)
-    every = F.array_compact(F.array(F.when((F.col("picker") == "hosted") & ~F.col("has_key"), "key"), F.when(~F.col("has_kit"), "kit"), F.when(~F.col("has_template"), "template"), F.when((F.col("enhancer") == "neural") & ~F.col("has_enhancer"), "enhancer")))
-    needed = F.concat(F.when(F.col("step") <= 2, F.array(F.lit("key"))).otherwise(F.array()), F.when(F.col("step") <= 8, F.array(F.lit("kit"), F.lit("template"))).otherwise(F.array()), F.when(F.col("enhance") & (F.col("step") <= 5) & (F.col("enhancer") == "neural"), F.array(F.lit("enhancer"))).otherwise(F.array()))
-    return c.select("k", F.array_join(every, ",").alias("problems"), F.array_join(F.array_intersect(every, needed), ",").alias("relevant"), F.array_join(F.array_except(F.array(F.lit("neural"), F.lit("classic"), F.lit("none")), F.array("enhancer")), ",").alias("fallbacks"))
+    c = checks.problems(configs(spark, sf_dir))
+    return c.select("k", *(F.array_join(name, ",").alias(name) for name in ("problems", "relevant", "fallbacks")))
 
 
 @Q.add(
@@ -415,18 +405,7 @@ SELECT k, string_agg(x.name || '=' || x.s, ' ' ORDER BY x.name) AS rows, count(*
 )
 def doctor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT18: a status table of checks a setting, and its failures."""
-    row = lambda name, s: F.struct(F.lit(name).alias("name"), s.alias("s"))
-    ok = lambda c, other: F.when(c, "OK").otherwise(other)
-    checks = F.array(
-        row("enhancer", ok(F.col("has_enhancer"), F.when(F.col("enhancer") == "neural", "FAIL").otherwise("WARN"))),
-        row("kit", ok(F.col("has_kit"), "FAIL")),
-        row("template", ok(F.col("has_template"), "WARN")),
-        row("sounds", ok(F.col("k") % 8 == 7, "WARN")),
-        row("picker", F.when(F.col("picker") != "hosted", "WARN").otherwise(ok(F.col("has_key"), "FAIL"))),
-    )
-    c = configs(spark, sf_dir).withColumn("r", F.sort_array(checks))
-    fails = F.size(F.filter("r", lambda x: x["s"] == "FAIL"))
-    return c.select("k", F.array_join(F.transform("r", lambda x: F.concat_ws("=", x["name"], x["s"])), " ").alias("rows"), fails.cast("long").alias("n_fail"), F.when(fails > 0, 1).otherwise(0).alias("exit_code"))
+    return checks.summary(checks.status(configs(spark, sf_dir), "k", F.col("k") % 8 == 7), "k")
 
 
 # ---------------------------------------------------------------- look-ups
@@ -455,11 +434,11 @@ SELECT pack, slot, files FROM a UNION ALL SELECT pack, slot, ['.wav', '.mp3', '.
 def sound_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC4: a pack's listed files that exist, slots without any gone; where a pack has none at all, the files named after their slots, by the order of their kinds."""
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("pack"), (F.col("p_partkey") % 5).alias("slot"), F.col("p_partkey").alias("file"), "p_size")
-    there = p.where("p_size > 30 and right(pack, 1) <> '5'").select("file")
-    listed = p.join(there, "file", "left_semi").groupBy("pack", "slot").agg(F.array_join(F.transform(F.sort_array(F.collect_list("file")), lambda x: x.cast("string")), ",").alias("files"))
-    named = p.where("p_size % 4 = 0").groupBy("pack", "slot").agg(F.min(F.col("file") % 3).alias("ext"))
-    rest = named.join(listed.select("pack").distinct(), "pack", "left_anti")
-    return listed.unionByName(rest.select("pack", "slot", either(".wav", ".mp3", ".ogg", at=F.col("ext")).alias("files")))
+    there = p.where("p_size > 30 and right(pack, 1) <> '5'").select(F.col("file").cast("string").alias("file"))
+    kind = F.col("file") % 3
+    named = p.where("p_size % 4 = 0").select("pack", "slot", either(".wav", ".mp3", ".ogg", at=kind).alias("file"), kind.alias("kind"))
+    files = folders.pack_files(p.withColumn("file", F.col("file").cast("string")), there, named)
+    return files.groupBy("pack", "slot").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.expr("try_cast(file as bigint)").alias("n"), "file"))), lambda x: x["file"]), ",").alias("files"))
 
 
 @Q.add(
@@ -468,9 +447,10 @@ SELECT dir, min(p_partkey) AS video FROM d LEFT JOIN v USING (dir) GROUP BY dir"
 )
 def source_of_work_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI9: the first video (of a kind that is one) whose slug is a work folder's name."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", T.slug(F.concat_ws(" ", "p_name", "p_brand"), 60).alias("dir"))
-    videos = p.where("p_size % 5 < 3").groupBy("dir").agg(F.min("p_partkey").alias("video"))
-    return p.select("dir").distinct().join(videos, "dir", "left")
+    name = F.concat_ws(" ", "p_name", "p_brand")
+    p = table(spark, sf_dir, "part")
+    dirs = p.select(T.slug(name, folders.SLUG).alias("dir")).distinct()
+    return folders.video_of(dirs, "dir", p.where("p_size % 5 < 3"), name, "p_partkey").withColumnRenamed("p_partkey", "video")
 
 
 @Q.add(
@@ -482,9 +462,9 @@ def clip_of_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC9: the rank that a folder's name tells, and the clip of that rank; none where the name doesn't parse."""
     o = table(spark, sf_dir, "orders")
     name = F.concat(F.when(F.col("o_orderkey") % 9 == 0, "shot-").otherwise("short-"), F.lpad((F.col("o_orderkey") % 6 + 1).cast("string"), 2, "0"), F.lit("-"), F.lower("o_orderstatus"))
-    folders = o.select("o_custkey", name.alias("folder")).distinct().withColumn("rank", F.regexp_extract("folder", r"^short-(\d+)-", 1).try_cast("int"))
-    ranked = o.select("o_custkey", F.col("o_orderkey").alias("clip"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
-    return folders.join(ranked, ["o_custkey", "rank"], "left").select("o_custkey", "folder", "clip")
+    named = o.select("o_custkey", name.alias("folder")).distinct()
+    made = folders.clip_of(named, "o_custkey", "folder", o.select("o_custkey", "o_orderkey", "o_totalprice"), (F.desc("o_totalprice"), F.asc("o_orderkey")))
+    return made.select("o_custkey", "folder", F.col("clip.o_orderkey").alias("clip"))
 
 
 @Q.add(
@@ -495,10 +475,8 @@ SELECT user_id, arg_min(url, place) AS url, count(*) AS n FROM f GROUP BY user_i
 def asset_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI18: candidates of two engines in one pool, each picture once, and the first that is usable."""
     e = table(spark, sf_dir, "events")
-    part = lambda n, w, engine: e.select("user_id", "event_id", F.concat(F.lit("u"), (F.col("event_id") % n).cast("string")).alias("url"), w.alias("w"), F.lit(engine).alias("engine"))
-    pool = part(500, F.col("event_id") % 1000, 0).union(part(700, F.col("user_id") * 7, 1)).where("w >= 600")
-    once = pool.groupBy("user_id", "url").agg(F.min(F.struct("engine", "event_id")).alias("place"))
-    return once.groupBy("user_id").agg(F.min_by("url", "place").alias("url"), F.count(F.lit(1)).alias("n"))
+    part = lambda n, w: e.select("user_id", "event_id", F.concat(F.lit("u"), (F.col("event_id") % n).cast("string")).alias("url"), w.alias("w"))
+    return folders.usable([part(500, F.col("event_id") % 1000), part(700, F.col("user_id") * 7)], "user_id", "url", "event_id", F.col("w") >= 600)
 
 
 # ---------------------------------------------------------------- records
@@ -574,13 +552,12 @@ def slide_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL25, SCL26, SCL38: a slide's colour, its own or its type's out of the style's palette with defaults; and its picture by brand or person, else by name; slides whose picture isn't found go."""
     k = F.col("o_orderkey")
     s = table(spark, sf_dir, "orders").select(k.alias("k"), either("text", "stat", "list", "logo", "person", at=k % 5).alias("type"), F.when(k % 7 == 0, "#123456").alias("color"), F.when(k % 2 == 0, F.concat(F.lit("Brand"), (k % 50).cast("string"))).alias("key"), F.when(k % 3 > 0, F.concat(F.lit("Name"), (k % 50).cast("string"))).alias("name"), (k % 4).alias("style"))
-    named = lambda *x: F.create_map(*map(F.lit, x))
-    colors = F.when(F.col("style") == 1, named("gold", "#aa8800", "red", "#990000")).when(F.col("style") == 2, named("red", "#990000")).when(F.col("style") == 3, named("green", "#00aa00"))
-    from_style = lambda key, what: F.coalesce(colors[key], F.lit(PALETTE[what]))
-    by_type = F.when(F.col("type") == "stat", from_style("green", "accent")).when(F.col("type") == "list", from_style("red", "secondary")).otherwise(from_style("gold", "primary"))
-    wanted = F.when(F.col("type").isin("logo", "person"), F.coalesce("key", "name", F.lit("")))
-    found = s.withColumn("wanted", wanted).where("wanted is null or (wanted <> '' and right(wanted, 1) <> '3')")
-    return found.select("k", "type", F.coalesce("color", by_type).alias("color"), "wanted", F.concat(T.letters_and_digits(F.col("wanted")), F.lit(".png")).alias("src"))
+    none = F.lit(None).cast("string")
+    look = F.struct(F.when(F.col("style") == 1, "#aa8800").alias("gold"), F.when(F.col("style").isin(1, 2), "#990000").alias("red"), F.when(F.col("style") == 3, "#00aa00").alias("green"), none.alias("background"))
+    wanted = s.select(F.explode(F.array("key", "name")).alias("wanted")).where("wanted is not null and right(wanted, 1) <> '3'").distinct()
+    pictures = wanted.withColumn("src", F.concat(T.letters_and_digits(F.col("wanted")), F.lit(".png")))
+    found = render.with_pictures(s, pictures)
+    return found.select("k", "type", render.slide_color(F.col("type"), F.col("color"), render.palette(look)).alias("color"), "wanted", "src")
 
 
 @Q.add(
