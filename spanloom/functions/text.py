@@ -34,6 +34,8 @@ SKIP_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".mp4", ".mkv"
 SKIP_NAMES = (".secrets.baseline", "uv.lock", "package-lock.json", "yarn.lock")
 #: Endings of an address that are kept, in the order they are looked for.
 ENDINGS = (".svg", ".png", ".jpg", ".jpeg", ".webp", ".json")
+#: What a caption says where no reason is given, and its call.
+BLURB, CALL = "Save this for later, it lands harder the second time.", "Follow for more."
 OPT_OUT = r"(?i)#\s*(pragma:\s*allowlist\s*secret|noqa:\s*secrets)\b"
 
 
@@ -222,8 +224,8 @@ def every_json_string(x: Column, change: Callable[[Column], Column]) -> Column:
 def fallback_caption(hook: Column, why: Column) -> Column:
     """Headline in upper case unless it asks, why it is worth while, and the call."""
     headline = F.when((hook != "") & ~F.endswith(hook, F.lit("?")), F.upper(hook)).otherwise(hook)
-    body = F.when(F.trim(why) != "", F.trim(why)).otherwise("Worth a second look.")
-    return F.concat(headline, F.lit("\n\n"), body, F.lit("\n\nFollow for more."))
+    body = F.when(F.trim(why) != "", F.trim(why)).otherwise(BLURB)
+    return F.concat(headline, F.lit("\n\n"), body, F.lit(f"\n\n{CALL}"))
 
 
 def with_duration(html: Column, seconds: Column) -> Column:

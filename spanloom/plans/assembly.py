@@ -563,7 +563,7 @@ def slide_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add(
     """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN 'Why ' || o_orderpriority || '?' ELSE 'On ' || o_orderpriority END AS hook0, lower(o_orderpriority) AS slug, CASE WHEN o_orderkey % 3 = 0 THEN 'It lands.' ELSE ' ' END AS why, CAST(floor(o_totalprice) AS BIGINT) AS cents FROM orders),
 h AS (SELECT *, trim(CASE WHEN hook0 <> '' THEN hook0 ELSE replace(slug, '-', ' ') END) AS hook FROM o)
-SELECT k, CASE WHEN hook <> '' AND right(hook, 1) <> '?' THEN upper(hook) ELSE hook END || chr(10) || chr(10) || CASE WHEN trim(why) <> '' THEN trim(why) ELSE 'Worth a second look.' END || chr(10) || chr(10) || 'Follow for more.' AS caption,
+SELECT k, CASE WHEN hook <> '' AND right(hook, 1) <> '?' THEN upper(hook) ELSE hook END || chr(10) || chr(10) || CASE WHEN trim(why) <> '' THEN trim(why) ELSE 'Save this for later, it lands harder the second time.' END || chr(10) || chr(10) || 'Follow for more.' AS caption,
   '<div data-duration="' || cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || '">const TOTAL = ' || cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || ';' AS html,
   'loudnorm=I=-14.0:TP=-1.5:LRA=11.0:print_format=json' AS measure_filter,
   'loudnorm=I=-14.0:TP=-1.5:LRA=11.0:measured_I=-' || k % 40 || ':measured_TP=-' || k % 7 || ':measured_LRA=' || k % 9 || ':measured_thresh=-' || k % 50 || ':offset=' || k % 3 || ':linear=true:print_format=summary' AS apply_filter FROM h"""

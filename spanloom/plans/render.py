@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import cues, intervals
+from spanloom.operators import cues, intervals, projects
 from spanloom.plans.common import Queries, table
 
 Q = Queries()
@@ -126,3 +126,50 @@ def api_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit("{"), part("a", F.col("event_id") % 1000, "u"), F.lit(","), part("b", F.col("user_id") * 7, "v"), F.lit("}"))
     each = e.select("event_id", F.explode(F.map_values(F.from_json(answer, "map<string,struct<w:int,url:string>>"))).alias("x"))
     return each.select("event_id", "x.url", F.col("x.w").alias("width")).where("width >= 600")
+
+
+# ---------------------------------------------------------------- projects
+
+HEAD, TAIL = projects.PAGE.split("{title}")[0], projects.PAGE.split("{cues}")[1]
+
+
+def as_sql(text: str) -> str:
+    """A text for SQL, its line ends by their number."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@Q.add(
+    f"""WITH {SQL_CALLOUTS.strip()},
+cl AS (SELECT conv_id AS source_id, 1 + conv_id % 120 AS rank, CASE conv_id % 3 WHEN 0 THEN 'talk-' || conv_id WHEN 1 THEN '' END AS slug, CASE WHEN conv_id % 4 > 0 THEN 'What "' || conv_id || '" means' END AS hook_text, CASE WHEN conv_id % 5 > 0 THEN 'It lands.' END AS reasoning,
+  CASE WHEN conv_id % 2 = 0 THEN 'Look — here #now ' || conv_id END AS told FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) k WHERE conv_id % 11 <> 0),
+p AS (SELECT *, coalesce(nullif(slug, ''), CASE WHEN conv_k % 2 = 0 THEN 'cut-' || conv_k ELSE 'clip-' || rank END) AS name, 9000 + conv_k % 977 * 13 AS dur FROM (SELECT *, source_id AS conv_k FROM cl)),
+q AS (SELECT *, 'short-' || CASE WHEN rank < 10 THEN '0' ELSE '' END || rank || '-' || name AS folder, trim(coalesce(hook_text, replace(coalesce(slug, ''), '-', ' '))) AS hook FROM p),
+cap AS (SELECT *, CASE WHEN told IS NOT NULL THEN 'Look, here ' || source_id ELSE CASE WHEN hook <> '' THEN upper(hook) ELSE hook END || chr(10) || chr(10) || coalesce(reasoning, 'Save this for later, it lands harder the second time.') || chr(10) || chr(10) || 'Follow for more.' END || chr(10) AS caption FROM q),
+cu AS (SELECT conv_id AS source_id, string_agg('<div class="cue ' || style || ' ' || color || '" data-track-index="' || track || '" data-start="' || start_ms // 1000 || '.' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || '" data-duration="' || duration_ms // 1000 || '.' || lpad(CAST(duration_ms % 1000 AS VARCHAR), 3, '0') || '">turn ' || turn || '</div>', chr(10) ORDER BY track) AS cues FROM co GROUP BY conv_id),
+wo AS (SELECT conv_id AS source_id, string_agg('{{"text":"' || role || '","start":' || CAST(turn * 6500 / 1000.0 AS DOUBLE) || ',"end":' || CAST((turn * 6500 + 400) / 1000.0 AS DOUBLE) || '}}', ',' ORDER BY turn, role) AS words FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+f AS (SELECT source_id || '/' || folder AS root, *, '{{"id":"' || folder || '","name":"Short ' || CASE WHEN rank < 10 THEN '0' ELSE '' END || rank || ' — ' || coalesce(replace(hook_text, '"', chr(92) || '"'), '') || '","width":1080,"height":1920,"fps":30,"clip":{{"viral_score":' || CASE WHEN source_id % 7 = 0 THEN 'null' ELSE CAST(source_id % 10 AS VARCHAR) END || ',"hook_text":' || coalesce('"' || replace(hook_text, '"', chr(92) || '"') || '"', 'null')
+  || ',"hook_start":0.0,"hook_end":null,"reasoning":' || coalesce('"' || reasoning || '"', 'null') || ',"source_video":"v' || source_id || '.mp4","source_segments":[[0.0,' || CAST(dur / 1000.0 AS DOUBLE) || ']],"snapped_segments":null,"duration":' || CAST(dur / 1000.0 AS DOUBLE) || '}}}}' AS meta FROM cap LEFT JOIN cu USING (source_id) LEFT JOIN wo USING (source_id))
+SELECT root || '/index.html' AS path, {as_sql(HEAD)} || 'Short ' || CASE WHEN rank < 10 THEN '0' ELSE '' END || rank || ' — ' || name || '</title></head>' || chr(10) || '<body><div id="' || folder || '" data-duration="' || dur // 1000 || '.' || lpad(CAST(dur % 1000 AS VARCHAR), 3, '0') || '">' || chr(10) || '<video src="assets/clip-edit.mp4"></video>' || chr(10) || coalesce(cues, '') || {as_sql(TAIL)} AS content FROM f
+UNION ALL SELECT root || '/meta.json', meta FROM f UNION ALL SELECT root || '/assets/words.json', '[' || coalesce(words, '') || ']' FROM f UNION ALL SELECT root || '/caption.txt', caption FROM f UNION ALL SELECT root || '.txt', caption FROM f"""
+)
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2: of each conversation as a clip its project's files: page, record, words and captions. One of eleven has no clip, and no project."""
+    k = F.col("conv_id")
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    each = c.select("conv_id").distinct().withColumn("rank", (1 + k % 120).cast("int"))
+    length = 9000 + k % 977 * 13
+    none = F.lit(None).cast("string")
+    clips = each.where("conv_id % 11 <> 0").select(
+        k.alias("source_id"), "rank", F.when(k % 3 == 0, F.concat(F.lit("talk-"), k.cast("string"))).when(k % 3 == 1, "").alias("slug"), F.when(k % 7 != 0, k % 10).alias("viral_score"), F.when(k % 4 > 0, F.concat(F.lit('What "'), k.cast("string"), F.lit('" means'))).alias("hook_text"),
+        F.lit(0.0).alias("hook_start"), F.lit(None).cast("double").alias("hook_end"), F.when(k % 5 > 0, "It lands.").alias("reasoning"), F.array(F.array(F.lit(0.0), length / 1000)).alias("segments"), F.when(k % 2 == 0, F.concat(F.lit("Look — here #now "), k.cast("string"))).alias("instagram_caption"),
+    )
+    path = lambda n, name: F.when(k % n == 0, name).alias(name)
+    manifests = each.select(
+        k.alias("source_id"), "rank", F.when(k % 2 == 0, F.concat(F.lit("cut-"), k.cast("string"))).alias("slug"), path(2, "vertical_path"), path(3, "enhanced_path"), path(5, "cleaned_path"), path(1, "raw_path"),
+        none.alias("snapped_segments"), F.concat(F.lit("v"), k.cast("string"), F.lit(".mp4")).alias("source_video"), length.cast("long").alias("duration_ms"),
+    )
+    made = projects.projects(manifests, clips)
+    shown = callouts(spark, sf_dir).select(k.alias("source_id"), (1 + k % 120).cast("int").alias("rank"), "track", "style", "color", "start_ms", "duration_ms", F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("html"))
+    at = F.col("turn") * 6500
+    said = c.where("turn is not null").select(k.alias("source_id"), (1 + k % 120).cast("int").alias("rank"), at.alias("start_ms"), (at + 400).alias("end_ms"), F.struct(F.col("role").alias("text"), (at / 1000).alias("start"), ((at + 400) / 1000).alias("end")).alias("item"))
+    return projects.files(made, shown, said)

@@ -140,3 +140,14 @@ def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
     dealt = lines.select("line_no", "line")
     dealt = dealt.repartitionByRange(parts, "line_no") if parts else dealt.repartitionByRange("line_no")
     dealt.sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """files: (path, content), a path once. Each is a partition of a table of texts below root, its content to the letter; a path's slashes are escaped in the folder's name. read_files has them back."""
+    files.select(F.col("content").alias("value"), "path").write.mode("overwrite").partitionBy("path").option("lineSep", "\x00").text(root)
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of what write_files wrote."""
+    read = spark.read.schema("value string, path string").text(root, wholetext=True)
+    return read.select("path", F.left("value", F.length("value") - 1).alias("content"))

@@ -181,7 +181,7 @@ def test_every_string(spark):
 def test_captions_and_templates(spark):
     say = lambda h, w: spark.range(1).select(T.fallback_caption(F.lit(h), F.lit(w))).first()[0]
     assert say("Buy low", " it works ") == "BUY LOW\n\nit works\n\nFollow for more."
-    assert say("Buy low?", "").startswith("Buy low?\n\nWorth")
+    assert say("Buy low?", "") == "Buy low?\n\nSave this for later, it lands harder the second time.\n\nFollow for more."
     html = spark.range(1).select(T.with_duration(F.lit('<a data-duration="1.5"> const TOTAL = 18.84;'), F.lit("2.50"))).first()[0]
     assert html == '<a data-duration="2.50"> const TOTAL = 2.50;'
     assert spark.range(1).select(T.loudness_filter(-14.0, -1.5, 11.0)).first()[0] == "loudnorm=I=-14.0:TP=-1.5:LRA=11.0:print_format=json"
