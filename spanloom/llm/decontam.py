@@ -11,7 +11,8 @@ Words are told apart by their bytes: hashes only say which are worth comparing.
 indexed, which leaves about one word in a hundred of the test tables' for the index.
 
 Nulls and empty texts have no words. The null item id is one of its own, written as an empty one. Repeated rows are judged
-each for itself; repeated items are one. Very long texts: a shard of their own. Other columns, whatever their names, aren't read.
+each for itself; repeated items are one. Ties: a window that several items have counts for each of them, and occurrences that
+overlap or meet are one removal span, whichever item they come from. Very long texts: a shard of their own. Other columns, whatever their names, aren't read.
 No item: nothing is hit. Empty tables: an empty result.
 """
 

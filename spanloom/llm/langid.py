@@ -112,10 +112,10 @@ def _fit(p: np.ndarray, begin: np.ndarray, of: np.ndarray, pi: np.ndarray, round
 
 
 def _struck(p: np.ndarray, begin: np.ndarray, of: np.ndarray, pieces: np.ndarray, pi: np.ndarray, likely: np.ndarray) -> np.ndarray:
-    """Each text's weakest language goes, one after the other, as long as the penalised likelihood gains by it."""
+    """Each text's weakest language, of several the last by name, goes, one after the other, as long as the penalised likelihood gains by it."""
     going = np.ones(len(pi), bool)
     for _ in range(p.shape[1] - 1):
-        weakest = np.where(pi > 0, pi, np.inf).argmin(1)
+        weakest = pi.shape[1] - 1 - np.where(pi > 0, pi, np.inf)[:, ::-1].argmin(1)
         fewer = pi.copy()
         fewer[np.arange(len(pi)), weakest] = 0
         rest = fewer.sum(1)

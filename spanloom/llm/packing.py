@@ -9,7 +9,9 @@ doc_id, so repeated ids don't gather in one group, and their size doesn't grow w
 Tokens never span ASCII white space under this tokenizer (it splits at white space before it merges, and
 its normaliser composes nothing across it), so each distinct word of a batch is encoded once.
 
-Null and empty texts are the closing id alone. Repeated rows and null ids are packed each for itself.
+Null and empty texts are the closing id alone. Repeated rows and null ids are packed each for itself. Very long texts: whole,
+cut into full sequences and one rest, which alone is packed with others. Ties: of rests of one length the first by the group's
+order of rows is placed first, each in the first sequence that has room.
 Empty table: empty result. Columns other than doc_id and text aren't read.
 """
 

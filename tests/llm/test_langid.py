@@ -49,7 +49,7 @@ def brute_proportions(text, logs):
 
     pi, best = fit([1 / len(logs)] * len(logs), 10)
     while sum(x > 0 for x in pi) > 1:
-        weakest = min((x, j) for j, x in enumerate(pi) if x > 0)[1]
+        weakest = -min((x, -j) for j, x in enumerate(pi) if x > 0)[1]
         rest = [0 if j == weakest else x for j, x in enumerate(pi)]
         if sum(rest) <= 1e-12:
             break
@@ -114,3 +114,16 @@ def test_many_languages(monkeypatch):
         assert np.allclose(langid.proportions(raw, offsets, table), want, atol=1e-6)
     monkeypatch.setattr(langid, "KEPT", 40)
     assert np.allclose(langid.proportions(raw, offsets, table), want, atol=0.01)
+
+
+def test_ties():
+    """Of languages that are alike the first by name stays, however many there are."""
+    r = np.random.default_rng(1)
+    one, other = (np.log(r.dirichlet(np.full(langid.TABLE, 0.1)) + 1e-9).astype(np.float32) for _ in range(2))
+    raw = np.frombuffer(b"some words of a text " * 30, np.uint8)
+    for table, want in (([one, one], 0), ([one] * 5, 0), ([one] * 30, 0)):
+        assert np.flatnonzero(langid.proportions(raw, np.array([0, len(raw)]), np.stack(table))[0]).tolist() == [want]
+    better, worse = (one, other) if one[langid.trigrams(raw, np.array([0, len(raw)]))].sum() > other[langid.trigrams(raw, np.array([0, len(raw)]))].sum() else (other, one)
+    for n in (1, 20):
+        got = langid.proportions(raw, np.array([0, len(raw)]), np.stack([worse] * n + [better] * n))[0]
+        assert got.argmax() == n

@@ -62,6 +62,12 @@ def test_first_fit_decreasing(seed):
     assert [want[k] for k in range(300)] == list(zip(bins.tolist(), at.tolist()))
 
 
+def test_ties_of_sizes():
+    """Rests of one length are placed in their order, each in the first sequence with room."""
+    bins, at = packing.first_fit_decreasing(np.array([40, 60, 40, 60, 40, 20, 20]), 100)
+    assert list(zip(bins.tolist(), at.tolist())) == [(0, 60), (0, 0), (1, 60), (1, 0), (2, 0), (2, 40), (2, 60)]
+
+
 def test_forgotten_words(monkeypatch):
     """A cache that overflows all the time gives the same ids."""
     import pyarrow as pa
