@@ -30,11 +30,13 @@ def at_times(effects: DataFrame, times: DataFrame, key: str, fade: int, longest:
     return made.select(key, "t", (1 + F.coalesce("__bump", F.lit(0.0))).alias("scale"), F.coalesce("__local", F.lit(1.0)).alias("opacity"))
 
 
-def zoom(share: Column) -> Column:
-    """A slide's slow zoom at a share of its time."""
-    return 1 + 0.18 * share
+def zoom(share: Column, motion: Column) -> Column:
+    """A slide's slow zoom at a share of its time: from 1.18 to 1 where the motion is out, else from 1 to 1.18."""
+    return F.when(motion == "out", 1.18 - 0.18 * share).otherwise(1 + 0.18 * share)
 
 
-def pan(share: Column, motion: Column) -> Column:
-    """A slide's shift at a share of its time: from 4 to -4 (left), from -4 to 4 (right), none."""
-    return F.when(motion == "left", 4 - 8 * share).when(motion == "right", 8 * share - 4).otherwise(0.0)
+def shift(share: Column, motion: Column) -> Column:
+    """A slide's shift (x, y) in per cent at a share of its time: by 8 to the left, right, up or down, centred; none for other motions."""
+    way = 8 * share - 4
+    along = lambda less, more: F.when(motion == less, -way).when(motion == more, way).otherwise(0.0)
+    return F.struct(along("left", "right").alias("x"), along("up", "down").alias("y"))

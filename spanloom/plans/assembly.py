@@ -370,8 +370,8 @@ def overlapping_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 7200 * 40").alias("start_ms"), F.get(F.array(*map(F.lit, EFFECT_LENGTHS)), (F.col("event_id") % 3).cast("int")).alias("len"), ((F.col("event_id") % 4 + 1) / 4.0).alias("strength"), (F.col("event_id") % 5 == 0).alias("fades"))
     made = effects.at_times(e, e.select("user_id", (F.col("start_ms") + 60).alias("t")).distinct(), "user_id", FADE, REACH)
     share = (F.col("t") % 1000) / 1000.0
-    shift = effects.pan(share, F.when(F.col("user_id") % 5 == 1, "left").when(F.col("user_id") % 5 == 2, "right"))
-    return made.select("user_id", F.col("t").alias("t_ms"), F.round("scale", 6).alias("scale"), F.round("opacity", 6).alias("opacity"), F.round(effects.zoom(share), 6).alias("zoom"), F.round(shift, 6).alias("pan_x"))
+    motion = either("in", "left", "right", "in", "in", at=F.col("user_id") % 5)
+    return made.select("user_id", F.col("t").alias("t_ms"), F.round("scale", 6).alias("scale"), F.round("opacity", 6).alias("opacity"), F.round(effects.zoom(share, motion), 6).alias("zoom"), F.round(effects.shift(share, motion)["x"], 6).alias("pan_x"))
 
 
 # ---------------------------------------------------------------- settings and checks

@@ -96,3 +96,11 @@ def test_effects_at_times_by_brute_force(spark):
         bump = max((math.sin(math.pi * x / n) * 0.04 * s for x, n, s, f in mine if 0 <= x <= n), default=0)
         fade = min(((-x if x < 0 else x - n if x > n else 0) / 200 for x, n, s, f in mine if f and -200 < x < n + 200), default=1)
         assert abs(got[k, t][0] - 1 - bump) < 1e-9 and abs(got[k, t][1] - fade) < 1e-9
+
+
+def test_motion(spark):
+    d = spark.createDataFrame([(k, x) for k in ("in", "out", "left", "right", "up", "down", None) for x in (0.0, 0.25, 1.0)], "m string, p double")
+    for x in d.select("m", "p", effects.zoom(F.col("p"), F.col("m")).alias("z"), effects.shift(F.col("p"), F.col("m")).alias("s")).collect():
+        way = -4 + 8 * x.p
+        assert abs(x.z - (1.18 - 0.18 * x.p if x.m == "out" else 1 + 0.18 * x.p)) < 1e-12
+        assert tuple(x.s) == {"left": (-way, 0), "right": (way, 0), "up": (0, -way), "down": (0, way)}.get(x.m, (0, 0))
