@@ -164,12 +164,13 @@ def lookup(x: Column, pairs: Mapping[str, str], default: str) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """In the largest unit that a number reaches, with one decimal, rounded half up; GB is the last, whatever the number."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for unit, size in (("KB", 1024), ("MB", 1024**2), ("GB", 1024**3)):
         value = F.floor(n * 10 / size + 0.5)
         shown = F.concat((value / 10).cast("long").cast("string"), F.lit("."), F.pmod(value, F.lit(10)).cast("string"), F.lit(f" {unit}"))
-        out = out.when(n < size * 1024, shown)
-    return out.otherwise(F.lit("huge"))
+        out = out.otherwise(shown) if unit == "GB" else out.when(n < size * 1024, shown)
+    return out
 
 
 def with_alpha(color: Column, alpha: Column) -> Column:

@@ -160,6 +160,11 @@ def test_text(spark):
     assert one(lambda x: T.human_bytes(F.length(x) * 700), "ab") == "1.4 KB"
 
 
+@pytest.mark.parametrize("n, shown", [(1023, "1023 B"), (1024, "1.0 KB"), (1024**3, "1.0 GB"), (1024**4 - 1, "1024.0 GB"), (1024**4, "1024.0 GB"), (11784 * 11784 * 7919, "1024.1 GB"), (59999 * 59999 * 7919, "26549.6 GB"), (None, None)])
+def test_human_bytes(spark, n, shown):
+    assert spark.createDataFrame([(n,)], "n long").select(T.human_bytes(F.col("n"))).first()[0] == shown
+
+
 def test_paths_of_addresses(spark):
     import hashlib
 
