@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 def best_faces(detections: DataFrame, keys: Sequence[str], tie: Sequence[str], every: int = 5, least: float = 0.6) -> DataFrame:
     """detections: (*keys, frame, score, x, y, w, h, *tie), a box each. Of every so many frames the detection with the best score, if that is at least ``least``: (*keys, frame, cx, cy, h, score), the
-    box's middle. Ties by the columns tie, which must be numbers, least first."""
-    order = F.struct("score", *((-F.col(c)).alias(f"__{c}") for c in tie))
+    box's middle. Ties by the columns tie, which must be numbers, least first; of detections alike in these, too, the least box (x, y, w, h), so that the answer hangs on no order of rows."""
+    order = F.struct("score", *((-F.col(c)).alias(f"__{c}") for c in (*tie, "x", "y", "w", "h")))
     best = detections.where(F.col("frame") % every == 0).groupBy(*keys, "frame").agg(F.max_by(F.struct("x", "y", "w", "h", "score"), order).alias("b"))
     return best.where(F.col("b.score") >= least).select(*keys, "frame", (F.col("b.x") + F.col("b.w") / 2.0).alias("cx"), (F.col("b.y") + F.col("b.h") / 2.0).alias("cy"), F.col("b.h").alias("h"), F.col("b.score").alias("score"))
 

@@ -84,6 +84,14 @@ def test_best_faces(spark):
     assert got == [(1, 0, 12.0, 24.0, 8.0, 0.9), (1, 10, 1.0, 3.0, 2.0, 0.6)]
 
 
+def test_best_faces_alike(spark):
+    """Detections alike in score and tie: the least box, in whatever order they come."""
+    rows = [(1, 0, 0.9, x, y, 2.0, h, 7) for x, y, h in ((30.0, 1.0, 2.0), (10.0, 5.0, 2.0), (10.0, 4.0, 8.0), (10.0, 4.0, 6.0), (20.0, 0.0, 2.0))]
+    for some in (rows, rows[::-1]):
+        d = spark.createDataFrame(some, "clip long, frame int, score double, x double, y double, w double, h double, id long").coalesce(1)
+        assert [tuple(x) for x in effects.best_faces(d, ["clip"], ["id"]).collect()] == [(1, 0, 11.0, 7.0, 6.0, 0.9)]
+
+
 def test_effects_at_times_by_brute_force(spark):
     r = random.Random(2)
     rows = [(r.randrange(3), r.randrange(-300, 5000), r.choice([90, 220, 280]), r.choice([0.25, 1.0]), r.random() < 0.5) for _ in range(120)]
