@@ -18,12 +18,20 @@ def by_pos() -> WindowSpec:
     return Window.partitionBy("source_id").orderBy("pos")
 
 
+#: Bytes of text for a task: as rows of a sort its words take some 15 times as much, and a plan holds several sorts at once.
+TASK_BYTES = 4 << 20
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """A timeline for texts: a word lasts 60 ms a character; pauses follow punctuation, and now and then a long one.
-    Texts are dealt by source before they are cut up, so every window by source below needs no other shuffle."""
-    cut = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("source_id"), F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)).alias("w"))
-    words = cut.repartition("source_id").select("source_id", F.posexplode("w").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
-    gap = F.expr("case when (pos * 7919 + source_id * 104729) % 97 = 0 then 900 when text rlike '[.!?]$' then 400 when text rlike ',$' then 250 else 40 end")
+    Texts are dealt by source before they are cut up, so every window by source below needs no other shuffle; whole texts are less to write than lists of words, and their bytes, counted first, say into how many parts."""
+    texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("source_id"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = texts.repartition(1 + size // TASK_BYTES, "source_id")
+    # the outer form, since of the plain one Spark infers conditions that cut every text up once more before it is dealt
+    cut = dealt.select("source_id", F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)).alias("w")).select("source_id", F.posexplode_outer("w").alias("pos", "text"))
+    words = cut.where("text is not null").withColumn("pos", F.col("pos").cast("long"))
+    gap = F.expr("case when (pos * 7919 + source_id * 104729) % 97 = 0 then 900 when endswith(text, '.') or endswith(text, '!') or endswith(text, '?') then 400 when endswith(text, ',') then 250 else 40 end")
     timed = words.withColumn("dur", 60 * F.length("text")).withColumn("gap", gap)
     end = F.sum(F.col("dur") + F.col("gap")).over(by_pos().rowsBetween(Window.unboundedPreceding, 0)) - F.col("gap")
     return timed.withColumn("end_ms", end.cast("long")).select("source_id", "pos", "text", (F.col("end_ms") - F.col("dur")).alias("start_ms"), "end_ms")
@@ -77,8 +85,9 @@ def _fillers(w: DataFrame, fillers: Sequence[str]) -> DataFrame:
     if max(lengths, default=2) == 2:
         # of pairs that start at one word after another every second one overlaps the one before
         pair = F.col("size") == 2
-        w = w.withColumn("__island", F.sum((~pair).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        w = w.withColumn("__taken", pair & ((F.sum(pair.cast("int")).over(Window.partitionBy("source_id", "__island").orderBy("pos")) % 2) == 1)).drop("__island")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        w = w.withColumn("__pairs", F.sum(pair.cast("int")).over(so_far))
+        w = w.withColumn("__taken", pair & ((F.col("__pairs") - F.coalesce(F.last(F.when(~pair, F.col("__pairs")), True).over(so_far), F.lit(0))) % 2 == 1)).drop("__pairs")
         used = F.col("__taken") | (F.col("size") == 1) & ~F.coalesce(F.lag("__taken").over(order), F.lit(False))
         w = w.withColumn("size", F.when(used, F.col("size")).otherwise(0)).drop("__taken")
     else:
@@ -126,21 +135,20 @@ def all_cuts(words: DataFrame, fillers: Sequence[str]) -> DataFrame:
 
 def timeline_stream(words: DataFrame, cuts: DataFrame, cell_ms: int | None = None) -> DataFrame:
     """Words and disjoint cuts (cs, ce) as one sorted stream for each source, instead of a join by range: of each word
-    whether no cut overlaps it (kept) and how much is cut before it (gone). With cell_ms the stream is cut into slices of so much time, so that one very long source is many tasks' work; the
+    whether no cut overlaps it (kept) and, if so, how much is cut before it (gone): all cuts that begin before a kept word ends lie before it, so one order serves both. With cell_ms the stream is cut into slices of so much time, so that one very long source is many tasks' work; the
     stream is written first, as it is read several times."""
     rows = words.select("source_id", "pos", "text", "start_ms", "end_ms", F.lit(None).cast("long").alias("cs"), F.lit(None).cast("long").alias("ce")).unionByName(
         cuts.select("source_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), "start_ms", "end_ms", F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"))
     )
     is_cut = F.col("cs").isNotNull()
     so_far = (Window.unboundedPreceding, 0)
-    begin, end, length = F.when(is_cut, F.col("cs")).otherwise(F.col("end_ms")), F.when(is_cut, F.col("ce")).otherwise(F.col("start_ms")), F.col("ce") - F.col("cs")
+    begin, length = F.when(is_cut, F.col("cs")).otherwise(F.col("end_ms")), F.col("ce") - F.col("cs")
     if cell_ms:
-        cut = running(written(rows), ["source_id"], F.floor(begin / cell_ms), [begin, is_cut, "pos"], {"reach": ("max", F.col("ce"))})
-        seen = running(cut, ["source_id"], F.floor(end / cell_ms), [end, ~is_cut, "pos"], {"gone": ("sum", length)}).withColumn("gone", F.coalesce("gone", F.lit(0)))
+        seen = running(written(rows), ["source_id"], F.floor(begin / cell_ms), [begin, is_cut, "pos"], {"reach": ("max", F.col("ce")), "gone": ("sum", length)})
     else:
         by_begin = Window.partitionBy("source_id").orderBy(begin, is_cut, "pos").rowsBetween(*so_far)
-        by_end = Window.partitionBy("source_id").orderBy(end, ~is_cut, "pos").rowsBetween(*so_far)
-        seen = rows.withColumn("reach", F.max("ce").over(by_begin)).withColumn("gone", F.coalesce(F.sum(length).over(by_end), F.lit(0)))
+        seen = rows.withColumns({"reach": F.max("ce").over(by_begin), "gone": F.sum(length).over(by_begin)})
+    seen = seen.withColumn("gone", F.coalesce("gone", F.lit(0)))
     return seen.withColumn("kept", F.col("cs").isNull() & (F.col("reach").isNull() | (F.col("reach") <= F.col("start_ms"))))
 
 
