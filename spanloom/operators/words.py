@@ -190,37 +190,41 @@ def slice_segments(words: DataFrame, segments: DataFrame) -> DataFrame:
 
 def snap(targets: DataFrame, words: DataFrame) -> DataFrame:
     """targets: (source_id, target, t_ms, after). The middle (in half milliseconds) of the word gap that suits each best:
-    sentence ends before breaths before near gaps before far ones, then the nearest; else the nearest gap of all (null: there is none). Where a source has fewer than two words, targets stay where they are. Gaps meet targets by time cells of the widest window; the fallback runs along one sorted stream."""
+    sentence ends before breaths before near gaps before far ones, then the nearest; else the nearest gap of all (null: there is none). Where a source has fewer than two words, targets stay where they are. Words and targets run along
+    one sorted stream: of sentence ends, of breaths and of all gaps only the nearest on each side of a target can be its best."""
     base = 2 * P.SNAP_WINDOW
-    widest = 8 * base
-    gap = gaps(words).withColumn("cell", F.expr(f"mid2 div {widest}"))
-    near = targets.withColumn("cell", F.explode(F.expr(f"sequence(2 * t_ms div {widest} - 1, 2 * t_ms div {widest} + 1)")))
-    both = gap.join(near, ["source_id", "cell"]).withColumn("d", F.abs(F.col("mid2") - 2 * F.col("t_ms"))).withColumn("ahead", F.expr("mid2 >= 2 * t_ms"))
-    wide = F.col("after") & F.col("ahead")
-    window = lambda a, b: F.when(wide, base * a).otherwise(base * b)
+    next_ms = F.lead("start_ms").over(by_pos())
+    w = words.withColumn("next_ms", F.when(next_ms > F.col("end_ms"), next_ms)).withColumn("mid2", F.col("end_ms") + F.col("next_ms"))
     size = F.col("next_ms") - F.col("end_ms")
-    ends = F.trim("text").rlike('[.!?]["”]?$')
-    tier = (
-        F.when(ends & (size >= P.SNAP_SILENCE) & (F.col("d") <= window(3, 1)), 0)
-        .when((size >= P.SNAP_BREATH) & (F.col("d") <= window(3, 1)), 1)
-        .when(F.col("d") <= window(5, 2.5), 2)
-        .when(F.col("d") <= window(8, 5), 3)
-    )
-    key = F.col("d") * F.when(wide, 7).when(F.col("after"), 13).otherwise(10)
-    best = both.withColumn("tier", tier).where("tier is not null").groupBy("source_id", "target").agg(F.min(F.struct("tier", key.alias("key"), "pos", "mid2")).alias("b"))
-    no = lambda t: F.lit(None).cast(t)
-    stream = gap.select("source_id", F.col("mid2").alias("at"), "mid2", no("int").alias("target"), no("long").alias("t_ms")).unionByName(targets.select("source_id", (2 * F.col("t_ms")).alias("at"), no("long").alias("mid2"), F.col("target").cast("int").alias("target"), "t_ms"))
+    ends, breath = (size >= P.SNAP_SILENCE) & F.trim("text").rlike('[.!?]["”]?$'), size >= P.SNAP_BREATH
+    kinds = {"ends": F.coalesce(ends, F.lit(False)), "breath": F.coalesce(breath, F.lit(False)), "gap": F.col("mid2").isNotNull()}
+    spoken = w.select("source_id", F.coalesce("mid2", 2 * F.col("end_ms")).alias("at"), F.lit(False).alias("is_target"), "pos", "mid2", *(v.alias(k) for k, v in kinds.items()))
+    asked = targets.select("source_id", (2 * F.col("t_ms")).alias("at"), F.lit(True).alias("is_target"), "target", "t_ms", "after")
+    stream = spoken.unionByName(asked, allowMissingColumns=True)
+    forth = Window.partitionBy("source_id").orderBy("at", "is_target", "pos", "target").rowsBetween(Window.unboundedPreceding, 0)
+    stream = stream.withColumns({"k": F.count_if("is_target").over(forth), "n": F.count_if(~F.col("is_target")).over(forth)})
+    stream = stream.withColumns({f"{c}_left": F.max(F.when(F.col(c), F.struct("mid2", (-F.col("pos")).alias("less")))).over(forth) for c in kinds})
+    # behind a target only the first gap of each kind counts; of the words, whether there are two
+    before = forth.rowsBetween(Window.unboundedPreceding, -1)
+    stream = stream.withColumns({f"{c}_first": F.col(c) & ~F.coalesce(F.max(F.when(F.col(c), F.col("k"))).over(before) == F.col("k"), F.lit(False)) for c in kinds})
+    few = stream.where("is_target or ends_first or breath_first or gap_first or n <= 2")
     # the nearest to the right by the order turned round: a frame that ends at the last row costs the square of its rows
-    so_far, is_target = (Window.unboundedPreceding, 0), F.col("mid2").isNull()
-    forth = Window.partitionBy("source_id").orderBy("at", is_target, "target").rowsBetween(*so_far)
-    back = Window.partitionBy("source_id").orderBy(F.desc("at"), is_target, "target").rowsBetween(*so_far)
-    stream = stream.withColumn("left", F.last("mid2", True).over(forth)).withColumn("right", F.last("mid2", True).over(back))
-    nearest = F.when(F.col("right").isNull() | (F.col("at") - F.col("left") <= F.col("right") - F.col("at")), F.col("left")).otherwise(F.col("right"))
-    last = stream.where("mid2 is null").select("source_id", "target", nearest.alias("nearest"))
-    found = targets.join(best, ["source_id", "target"], "left").join(last, ["source_id", "target"], "left")
-    found = found.join(words.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_words")), "source_id", "left")
-    mid2 = F.when(F.coalesce("n_words", F.lit(0)) < 2, 2 * F.col("t_ms")).otherwise(F.coalesce("b.mid2", "nearest"))
-    return found.select("source_id", "target", "t_ms", "after", mid2.alias("mid2"), F.col("b.tier").alias("tier"))
+    back = Window.partitionBy("source_id").orderBy(F.desc("at"), "is_target", F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumns({f"{c}_right": F.min(F.when(F.col(c), F.struct("mid2", "pos"))).over(back) for c in kinds})
+    few = few.withColumn("n_words", F.max("n").over(Window.partitionBy("source_id"))).where("is_target")
+    found = []
+    for side, pos in (("left", lambda g: -g["less"]), ("right", lambda g: g["pos"])):
+        for c in kinds:
+            g = F.col(f"{c}_{side}")
+            d = F.abs(g["mid2"] - F.col("at"))
+            wide = F.col("after") & (g["mid2"] >= F.col("at"))
+            within = lambda a, b: d <= F.when(wide, base * a).otherwise(base * b)  # noqa: B023, E731
+            tier = {"ends": F.when(within(3, 1), 0), "breath": F.when(within(3, 1), 1), "gap": F.when(within(5, 2.5), 2).when(within(8, 5), 3).otherwise(4)}[c]
+            key = F.when(tier == 4, d).otherwise(d * F.when(wide, 7).when(F.col("after"), 13).otherwise(10))
+            found.append(F.when(g.isNotNull() & tier.isNotNull(), F.struct(tier.alias("tier"), key.alias("key"), pos(g).alias("pos"), g["mid2"].alias("mid2"))))
+    made = few.withColumn("b", F.least(*found))
+    mid2 = F.when(F.col("n_words") < 2, F.col("at")).otherwise(F.col("b.mid2"))
+    return made.select("source_id", "target", "t_ms", "after", mid2.alias("mid2"), F.when((F.col("n_words") >= 2) & (F.col("b.tier") < 4), F.col("b.tier")).alias("tier"))
 
 
 def lexicon_hits(words: DataFrame, lexicon: Sequence[str], numbers: bool = False, mode: str = "every") -> DataFrame:
