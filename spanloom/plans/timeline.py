@@ -181,10 +181,12 @@ def snapped_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PLN5, TIM6: segments whose ends both snap and lie half a second apart; all of them as they were, if none does."""
     w = timeline(spark, sf_dir)
     found = words.snap(targets(w), w)
-    a = found.where("target in (0, 2, 4)").select("source_id", (F.col("target") + 1).alias("target"), F.col("mid2").alias("a2"), F.col("t_ms").alias("raw_a"))
-    pairs = a.join(found, ["source_id", "target"])
-    fits = F.coalesce(F.col("mid2") - F.col("a2") >= 1000, F.lit(False))
-    made = pairs.groupBy("source_id").agg(F.count_if(fits).alias("n_segments"), F.sum(F.when(fits, F.col("mid2") - F.col("a2"))).alias("d2"), F.sum(F.col("t_ms") - F.col("raw_a")).alias("raw"))
+    first = F.col("target") % 2 == 0
+    side = lambda c, at: F.max(F.when(at, F.col(c)))
+    pairs = found.where("target between 0 and 5").groupBy("source_id", F.expr("target div 2").alias("pair")).agg(side("mid2", first).alias("a2"), side("mid2", ~first).alias("b2"), (side("t_ms", ~first) - side("t_ms", first)).alias("raw"))
+    long = F.col("b2") - F.col("a2")
+    fits = F.coalesce(long >= 1000, F.lit(False))
+    made = pairs.groupBy("source_id").agg(F.count_if(fits).alias("n_segments"), F.sum(F.when(fits, long)).alias("d2"), F.sum("raw").alias("raw"))
     return made.select("source_id", "n_segments", F.coalesce(F.col("d2") / 2, F.col("raw").cast("double")).alias("duration_ms"))
 
 

@@ -43,6 +43,6 @@ def test_snap_by_brute_force(spark, step):
         assert got[k, j] == best([x[1:] for x in said if x[0] == k], t, after), (k, j)
 
 
-@pytest.mark.parametrize("name", ["boundary_snap"])
+@pytest.mark.parametrize("name", ["boundary_snap", "snapped_clips"])
 def test_only_texts_are_shuffled(spark, monkeypatch, name):
     dealt_texts(spark, monkeypatch, name)
